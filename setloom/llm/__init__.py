@@ -1,4 +1,11 @@
 """Operators for preparing language-model training data, built as Spark jobs.
 
-Nothing else in the library imports this subpackage.
+Nothing else in the library imports this subpackage. Its functions travel to executors by value, so the package need
+not be installed there.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
