@@ -34,6 +34,8 @@ FAN_IN = 4
 #: Bits of the filter of hits: 2^23, thus 256 rows of 4 KB at most, whatever the input.
 FILTER_BITS = 1 << 23
 _BITMAP_BITS = 32768
+#: Digests that one file of a run holds, about.
+FILE_ROWS = 1_000_000
 #: Rows of one group that one salt holds.
 SALT_ROWS = 2_000
 
@@ -48,25 +50,32 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, keep: str = "max", fan_in: int = FAN_IN):
         self.spark, self.fan_in = spark, fan_in
         self.pick = F.max if keep == "max" else F.min
-        self.levels: list[list[DataFrame]] = [[]]
-
-    def _run(self, entries: DataFrame) -> DataFrame:
-        path = shared_folder(self.spark, "run")
-        entries.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
+        self.levels: list[list[tuple[DataFrame, int]]] = [[]]
+
+    def _run(self, entries: DataFrame, rows: int) -> DataFrame:
+        """Write a run of ``rows`` entries at most, sorted by digest over all its files."""
+        path, files = shared_folder(self.spark, "run"), max(1, -(-rows // FILE_ROWS))
+        ordered = entries.repartitionByRange(files, "digest").sortWithinPartitions("digest")
+        filters = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": str(max(1, -(-rows // files)))}
+        ordered.write.options(**filters).parquet(path)
         return self.spark.read.schema(entries.schema).parquet(path)
 
-    def flush(self, batch: DataFrame) -> None:
-        """Add a batch (doc_id, digest) as one sorted run; merge a level that has become full."""
-        self.levels[0].append(self._run(batch.groupBy("digest").agg(self.pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))))
+    def flush(self, batch: DataFrame, rows: int) -> None:
+        """Add a batch (doc_id, digest) of ``rows`` rows as one sorted run; merge a level that has become full."""
+        entries = batch.groupBy("digest").agg(self.pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+        self.levels[0].append((self._run(entries, rows), rows))
         for k, level in enumerate(self.levels):
             if len(level) >= self.fan_in:
                 if k + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[k + 1].append(self._run(self._merge(level)))
+                self.levels[k + 1].append(self._merged(level))
                 self.levels[k] = []
 
-    def _merge(self, runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionAll, runs).groupBy("digest").agg(self.pick("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+    def _merged(self, runs: list[tuple[DataFrame, int]]) -> tuple[DataFrame, int]:
+        rows = sum(n for _, n in runs)
+        entries = reduce(DataFrame.unionAll, [run for run, _ in runs])
+        entries = entries.groupBy("digest").agg(self.pick("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+        return self._run(entries, rows), rows
 
     def compact(self) -> DataFrame:
         """Merge all runs into one and return it."""
@@ -74,14 +83,14 @@ class DigestIndex:
         if not runs:
             raise ValueError("nothing was flushed to this index")
         if len(runs) > 1:
-            runs = [self._run(self._merge(runs))]
+            runs = [self._merged(runs)]
         self.levels = [[] for _ in self.levels[1:]] + [runs]
-        return runs[0]
+        return runs[0][0]
 
     def probe(self, digests: list[str]) -> DataFrame:
         """Entries of a few digests, one row a run that holds one: predicates reach the runs' Bloom filters."""
-        runs = [run.where(F.col("digest").isin([bytes.fromhex(d) for d in digests])) for level in self.levels for run in level]
-        return reduce(DataFrame.unionAll, runs)
+        wanted = F.col("digest").isin([bytes.fromhex(d) for d in digests])
+        return reduce(DataFrame.unionAll, [run.where(wanted) for level in self.levels for run, _ in level])
 
 
 def _slot(doc_id: Column) -> Column:
@@ -110,8 +119,9 @@ def dedup(docs: DataFrame, keep: str = "max", batches: int = BATCHES, salt_rows:
     spark = docs.sparkSession
     log = settle(docs.select("doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest")), "log")
     index = DigestIndex(spark, keep)
+    rows = log.count()
     for b in range(batches):
-        index.flush(log.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
+        index.flush(log.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b), -(-rows // batches))
     merged = index.compact()
     hits = merged.where("n > 1").select("digest", "keep_id", F.ceil(F.col("n") / salt_rows).cast("int").alias("_salts"))
     hits = settle(hits, "hits")
