@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 from .store import settle
 from .text import n_words, or_empty
 
-#: Rows that one piece of a source's key range holds, about.
-PIECE_ROWS = 50_000
 _BITS = 52
 
 
@@ -75,13 +73,14 @@ def sized(docs: DataFrame) -> DataFrame:
     return settle(docs.select("doc_id", "source", mix_key(F.col("doc_id")).alias("_key"), n_words(or_empty(F.col("text"))).alias("size")), "sizes")
 
 
-def cuts(rows: DataFrame, piece_rows: int = PIECE_ROWS, **options) -> DataFrame:
+def cuts(rows: DataFrame, **options) -> DataFrame:
     """One row a source: how often all is taken, and the key at which the last round stops.
 
+    A source of n rows has sqrt(n) pieces of about sqrt(n) rows, so neither sum runs over many rows in one task.
     Keys below ``_cut`` are taken once more; of the rows at ``_cut``, ``_left`` of ``_unit`` words are.
     """
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
-    per_source = settle(per_source.withColumn("_pieces", F.ceil(F.col("_rows") / piece_rows)), "sources")
+    per_source = settle(per_source.withColumn("_pieces", F.ceil(F.sqrt("_rows"))), "sources")
     targets = source_targets(per_source.select("source", "source_size"), **options)
     targets = targets.join(per_source.select(F.col("source").alias("_s"), "_pieces"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
