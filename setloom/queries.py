@@ -84,10 +84,9 @@ def sql_words(name: str, source: str, sample: str, text: str, settings: Settings
     a = settings.letters
     word = f"least(w, translate(reverse(w), '{a.symbols}', '{a.symbols[::-1]}'))" if a.canonical else "w"
     return f"""
-{name}_m AS (SELECT {sample} AS sample_id, translate({text}, '{a.letters}', '{a.leads}') AS m FROM {source}),
-{name}_w AS (SELECT sample_id, substr(m, i, {settings.k}) AS w
-  FROM (SELECT sample_id, m, unnest(generate_series(1, length(m) - {settings.k} + 1)) AS i FROM {name}_m)),
-{name} AS (SELECT DISTINCT sample_id, {word} AS kmer FROM {name}_w WHERE regexp_full_match(w, '[{a.symbols}]{{{settings.k}}}'))"""
+{name}_r AS (SELECT {sample} AS sample_id, unnest(regexp_extract_all(translate({text}, '{a.letters}', '{a.leads}'), '[{a.symbols}]{{{settings.k},}}')) AS r FROM {source}),
+{name}_w AS (SELECT sample_id, substr(r, i, {settings.k}) AS w FROM (SELECT sample_id, r, unnest(generate_series(1, length(r) - {settings.k} + 1)) AS i FROM {name}_r)),
+{name} AS (SELECT DISTINCT sample_id, {word} AS kmer FROM {name}_w)"""
 
 
 def sql_sizes(name: str, source: str, sample: str) -> str:
