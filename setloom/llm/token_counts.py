@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-#: Documents, and characters, from which a block is closed. Positions in a block take 15 bits.
+#: Documents, and characters, from which a block is closed. Positions in a block fit a short.
 BLOCK_DOCUMENTS = 16_000
 BLOCK_CHARS = 24_000_000
 _FREQ = 16
@@ -76,31 +76,37 @@ def count_pieces(tokenizer: Tokenizer, special: set[str], pre_token: str) -> int
 
 
 def frequencies(docs: DataFrame, path: str) -> DataFrame:
-    """(pre_token, block, postings, ids, sizes).
+    """(pre_token, block, once, more, listing).
 
-    A posting is a document's position in its block, shifted, plus a frequency. One more row a block, with a key that
-    is no pre-token, lists the ids and sizes of the block's documents instead.
+    ``once`` has the positions in the block of documents that hold the pre-token once, ``more`` those that hold it more
+    often, each shifted, plus the frequency. One more row a block, with a key that is no pre-token, lists the ids and
+    sizes of the block's documents instead.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    names = ["pre_token", "block", "postings", "ids", "sizes"]
+    listing_type = pa.list_(pa.struct([("doc_id", id_type), ("n_bytes", pa.int64())]))
+    names = ["pre_token", "block", "once", "more", "listing"]
+
+    def lists(words: np.ndarray, values: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word's values begin, and the values, ordered by word."""
+        ends = np.concatenate([[0], np.cumsum(np.bincount(words, minlength=n_words))]).astype(np.int32)
+        return ends, values[np.argsort(words, kind="stable")]
 
     def block_rows(block: int, ids: list, sizes: list[int], index: dict[str, int], words: list[np.ndarray], freqs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        one = [[f" {block}"], [block], [None], [ids], [sizes]]
-        types = [pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(id_type), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(one, types, strict=True)], names)
-        word = np.concatenate(words)
-        order = np.argsort(word, kind="stable")
+        listing = [{"doc_id": i, "n_bytes": n} for i, n in zip(ids, sizes, strict=True)]
+        one = [([f" {block}"], pa.string()), ([block], pa.int64()), ([None], pa.list_(pa.int16())), ([None], pa.list_(pa.int32())), ([listing], listing_type)]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in one], names)
+        word, freq, tokens = np.concatenate(words), np.concatenate(freqs), list(index)
         doc = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        codes = ((doc << _FREQ) | np.concatenate(freqs)).astype(np.int32)[order]
-        ends = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(index)))]).astype(np.int32)
-        tokens = list(index)
+        single = freq == 1
+        columns = [lists(word[single], doc[single].astype(np.int16), len(tokens)), lists(word[~single], ((doc << _FREQ) | freq)[~single].astype(np.int32), len(tokens))]
         for at in range(0, len(tokens), 50_000):
             part = tokens[at : at + 50_000]
-            cut = ends[at : at + len(part) + 1]
-            postings = pa.ListArray.from_arrays(pa.array(cut - cut[0]), pa.array(codes[cut[0] : cut[-1]]))
-            n = len(part)
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(n, block)), postings, pa.nulls(n, types[3]), pa.nulls(n, types[4])], names)
+            arrays = []
+            for ends, values in columns:
+                cut = ends[at : at + len(part) + 1]
+                arrays.append(pa.ListArray.from_arrays(pa.array(cut - cut[0]), pa.array(values[cut[0] : cut[-1]])))
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(len(part), block)), *arrays, pa.nulls(len(part), listing_type)], names)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, number = PreTokens(path), TaskContext.get().partitionId() << 32
@@ -130,7 +136,7 @@ def frequencies(docs: DataFrame, path: str) -> DataFrame:
         if ids:
             yield from block_rows(number, ids, sizes, index, words, freqs)
 
-    return docs.select("doc_id", "text").mapInArrow(each, f"pre_token string, block long, postings array<int>, ids array<{kind}>, sizes array<long>")
+    return docs.select("doc_id", "text").mapInArrow(each, f"pre_token string, block long, once array<short>, more array<int>, listing array<struct<doc_id:{kind},n_bytes:bigint>>")
 
 
 def pieces(words: DataFrame, path: str) -> DataFrame:
@@ -150,17 +156,19 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """Per document: doc_id, n_bytes, n_tokens, over_limit. ``path`` is a .json file of the library ``tokenizers``."""
     dealt = frequencies(docs, path).repartition("pre_token")
     # every column is read here, so that both sides of the join are one exchange and texts are split once
-    distinct = dealt.groupBy("pre_token").agg(F.max(F.xxhash64("block", "postings", "ids", "sizes")).alias("seen"))
+    distinct = dealt.groupBy("pre_token").agg(F.max(F.xxhash64("block", "once", "more", "listing")).alias("seen"))
     joined = dealt.join(pieces(distinct, path).withColumnRenamed("pre_token", "_counted"), F.col("pre_token") == F.col("_counted"), "left")
-    by_block = joined.select("block", "postings", "ids", "sizes", "n").repartition("block")
+    by_block = joined.select("block", "once", "more", "listing", "n").repartition("block")
     kind = docs.schema["doc_id"].dataType.simpleString()
     entry = f"array<struct<doc:int,tokens:bigint,doc_id:{kind},n_bytes:bigint>>"
-    listed = F.transform("ids", lambda d, i: F.struct(i, F.lit(0).cast("long"), d, F.get("sizes", i)))
+    listed = F.transform("listing", lambda d, i: F.struct(i, F.lit(0).cast("long"), d["doc_id"], d["n_bytes"]))
 
-    def posting(p: Column) -> Column:
-        return F.struct(F.shiftright(p, _FREQ), F.col("n") * p.bitwiseAND(_MOST), F.lit(None), F.lit(None))
+    def posting(doc: Column, tokens: Column) -> Column:
+        return F.struct(doc.cast("int").alias("doc"), tokens.alias("tokens"), F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("long").alias("n_bytes"))
 
-    entries = F.when(F.col("ids").isNotNull(), listed.cast(entry)).otherwise(F.transform("postings", posting).cast(entry))
+    often = F.transform("more", lambda p: posting(F.shiftright(p, _FREQ), F.col("n") * p.bitwiseAND(_MOST)))
+    postings = F.concat(F.transform("once", lambda d: posting(d, F.col("n"))), often)
+    entries = F.when(F.col("listing").isNotNull(), listed.cast(entry)).otherwise(postings.cast(entry))
     rows = by_block.select("block", F.explode(entries).alias("e")).select("block", "e.*")
     sums = rows.groupBy("block", "doc").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("tokens").alias("n_tokens"))
     return sums.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
