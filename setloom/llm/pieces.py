@@ -179,27 +179,28 @@ def dictionary(docs: DataFrame, model: Model, size: int = DICTIONARY_UNITS) -> D
 
 
 def encode(docs: DataFrame, path: str, size: int = DICTIONARY_UNITS) -> DataFrame:
-    """Per document: doc_id, ids. ``path`` is a SentencePiece model."""
+    """``docs`` with ``ids`` in place of ``text``. ``path`` is a SentencePiece model. A column ``ids`` is replaced."""
     model = Model.load(path)
     known = {r.unit: r.ids for r in dictionary(docs, model, size).collect()}  # bounded by ``size``
     shared = docs.sparkSession.sparkContext.broadcast(known)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    carried = [c for c in docs.columns if c not in ("text", "ids")]
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in carried) + "ids array<int>"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, table, library = regex.compile(UNIT).findall, shared.value, model.processor()
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                units = [split(escaped(t.as_py() or "")) for t in part.column(1)]
+                units = [split(escaped(t.as_py() or "")) for t in part.column(len(carried))]
                 rest = list({u for doc in units for u in doc if u not in table})
                 found = dict(zip(rest, library.encode(rest, num_threads=1), strict=True)) if rest else {}
                 ids = [np.fromiter(chain.from_iterable(table[u] if u in table else found[u] for u in doc), np.int32) for doc in units]
                 ends = np.cumsum([0, *map(len, ids)])
                 values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
                 lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), values).cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], [*carried, "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {kind}, ids array<int>")
+    return docs.select(*[F.col(f"`{c}`") for c in carried], "text").mapInArrow(each, schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -220,5 +221,5 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def encoded_and_checked(docs: DataFrame, path: str, size: int = DICTIONARY_UNITS) -> DataFrame:
     """Per document: doc_id, n_pieces, ids, and text_sha256 of the text that the ids decode to."""
-    back = decode(encode(docs, path, size), path)
+    back = decode(encode(docs.select("doc_id", "text"), path, size), path)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("text", 256).alias("text_sha256"))

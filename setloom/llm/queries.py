@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, pieces, quality_classifier, quality_rules, simhash, token_counts, url_filter, warc
+from . import exact_dedup, mixing, pieces, quality_classifier, quality_rules, simhash, surrogates, token_counts, url_filter, warc
 
 #: (host, path, verdict)
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -30,6 +30,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replaced(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -59,8 +63,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc, op2_token_counts, op3_exact_dedup, op5_mix_sources, op6_sentencepiece, op7_quality_rules, op8_url_filter, op9_simhash, op10_quality_classifier)
-}
+    for f in (
+        op1_warc, op2_token_counts, op3_exact_dedup, op4_surrogates, op5_mix_sources, op6_sentencepiece,
+        op7_quality_rules, op8_url_filter, op9_simhash, op10_quality_classifier,
+    )
+}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

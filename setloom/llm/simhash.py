@@ -25,10 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .exact_dedup import id_filter, maybe_in
 from .store import settle
 
 SEED = 42
@@ -66,15 +67,19 @@ def _bit_sums(hashes: list[int]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of each document; fp is the fingerprint's bits as a signed long."""
+    """(doc_id, mark, fp) of each document; mark is the MD5 of its text, fp the fingerprint's bits as a signed long."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view(np.int64))], ["doc_id", "fp"])
+            got = np.fromiter((fingerprint(t.as_py()) for t in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got.view(np.int64))], ["doc_id", "mark", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", _mark(F.col("text")).alias("mark"), "text").mapInArrow(each, f"doc_id {kind}, mark string, fp long")
+
+
+def _mark(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
 
 
 def _remainder(words: np.ndarray) -> np.ndarray:
@@ -157,14 +162,41 @@ def _node(kind: int, bits: str):
     return F.struct(F.lit(kind).alias("kind"), F.col(bits).alias("bits"))
 
 
-def near_duplicates(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """Per document: doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id of its component."""
+def grouped(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """Per document: doc_id, mark, fingerprint (16 hex digits) and component_id, the smallest doc_id of its component."""
     prints = settle(fingerprints(docs), "fingerprints")
     classes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     found = components(links(classes, pair_limit)).where("node.kind = 0").select(F.col("node.bits").alias("fp"), "component")
-    grouped = found.join(classes, "fp")
-    least = grouped.groupBy("component").agg(F.min("first").alias("least"))
-    named = grouped.join(least, "component").select("fp", "least")
+    met = found.join(classes, "fp")
+    least = met.groupBy("component").agg(F.min("first").alias("least"))
+    named = met.join(least, "component").select("fp", "least")
     named = classes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return prints.join(named, "fp").select("doc_id", "mark", hexed.alias("fingerprint"), "component_id")
+
+
+def near_duplicates(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """Per document: doc_id, fingerprint and component_id."""
+    return grouped(docs, pair_limit).select("doc_id", "fingerprint", "component_id")
+
+
+def kept_documents(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """One document of each component, with its columns: that with the smallest doc_id. Rows that repeat this id in the
+    component count as one. Of documents whose component has no doc_id but null, one of each fingerprint stays.
+
+    Texts that aren't in a component of several rows aren't shuffled, nor are most of those that go.
+    """
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp "), "fingerprint"))
+    found = settle(grouped(docs, pair_limit).withColumn("_group", group), "components")
+    several = found.groupBy("_group").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_group")
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    states = found.join(several, "_group").select(F.col("doc_id").alias("_of"), F.col("mark").alias("_was"), "_group", kept.alias("_kept")).distinct()
+    states = settle(states, "states")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    flagged = maybe_in(docs.select(whole, F.col("doc_id").alias("_id")), id_filter(states.select(F.col("_of").alias("doc_id"))), "_id")
+    maybe = flagged.where("_maybe").withColumn("_mark", _mark(F.col("_doc.text")))
+    maybe = maybe.join(states, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_mark") == F.col("_was")), "left")
+    alone = flagged.where("not _maybe").select("_doc.*")
+    single = maybe.where("_group is null").select("_doc.*")
+    stay = maybe.where("_kept").groupBy("_id", "_group").agg(F.any_value("_doc").alias("_doc")).select("_doc.*")
+    return alone.unionAll(single).unionAll(stay)

@@ -204,7 +204,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Write pages as archives, normalise these and read them back: a row for each page."""
     spark, kind = pages.sparkSession, pages.schema["page_id"].dataType
     raw, neat = shared_folder(spark, "archives"), shared_folder(spark, "members")
-    neat = neat if "://" in neat else "file://" + neat
+    neat = neat if "://" in neat else "file://" + neat.removeprefix("file:")
     write_archives(pages, raw)
     read = read_records(normalise(spark, raw, neat), neat)
     return read.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
