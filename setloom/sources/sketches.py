@@ -35,7 +35,8 @@ def read_sketches(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, Dat
                 words = np.frombuffer(raw, "<i8", n, 12)
                 for at in range(0, max(n, 1), WORDS_AT_ONCE):
                     part = words[at : at + WORDS_AT_ONCE]
-                    yield pa.RecordBatch.from_pydict({"path": [path], "k": [k], "fraction": [fraction], "kmers": [part]})
+                    columns = [pa.array([path]), pa.array([k], pa.int32()), pa.array([fraction]), pa.array([part], pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["path", "k", "fraction", "kmers"])
 
     read = files.select("path", "content").mapInArrow(each, "path string, k int, fraction double, kmers array<long>")
     named = read.join(F.broadcast(ids), F.expr("endswith(path, _path)"))
