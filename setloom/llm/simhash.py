@@ -39,6 +39,8 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 GOLAY = 0b110001110101
 #: Fingerprints at one key from which hubs replace pairs.
 PAIR_LIMIT = 32
+#: A fingerprint is hot from this share of all rows; so at most as many are.
+HOT_SHARE = 256
 #: Shingles that are hashed and summed at once.
 CHUNK = 1 << 16
 
@@ -165,14 +167,19 @@ def _node(kind: int, bits: str):
 def grouped(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """Per document: doc_id, mark, fingerprint (16 hex digits) and component_id, the smallest doc_id of its component."""
     prints = settle(fingerprints(docs), "fingerprints")
-    classes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    classes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "classes")
     found = components(links(classes, pair_limit)).where("node.kind = 0").select(F.col("node.bits").alias("fp"), "component")
     met = found.join(classes, "fp")
     least = met.groupBy("component").agg(F.min("first").alias("least"))
     named = met.join(least, "component").select("fp", "least")
-    named = classes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(named, "fp").select("doc_id", "mark", hexed.alias("fingerprint"), "component_id")
+    named = settle(classes.join(named, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("component_id")), "named")
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # fewer than HOT_SHARE fingerprints have more rows than that each: these are broadcast, so no key of the shuffle is hot
+    hot = named.where(F.col("n") * HOT_SHARE > total).select("fp", F.struct("component_id").alias("_hot"))
+    seen = prints.join(F.broadcast(hot), "fp", "left")
+    columns = ["doc_id", "mark", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")]
+    easy = seen.where("_hot is not null").select(*columns, F.col("_hot.component_id").alias("component_id"))
+    return easy.unionAll(seen.where("_hot is null").drop("_hot").join(named, "fp").select(*columns, "component_id"))
 
 
 def near_duplicates(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
@@ -184,14 +191,16 @@ def kept_documents(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """One document of each component, with its columns: that with the smallest doc_id. Rows that repeat this id in the
     component count as one. Of documents whose component has no doc_id but null, one of each fingerprint stays.
 
-    Texts that aren't in a component of several rows aren't shuffled, nor are most of those that go.
+    Texts that stay and whose doc_id isn't repeated aren't shuffled.
     """
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp "), "fingerprint"))
     found = settle(grouped(docs, pair_limit).withColumn("_group", group), "components")
-    several = found.groupBy("_group").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_group")
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    states = found.join(several, "_group").select(F.col("doc_id").alias("_of"), F.col("mark").alias("_was"), "_group", kept.alias("_kept")).distinct()
-    states = settle(states, "states")
+    mine = [F.col("doc_id").alias("_of"), F.col("mark").alias("_was"), "_group"]
+    gone = found.where(~kept).select(*mine, F.lit(False).alias("_kept"))
+    repeated = found.where(kept).groupBy(F.col("doc_id").alias("_id"), F.col("_group").alias("_in")).agg(F.min("mark").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    again = found.where(kept).join(repeated.where("_n > 1"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_group") == F.col("_in")))
+    states = settle(gone.unionAll(again.select(*mine, (F.col("mark") == F.col("_first")).alias("_kept"))).distinct(), "states")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
     flagged = maybe_in(docs.select(whole, F.col("doc_id").alias("_id")), id_filter(states.select(F.col("_of").alias("doc_id"))), "_id")
     maybe = flagged.where("_maybe").withColumn("_mark", _mark(F.col("_doc.text")))
