@@ -19,13 +19,14 @@ that repeat a doc_id are encoded each on its own; texts of any length are encode
 
 from __future__ import annotations
 
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,7 +42,12 @@ UNIT = r"▁*[\p{L}\p{M}]+|▁*[^\p{L}\p{M}▁]+|▁+"
 DICTIONARY_UNITS = 200_000
 UNIT_CHARS = 32
 #: Characters of texts after which a task passes on the units it has counted.
-COUNT_CHARS = 24_000_000
+COUNT_CHARS = 8_000_000
+#: The same units for texts without characters from U+02B0 on, where there are no marks and these are the letters.
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ʯ"
+QUICK_UNIT = rf"▁*[{_LETTERS}]+|▁*[^{_LETTERS}▁]+|▁+"
+#: Documents that are encoded or decoded at once.
+AT_ONCE = 256
 _NORMAL, _BYTE, _BPE, _UNIGRAM = 1, 6, 2, 1
 
 
@@ -83,11 +89,17 @@ def escaped(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
+def splitter() -> Callable[[str], list[str]]:
+    """A function from an escaped text to its units."""
+    quick, slow, beyond = re.compile(QUICK_UNIT).findall, regex.compile(UNIT).findall, re.compile("[^\x00-ʯ▁]").search
+    return lambda text: slow(text) if beyond(text) else quick(text)
+
+
 def unit_counts(docs: DataFrame) -> DataFrame:
     """(unit, n) over all texts."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, counts, chars = regex.compile(UNIT).findall, Counter(), 0
+        split, counts, chars = splitter(), Counter(), 0
         for b in batches:
             for text in b.column(0):
                 text = text.as_py() or ""
@@ -178,26 +190,39 @@ def dictionary(docs: DataFrame, model: Model, size: int = DICTIONARY_UNITS) -> D
     return settle(merged(lattice) if model.bpe else viterbi(lattice), "dictionary")
 
 
+def _flat(lists: list) -> tuple[np.ndarray, np.ndarray]:
+    """All ids one after another, and where each list begins, and the last ends."""
+    ends = np.cumsum([0, *map(len, lists)])
+    return np.fromiter((i for ids in lists for i in ids), np.int32, ends[-1]), ends
+
+
 def encode(docs: DataFrame, path: str, size: int = DICTIONARY_UNITS) -> DataFrame:
     """``docs`` with ``ids`` in place of ``text``. ``path`` is a SentencePiece model. A column ``ids`` is replaced."""
     model = Model.load(path)
-    known = {r.unit: r.ids for r in dictionary(docs, model, size).collect()}  # bounded by ``size``
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    rows = dictionary(docs, model, size).collect()  # bounded by ``size``
+    known = {r.unit: k for k, r in enumerate(rows)}
+    shared = docs.sparkSession.sparkContext.broadcast((known, *_flat([r.ids for r in rows])))
     carried = [c for c in docs.columns if c not in ("text", "ids")]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in carried) + "ids array<int>"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, table, library = regex.compile(UNIT).findall, shared.value, model.processor()
+        split, library, (table, flat, ends) = splitter(), model.processor(), shared.value
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                units = [split(escaped(t.as_py() or "")) for t in part.column(len(carried))]
-                rest = list({u for doc in units for u in doc if u not in table})
-                found = dict(zip(rest, library.encode(rest, num_threads=1), strict=True)) if rest else {}
-                ids = [np.fromiter(chain.from_iterable(table[u] if u in table else found[u] for u in doc), np.int32) for doc in units]
-                ends = np.cumsum([0, *map(len, ids)])
-                values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
-                lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), values).cast(pa.list_(pa.int32()))
+            for at in range(0, b.num_rows, AT_ONCE):
+                part = b.slice(at, AT_ONCE)
+                units = [split(escaped(t or "")) for t in part.column(len(carried)).to_pylist()]
+                rest: dict[str, int] = {}
+                for u in set().union(*units).difference(table):
+                    rest[u] = len(table) + len(rest)
+                more, more_ends = _flat(library.encode(list(rest), num_threads=1) if rest else [])
+                all_ids, all_ends = np.concatenate([flat, more]), np.concatenate([ends, ends[-1] + more_ends[1:]])
+                get = table.get
+                at_unit = np.fromiter((rest[u] if (k := get(u)) is None else k for doc in units for u in doc), np.int64)
+                first, length = all_ends[at_unit], all_ends[at_unit + 1] - all_ends[at_unit]
+                done = np.concatenate([[0], np.cumsum(length)])
+                values = pa.array(all_ids[np.arange(done[-1]) + np.repeat(first - done[:-1], length)], pa.int32())
+                ends_of_docs = done[np.cumsum([0, *map(len, units)])]
+                lists = pa.LargeListArray.from_arrays(pa.array(ends_of_docs, pa.int64()), values).cast(pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], [*carried, "ids"])
 
     return docs.select(*[F.col(f"`{c}`") for c in carried], "text").mapInArrow(each, schema)
@@ -213,8 +238,13 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         content = {i: p.replace(SPACE, " ").encode() for p, i, _ in model.pieces} | {model.first_byte + k: bytes([k]) for k in range(256)}
         for b in batches:
-            texts = [b"".join([content[i] for i in ids.as_py()]).decode("utf-8", "replace").removeprefix(" ") for ids in b.column(position)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*columns, "text"])
+            for at in range(0, b.num_rows, AT_ONCE):
+                part = b.slice(at, AT_ONCE)
+                ids = part.column(position)
+                found = list(map(content.__getitem__, ids.flatten().to_pylist()))
+                cut = np.cumsum([0, *pc.list_value_length(ids).to_pylist()])
+                texts = [b"".join(found[i:j]).decode("utf-8", "replace").removeprefix(" ") for i, j in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*columns, "text"])
 
     return encoded.mapInArrow(each, schema)
 
