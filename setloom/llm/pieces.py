@@ -23,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -190,6 +191,24 @@ def dictionary(docs: DataFrame, model: Model, size: int = DICTIONARY_UNITS) -> D
     return settle(merged(lattice) if model.bpe else viterbi(lattice), "dictionary")
 
 
+class Index(dict):
+    """Places of units. A unit that has none is put last, until ``forget``."""
+
+    def __init__(self, known: dict[str, int]):
+        super().__init__(known)
+        self.rest: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self.rest.append(unit)
+        place = self[unit] = len(self)
+        return place
+
+    def forget(self) -> None:
+        for unit in self.rest:
+            del self[unit]
+        self.rest = []
+
+
 def _flat(lists: list) -> tuple[np.ndarray, np.ndarray]:
     """All ids one after another, and where each list begins, and the last ends."""
     ends = np.cumsum([0, *map(len, lists)])
@@ -206,21 +225,18 @@ def encode(docs: DataFrame, path: str, size: int = DICTIONARY_UNITS) -> DataFram
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in carried) + "ids array<int>"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, library, (table, flat, ends) = splitter(), model.processor(), shared.value
+        split, library, (known, flat, ends) = splitter(), model.processor(), shared.value
+        index = Index(known)
         for b in batches:
             for at in range(0, b.num_rows, AT_ONCE):
                 part = b.slice(at, AT_ONCE)
                 units = [split(escaped(t or "")) for t in part.column(len(carried)).to_pylist()]
-                rest: dict[str, int] = {}
-                for u in set().union(*units).difference(table):
-                    rest[u] = len(table) + len(rest)
-                more, more_ends = _flat(library.encode(list(rest), num_threads=1) if rest else [])
+                at_unit = np.fromiter(map(index.__getitem__, chain.from_iterable(units)), np.int64)
+                more, more_ends = _flat(library.encode(index.rest, num_threads=1) if index.rest else [])
+                index.forget()
                 all_ids, all_ends = np.concatenate([flat, more]), np.concatenate([ends, ends[-1] + more_ends[1:]])
-                get = table.get
-                at_unit = np.fromiter((rest[u] if (k := get(u)) is None else k for doc in units for u in doc), np.int64)
-                first, length = all_ends[at_unit], all_ends[at_unit + 1] - all_ends[at_unit]
-                done = np.concatenate([[0], np.cumsum(length)])
-                values = pa.array(all_ids[np.arange(done[-1]) + np.repeat(first - done[:-1], length)], pa.int32())
+                ids, done = _gather(all_ids, all_ends[at_unit], all_ends[at_unit + 1] - all_ends[at_unit])
+                values = pa.array(ids, pa.int32())
                 ends_of_docs = done[np.cumsum([0, *map(len, units)])]
                 lists = pa.LargeListArray.from_arrays(pa.array(ends_of_docs, pa.int64()), values).cast(pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], [*carried, "ids"])
@@ -228,8 +244,28 @@ def encode(docs: DataFrame, path: str, size: int = DICTIONARY_UNITS) -> DataFram
     return docs.select(*[F.col(f"`{c}`") for c in carried], "text").mapInArrow(each, schema)
 
 
+def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``values`` one after another, and where each begins, and the last ends."""
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    return values[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], lengths)], ends
+
+
+def _texts(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Strings of UTF-8. Bytes that are none become the replacement character."""
+    out = pa.Array.from_buffers(pa.large_string(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data.tobytes())])
+    try:
+        out.validate(full=True)
+    except pa.ArrowInvalid:
+        raw = data.tobytes()
+        return pa.array([raw[i:j].decode("utf-8", "replace") for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+    return out.cast(pa.string())
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded`` (…, ids) with ``text``: pieces' bytes, put together; the space that was put in front is taken away."""
+    """``encoded`` (…, ids) with ``text``: pieces' bytes, put together; the space that was put in front is taken away.
+
+    Ids that are no piece of text, as of control pieces, fail. A null in place of ids is decoded as no ids.
+    """
     model = Model.load(path)
     columns = encoded.columns
     position = columns.index("ids")
@@ -237,14 +273,24 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         content = {i: p.replace(SPACE, " ").encode() for p, i, _ in model.pieces} | {model.first_byte + k: bytes([k]) for k in range(256)}
+        by_id = [content.get(i, b"") for i in range(max(content) + 1)]
+        lengths = np.array([len(c) for c in by_id])
+        starts, flat = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(by_id), np.uint8)
         for b in batches:
             for at in range(0, b.num_rows, AT_ONCE):
                 part = b.slice(at, AT_ONCE)
-                ids = part.column(position)
-                found = list(map(content.__getitem__, ids.flatten().to_pylist()))
-                cut = np.cumsum([0, *pc.list_value_length(ids).to_pylist()])
-                texts = [b"".join(found[i:j]).decode("utf-8", "replace").removeprefix(" ") for i, j in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*columns, "text"])
+                lists = part.column(position)
+                ids = lists.flatten().to_numpy(zero_copy_only=False)
+                if len(ids) and (ids.min() < 0 or not lengths[ids].all()):
+                    raise ValueError("ids that are no piece of text")
+                data, ends = _gather(flat, starts[ids], lengths[ids])
+                ends = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))])]
+                some = ends[:-1] < ends[1:]
+                spaced = np.zeros(len(ends) - 1, np.int64)
+                spaced[some] = data[ends[:-1][some]] == 32
+                data = np.delete(data, ends[:-1][spaced == 1])
+                ends = ends - np.concatenate([[0], np.cumsum(spaced)])
+                yield pa.RecordBatch.from_arrays([*part.columns, _texts(data, ends)], [*columns, "text"])
 
     return encoded.mapInArrow(each, schema)
 

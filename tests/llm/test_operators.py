@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -365,3 +366,20 @@ def test_pipeline(spark):
         docs = after
     out = corpus_pipeline.run(spark, str(TABLES))
     assert "ids" in out.columns and out.where("size(ids) = 0").count() == 0
+
+
+def test_packed_numbers_come_back():
+    numbers = np.array([0, 1, 127, 128, 129, 255, 256, 16_382, 16_383, 5, 0])
+    data, ends = token_counts.packed(numbers)
+    back, back_ends = token_counts.unpacked(data)
+    assert back.tolist() == numbers.tolist() and back_ends.tolist() == ends[1:].tolist()
+    assert [len(x) for x in token_counts.unpacked(np.empty(0, np.uint8))] == [0, 0]
+
+
+def test_decode_of_bytes_that_are_no_text(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = pieces.Model.load(path)
+    a = next(i for p, i, _ in model.pieces if p == "▁a")
+    rows = [(1, [model.first_byte + 0xFF, a]), (2, []), (3, None), (4, [a, a]), (5, [model.first_byte + 0xC3, model.first_byte + 0xA9])]
+    got = dict(pieces.decode(spark.createDataFrame(rows, "k int, ids array<int>").coalesce(1), path).select("k", "text").collect())
+    assert got == {1: "� a", 2: "", 3: "", 4: "a a", 5: "é"}
