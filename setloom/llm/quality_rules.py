@@ -5,9 +5,13 @@ that occur twice or more in it.
 
 Divergence: two histograms of a document, of character classes and of common words, are compared with those of its
 language by the Jensen-Shannon distance (the root of the divergence in bits, 0 to 1). A language's reference is the mean
-histogram of all its documents that pass the base rule and the length guards. Languages with few such documents, those
-beyond the 256 largest, and a null language are compared with the mean over all documents. A document that is too short
-for a histogram isn't judged by it.
+histogram of all its documents that pass the base rule and the length guards; every language with enough of them has one.
+A null language, and one with few such documents, has no sound reference: its documents aren't judged by common words,
+as those differ from language to language, and by character classes they are compared with the mean over all documents.
+A document that is too short for a histogram isn't judged by it.
+
+Languages with at least a 256th of the documents (256 at most) get their reference by broadcast, the others by a shuffle in
+which no key is hot.
 
 Everything is DataFrame expressions. Repeated windows are found inside the row: windows are hashed, hash and position
 are packed into one long and sorted, and neighbours with one hash are compared word by word.
@@ -43,8 +47,8 @@ MIN_WORDS_FOR_COMMON = 100
 #: Largest distances that a kept document may have.
 MAX_CLASS_DISTANCE = 0.25
 MAX_COMMON_DISTANCE = 0.3
-#: Languages that get a reference of their own at most, which bounds what is broadcast, and documents that one needs.
-LANGUAGES = 256
+#: A language is hot from this share of all documents; so at most as many are. And documents that a reference needs.
+HOT_SHARE = 256
 MIN_DOCUMENTS = 20
 
 
@@ -133,30 +137,42 @@ def distance(p: Column, q: Column) -> Column:
 
 
 def references(hist: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(languages, all): mean histograms of each of the largest languages, and one row for all documents."""
-    sound = hist.where(~F.col("base_failed") & (F.col("_chars") >= MIN_CHARS_FOR_CLASSES) & (F.col("n_words") >= MIN_WORDS_FOR_COMMON))
-    sums = [F.count(F.lit(1)).alias("_docs")]
+    """(languages, all): each language's rows and mean histograms (null without a sound reference), and one row for all documents."""
+    sound = ~F.col("base_failed") & (F.col("_chars") >= MIN_CHARS_FOR_CLASSES) & (F.col("n_words") >= MIN_WORDS_FOR_COMMON)
+    sums = [F.count(F.lit(1)).alias("_rows"), F.count_if(sound).alias("_docs")]
     for name, n in (("_class", len(CLASSES) + 2), ("_word", len(COMMON_WORDS) + 1)):
-        sums.append(F.array(*[F.avg(F.element_at(f"{name}_hist", k + 1)) for k in range(n)]).alias(f"{name}_ref"))
-    by_lang = sound.where("lang is not null").groupBy("lang").agg(*sums).where(F.col("_docs") >= MIN_DOCUMENTS)
-    largest = by_lang.orderBy(F.desc("_docs"), "lang").limit(LANGUAGES).drop("_docs")
-    pooled = sound.agg(*sums).select(F.col("_class_ref").alias("_class_all"), F.col("_word_ref").alias("_word_all"))
-    return settle(largest, "languages"), settle(pooled, "pooled")
+        sums.append(F.array(*[F.avg(F.when(sound, F.element_at(f"{name}_hist", k + 1))) for k in range(n)]).alias(f"{name}_ref"))
+    by_lang = hist.where("lang is not null").groupBy(F.col("lang").alias("_lang")).agg(*sums)
+    enough = F.col("_docs") >= MIN_DOCUMENTS
+    by_lang = by_lang.select("_lang", "_rows", *[F.when(enough, F.col(c)).alias(c) for c in ("_class_ref", "_word_ref")])
+    pooled = hist.agg(*sums).where("_docs > 0").select(F.col("_class_ref").alias("_class_all"))
+    return settle(by_lang, "languages"), settle(pooled, "pooled")
+
+
+def with_references(hist: DataFrame, langs: DataFrame) -> DataFrame:
+    """``hist`` with the histograms of its language, null where it has none."""
+    total = langs.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    refs = ["_class_ref", "_word_ref"]
+    hot = langs.where(F.col("_rows") * HOT_SHARE > total).select("_lang", F.struct(*refs).alias("_hot"))
+    seen = hist.join(F.broadcast(hot), F.col("lang") == F.col("_lang"), "left").drop("_lang")
+    easy = seen.where("_hot is not null or lang is null").select(*hist.columns, *[F.col(f"_hot.{c}").alias(c) for c in refs])
+    hard = seen.where("_hot is null and lang is not null").select(*hist.columns)
+    return easy.unionAll(hard.join(langs.select("_lang", *refs), F.col("lang") == F.col("_lang")).select(*hist.columns, *refs))
 
 
 def judge(docs: DataFrame, *carried: Column) -> DataFrame:
-    """Per document: doc_id, carried columns, base counts, base_failed, both distances and ``kept``."""
+    """Per document: doc_id, carried columns, base counts, base_failed, both distances (that of common words is null without a reference) and ``kept``."""
     hist = features(docs, *carried)
     hist = hist.withColumn("_class_hist", _with_rest("_class_counts", "_chars")).withColumn("_word_hist", _with_rest("_word_counts", "n_words"))
     hist = settle(hist.drop("_class_counts", "_word_counts"), "histograms")
     langs, pooled = references(hist)
-    joined = hist.join(F.broadcast(langs.withColumnRenamed("lang", "_lang")), F.col("lang") == F.col("_lang"), "left").crossJoin(F.broadcast(pooled))
+    joined = with_references(hist, langs).join(F.broadcast(pooled), how="left")
     far = joined.withColumn("class_distance", distance(F.col("_class_hist"), F.coalesce("_class_ref", "_class_all")))
-    far = far.withColumn("common_distance", distance(F.col("_word_hist"), F.coalesce("_word_ref", "_word_all")))
+    far = far.withColumn("common_distance", F.when(F.col("_word_ref").isNotNull(), distance(F.col("_word_hist"), F.col("_word_ref"))))
     odd_classes = (F.col("_chars") >= MIN_CHARS_FOR_CLASSES) & (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE)
     odd_words = (F.col("n_words") >= MIN_WORDS_FOR_COMMON) & (F.coalesce("common_distance", F.lit(0.0)) > MAX_COMMON_DISTANCE)
     far = far.withColumn("kept", ~F.col("base_failed") & ~odd_classes & ~odd_words)
-    return far.drop("_chars", "_class_hist", "_word_hist", "_class_ref", "_word_ref", "_class_all", "_word_all", "_lang")
+    return far.drop("_chars", "_class_hist", "_word_hist", "_class_ref", "_word_ref", "_class_all")
 
 
 def _mark(text: Column) -> Column:

@@ -253,6 +253,29 @@ def test_quality_rules_reject_what_diverges(spark):
     assert kept == set(range(60))
 
 
+def prose(draw, common, size=110):
+    rare = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrt"]
+    return " ".join(draw.choice(common if draw.random() < 0.4 else rare) for _ in range(size))
+
+
+def test_quality_rules_keep_clean_text_of_rare_and_unknown_languages(spark):
+    draw = random.Random(2)
+    english, german = "the of and to in is that for".split(), "der die das und den ist ein von".split()
+    rows = [(i, prose(draw, english), "en") for i in range(60)] + [(100 + i, prose(draw, german), "de") for i in range(5)] + [(200 + i, prose(draw, german), None) for i in range(5)]
+    rows += [(300, "#$% " * 40 + " ".join(f"#{draw.randint(0, 9**6)}%" for _ in range(300)), lang) for lang in ("de", None)]
+    got = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("kept").collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, *_ in rows if i != 300)
+
+
+def test_quality_rules_give_every_language_its_reference(spark):
+    draw = random.Random(3)
+    english, german = "the of and to in is that for".split(), "der die das und den ist ein von".split()
+    rows = [(k, prose(draw, english), f"l{k % 256}") for k in range(256 * 21)] + [(10_000 + i, prose(draw, german), "rare") for i in range(20)]
+    rows += [(20_000, prose(draw, english), "rare")]
+    got = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == len(rows) and {r.doc_id for r in got if not r.kept} == {20_000}
+
+
 URLS = [
     None, "", "no scheme", "http://", "http://NET", "http://net/", "https://a.b.NET/x?y#z", "http://example.net/en/", "http://www.example.net/en/a/b", "http://example.net/en",
     "http://badexample.net/de/", "http://example.com/de/x", "http://sub.example.com/de/", "http://example.com/dex", "http://example.org/fr/q", "http://org/fr/?x=/", "x://y://net/", "http://a..net//", "http://exämple.net/Ä", "http://net:80/", "http://net/" + "d/" * 3000,
