@@ -1,7 +1,8 @@
 """Surrogates for personal data: detected entities are replaced by keyed values of their own type.
 
 Detected are e-mail addresses, IPv4 addresses, payment card numbers (only those with a right check digit), phone numbers,
-social security numbers, credentials (``token = "..."``) and names of persons (a title, or a known given name, before a
+social security numbers, credentials (``token = "..."``, of any length, with the segments that dots join to it; without quotes, one segment must
+have 16 characters, as prose has short words there) and names of persons (a title, or a known given name, before a
 capitalised word). An entity is the canonical form of a mention: letter case and separators don't count, and of a name each
 part is an entity, so that ``Mrs Smith`` and ``Anna Smith`` stay the same person.
 
@@ -59,6 +60,10 @@ LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежз
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _CAPITALISED = r"\p{Lu}[\p{L}'’\-]{1,30}"
+_SECRET_KEY = r"(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Aa]pi_?[Kk]ey|API_?KEY)"
+_SECRET = r"[A-Za-z0-9+/_\-]"
+#: Segments joined by dots, as in a JWT. Possessive, so that neither length nor number is bounded.
+_SECRETS = rf"{_SECRET}++(?:\.{{1,2}}{_SECRET}++)*+"
 _ALL_TITLES = [t for group in TITLES.values() for t in group]
 _ALL_GIVEN = [g for group in GIVEN.values() for g in group]
 #: (kind, pattern) in the order in which they are tried at a place.
@@ -66,7 +71,7 @@ PATTERNS = [
     ("email", r"[\p{L}\p{N}](?:[\p{L}\p{N}._%+\-]{0,62}[\p{L}\p{N}_%+\-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![\p{L}\p{N}@])"),
     (
         "secret",
-        r"(?<=(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Aa]pi_?[Kk]ey|API_?KEY)\s{0,2}[=:]\s{0,2}[\x22']?)[A-Za-z0-9+/_\-]{16,256}(?![A-Za-z0-9+/_\-])",
+        rf"(?<={_SECRET_KEY}\s{{0,2}}[=:]\s{{0,2}}[\x22']?)(?=(?:{_SECRET}{{1,15}}\.){{0,4}}{_SECRET}{{16}}){_SECRETS}|(?<={_SECRET_KEY}\s{{0,2}}[=:]\s{{0,2}}[\x22']){_SECRETS}(?=[\x22'])",
     ),
     ("ip", rf"(?<!\d\.){_OCTET}(?:\.{_OCTET}){{3}}(?![\p{{L}}\p{{N}}]|\.\d)"),
     ("ssn", r"\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)"),
@@ -112,7 +117,7 @@ def _kind(surface: Column) -> Column:
         F.when(F.rlike(surface, F.lit("@")), "email")
         .when(F.rlike(surface, F.lit(r"^\d{1,3}(?:\.\d{1,3}){3}$")), "ip")
         .when(F.rlike(surface, F.lit(r"^\d{3}-\d{2}-\d{4}$")), "ssn")
-        .when(F.rlike(surface, F.lit(r"^\+|^\(\d{3}\)|^\d{3}[.\-]\d{3}[.\-]\d{4}$")), F.when(size.between(7, 15), "phone"))
+        .when(F.rlike(surface, F.lit(r"^\+[\d .()\-]+$|^\(\d{3}\)|^\d{3}[.\-]\d{3}[.\-]\d{4}$")), F.when(size.between(7, 15), "phone"))
         .when(F.rlike(surface, F.lit(r"^\d[\d \-]{12,22}$")), F.when(_checked(_digits(surface)) % 10 == 0, "card"))
         .when(F.rlike(surface, F.lit(r"^\p{Lu}\S* |^\p{Lu}\S*\. ")), "name")
         .otherwise("secret")
@@ -224,16 +229,18 @@ def surrogate(kind: Column, canonical: Column, key: str, attempt: int) -> Column
         .when(F.startswith(canonical, F.lit("192.168.")), F.concat(F.lit("192.168."), octets[2], dot, octets[3]))
         .otherwise(F.concat((11 + _byte(digest, F.lit(0)) % 116).cast("string"), dot, octets[1], dot, octets[2], dot, octets[3]))
     )
-    hexadecimal = F.substring(F.repeat(digest, F.lit(2)), F.lit(1), size)
+    hexadecimal = F.substring(F.repeat(digest, F.ceil(size / 128).cast("int")), F.lit(1), size)
     hexadecimal = F.when(F.lower(canonical) == canonical, hexadecimal).otherwise(F.upper(hexadecimal))
+    # so has a short secret
+    longer = F.when(size < 16, more).otherwise("")
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", ip)
         .when(kind == "card", card)
         .when(kind == "phone", phone)
         .when(kind == "ssn", _drawn_digits(digest, F.lit(0), size))
-        .when((kind == "secret") & F.rlike(canonical, F.lit("^(?:[0-9a-f]+|[0-9A-F]+)$")), hexadecimal)
-        .when(kind == "secret", _substituted(canonical, digest))
+        .when((kind == "secret") & F.rlike(canonical, F.lit("^(?:[0-9a-f]+|[0-9A-F]+)$")), F.concat(hexadecimal, longer))
+        .when(kind == "secret", F.concat(_substituted(canonical, digest), longer))
         .otherwise(_sounded(kind, digest, attempt))
     )
 

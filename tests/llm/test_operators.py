@@ -174,6 +174,23 @@ def test_surrogates(spark):
     assert {(r.doc_id, r.n_entities): r.text for r in surrogates.replaced(docs, key="other").collect()} != got
 
 
+def test_surrogates_replace_credentials_whole(spark):
+    draw = random.Random(6)
+    long, hexadecimal, many = "".join(draw.choices("abcXYZ0189_-/", k=300)), "".join(draw.choices("0123456789abcdef", k=300)), ".".join("ab" * 3000)
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.SflKxwRJSMeKKF2QT4fwpMeJf36P"
+    secrets = [long, hexadecimal, jwt, "SG.x1y2." + "k3" * 12, "a" * 16 + "..cipher.tag", "hunter2", "+" + "aB3/" * 6, many + "." + "z" * 20]
+    rows = [(i, f'token = "{x}" end') for i, x in enumerate(secrets)] + [(50, f"API_KEY={jwt}. Password: required")] + [(100 + i, f"password = '{i}'") for i in range(10)]
+    got = {r.doc_id: (r.text, r.n_entities) for r in surrogates.replaced(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, x in enumerate(secrets):
+        text, n = got[i]
+        m = re.fullmatch(r'token = "(\S+)" end', text)
+        assert n == 1 and m and (len(m[1]) == len(x) or len(x) < 16) and not set(re.findall(r"[^.]{4,}", x)) & set(re.findall(r"[^.]{4,}", m[1])), (i, text[:80])
+    assert re.fullmatch("[0-9a-f]{300}", re.search('"(.*)"', got[1][0])[1])
+    assert got[50] == (f"API_KEY={re.search('\"(.*)\"', got[2][0])[1]}. Password: required", 1)
+    short = {got[100 + i][0] for i in range(10)}
+    assert len(short) == 10 and not short & {t for _, t in rows}
+
+
 def test_surrogates_stay_distinct_in_a_narrow_format(spark):
     entities = spark.createDataFrame([("email", f"{a}@x.org") for a in "abcdefghijklmnopqrstuvwxyz"] + [("ip", f"10.0.0.{i}") for i in range(256)], "kind string, canonical string")
     got = surrogates.assign(entities).collect()
