@@ -196,6 +196,16 @@ def kmer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(AA.letters.unpacked(F.col("kmer"), K).alias("kmer"), "n_samples")
 
 
+@query(
+    f"""WITH {sql_set("docs")}, {sql_set("items")}, counts AS (SELECT kmer, count(*)::BIGINT AS n FROM docs GROUP BY kmer)
+SELECT kmer, coalesce(n, 0)::BIGINT AS n_samples FROM (SELECT DISTINCT kmer FROM items) LEFT JOIN counts USING (kmer)"""
+)
+def kmer_lookup_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of a whole table looked up in another, so that what is looked up grows with the input."""
+    found = overlap.lookup(documents(spark, sf_dir).postings, benchmark(spark, sf_dir).postings)
+    return found.select(AA.letters.unpacked(F.col("kmer"), K).alias("kmer"), "n_samples")
+
+
 @query(
     """SELECT l_suppkey AS sample_id, l_partkey AS kmer FROM lineitem GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 3"""
 )
