@@ -1,17 +1,18 @@
 """SentencePiece encoding and decoding by a relational lattice.
 
 A text, with a space as ``▁`` and one put in front, is cut into units that no piece of the vocabulary crosses: a run of
-``▁`` with the letters, or with the other signs, that follow it. Units are counted over all texts. Of the most frequent
-units (a bounded number, which is what bounds the broadcast) every substring of bounded length is exploded and
-equi-joined to the table of pieces; the edges that exist are grouped by unit, and a fold over them with Spark's
-higher-order ``aggregate`` finds the segmentation. Texts are then assembled from the units' ids.
+letters, or of other signs, that occur in pieces of several characters, with the ``▁`` before it; any other character is a
+unit by itself. Texts become numbers in dictionaries of their blocks (module ``blocks``). All distinct units are segmented
+once: every substring of bounded length is exploded and equi-joined to the table of pieces; the edges that exist are
+grouped by unit, and a fold over them with Spark's higher-order ``aggregate`` finds the segmentation. The ids are dealt to
+the blocks that hold the unit, and documents are put together there.
 
 A model of type BPE merges neighbours by score, which is not the segmentation of highest total score, so for it the fold
 applies the best merge that is possible, again and again, to a bit mask of boundaries. For a unigram model the fold is
 Viterbi's. Characters without a piece become their bytes' pieces.
 
-Units beyond the bound, and those too long for a mask, are encoded where they stand by the library, of which a text's
-whole encoding is the definition; so results are exact at any bound.
+A unit of more than ``UNIT_CHARS`` characters does not fit a mask. It stays with its block, where the same lattice and
+fold are made by a function of the task.
 
 Defined results: a null or empty text has no ids. ``▁`` itself in a text counts as a space, and is decoded as one. Rows
 that repeat a doc_id are encoded each on its own; texts of any length are encoded whole. Empty tables give empty results.
@@ -19,44 +20,35 @@ that repeat a doc_id are encoded each on its own; texts of any length are encode
 
 from __future__ import annotations
 
+import heapq
 import re
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
-import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 from sentencepiece import sentencepiece_model_pb2
 
-from .store import settle
+from . import blocks
 
 SPACE = "▁"
-#: A unit: what no piece crosses. Checked against the model's pieces.
-UNIT = r"▁*[\p{L}\p{M}]+|▁*[^\p{L}\p{M}▁]+|▁+"
-#: Units that get a place in the dictionary, and the most characters that one may have: this bounds the broadcast.
-DICTIONARY_UNITS = 200_000
-UNIT_CHARS = 32
-#: Characters of texts after which a task passes on the units it has counted.
-COUNT_CHARS = 8_000_000
-#: The same units for texts without characters from U+02B0 on, where there are no marks and these are the letters.
-_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ʯ"
-QUICK_UNIT = rf"▁*[{_LETTERS}]+|▁*[^{_LETTERS}▁]+|▁+"
-#: Documents that are encoded or decoded at once.
+#: The most characters of a unit whose boundaries fit a mask.
+UNIT_CHARS = 62
+#: Documents that are decoded at once.
 AT_ONCE = 256
-_NORMAL, _BYTE, _BPE, _UNIGRAM = 1, 6, 2, 1
+_NORMAL, _UNKNOWN, _CONTROL, _BYTE, _BPE, _UNIGRAM = 1, 2, 3, 6, 2, 1
+# an edge as a long: rank, start, length and id, from the highest bits on
+_RANK, _START, _LENGTH = 40, 34, 28
 
 
 @dataclass(frozen=True)
 class Model:
-    """What is needed of a model file: the serialised model without its added space, and its pieces."""
+    """What is needed of a model file."""
 
-    raw: bytes
     bpe: bool
     pieces: list[tuple[str, int, float]]
     first_byte: int
@@ -67,186 +59,223 @@ class Model:
         proto = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
             proto.ParseFromString(f.read())
-        spec = proto.normalizer_spec
+        spec, kind = proto.normalizer_spec, proto.trainer_spec.model_type
         if spec.name != "identity" or spec.remove_extra_whitespaces or not spec.add_dummy_prefix or not proto.trainer_spec.byte_fallback:
             raise ValueError("only models without normalisation, with a space put in front and bytes for unknown characters, are supported")
+        if kind not in (_BPE, _UNIGRAM) or any(p.type not in (_NORMAL, _UNKNOWN, _CONTROL, _BYTE) for p in proto.pieces):
+            raise ValueError("only models of type BPE or unigram without user-defined or unused pieces are supported")
         pieces = [(p.piece, i, p.score) for i, p in enumerate(proto.pieces) if p.type == _NORMAL]
-        unit = regex.compile(UNIT)
+        first = next(i for i, p in enumerate(proto.pieces) if p.type == _BYTE)
+        out = cls(kind == _BPE, pieces, first, max(len(p) for p, _, _ in pieces))
+        unit = re.compile(out.unit())
         if any(unit.findall(p) != [p] for p, _, _ in pieces):
             raise ValueError("a piece crosses units")
-        spec.add_dummy_prefix = False
-        first = next(i for i, p in enumerate(proto.pieces) if p.type == _BYTE)
-        return cls(proto.SerializeToString(), proto.trainer_spec.model_type == _BPE, pieces, first, max(len(p) for p, _, _ in pieces))
+        return out
 
-    def processor(self) -> sentencepiece.SentencePieceProcessor:
-        return sentencepiece.SentencePieceProcessor(model_proto=self.raw)
+    def unit(self) -> str:
+        """The pattern of units."""
+        joining = sorted({c for p, _, _ in self.pieces if len(p) > 1 for c in p} - {SPACE})
+        letters, others = ("".join(re.escape(c) for c in joining if c.isalpha() == kind) for kind in (True, False))
+        return "|".join([f"{SPACE}*[{x}]+" for x in (letters, others) if x] + [f"{SPACE}+", "(?s:.)"])
+
+    def ranks(self) -> dict[str, int]:
+        """Pieces by score, the best 0; pieces of one score have one rank."""
+        order = {s: k for k, s in enumerate(sorted({s for _, _, s in self.pieces}, reverse=True))}
+        return {p: order[s] for p, _, s in self.pieces}
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """(piece, id, score): as many rows as the vocabulary has, whatever the input."""
-        return spark.createDataFrame(self.pieces, "piece string, id int, score double")
+        """(piece, id, score, rank): as many rows as the vocabulary has, whatever the input."""
+        ranks = self.ranks()
+        return spark.createDataFrame([(p, i, s, ranks[p]) for p, i, s in self.pieces], "piece string, id int, score double, rank long")
 
 
 def escaped(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def splitter() -> Callable[[str], list[str]]:
-    """A function from an escaped text to its units."""
-    quick, slow, beyond = re.compile(QUICK_UNIT).findall, regex.compile(UNIT).findall, re.compile("[^\x00-ʯ▁]").search
-    return lambda text: slow(text) if beyond(text) else quick(text)
+def splitter(pattern: str) -> blocks.Splitter:
+    """A function from a text to its units."""
+    units = re.compile(pattern).findall
+    return lambda text: units(escaped(text))
 
 
-def unit_counts(docs: DataFrame) -> DataFrame:
-    """(unit, n) over all texts."""
+def spans(units: DataFrame, model: Model) -> DataFrame:
+    """The lattice's edges: ``units`` with size, start, length, and of the piece id, score and rank.
+
+    An edge is a substring that is a piece, or one character that isn't (id null).
+    """
+    u = units.withColumn("size", F.char_length("unit"))
+    u = u.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
+    u = u.withColumn("length", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("size") - F.col("start")))))
+    u = u.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("length")))
+    return u.join(F.broadcast(model.table(units.sparkSession)), "piece", "left").where("id is not null or length = 1").drop("piece")
+
+
+def _at(mask: Column, bit: Column) -> Column:
+    return F.call_function("getbit", mask, bit.cast("int")) == 1
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, counts, chars = splitter(), Counter(), 0
-        for b in batches:
-            for text in b.column(0):
-                text = text.as_py() or ""
-                counts.update(split(escaped(text)))
-                chars += len(text)
-                if chars >= COUNT_CHARS:
-                    yield from _count_batches(counts)
-                    counts, chars = Counter(), 0
-        yield from _count_batches(counts)
 
-    partial = docs.select("text").mapInArrow(each, "unit string, n long")
-    return partial.groupBy("unit").agg(F.sum("n").alias("n"))
+def _bit(n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
 
 
-def _count_batches(counts: Counter) -> Iterator[pa.RecordBatch]:
-    units, ns = list(counts), list(counts.values())
-    for at in range(0, len(units), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(units[at : at + 50_000], pa.string()), pa.array(ns[at : at + 50_000], pa.int64())], ["unit", "n"])
+def _bytes(unit: Column, start: Column, first_byte: int) -> Column:
+    """The ids of the bytes of one character."""
+    raw = F.substring(unit, start.cast("int") + 1, F.lit(1)).cast("binary")
+    return F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda j: F.conv(F.hex(F.substring(raw, j, F.lit(1))), 16, 10).cast("int") + first_byte)
 
 
-def edges(units: DataFrame, model: Model) -> DataFrame:
-    """The lattice: (unit, size, edges), edges as structs (rank, start, end, inside, score, ids).
+def merged(units: DataFrame, model: Model) -> DataFrame:
+    """``units`` with ids, by merging: the best edge whose ends are boundaries with just one boundary between is applied.
 
-    An edge is a substring that is a piece, or one character that isn't, with its bytes' ids. ``inside`` is the mask of
-    boundaries that the edge covers. Edges are sorted by rank: best score first, then from the left.
+    Edges are longs, so that a unit's are sorted by rank, then from the left.
     """
-    spark = units.sparkSession
-    u = units.select("unit", F.char_length("unit").alias("size"))
-    spans = u.select("unit", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("start"))
-    lengths = F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("size") - F.col("start")))
-    spans = spans.select("unit", "size", "start", F.explode(lengths).alias("length"))
-    spans = spans.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("length")))
-    found = spans.join(F.broadcast(model.table(spark)), "piece", "left").where("id is not null or length = 1")
-    raw = F.col("piece").cast("binary")
-    as_bytes = F.transform(F.sequence(F.lit(1), F.octet_length("piece")), lambda j: F.conv(F.hex(F.substring(raw, j, F.lit(1))), 16, 10).cast("int") + model.first_byte)
-    end = F.col("start") + F.col("length")
-    one = F.lit(1).cast("long")
-    inside = F.call_function("shiftleft", one, end) - F.call_function("shiftleft", one, F.col("start") + 1)
-    edge = F.struct(
-        (-F.coalesce("score", F.lit(0.0))).alias("rank"),
-        "start",
-        end.alias("end"),
-        inside.alias("inside"),
-        F.coalesce("score", F.lit(float(min(s for _, _, s in model.pieces)) - 10.0)).alias("score"),
-        F.when(F.col("id").isNotNull(), F.array("id")).otherwise(as_bytes).alias("ids"),
-    )
-    return found.groupBy("unit", "size").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    def shifted(n: Column, by: int) -> Column:
+        return F.call_function("shiftleft", n.cast("long"), F.lit(by))
 
+    def field(e: Column, low: int, high: int) -> Column:
+        return F.call_function("shiftrightunsigned", e, F.lit(low)).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("long"))
 
-def _at(mask: Column, bit: Column) -> Column:
-    return F.call_function("getbit", mask, bit) == 1
+    edge = shifted(F.coalesce("rank", F.lit(0)), _RANK).bitwiseOR(shifted(F.col("start"), _START)).bitwiseOR(shifted(F.col("length"), _LENGTH)).bitwiseOR(F.coalesce(F.col("id") + 1, F.lit(0)).cast("long"))
+    rows = spans(units, model).groupBy(*units.columns, "size").agg(F.sort_array(F.collect_list(edge)).alias("_edges"))
 
+    def opened(e: Column) -> Column:
+        start, end = field(e, _START, _RANK), field(e, _START, _RANK) + field(e, _LENGTH, _START)
+        ends = _bit(start).bitwiseOR(_bit(end))
+        return F.struct(ends.alias("ends"), (_bit(end) - _bit(start)).bitwiseOR(_bit(end)).alias("all"), (_bit(end) - _bit(start + 1)).alias("inside"), start.alias("start"), (field(e, 0, _LENGTH) - 1).cast("int").alias("id"))
 
-def merged(lattice: DataFrame) -> DataFrame:
-    """(unit, ids) by merging: the best edge whose ends are boundaries with just one boundary between is applied."""
-    rows = lattice.withColumn("merges", F.filter("edges", lambda e: e["end"] - e["start"] > 1))
-    all_boundaries = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("size") + 1) - 1
+    rows = rows.withColumn("_edges", F.transform("_edges", opened))
+    rows = rows.withColumn("_merges", F.filter("_edges", lambda e: e["inside"] > 0))
 
     def step(mask: Column, _: Column) -> Column:
-        fits = F.filter("merges", lambda e: _at(mask, e["start"]) & _at(mask, e["end"]) & (F.bit_count(mask.bitwiseAND(e["inside"])) == 1))
+        fits = F.filter("_merges", lambda e: (F.bit_count(mask.bitwiseAND(e["all"])) == 3) & (mask.bitwiseAND(e["ends"]) == e["ends"]))
         return mask.bitwiseAND(F.bitwise_not(F.coalesce(F.get(fits, 0)["inside"], F.lit(0).cast("long"))))
 
-    # each step takes one boundary away, as long as there is a merge
-    rows = rows.withColumn("mask", F.aggregate(F.sequence(F.lit(1), F.col("size")), all_boundaries, step))
-    chosen = F.filter("edges", lambda e: _at(F.col("mask"), e["start"]) & _at(F.col("mask"), e["end"]) & (F.col("mask").bitwiseAND(e["inside"]) == 0))
-    return rows.select("unit", F.flatten(F.transform(F.sort_array(F.transform(chosen, lambda e: F.struct(e["start"], e["ids"]))), lambda e: e["ids"])).alias("ids"))
+    # each step takes one boundary away, as long as there is a merge. Merges and the mask are named twice: what is named
+    # once the planner would put into the lambda, and work out for every element
+    steps = F.sequence(F.lit(1), F.least(F.col("size"), F.greatest(F.size("_merges"), F.lit(1))))
+    rows = rows.withColumn("_mask", F.aggregate(steps, _bit(F.col("size") + 1) - 1, step))
+    chosen = F.filter("_edges", lambda e: (F.col("_mask") > 0) & (F.col("_mask").bitwiseAND(e["all"]) == e["ends"]))
+    ids = F.transform(F.array_sort(F.transform(chosen, lambda e: F.struct(e["start"], e["id"]))), lambda e: F.when(e["id"] >= 0, F.array(e["id"])).otherwise(_bytes(F.col("unit"), e["start"], model.first_byte)))
+    return rows.select(*units.columns, F.flatten(ids).alias("ids"))
 
 
-def viterbi(lattice: DataFrame) -> DataFrame:
-    """(unit, ids) of the highest total score; of equal ones, that whose last pieces are longest."""
+def _unknown(model: Model) -> float:
+    """The score of a character without a piece."""
+    return float(min(s for _, _, s in model.pieces)) - 10.0
+
+
+def viterbi(units: DataFrame, model: Model) -> DataFrame:
+    """``units`` with ids of the highest total score; of equal ones, those whose last pieces are longest."""
+    end = F.col("start") + F.col("length")
+    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(_bytes(F.col("unit"), F.col("start"), model.first_byte))
+    edge = F.struct("start", end.alias("end"), F.coalesce("score", F.lit(_unknown(model))).alias("score"), ids.alias("ids"))
+    rows = spans(units, model).groupBy(*units.columns, "size").agg(F.collect_list(edge).alias("_edges"))
     start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("longer"), F.array().cast("array<int>").alias("ids")))
 
     def step(best: Column, end: Column) -> Column:
-        arriving = F.filter("edges", lambda e: e["end"] == end)
+        arriving = F.filter("_edges", lambda e: e["end"] == end)
         ways = F.transform(
             arriving, lambda e: F.struct((F.get(best, e["start"])["score"] + e["score"]).alias("score"), (end - e["start"]).alias("longer"), F.concat(F.get(best, e["start"])["ids"], e["ids"]).alias("ids"))
         )
         return F.concat(best, F.array(F.array_max(ways)))
 
-    return lattice.select("unit", F.aggregate(F.sequence(F.lit(1), F.col("size")), start, step, lambda b: F.get(b, F.size(b) - 1)["ids"]).alias("ids"))
-
-
-def dictionary(docs: DataFrame, model: Model, size: int = DICTIONARY_UNITS) -> DataFrame:
-    """(unit, ids) of the most frequent units, settled: at most ``size`` rows of ``UNIT_CHARS`` characters."""
-    frequent = unit_counts(docs).where(F.char_length("unit") <= UNIT_CHARS).orderBy(F.desc("n"), "unit").limit(size)
-    frequent = settle(frequent.select("unit"), "units").repartition("unit")
-    lattice = edges(frequent, model)
-    return settle(merged(lattice) if model.bpe else viterbi(lattice), "dictionary")
-
-
-class Index(dict):
-    """Places of units. A unit that has none is put last, until ``forget``."""
-
-    def __init__(self, known: dict[str, int]):
-        super().__init__(known)
-        self.rest: list[str] = []
-
-    def __missing__(self, unit: str) -> int:
-        self.rest.append(unit)
-        place = self[unit] = len(self)
-        return place
-
-    def forget(self) -> None:
-        for unit in self.rest:
-            del self[unit]
-        self.rest = []
-
-
-def _flat(lists: list) -> tuple[np.ndarray, np.ndarray]:
-    """All ids one after another, and where each list begins, and the last ends."""
-    ends = np.cumsum([0, *map(len, lists)])
-    return np.fromiter((i for ids in lists for i in ids), np.int32, ends[-1]), ends
-
-
-def encode(docs: DataFrame, path: str, size: int = DICTIONARY_UNITS) -> DataFrame:
+    return rows.select(*units.columns, F.aggregate(F.sequence(F.lit(1), F.col("size")), start, step, lambda b: F.get(b, F.size(b) - 1)["ids"]).alias("ids"))
+
+
+class LongUnits:
+    """The same lattice and fold for one unit of any length, in time proportional to its edges."""
+
+    def __init__(self, model: Model):
+        self.model, self.ranks, self.ids = model, model.ranks(), {p: i for p, i, _ in model.pieces}
+        self.scores = {p: s for p, _, s in model.pieces}
+
+    def of(self, unit: str) -> list[int]:
+        cuts = self._merged(unit) if self.model.bpe else self._viterbi(unit)
+        out: list[int] = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            i = self.ids.get(unit[a:b])
+            out += [i] if i is not None else [self.model.first_byte + x for x in unit[a:b].encode("utf-8", "surrogatepass")]
+        return out
+
+    def _merged(self, unit: str) -> list[int]:
+        n = len(unit)
+        after, before = list(range(1, n + 2)), list(range(-1, n))  # neighbouring boundaries
+        ways: list[tuple[int, int, int, int]] = []
+
+        def offer(a: int) -> None:
+            """The merge of the symbols that meet at the boundary after ``a``."""
+            middle = after[a]
+            if middle < n and (rank := self.ranks.get(unit[a : after[middle]])) is not None:
+                heapq.heappush(ways, (rank, a, middle, after[middle]))
+
+        for a in range(n - 1):
+            offer(a)
+        while ways:
+            _, a, middle, b = heapq.heappop(ways)
+            if after[a] != middle or after[middle] != b:
+                continue  # one of the symbols is gone
+            after[a], before[b], after[middle] = b, a, -1
+            offer(a)
+            if a:
+                offer(before[a])
+        cuts = [0]
+        while cuts[-1] < n:
+            cuts.append(after[cuts[-1]])
+        return cuts
+
+    def _viterbi(self, unit: str) -> list[int]:
+        best, back, unknown = [0.0], [0], _unknown(self.model)
+        for end in range(1, len(unit) + 1):
+            ways = []
+            for start in range(max(0, end - self.model.longest), end):
+                score = self.scores.get(unit[start:end], unknown if end - start == 1 else None)
+                if score is not None:
+                    ways.append((best[start] + score, end - start))
+            score, length = max(ways)
+            best.append(score)
+            back.append(end - length)
+        cuts = [len(unit)]
+        while cuts[-1]:
+            cuts.append(back[cuts[-1]])
+        return cuts[::-1]
+
+
+def _streams(places: list[np.ndarray]) -> list[np.ndarray]:
+    return [np.array([len(p) for p in places]), np.concatenate(places)]
+
+
+def encode(docs: DataFrame, path: str, unit_chars: int = UNIT_CHARS) -> DataFrame:
     """``docs`` with ``ids`` in place of ``text``. ``path`` is a SentencePiece model. A column ``ids`` is replaced."""
     model = Model.load(path)
-    rows = dictionary(docs, model, size).collect()  # bounded by ``size``
-    known = {r.unit: k for k, r in enumerate(rows)}
-    shared = docs.sparkSession.sparkContext.broadcast((known, *_flat([r.ids for r in rows])))
+    pattern = model.unit()
     carried = [c for c in docs.columns if c not in ("text", "ids")]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in carried) + "ids array<int>"
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, library, (known, flat, ends) = splitter(), model.processor(), shared.value
-        index = Index(known)
-        for b in batches:
-            for at in range(0, b.num_rows, AT_ONCE):
-                part = b.slice(at, AT_ONCE)
-                units = [split(escaped(t or "")) for t in part.column(len(carried)).to_pylist()]
-                at_unit = np.fromiter(map(index.__getitem__, chain.from_iterable(units)), np.int64)
-                more, more_ends = _flat(library.encode(index.rest, num_threads=1) if index.rest else [])
-                index.forget()
-                all_ids, all_ends = np.concatenate([flat, more]), np.concatenate([ends, ends[-1] + more_ends[1:]])
-                ids, done = _gather(all_ids, all_ends[at_unit], all_ends[at_unit + 1] - all_ends[at_unit])
-                values = pa.array(ids, pa.int32())
-                ends_of_docs = done[np.cumsum([0, *map(len, units)])]
-                lists = pa.LargeListArray.from_arrays(pa.array(ends_of_docs, pa.int64()), values).cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], [*carried, "ids"])
-
-    return docs.select(*[F.col(f"`{c}`") for c in carried], "text").mapInArrow(each, schema)
+    rows = blocks.dealt(docs, carried, lambda: splitter(pattern), _streams, unit_chars)
+    units = blocks.distinct_units(rows)
+    values = blocks.for_blocks(rows, merged(units, model) if model.bpe else viterbi(units, model), "ids")
+    schema = StructType([docs.schema[c] for c in carried] + [StructField("ids", ArrayType(IntegerType()))])
+
+    def finish(columns: list[pa.Array], streams: list[np.ndarray], found: list[np.ndarray], long: list[str], long_places: np.ndarray) -> Iterator[pa.Array]:
+        sizes, units = streams
+        places, counts, ids = found or [np.empty(0, np.int64)] * 3
+        fold = LongUnits(model)
+        more = [fold.of(u) for u in long]
+        counts = np.concatenate([counts, np.array([len(x) for x in more], np.int64)])
+        ids = np.concatenate([ids, np.array([i for x in more for i in x], np.int64)]).astype(np.int32)
+        at = np.empty(len(counts), np.int64)
+        at[np.concatenate([places, long_places])] = np.arange(len(counts))
+        starts = np.cumsum(counts) - counts
+        flat, ends = _gather(ids, starts[at[units]], counts[at[units]])
+        lists = pa.LargeListArray.from_arrays(pa.array(ends[np.cumsum([0, *sizes])], pa.int64()), pa.array(flat, pa.int32()))
+        yield from columns[: len(carried)]
+        yield lists.cast(pa.list_(pa.int32()))
+
+    return blocks.by_block(rows, values, finish, schema)
 
 
 def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The stretches of ``values`` one after another, and where each begins, and the last ends."""
-    ends = np.concatenate([[0], np.cumsum(lengths)])
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
     return values[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], lengths)], ends
 
 
@@ -264,12 +293,14 @@ def _texts(data: np.ndarray, ends: np.ndarray) -> pa.Array:
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` (…, ids) with ``text``: pieces' bytes, put together; the space that was put in front is taken away.
 
-    Ids that are no piece of text, as of control pieces, fail. A null in place of ids is decoded as no ids.
+    Ids that are no piece of text, as of control pieces, fail. A null in place of ids is decoded as no ids. A column
+    ``text`` is replaced.
     """
     model = Model.load(path)
+    encoded = encoded.drop("text")
     columns = encoded.columns
     position = columns.index("ids")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", text string"
+    schema = StructType([*encoded.schema.fields, StructField("text", StringType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         content = {i: p.replace(SPACE, " ").encode() for p, i, _ in model.pieces} | {model.first_byte + k: bytes([k]) for k in range(256)}
@@ -281,7 +312,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 part = b.slice(at, AT_ONCE)
                 lists = part.column(position)
                 ids = lists.flatten().to_numpy(zero_copy_only=False)
-                if len(ids) and (ids.min() < 0 or not lengths[ids].all()):
+                if len(ids) and (ids.min() < 0 or ids.max() >= len(lengths) or not lengths[ids].all()):
                     raise ValueError("ids that are no piece of text")
                 data, ends = _gather(flat, starts[ids], lengths[ids])
                 ends = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))])]
@@ -290,12 +321,12 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 spaced[some] = data[ends[:-1][some]] == 32
                 data = np.delete(data, ends[:-1][spaced == 1])
                 ends = ends - np.concatenate([[0], np.cumsum(spaced)])
-                yield pa.RecordBatch.from_arrays([*part.columns, _texts(data, ends)], [*columns, "text"])
+                yield pa.RecordBatch.from_arrays([*part.columns, _texts(data, ends)], schema.names)
 
     return encoded.mapInArrow(each, schema)
 
 
-def encoded_and_checked(docs: DataFrame, path: str, size: int = DICTIONARY_UNITS) -> DataFrame:
+def encoded_and_checked(docs: DataFrame, path: str) -> DataFrame:
     """Per document: doc_id, n_pieces, ids, and text_sha256 of the text that the ids decode to."""
-    back = decode(encode(docs.select("doc_id", "text"), path, size), path)
+    back = decode(encode(docs.select("doc_id", "text"), path), path)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("text", 256).alias("text_sha256"))

@@ -1,10 +1,11 @@
 """Token counts without ids: pieces of each distinct pre-token once, then a join and sums.
 
 The tokenizer splits text into pre-tokens that it merges separately, so a document's count is the sum, over its distinct
-pre-tokens, of frequency times pieces. Frequencies are gathered by block (some thousand documents of a partition): a row
-holds a pre-token, and the documents of the block that have it with how often. Rows are dealt by pre-token once; the
-distinct pre-tokens among them are counted, and the counts are joined back. Then rows are dealt by block, where a
-document's sum is complete; a block's size is bounded. Documents are kept as distances in a byte or two. A frequent pre-token has one row a block, so no key is hot.
+pre-tokens, of frequency times pieces. Each document's pre-tokens and their frequencies are kept as numbers in the
+dictionary of the document's block (module ``blocks``). The distinct pre-tokens of all blocks are dealt by pre-token and
+counted once; the counts are joined to the (pre-token, block) rows and dealt to the blocks, where the documents'
+frequencies are multiplied by them and summed. Only pre-tokens and counts go through the join, frequencies stay with their
+block, and a pre-token has one short row a block, so no key is hot.
 
 The counts are those of the library ``tokenizers`` without begin, end or added special tokens. Special strings inside
 texts are handled as its default: each is one token. Text that only has characters below U+0500 is split here by the
@@ -17,22 +18,18 @@ own. Texts of any length are counted whole. Empty tables give empty results; oth
 from __future__ import annotations
 
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from tokenizers import Tokenizer, pre_tokenizers
 
-#: The greatest number that a posting's code of one or two bytes holds, and so the greatest frequency of one posting.
-_MOST = (1 << 14) - 1
-#: Documents, and characters, from which a block is closed. Distances in a block fit a posting's code.
-BLOCK_DOCUMENTS = 16_000
-BLOCK_CHARS = 32_000_000
+from . import blocks
+
 #: How word_bpe_49k.json splits normalised text; fixed by that file.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 
@@ -75,156 +72,42 @@ def count_pieces(tokenizer: Tokenizer, special: set[str], pre_token: str) -> int
     return sum(len(tokenizer.model.tokenize(x)) for x, _ in as_bytes)
 
 
-def packed(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers up to ``_MOST`` in one byte (below 128) or two, the lower seven bits first; and the bytes before each number, and in all."""
-    ends = np.concatenate([[0], np.cumsum(1 + (numbers > 127))])
-    out = np.empty(ends[-1], np.uint8)
-    out[ends[1:] - 1] = np.where(numbers > 127, numbers >> 7, numbers)
-    two = numbers > 127
-    out[ends[:-1][two]] = (numbers[two] & 127) | 128
-    return out, ends
-
-
-def unpacked(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers that ``packed`` put into bytes, and where each ends."""
-    last = np.flatnonzero(data < 128)
-    numbers = data[last].astype(np.int64)
-    two = np.diff(last, prepend=-1) == 2
-    numbers[two] = (numbers[two] << 7) | (data[last[two] - 1] & 127)
-    return numbers, last + 1
-
-
-def frequencies(docs: DataFrame, path: str) -> DataFrame:
-    """(pre_token, block, once, more, listing).
-
-    ``once`` has the documents of the block that hold the pre-token once, each as its distance from the one before;
-    ``more`` those that hold it more often, a distance and the frequency each. Both are packed numbers. One more row a
-    block, with a key that is no pre-token, lists the ids and sizes of the block's documents instead, as an
-    Arrow stream.
-    """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    names = ["pre_token", "block", "once", "more", "listing"]
-
-    def lists(words: np.ndarray, docs: np.ndarray, freqs: np.ndarray | None, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-        """Packed postings ordered by word, and where each word's begin, and the last end."""
-        first = np.concatenate([[0], np.cumsum(np.bincount(words, minlength=n_words))])
-        order = np.argsort(words, kind="stable")
-        docs = docs[order]
-        gaps = np.diff(docs, prepend=0)
-        starts = first[:-1][np.diff(first) > 0]
-        gaps[starts] = docs[starts]
-        if freqs is None:
-            data, ends = packed(gaps)
-            return data, ends[first]
-        data, ends = packed(np.stack([gaps, freqs[order]], axis=1).ravel())
-        return data, ends[2 * first]
-
-    def block_rows(block: int, ids: list, sizes: list[int], index: dict[str, int], words: list[np.ndarray], freqs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        listing = pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(sizes, pa.int64())], ["doc_id", "n_bytes"])
-        stream = pa.BufferOutputStream()
-        with pa.ipc.new_stream(stream, listing.schema) as writer:
-            writer.write_batch(listing)
-        first = [(f" {block}", pa.string()), (block, pa.int64()), (None, pa.binary()), (None, pa.binary()), (stream.getvalue().to_pybytes(), pa.binary())]
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in first], names)
-        word, freq, tokens = np.concatenate(words), np.concatenate(freqs), list(index)
-        doc = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        one = freq == 1
-        columns = [lists(word[one], doc[one], None, len(tokens)), lists(word[~one], doc[~one], freq[~one], len(tokens))]
-        for at in range(0, len(tokens), 50_000):
-            part = tokens[at : at + 50_000]
-            arrays = []
-            for data, ends in columns:
-                cut = ends[at : at + len(part) + 1]
-                offsets = pa.py_buffer((cut - cut[0]).astype(np.int32))
-                arrays.append(pa.Array.from_buffers(pa.binary(), len(part), [None, offsets, pa.py_buffer(data[cut[0] : cut[-1]].tobytes())]))
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(len(part), block)), *arrays, pa.nulls(len(part), pa.binary())], names)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, number = PreTokens(path), TaskContext.get().partitionId() << 32
-
-        def fresh() -> tuple:
-            index: defaultdict[str, int] = defaultdict()
-            index.default_factory = index.__len__
-            return [], [], index, [], []
-
-        ids, sizes, index, words, freqs = fresh()
-        chars = 0
-        for b in batches:
-            for doc_id, text in zip(b.column(0), b.column(1), strict=True):
-                text = text.as_py() or ""
-                word, n = np.unique(np.array([index[t] for t in split.of(text)], np.int64), return_counts=True)
-                while len(n) and n.max() > _MOST:  # beyond what a posting holds is another posting
-                    over = n > _MOST
-                    word, n = np.concatenate([word, word[over]]), np.concatenate([np.minimum(n, _MOST), n[over] - _MOST])
-                ids.append(doc_id.as_py())
-                sizes.append(len(text.encode("utf-8", "surrogatepass")))
-                words.append(word.astype(np.int32))
-                freqs.append(n.astype(np.int16))
-                chars += len(text)
-                if len(ids) >= BLOCK_DOCUMENTS or chars >= BLOCK_CHARS:
-                    yield from block_rows(number, ids, sizes, index, words, freqs)
-                    (ids, sizes, index, words, freqs), chars, number = fresh(), 0, number + 1
-        if ids:
-            yield from block_rows(number, ids, sizes, index, words, freqs)
-
-    return docs.select("doc_id", "text").mapInArrow(each, "pre_token string, block long, once binary, more binary, listing binary")
-
-
 def pieces(words: DataFrame, path: str) -> DataFrame:
-    """(pre_token, n) of a table with one row a pre-token, its first column."""
+    """(unit, n) of a table of distinct pre-tokens, still dealt by them."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("long")
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokenizer = Tokenizer.from_file(path)
         special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
         for b in batches:
-            n = pa.array([count_pieces(tokenizer, special, t) for t in b.column(0).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), n], ["pre_token", "n"])
-
-    return words.mapInArrow(each, "pre_token string, n long")
-
-
-def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a binary column one after another (null: none), and where each row's begin, and the last end."""
-    column = column.fill_null(b"")
-    _, offsets, data = column.buffers()
-    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
-    held = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.empty(0, np.uint8)
-    return held, ends - ends[0]
-
-
-def _postings(column: pa.Array, with_freqs: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, document and frequency of each posting of a column."""
-    data, row_ends = _bytes_of(column)
-    numbers, ends = unpacked(data)
-    freqs = numbers[1::2] if with_freqs else np.ones(len(numbers), np.int64)
-    gaps, ends = (numbers[::2], ends[1::2]) if with_freqs else (numbers, ends)
-    upto = np.searchsorted(ends, row_ends, "right")  # postings before each row
-    sums = np.concatenate([[0], np.cumsum(gaps)])
-    row = np.repeat(np.arange(len(column)), np.diff(upto))
-    return row, sums[1:] - sums[upto[row]], freqs
-
-
-def _sums_of_block(rows: pa.Table) -> pa.Table:
-    """(doc_id, n_bytes, n_tokens) of a block's documents. A block's size is bounded where it is made."""
-    rows = rows.combine_chunks()
-    listing = pa.ipc.open_stream(rows["listing"].drop_null()[0].as_buffer()).read_all()
-    tokens, counts = np.zeros(len(listing), np.int64), rows["n"].fill_null(0).to_numpy()
-    for name in ("once", "more"):
-        for column in rows[name].chunks:
-            row, doc, freq = _postings(column, name == "more")
-            # sums of a block are far below 2**53, up to which doubles are exact
-            tokens += np.bincount(doc, counts[row] * freq, len(listing)).astype(np.int64)
-    return listing.append_column("n_tokens", pa.array(tokens))
+            yield pa.array([count_pieces(tokenizer, special, t) for t in b.to_pylist()], pa.int64())
+
+    return words.select("unit", counted("unit").alias("n"))
+
+
+def _frequencies(places: list[np.ndarray]) -> list[np.ndarray]:
+    """How many distinct pre-tokens each document has, which (each as its distance from the one before), and how often."""
+    each = [np.unique(p, return_counts=True) for p in places]
+    return [np.array([len(w) for w, _ in each]), np.concatenate([np.diff(w, prepend=0) for w, _ in each]), np.concatenate([n for _, n in each])]
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """Per document: doc_id, n_bytes, n_tokens, over_limit. ``path`` is a .json file of the library ``tokenizers``."""
-    dealt = frequencies(docs, path).repartition("pre_token")
-    # every column is read here, so that both sides of the join are one exchange and texts are split once
-    distinct = dealt.groupBy("pre_token").agg(F.max(F.xxhash64("block", "once", "more", "listing")).alias("seen"))
-    joined = dealt.join(pieces(distinct, path).withColumnRenamed("pre_token", "_counted"), F.col("pre_token") == F.col("_counted"), "left")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    by_block = joined.select("block", "once", "more", "listing", "n").groupBy("block")
-    sums = by_block.applyInArrow(_sums_of_block, f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
-    return sums.withColumn("over_limit", F.col("n_tokens") > limit)
+    sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    rows = blocks.dealt(sized, ["doc_id", "n_bytes"], lambda: PreTokens(path).of, _frequencies)
+    values = blocks.for_blocks(rows, pieces(blocks.distinct_units(rows), path), "n")
+    schema = StructType([sized.schema["doc_id"], StructField("n_bytes", LongType()), StructField("n_tokens", LongType())])
+
+    def finish(columns: list[pa.Array], streams: list[np.ndarray], found: list[np.ndarray], *_: object) -> Iterator[pa.Array]:
+        sizes, gaps, freqs = streams
+        places, counts = found or [np.empty(0, np.int64)] * 2
+        n = np.empty(len(counts), np.int64)
+        n[places] = counts
+        ends = np.cumsum([0, *sizes])
+        sums = np.concatenate([[0], np.cumsum(gaps)])
+        word = sums[1:] - np.repeat(sums[ends[:-1]], sizes)
+        tokens = np.concatenate([[0], np.cumsum(n[word] * freqs)])
+        yield from columns
+        yield pa.array(tokens[ends[1:]] - tokens[ends[:-1]])
+
+    return blocks.by_block(rows, values, finish, schema).withColumn("over_limit", F.col("n_tokens") > limit)

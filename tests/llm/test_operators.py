@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from setloom.llm import exact_dedup, mixing, pieces, quality_classifier, quality_rules, simhash, surrogates, token_counts, url_filter, warc
+from setloom.llm import blocks, exact_dedup, mixing, pieces, quality_classifier, quality_rules, simhash, surrogates, token_counts, url_filter, warc
 from setloom.llm.queries import ORACLES, QUERIES
 from tests.oracle import TABLES, both
 
@@ -225,24 +225,40 @@ def test_mixing(docs, texts):
     assert mixed.columns == docs.columns and max(Counter((r.doc_id, r.text) for r in mixed.collect()).values()) <= 4
 
 
-@pytest.mark.parametrize("size", [30, 100_000])
-def test_sentencepiece(docs, texts, size):
+@pytest.mark.parametrize("unit_chars", [3, pieces.UNIT_CHARS])
+def test_sentencepiece(docs, texts, unit_chars):
     path = public_tokenizers.path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     want = sorted(((i, library.encode(t or "")) for i, t in texts), key=str)
-    encoded = pieces.encode(docs.select("doc_id", "text", "lang"), path, size)
+    encoded = pieces.encode(docs.select("doc_id", "text", "lang"), path, unit_chars)
     assert encoded.columns == ["doc_id", "lang", "ids"]
-    rows = pieces.decode(encoded, path).collect()
+    rows = pieces.decode(encoded.withColumn("text", F.lit("clash")), path).collect()
     assert sorted(((r.doc_id, list(r.ids)) for r in rows), key=str) == want
     assert sorted((r.text for r in rows), key=str) == sorted((library.decode(library.encode(t or "")) for _, t in texts), key=str)
 
 
+def test_sentencepiece_of_odd_texts(spark):
+    path, draw = public_tokenizers.path("piece_bpe_32k.model"), random.Random(1)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    parts = ["a", "b", "the", " ", "  ", "\n", "=", "==", "é", "日本", "語", "🙂", "▁", "in", "ing", "tion", "Ab", "1", "23", ".", "(", "{", "\t", "ж", "он", "\u0301", "ß"]
+    odd = ["".join(draw.choices(parts, k=draw.randint(0, 80))) for _ in range(500)]
+    odd += ["ab" * 5000, "=" * 3000, "the" * 400 + "ing" * 300, "aé" * 100, "语言" * 2000, "word " * 600_000]
+    rows = pieces.encode(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), path).collect()
+    assert len(rows) == len(odd) and all(list(r.ids) == library.encode(odd[r.doc_id]) for r in rows)
+
+
+def test_sentencepiece_without_other_columns(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = pieces.encode(spark.createDataFrame([("a b",), ("",)], "text string"), path)
+    assert got.columns == ["ids"] and sorted(list(r.ids) for r in got.collect()) == sorted([library.encode("a b"), []])
+
+
 def test_viterbi_takes_the_best_way(spark):
     table = [("▁a", 10, -1.0), ("b", 11, -2.0), ("ab", 12, -2.5), ("▁", 13, -3.0), ("a", 14, -2.0), ("bc", 15, -1.0), ("c", 16, -2.0)]
-    model = pieces.Model(b"", False, table, 100, 3)
-    lattice = pieces.edges(spark.createDataFrame([("▁abc",), ("▁ab",), ("▁é",)], "unit string"), model)
-    got = {r.unit: list(r.ids) for r in pieces.viterbi(lattice).collect()}
-    assert got == {"▁abc": [10, 15], "▁ab": [10, 11], "▁é": [13, 100 + 0xC3, 100 + 0xA9]}
+    model, want = pieces.Model(False, table, 100, 3), {"▁abc": [10, 15], "▁ab": [10, 11], "▁é": [13, 100 + 0xC3, 100 + 0xA9]}
+    got = {r.unit: list(r.ids) for r in pieces.viterbi(spark.createDataFrame([(u,) for u in want], "unit string"), model).collect()}
+    assert got == want == {u: pieces.LongUnits(model).of(u) for u in want}
 
 
 def test_quality_rules(docs, texts):
@@ -409,11 +425,31 @@ def test_pipeline(spark):
 
 
 def test_packed_numbers_come_back():
-    numbers = np.array([0, 1, 127, 128, 129, 255, 256, 16_382, 16_383, 5, 0])
-    data, ends = token_counts.packed(numbers)
-    back, back_ends = token_counts.unpacked(data)
-    assert back.tolist() == numbers.tolist() and back_ends.tolist() == ends[1:].tolist()
-    assert [len(x) for x in token_counts.unpacked(np.empty(0, np.uint8))] == [0, 0]
+    for numbers in ([], [0, 1, 127, 255, 256, 65_535, 65_536, 1 << 24, (1 << 32) - 1, 5, 0]):
+        assert blocks.unpacked(blocks.packed(np.array(numbers, np.int64))).tolist() == numbers
+
+
+@pytest.mark.parametrize("kind", ["smallint", "string", "int"])
+def test_token_counts_in_many_blocks(spark, monkeypatch, kind):
+    monkeypatch.setattr(blocks, "BLOCK_CHARS", 2000)
+    path, draw = public_tokenizers.path("word_bpe_49k.json"), random.Random(2)
+    library = Tokenizer.from_file(path)
+    # one word stands in every text and makes up half of all words
+    rows = [(i, " ".join(draw.choice(["common", f"w{draw.randint(0, 300)}"]) for _ in range(50))) for i in range(1500)]
+    d = spark.createDataFrame(rows, "doc_id int, text string").withColumn("doc_id", F.col("doc_id").cast(kind)).withColumn("key", F.lit("clash"))
+    rows_of_words = blocks.dealt(d, ["doc_id"], lambda: token_counts.PreTokens(path).of, token_counts._frequencies)
+    assert rows_of_words.where("key = 'common'").count() == rows_of_words.select("block").distinct().count() > 20
+    got = {int(r.doc_id): r.n_tokens for r in token_counts.token_counts(d, path).collect()}
+    assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in rows}
+
+
+@pytest.mark.parametrize("op", ["op2_token_counts", "op6_sentencepiece"])
+def test_texts_are_split_once(spark, op):
+    """The sides of the join read one exchange."""
+    df = QUERIES[op](spark, str(TABLES))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReusedExchange") == 2
 
 
 def test_decode_of_bytes_that_are_no_text(spark):
