@@ -34,6 +34,8 @@ PACK_ROWS = 200_000
 Splitter = Callable[[str], list[str]]
 #: From the places of each document's units, in order, to the numbers that are kept of them.
 Streams = Callable[[list[np.ndarray]], list[np.ndarray]]
+#: From some documents' carried columns and streams to columns of the result.
+Finish = Callable[[list[pa.Array], list[np.ndarray]], list[pa.Array]]
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -177,22 +179,22 @@ def for_blocks(rows: DataFrame, resolved: DataFrame, value: str) -> DataFrame:
     return joined.mapInArrow(each, StructType([StructField("key", StringType(), False), StructField("data", ArrayType(BinaryType()))]))
 
 
-def by_block(rows: DataFrame, values: DataFrame, finish: Callable, schema: StructType) -> DataFrame:
+def by_block(rows: DataFrame, values: DataFrame, finish: Callable[[list[np.ndarray], list[str], np.ndarray], Finish], schema: StructType) -> DataFrame:
     """What ``finish`` makes of each block's documents, with the columns of ``schema``.
 
-    It gets the carried columns, the documents' streams, the arrays of places and values (none if no unit was dealt), and the
-    units that stayed with the block, with their places.
+    It gets the arrays of the block's places and values (none if no unit was dealt), and the units that stayed with the
+    block, with their places. What it returns is called for each row of documents, with their carried columns and streams.
     """
 
-    def streams_of(data: pa.ChunkedArray) -> list[np.ndarray]:
-        return [np.concatenate(x) for x in zip(*([unpacked(x) for x in d] for d in data.to_pylist()), strict=True)]
-
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
-        mine = left.filter(pc.is_valid(left["docs"])).sort_by("place")
-        whole = mine["docs"].combine_chunks().flatten()
-        columns = [pc.struct_field(whole, k) for k in range(whole.type.num_fields)]
+        found = [np.concatenate(x) for x in zip(*([unpacked(x) for x in d] for d in right["data"].to_pylist()), strict=True)]
         rest = left.filter(pc.is_null(left["docs"]))
-        stayed = [x[0].decode("utf-8", "surrogatepass") for x in rest["data"].to_pylist()], rest["place"].to_numpy()
-        return pa.Table.from_arrays([*finish(columns, streams_of(mine["data"]), streams_of(right["data"]), *stayed)], schema.names)
+        of = finish(found, [x[0].decode("utf-8", "surrogatepass") for x in rest["data"].to_pylist()], rest["place"].to_numpy())
+        out = []
+        for b in left.filter(pc.is_valid(left["docs"])).sort_by("place").to_batches(max_chunksize=1):
+            whole = b.column("docs").flatten()
+            columns = [pc.struct_field(whole, k) for k in range(whole.type.num_fields)]
+            out.append(pa.Table.from_arrays(of(columns, [unpacked(x) for x in b.column("data")[0].as_py()]), schema.names))
+        return pa.concat_tables(out)
 
     return _only(rows, F.col("data").isNotNull()).groupBy("key").cogroup(values.groupBy("key")).applyInArrow(block, schema)

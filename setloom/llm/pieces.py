@@ -41,8 +41,6 @@ UNIT_CHARS = 62
 #: Documents that are decoded at once.
 AT_ONCE = 256
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE, _BPE, _UNIGRAM = 1, 2, 3, 6, 2, 1
-# an edge as a long: rank, start, length and id, from the highest bits on
-_RANK, _START, _LENGTH = 40, 34, 28
 
 
 @dataclass(frozen=True)
@@ -83,10 +81,20 @@ class Model:
         order = {s: k for k, s in enumerate(sorted({s for _, _, s in self.pieces}, reverse=True))}
         return {p: order[s] for p, _, s in self.pieces}
 
+    def late(self) -> set[str]:
+        """Pieces that may be put together of a part that ranks after them."""
+        ranks, out = self.ranks(), set()
+        for piece, rank in ranks.items():
+            for k in range(1, len(piece)):
+                parts = [x for x in (piece[:k], piece[k:]) if len(x) > 1]
+                if all(x in ranks for x in parts) and any(ranks[x] >= rank for x in parts):
+                    out.add(piece)
+        return out
+
     def table(self, spark: SparkSession) -> DataFrame:
-        """(piece, id, score, rank): as many rows as the vocabulary has, whatever the input."""
-        ranks = self.ranks()
-        return spark.createDataFrame([(p, i, s, ranks[p]) for p, i, s in self.pieces], "piece string, id int, score double, rank long")
+        """(piece, id, score, rank, late): as many rows as the vocabulary has, whatever the input."""
+        ranks, late = self.ranks(), self.late()
+        return spark.createDataFrame([(p, i, s, ranks[p], p in late) for p, i, s in self.pieces], "piece string, id int, score double, rank long, late boolean")
 
 
 def escaped(text: str) -> str:
@@ -111,52 +119,76 @@ def spans(units: DataFrame, model: Model) -> DataFrame:
     return u.join(F.broadcast(model.table(units.sparkSession)), "piece", "left").where("id is not null or length = 1").drop("piece")
 
 
-def _at(mask: Column, bit: Column) -> Column:
-    return F.call_function("getbit", mask, bit.cast("int")) == 1
-
-
-def _bit(n: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
-
-
 def _bytes(unit: Column, start: Column, first_byte: int) -> Column:
     """The ids of the bytes of one character."""
-    raw = F.substring(unit, start.cast("int") + 1, F.lit(1)).cast("binary")
+    raw = F.substring(unit, start + 1, F.lit(1)).cast("binary")
     return F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda j: F.conv(F.hex(F.substring(raw, j, F.lit(1))), 16, 10).cast("int") + first_byte)
 
 
-def merged(units: DataFrame, model: Model) -> DataFrame:
-    """``units`` with ids, by merging: the best edge whose ends are boundaries with just one boundary between is applied.
+# an edge as a long: rank, start, length, whether it is late, and id, from the highest bits on
+_RANK, _START, _LENGTH, _LATE = 40, 34, 28, 27
 
-    Edges are longs, so that a unit's are sorted by rank, then from the left.
-    """
-    def shifted(n: Column, by: int) -> Column:
-        return F.call_function("shiftleft", n.cast("long"), F.lit(by))
 
-    def field(e: Column, low: int, high: int) -> Column:
-        return F.call_function("shiftrightunsigned", e, F.lit(low)).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("long"))
+def _left(n: Column, by: Column | int) -> Column:
+    return F.call_function("shiftleft", n.cast("long"), F.lit(by) if isinstance(by, int) else by)
+
 
-    edge = shifted(F.coalesce("rank", F.lit(0)), _RANK).bitwiseOR(shifted(F.col("start"), _START)).bitwiseOR(shifted(F.col("length"), _LENGTH)).bitwiseOR(F.coalesce(F.col("id") + 1, F.lit(0)).cast("long"))
-    rows = spans(units, model).groupBy(*units.columns, "size").agg(F.sort_array(F.collect_list(edge)).alias("_edges"))
+def _right(n: Column, by: int) -> Column:
+    return F.call_function("shiftrightunsigned", n, F.lit(by))
 
-    def opened(e: Column) -> Column:
-        start, end = field(e, _START, _RANK), field(e, _START, _RANK) + field(e, _LENGTH, _START)
-        ends = _bit(start).bitwiseOR(_bit(end))
-        return F.struct(ends.alias("ends"), (_bit(end) - _bit(start)).bitwiseOR(_bit(end)).alias("all"), (_bit(end) - _bit(start + 1)).alias("inside"), start.alias("start"), (field(e, 0, _LENGTH) - 1).cast("int").alias("id"))
 
-    rows = rows.withColumn("_edges", F.transform("_edges", opened))
-    rows = rows.withColumn("_merges", F.filter("_edges", lambda e: e["inside"] > 0))
+def _field(edge: Column, low: int, high: int) -> Column:
+    return _right(edge, low).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("long")).cast("int")
 
-    def step(mask: Column, _: Column) -> Column:
-        fits = F.filter("_merges", lambda e: (F.bit_count(mask.bitwiseAND(e["all"])) == 3) & (mask.bitwiseAND(e["ends"]) == e["ends"]))
-        return mask.bitwiseAND(F.bitwise_not(F.coalesce(F.get(fits, 0)["inside"], F.lit(0).cast("long"))))
 
-    # each step takes one boundary away, as long as there is a merge. Merges and the mask are named twice: what is named
-    # once the planner would put into the lambda, and work out for every element
-    steps = F.sequence(F.lit(1), F.least(F.col("size"), F.greatest(F.size("_merges"), F.lit(1))))
-    rows = rows.withColumn("_mask", F.aggregate(steps, _bit(F.col("size") + 1) - 1, step))
-    chosen = F.filter("_edges", lambda e: (F.col("_mask") > 0) & (F.col("_mask").bitwiseAND(e["all"]) == e["ends"]))
-    ids = F.transform(F.array_sort(F.transform(chosen, lambda e: F.struct(e["start"], e["id"]))), lambda e: F.when(e["id"] >= 0, F.array(e["id"])).otherwise(_bytes(F.col("unit"), e["start"], model.first_byte)))
+def merged(units: DataFrame, model: Model) -> DataFrame:
+    """``units`` with ids, by merging: the best edge whose ends are boundaries with just one boundary between is applied.
+
+    One fold over a unit's edges by rank, then from the left, does it, as parts of a piece nearly always rank before it. A
+    merge that makes an edge possible which the fold has passed already is noticed; for such a unit the best edge is
+    searched again after every merge.
+    """
+    long = F.col("length") > 1
+    late = F.when(F.col("late"), F.lit(1 << _LATE)).otherwise(F.lit(0)).cast("long")
+    place = _left(F.col("start"), _START).bitwiseOR(_left(F.col("length"), _LENGTH))
+    merge = place.bitwiseOR(_left(F.col("rank"), _RANK)).bitwiseOR(late).bitwiseOR(F.col("id").cast("long"))
+    char = place.bitwiseOR(F.coalesce(F.col("id") + 1, F.lit(0)).cast("long"))  # 0: no piece
+    rows = spans(units, model).groupBy(*units.columns, "size").agg(F.sort_array(F.collect_list(F.when(long, merge))).alias("_merges"), F.collect_list(F.when(~long, char)).alias("_chars"))
+    # the boundaries that an edge covers, its ends included
+    covered = lambda e: _left(_left(F.lit(2), _field(e, _LENGTH, _START)) - 1, _field(e, _START, _RANK))
+    rows = rows.withColumn("_merges", F.transform("_merges", lambda e: F.struct(e.alias("edge"), covered(e).alias("all"))))
+    rows = rows.withColumn("_late", F.filter("_merges", lambda e: e["edge"].bitwiseAND(F.lit(1 << _LATE).cast("long")) != 0))
+
+    def spanned(mask: Column, e: Column, n: int) -> Column:
+        """Whether just ``n`` boundaries stand in an edge, its first and its last among them."""
+        here = mask.bitwiseAND(e["all"])
+        return (F.bit_count(here) == n) & (here > _right(e["all"], 1)) & (here.bitwiseAND(F.bitwise_not(_left(e["all"], 1))) != 0)
+
+    def without(mask: Column, e: Column) -> Column:
+        inside = e["all"].bitwiseAND(_left(e["all"], 1)).bitwiseAND(_right(e["all"], 1))
+        return mask.bitwiseAND(F.bitwise_not(inside))
+
+    flag = F.lit(-(1 << 63)).cast("long")  # no boundary has this bit
+
+    def in_order(mask: Column, e: Column) -> Column:
+        new = without(mask, e)
+        passed = F.exists("_late", lambda f: (f["edge"] < e["edge"]) & spanned(new, f, 3))
+        return F.when(spanned(mask, e, 3), F.when(passed, new.bitwiseOR(flag)).otherwise(new)).otherwise(mask)
+
+    def best_first(mask: Column, _: Column) -> Column:
+        best = F.filter("_merges", lambda e: spanned(mask, e, 3))
+        return F.coalesce(F.get(F.transform(F.slice(best, 1, 1), lambda e: without(mask, e)), 0), mask)
+
+    # columns that lambdas read are named twice below: what is named once the planner would put into the lambda, and work
+    # out for every element
+    rows = rows.withColumn("_all", _left(F.lit(1), F.col("size") + 1) - 1)
+    rows = rows.withColumn("_mask", F.when(F.size("_late") >= 0, F.aggregate("_merges", F.col("_all"), in_order)))
+    again = F.aggregate(F.sequence(F.lit(1), F.col("size")), F.col("_all"), best_first)
+    rows = rows.withColumn("_mask", F.when(F.col("_mask") < 0, again).otherwise(F.col("_mask")))
+    whole = F.transform(F.filter("_merges", lambda e: spanned(F.col("_mask"), e, 2)), lambda e: F.struct(_field(e["edge"], _START, _RANK).alias("start"), _field(e["edge"], 0, _LATE).alias("id")))
+    alone = F.filter("_chars", lambda c: F.call_function("shiftright", F.col("_mask"), _field(c, _START, _RANK)).bitwiseAND(F.lit(3).cast("long")) == 3)
+    alone = F.transform(alone, lambda c: F.struct(_field(c, _START, _RANK).alias("start"), (_field(c, 0, _LATE) - 1).alias("id")))
+    ids = F.transform(F.sort_array(F.concat(whole, alone)), lambda e: F.when(e["id"] >= 0, F.array(e["id"])).otherwise(_bytes(F.col("unit"), e["start"], model.first_byte)))
     return rows.select(*units.columns, F.flatten(ids).alias("ids"))
 
 
@@ -255,20 +287,24 @@ def encode(docs: DataFrame, path: str, unit_chars: int = UNIT_CHARS) -> DataFram
     values = blocks.for_blocks(rows, merged(units, model) if model.bpe else viterbi(units, model), "ids")
     schema = StructType([docs.schema[c] for c in carried] + [StructField("ids", ArrayType(IntegerType()))])
 
-    def finish(columns: list[pa.Array], streams: list[np.ndarray], found: list[np.ndarray], long: list[str], long_places: np.ndarray) -> Iterator[pa.Array]:
-        sizes, units = streams
+    def finish(found: list[np.ndarray], long: list[str], long_places: np.ndarray) -> blocks.Finish:
         places, counts, ids = found or [np.empty(0, np.int64)] * 3
         fold = LongUnits(model)
         more = [fold.of(u) for u in long]
-        counts = np.concatenate([counts, np.array([len(x) for x in more], np.int64)])
-        ids = np.concatenate([ids, np.array([i for x in more for i in x], np.int64)]).astype(np.int32)
+        counts = np.concatenate([counts, [len(x) for x in more]]).astype(np.int32)
+        ids = np.concatenate([ids, [i for x in more for i in x]]).astype(np.int32)
         at = np.empty(len(counts), np.int64)
         at[np.concatenate([places, long_places])] = np.arange(len(counts))
         starts = np.cumsum(counts) - counts
-        flat, ends = _gather(ids, starts[at[units]], counts[at[units]])
-        lists = pa.LargeListArray.from_arrays(pa.array(ends[np.cumsum([0, *sizes])], pa.int64()), pa.array(flat, pa.int32()))
-        yield from columns[: len(carried)]
-        yield lists.cast(pa.list_(pa.int32()))
+        starts, counts = starts[at], counts[at]
+
+        def of(columns: list[pa.Array], streams: list[np.ndarray]) -> list[pa.Array]:
+            sizes, units = streams
+            flat, ends = _gather(ids, starts[units], counts[units])
+            lists = pa.LargeListArray.from_arrays(pa.array(ends[np.cumsum([0, *sizes])], pa.int64()), pa.array(flat, pa.int32()))
+            return [*columns[: len(carried)], lists.cast(pa.list_(pa.int32()))]
+
+        return of
 
     return blocks.by_block(rows, values, finish, schema)
 

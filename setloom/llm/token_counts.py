@@ -98,16 +98,19 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     values = blocks.for_blocks(rows, pieces(blocks.distinct_units(rows), path), "n")
     schema = StructType([sized.schema["doc_id"], StructField("n_bytes", LongType()), StructField("n_tokens", LongType())])
 
-    def finish(columns: list[pa.Array], streams: list[np.ndarray], found: list[np.ndarray], *_: object) -> Iterator[pa.Array]:
-        sizes, gaps, freqs = streams
+    def finish(found: list[np.ndarray], *_: object) -> blocks.Finish:
         places, counts = found or [np.empty(0, np.int64)] * 2
         n = np.empty(len(counts), np.int64)
         n[places] = counts
-        ends = np.cumsum([0, *sizes])
-        sums = np.concatenate([[0], np.cumsum(gaps)])
-        word = sums[1:] - np.repeat(sums[ends[:-1]], sizes)
-        tokens = np.concatenate([[0], np.cumsum(n[word] * freqs)])
-        yield from columns
-        yield pa.array(tokens[ends[1:]] - tokens[ends[:-1]])
+
+        def of(columns: list[pa.Array], streams: list[np.ndarray]) -> list[pa.Array]:
+            sizes, gaps, freqs = streams
+            ends = np.cumsum([0, *sizes])
+            sums = np.concatenate([[0], np.cumsum(gaps)])
+            word = sums[1:] - np.repeat(sums[ends[:-1]], sizes)
+            tokens = np.concatenate([[0], np.cumsum(n[word] * freqs)])
+            return [*columns, pa.array(tokens[ends[1:]] - tokens[ends[:-1]])]
+
+        return of
 
     return blocks.by_block(rows, values, finish, schema).withColumn("over_limit", F.col("n_tokens") > limit)
