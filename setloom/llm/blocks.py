@@ -99,7 +99,9 @@ def dealt(docs: DataFrame, carried: list[str], splitter: Callable[[], Splitter],
 
     def rows_of(block: int, held: _Block) -> Iterator[pa.RecordBatch]:
         key, rank = block_key(block), held.ranks()
-        for at, (part, places) in enumerate(held.rows):
+        for at in range(len(held.rows)):
+            part, places = held.rows[at]
+            held.rows[at] = None  # what has left needs no memory
             whole = pa.StructArray.from_arrays(part.columns, kinds.names)
             data = pa.array([[packed(s) for s in streams([rank[p] for p in places])]], pa.list_(pa.binary()))
             yield batch([key], block, np.array([at]), pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole), data)

@@ -277,15 +277,18 @@ def _streams(places: list[np.ndarray]) -> list[np.ndarray]:
     return [np.array([len(p) for p in places]), np.concatenate(places)]
 
 
-def encode(docs: DataFrame, path: str, unit_chars: int = UNIT_CHARS) -> DataFrame:
-    """``docs`` with ``ids`` in place of ``text``. ``path`` is a SentencePiece model. A column ``ids`` is replaced."""
+def encode(docs: DataFrame, path: str, unit_chars: int = UNIT_CHARS, with_decoded: bool = False) -> DataFrame:
+    """``docs`` with ``ids`` in place of ``text``. ``path`` is a SentencePiece model. A column ``ids`` is replaced.
+
+    ``with_decoded`` adds what the ids decode to as ``decoded``.
+    """
     model = Model.load(path)
     pattern = model.unit()
-    carried = [c for c in docs.columns if c not in ("text", "ids")]
+    carried = [c for c in docs.columns if c not in ("text", "ids") and not (with_decoded and c == "decoded")]
     rows = blocks.dealt(docs, carried, lambda: splitter(pattern), _streams, unit_chars)
     units = blocks.distinct_units(rows)
     values = blocks.for_blocks(rows, merged(units, model) if model.bpe else viterbi(units, model), "ids")
-    schema = StructType([docs.schema[c] for c in carried] + [StructField("ids", ArrayType(IntegerType()))])
+    schema = StructType([docs.schema[c] for c in carried] + [StructField("ids", ArrayType(IntegerType()))] + [StructField("decoded", StringType())] * with_decoded)
 
     def finish(found: list[np.ndarray], long: list[str], long_places: np.ndarray) -> blocks.Finish:
         places, counts, ids = found or [np.empty(0, np.int64)] * 3
@@ -297,12 +300,14 @@ def encode(docs: DataFrame, path: str, unit_chars: int = UNIT_CHARS) -> DataFram
         at[np.concatenate([places, long_places])] = np.arange(len(counts))
         starts = np.cumsum(counts) - counts
         starts, counts = starts[at], counts[at]
+        decoder = Decoder(model) if with_decoded else None
 
         def of(columns: list[pa.Array], streams: list[np.ndarray]) -> list[pa.Array]:
             sizes, units = streams
             flat, ends = _gather(ids, starts[units], counts[units])
             lists = pa.LargeListArray.from_arrays(pa.array(ends[np.cumsum([0, *sizes])], pa.int64()), pa.array(flat, pa.int32()))
-            return [*columns[: len(carried)], lists.cast(pa.list_(pa.int32()))]
+            lists = lists.cast(pa.list_(pa.int32()))
+            return [*columns[: len(carried)], lists, *([decoder.texts(lists)] if decoder else [])]
 
         return of
 
@@ -326,6 +331,28 @@ def _texts(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     return out.cast(pa.string())
 
 
+class Decoder:
+    """The bytes of each piece."""
+
+    def __init__(self, model: Model):
+        content = {i: p.replace(SPACE, " ").encode() for p, i, _ in model.pieces} | {model.first_byte + k: bytes([k]) for k in range(256)}
+        by_id = [content.get(i, b"") for i in range(max(content) + 1)]
+        self.lengths = np.array([len(c) for c in by_id])
+        self.starts, self.flat = np.cumsum(self.lengths) - self.lengths, np.frombuffer(b"".join(by_id), np.uint8)
+
+    def texts(self, lists: pa.ListArray) -> pa.Array:
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lengths) or not self.lengths[ids].all()):
+            raise ValueError("ids that are no piece of text")
+        data, ends = _gather(self.flat, self.starts[ids], self.lengths[ids])
+        ends = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))])]
+        some = ends[:-1] < ends[1:]
+        spaced = np.zeros(len(ends) - 1, np.int64)
+        spaced[some] = data[ends[:-1][some]] == 32
+        data = np.delete(data, ends[:-1][spaced == 1])
+        return _texts(data, ends - np.concatenate([[0], np.cumsum(spaced)]))
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` (…, ids) with ``text``: pieces' bytes, put together; the space that was put in front is taken away.
 
@@ -334,35 +361,20 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """
     model = Model.load(path)
     encoded = encoded.drop("text")
-    columns = encoded.columns
-    position = columns.index("ids")
+    position = encoded.columns.index("ids")
     schema = StructType([*encoded.schema.fields, StructField("text", StringType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        content = {i: p.replace(SPACE, " ").encode() for p, i, _ in model.pieces} | {model.first_byte + k: bytes([k]) for k in range(256)}
-        by_id = [content.get(i, b"") for i in range(max(content) + 1)]
-        lengths = np.array([len(c) for c in by_id])
-        starts, flat = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(by_id), np.uint8)
+        decoder = Decoder(model)
         for b in batches:
             for at in range(0, b.num_rows, AT_ONCE):
                 part = b.slice(at, AT_ONCE)
-                lists = part.column(position)
-                ids = lists.flatten().to_numpy(zero_copy_only=False)
-                if len(ids) and (ids.min() < 0 or ids.max() >= len(lengths) or not lengths[ids].all()):
-                    raise ValueError("ids that are no piece of text")
-                data, ends = _gather(flat, starts[ids], lengths[ids])
-                ends = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))])]
-                some = ends[:-1] < ends[1:]
-                spaced = np.zeros(len(ends) - 1, np.int64)
-                spaced[some] = data[ends[:-1][some]] == 32
-                data = np.delete(data, ends[:-1][spaced == 1])
-                ends = ends - np.concatenate([[0], np.cumsum(spaced)])
-                yield pa.RecordBatch.from_arrays([*part.columns, _texts(data, ends)], schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns, decoder.texts(part.column(position))], schema.names)
 
     return encoded.mapInArrow(each, schema)
 
 
 def encoded_and_checked(docs: DataFrame, path: str) -> DataFrame:
     """Per document: doc_id, n_pieces, ids, and text_sha256 of the text that the ids decode to."""
-    back = decode(encode(docs.select("doc_id", "text"), path), path)
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("text", 256).alias("text_sha256"))
+    back = encode(docs.select("doc_id", "text"), path, with_decoded=True)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("text_sha256"))
