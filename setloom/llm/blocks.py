@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 #: Characters from which a block is closed: what a task holds at once, beside one batch.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 16_000_000
 #: Documents of one row.
 ROW_DOCUMENTS = 64
 #: Rows that are packed for their blocks at once.
