@@ -1,12 +1,15 @@
 """Exact deduplication with a log-structured merge index of digests.
 
 Documents go to the index in batches. A memtable is what a task aggregates of its batch: one entry a digest. It is
-flushed as a run: a Parquet table sorted by digest with Parquet's own Bloom filter on that column, so that a later
-probe skips the runs, files and row groups that can't hold a digest. Compaction merges runs: of equal digests it
-keeps the identifier that stays and adds the counts. Digests of more than one row are hits; hits are verified byte by
-byte against the text of the row that stays. To fetch the hits' texts, a second scan passes a filter of fixed
-size (a bitmap of hashed digests), so that other texts aren't shuffled. A large group is verified by many tasks:
-its rows are salted, and the one text that they are compared with is repeated once a salt.
+flushed as a run: a Parquet table sorted by digest, and a filter, a bitmap of the run's digests. When a batch is flushed
+its digests are probed in all earlier runs: only those that pass a run's filter are looked up in it. A digest that was
+there before, or that the batch has more than once, is a hit. When a level has ``FAN_IN`` runs they are compacted into one
+of the next level: of equal digests it keeps the identifier that stays and adds the counts. A manifest, written last,
+names the runs, so an index can be opened again, and a flush that fails leaves it as it was.
+
+Hits are looked up in the runs, and verified byte by byte against the text of the row that stays. To fetch the hits'
+texts, a second scan passes a filter, so that other texts aren't shuffled. Hot digests are salted before their rows, texts
+or not, are shuffled, and the row that they meet is repeated once a salt.
 
 Everything is DataFrame expressions; no Python runs on executors.
 
@@ -19,25 +22,23 @@ results; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .joins import bitmaps, filter_bits, marked, maybe_among, salted_join
 from .store import settle, shared_folder
 from .text import ascii_lower, or_empty
 
 #: Batches that a whole table is fed to the index in.
 BATCHES = 4
-#: Runs that one compaction merges at most.
+#: Runs of a level from which they are compacted.
 FAN_IN = 4
-#: Bits of the filter of hits: 2^23, thus 256 rows of 4 KB at most, whatever the input.
-FILTER_BITS = 1 << 23
-_BITMAP_BITS = 32768
 #: Digests that one file of a run holds, about.
 FILE_ROWS = 1_000_000
-#: Rows of one group that one salt holds.
-SALT_ROWS = 2_000
 
 
 def normalised(text: Column) -> Column:
@@ -45,105 +46,115 @@ def normalised(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A log-structured merge index from digest to (keep_id, n) in the shared folder."""
+    """A log-structured merge index from digest to (keep_id, n) below ``path``; what is there already is opened."""
 
-    def __init__(self, spark: SparkSession, keep: str = "max", fan_in: int = FAN_IN):
-        self.spark, self.fan_in = spark, fan_in
+    def __init__(self, spark: SparkSession, path: str, keep: str = "max", fan_in: int = FAN_IN):
+        self.spark, self.path, self.fan_in = spark, path, fan_in
         self.pick = F.max if keep == "max" else F.min
-        self.levels: list[list[tuple[DataFrame, int]]] = [[]]
-
-    def _run(self, entries: DataFrame, rows: int) -> DataFrame:
-        """Write a run of ``rows`` entries at most, sorted by digest over all its files."""
-        path, files = shared_folder(self.spark, "run"), max(1, -(-rows // FILE_ROWS))
-        ordered = entries.repartitionByRange(files, "digest").sortWithinPartitions("digest")
-        filters = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": str(max(1, -(-rows // files)))}
-        ordered.write.options(**filters).parquet(path)
-        return self.spark.read.schema(entries.schema).parquet(path)
-
-    def flush(self, batch: DataFrame, rows: int) -> None:
-        """Add a batch (doc_id, digest) of ``rows`` rows as one sorted run; merge a level that has become full."""
+        #: Of each level, its runs: name and number of entries.
+        self.levels: list[list[tuple[str, int]]] = [[]]
+        self._version = max(self._versions(), default=0)
+        self._kind = "long"
+        if self._version:
+            self._kind, levels = json.loads(spark.read.text(f"{path}/manifest/{self._version:08}").first().value)
+            self.levels = [[(name, n) for name, n in level] for level in levels]
+
+    def _versions(self) -> list[int]:
+        """Versions of the manifest that are complete."""
+        jvm = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        pattern = jvm.Path(f"{self.path}/manifest/*/_SUCCESS")
+        found = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+        return [int(f.getPath().getParent().getName()) for f in found or []]
+
+    def _commit(self, levels: list[list[tuple[str, int]]]) -> None:
+        self._version += 1
+        line = self.spark.createDataFrame([(json.dumps([self._kind, levels]),)], "value string")
+        line.coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest/{self._version:08}")
+        self.levels = levels
+
+    def _entries(self, name: str) -> DataFrame:
+        return self.spark.read.schema(f"digest binary, keep_id {self._kind}, n long").parquet(f"{self.path}/{name}/entries")
+
+    def _run(self, entries: DataFrame, most: int) -> tuple[str, int]:
+        """Write a run of ``most`` entries at most, sorted by digest over all its files, and its filter."""
+        name = f"run-{uuid.uuid4().hex}"
+        entries.repartitionByRange(max(1, -(-most // FILE_ROWS)), "digest").sortWithinPartitions("digest").write.parquet(f"{self.path}/{name}/entries")
+        n = self._entries(name).count()
+        bitmaps(self._entries(name), "digest", filter_bits(n)).write.parquet(f"{self.path}/{name}/filter")
+        return name, n
+
+    def _probed(self, entries: DataFrame, run: tuple[str, int]) -> DataFrame:
+        """(digest) of ``entries`` that are in a run. What its filter rules out isn't looked up in it."""
+        name, n = run
+        maps = self.spark.read.schema("_bucket int, _bitmap binary").parquet(f"{self.path}/{name}/filter")
+        maybe = marked(entries.select("digest"), maps, F.col("digest"), filter_bits(n)).where("_maybe").select("digest")
+        return maybe.join(self._entries(name).select("digest"), "digest", "left_semi")
+
+    def flush(self, batch: DataFrame, rows: int) -> DataFrame:
+        """Add a batch (doc_id, digest) of ``rows`` rows at most as one run; returns its hits (digest), settled."""
+        self._kind = batch.schema["doc_id"].dataType.simpleString()
+        earlier = [run for level in self.levels for run in level]
         entries = batch.groupBy("digest").agg(self.pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-        self.levels[0].append((self._run(entries, rows), rows))
-        for k, level in enumerate(self.levels):
+        name, n = self._run(entries, rows)
+        written = self._entries(name)
+        hits = settle(reduce(DataFrame.unionAll, [written.where("n > 1").select("digest"), *(self._probed(written, r) for r in earlier)]).distinct(), "hits")
+        levels = [[*level] for level in self.levels]
+        levels[0].append((name, n))
+        for k, level in enumerate(levels):
             if len(level) >= self.fan_in:
-                if k + 1 == len(self.levels):
-                    self.levels.append([])
-                self.levels[k + 1].append(self._merged(level))
-                self.levels[k] = []
+                if k + 1 == len(levels):
+                    levels.append([])
+                levels[k + 1].append(self._merged(level))
+                levels[k] = []
+        self._commit(levels)
+        return hits
 
-    def _merged(self, runs: list[tuple[DataFrame, int]]) -> tuple[DataFrame, int]:
-        rows = sum(n for _, n in runs)
-        entries = reduce(DataFrame.unionAll, [run for run, _ in runs])
-        entries = entries.groupBy("digest").agg(self.pick("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-        return self._run(entries, rows), rows
+    def _merged(self, runs: list[tuple[str, int]]) -> tuple[str, int]:
+        entries = reduce(DataFrame.unionAll, [self._entries(name) for name, _ in runs])
+        return self._run(entries.groupBy("digest").agg(self.pick("keep_id").alias("keep_id"), F.sum("n").alias("n")), sum(n for _, n in runs))
 
     def compact(self) -> DataFrame:
-        """Merge all runs into one and return it."""
+        """Merge all runs into one and return its entries."""
         runs = [run for level in self.levels for run in level]
         if not runs:
             raise ValueError("nothing was flushed to this index")
         if len(runs) > 1:
-            runs = [self._merged(runs)]
-        self.levels = [[] for _ in self.levels[1:]] + [runs]
-        return runs[0][0]
-
-    def probe(self, digests: list[str]) -> DataFrame:
-        """Entries of a few digests, one row a run that holds one: predicates reach the runs' Bloom filters."""
-        wanted = F.col("digest").isin([bytes.fromhex(d) for d in digests])
-        return reduce(DataFrame.unionAll, [run.where(wanted) for level in self.levels for run, _ in level])
-
-
-def _slot(doc_id: Column) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(FILTER_BITS))
+            self._commit([[] for _ in self.levels[1:]] + [[self._merged(runs)]])
+        return self._entries(self.levels[-1][0][0])
 
+    def lookup(self, digests: DataFrame) -> DataFrame:
+        """(digest, keep_id, n) of those of ``digests`` (one row each) that are in the index."""
+        found = [self._entries(name).join(digests, "digest", "left_semi") for level in self.levels for name, _ in level]
+        return reduce(DataFrame.unionAll, found).groupBy("digest").agg(self.pick("keep_id").alias("keep_id"), F.sum("n").alias("n"))
 
-def id_filter(ids: DataFrame) -> DataFrame:
-    """A bitmap of hashed doc_ids: at most FILTER_BITS / 32768 rows of 4 KB, whatever the input."""
-    slot = ids.select(_slot(F.col("doc_id")).alias("slot"))
-    return slot.groupBy((F.col("slot") / _BITMAP_BITS).cast("int").alias("_bucket")).agg(
-        F.bitmap_construct_agg((F.col("slot") % _BITMAP_BITS).cast("long")).alias("_bitmap")
-    )
 
-
-def maybe_in(table: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """``table`` with ``_maybe``: false only where the filter rules the id out."""
-    slot = _slot(F.col(doc_id))
-    at = (slot % _BITMAP_BITS).cast("int")
-    byte = F.conv(F.hex(F.substring("_bitmap", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    joined = table.withColumn("_bucket", (slot / _BITMAP_BITS).cast("int")).join(F.broadcast(bitmaps), "_bucket", "left")
-    return joined.withColumn("_maybe", F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))).drop("_bucket", "_bitmap")
-
-
-def dedup(docs: DataFrame, keep: str = "max", batches: int = BATCHES, salt_rows: int = SALT_ROWS) -> DataFrame:
+def dedup(docs: DataFrame, keep: str = "max", batches: int = BATCHES) -> DataFrame:
     """Per document: doc_id, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
-    log = settle(docs.select("doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest")), "log")
-    index = DigestIndex(spark, keep)
-    rows = log.count()
-    for b in range(batches):
-        index.flush(log.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b), -(-rows // batches))
-    merged = index.compact()
-    hits = merged.where("n > 1").select("digest", "keep_id", F.ceil(F.col("n") / salt_rows).cast("int").alias("_salts"))
-    hits = settle(hits, "hits")
-    differ = _differing(docs, log, hits)
-    groups = log.join(merged, "digest")
-    out = groups.select("doc_id", "keep_id", F.col("n").alias("group_size"), F.lower(F.hex("digest")).alias("text_sha256"))
+    digest = F.unhex(F.sha2(normalised(F.col("text")), 256))
+    log = settle(docs.select("doc_id", digest.alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("_batch")), "log", by="_batch")
+    rows, index = log.count(), DigestIndex(spark, shared_folder(spark, "index"), keep)
+    found = [index.flush(log.where(F.col("_batch") == b).select("doc_id", "digest"), rows) for b in range(batches)]
+    hits = settle(index.lookup(reduce(DataFrame.unionAll, found).distinct()), "hits")
+    groups = salted_join(log.select("doc_id", "digest"), hits, "digest", "n", F.col("doc_id"), "left", rows)
+    groups = settle(groups.select("doc_id", "digest", "keep_id", "n"), "groups")
+    differ = _differing(docs, groups.where("n is not null"), hits, rows)
+    alone = F.col("n").isNull()
+    out = groups.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"), F.lower(F.hex("digest")).alias("text_sha256"))
     if differ is not None:
         out = _regrouped(out, differ, keep)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-def _differing(docs: DataFrame, log: DataFrame, hits: DataFrame) -> DataFrame | None:
+def _differing(docs: DataFrame, ids: DataFrame, hits: DataFrame, rows: int) -> DataFrame | None:
     """Hits whose bytes aren't those of the row that stays: (doc_id, digest, text). None if there are none."""
-    ids = log.join(hits.select("digest"), "digest", "left_semi")
-    texts = maybe_in(docs.select("doc_id", "text"), id_filter(ids)).where("_maybe").select("doc_id", normalised(F.col("text")).alias("_text"))
+    texts = maybe_among(docs.select("doc_id", "text"), F.col("doc_id"), ids, "doc_id").where("_maybe").select("doc_id", normalised(F.col("text")).alias("_text"))
     texts = texts.withColumn("digest", F.unhex(F.sha2("_text", 256)))
+    met = salted_join(texts, hits, "digest", "n", F.col("doc_id"), "inner", rows)
     # of rows that repeat the id that stays, one is the text to compare with
-    first = texts.join(hits, "digest").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    first = first.groupBy("digest").agg(F.min("_text").alias("_kept_text"), F.first("_salts").alias("_salts"))
+    first = met.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("_text").alias("_kept_text"), F.first("_salts").alias("_salts"))
     first = first.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
-    salted = texts.join(hits, "digest").withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.col("_salts")).cast("int"))
-    bad = salted.join(first, ["digest", "_salt"]).where(F.col("_text") != F.col("_kept_text")).select("doc_id", "digest", "_text")
+    bad = met.join(first, ["digest", "_salt"]).where(F.col("_text") != F.col("_kept_text")).select("doc_id", "digest", "_text")
     bad = settle(bad, "collisions")
     return None if bad.isEmpty() else bad
 
@@ -160,17 +171,16 @@ def _regrouped(out: DataFrame, differ: DataFrame, keep: str) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """One document of each group of equal texts, with its columns. Rows that repeat the id that stays count as one.
-
-    Only texts that may belong to a group of several rows are shuffled.
+    """One document of each group of equal texts, with its columns. Rows that repeat the id that stays count as one, the
+    least as JSON. Only texts that may belong to a group of several rows are shuffled.
     """
-    groups = dedup(docs, keep).where("group_size > 1").select(F.col("doc_id").alias("_of"), F.unhex("text_sha256").alias("_hash"), "kept").distinct()
-    groups = settle(groups, "groups")
+    groups = dedup(docs, keep).where("group_size > 1").groupBy(F.col("doc_id").alias("_of"), F.unhex("text_sha256").alias("_hash"), "kept")
+    groups = settle(groups.agg(F.count(F.lit(1)).alias("_rows")), "groups")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
-    flagged = maybe_in(docs.select(whole, F.col("doc_id").alias("_id")), id_filter(groups.select(F.col("_of").alias("doc_id"))), "_id")
+    flagged = maybe_among(docs.select(whole, F.col("doc_id").alias("_id")), F.col("_id"), groups, "_of")
     alone = flagged.where("not _maybe").select("_doc.*")
     maybe = flagged.where("_maybe").withColumn("_digest", F.unhex(F.sha2(normalised(F.col("_doc.text")), 256)))
     maybe = maybe.join(groups, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_digest") == F.col("_hash")), "left")
-    single = maybe.where("kept is null").select("_doc.*")
-    stay = maybe.where("kept").groupBy("_id", "_digest").agg(F.any_value("_doc").alias("_doc")).select("_doc.*")
-    return alone.unionAll(single).unionAll(stay)
+    single = maybe.where("kept is null or kept and _rows = 1").select("_doc.*")
+    several = maybe.where("kept and _rows > 1").groupBy("_id", "_digest").agg(F.min_by("_doc", F.to_json("_doc")).alias("_doc")).select("_doc.*")
+    return alone.unionAll(single).unionAll(several)

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .exact_dedup import id_filter, maybe_in
+from .joins import maybe_among
 from .store import settle
 from .text import SPACE, or_empty, words
 
@@ -184,7 +184,7 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     decided = judge(docs.select("doc_id", "lang", "text"), _mark(F.col("text")).alias("_mark"))
     gone = settle(decided.where("not kept").select(F.col("doc_id").alias("_of"), F.col("lang").alias("_in"), F.col("_mark").alias("_was")).distinct(), "rejected")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
-    flagged = maybe_in(docs.select(whole, F.col("doc_id").alias("_id")), id_filter(gone.select(F.col("_of").alias("doc_id"))), "_id")
+    flagged = maybe_among(docs.select(whole, F.col("doc_id").alias("_id")), F.col("_id"), gone, "_of")
     maybe = flagged.where("_maybe").withColumn("_mark", _mark(F.col("_doc.text")))
     rest = maybe.join(gone, F.col("_id").eqNullSafe(F.col("_of")) & F.col("_doc.lang").eqNullSafe(F.col("_in")) & (F.col("_mark") == F.col("_was")), "left_anti")
     return flagged.where("not _maybe").select("_doc.*").unionAll(rest.select("_doc.*"))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .exact_dedup import id_filter, maybe_in
+from .joins import maybe_among, salted_join
 from .store import settle
 
 SEED = 42
@@ -39,8 +39,6 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 GOLAY = 0b110001110101
 #: Fingerprints at one key from which hubs replace pairs.
 PAIR_LIMIT = 32
-#: A fingerprint is hot from this share of all rows; so at most as many are.
-HOT_SHARE = 256
 #: Shingles that are hashed and summed at once.
 CHUNK = 1 << 16
 
@@ -173,13 +171,8 @@ def grouped(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     least = met.groupBy("component").agg(F.min("first").alias("least"))
     named = met.join(least, "component").select("fp", "least")
     named = settle(classes.join(named, "fp", "left").select("fp", "n", F.coalesce("least", "first").alias("component_id")), "named")
-    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # fewer than HOT_SHARE fingerprints have more rows than that each: these are broadcast, so no key of the shuffle is hot
-    hot = named.where(F.col("n") * HOT_SHARE > total).select("fp", F.struct("component_id").alias("_hot"))
-    seen = prints.join(F.broadcast(hot), "fp", "left")
-    columns = ["doc_id", "mark", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")]
-    easy = seen.where("_hot is not null").select(*columns, F.col("_hot.component_id").alias("component_id"))
-    return easy.unionAll(seen.where("_hot is null").drop("_hot").join(named, "fp").select(*columns, "component_id"))
+    met = salted_join(prints, named, "fp", "n", F.col("mark"))
+    return met.select("doc_id", "mark", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_duplicates(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
@@ -202,10 +195,10 @@ def kept_documents(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     again = found.where(kept).join(repeated.where("_n > 1"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_group") == F.col("_in")))
     states = settle(gone.unionAll(again.select(*mine, (F.col("mark") == F.col("_first")).alias("_kept"))).distinct(), "states")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
-    flagged = maybe_in(docs.select(whole, F.col("doc_id").alias("_id")), id_filter(states.select(F.col("_of").alias("doc_id"))), "_id")
+    flagged = maybe_among(docs.select(whole, F.col("doc_id").alias("_id")), F.col("_id"), states, "_of")
     maybe = flagged.where("_maybe").withColumn("_mark", _mark(F.col("_doc.text")))
     maybe = maybe.join(states, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_mark") == F.col("_was")), "left")
     alone = flagged.where("not _maybe").select("_doc.*")
     single = maybe.where("_group is null").select("_doc.*")
-    stay = maybe.where("_kept").groupBy("_id", "_group").agg(F.any_value("_doc").alias("_doc")).select("_doc.*")
+    stay = maybe.where("_kept").groupBy("_id", "_group").agg(F.min_by("_doc", F.to_json("_doc")).alias("_doc")).select("_doc.*")
     return alone.unionAll(single).unionAll(stay)

@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .exact_dedup import id_filter, maybe_in
+from .joins import maybe_among, salted_join
 from .store import settle
 
 KEY = "setloom"
@@ -328,7 +328,7 @@ def replaced(docs: DataFrame, key: str = KEY, hot_share: int = HOT_SHARE) -> Dat
 
     columns = [c for c in docs.columns if c != "n_entities"]
     whole = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc")
-    flagged = maybe_in(docs.select(whole, F.col("doc_id").alias("_id")), id_filter(found.select("doc_id")), "_id")
+    flagged = maybe_among(docs.select(whole, F.col("doc_id").alias("_id")), F.col("_id"), found, "doc_id")
     alone = flagged.where("not _maybe").select("_doc.*", F.lit(0).cast("long").alias("n_entities"))
     maybe = flagged.where("_maybe").withColumn("_mark", _mark(F.col("_doc.text")))
     maybe = maybe.join(maps, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_mark") == F.col("_was")), "left")

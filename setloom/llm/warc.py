@@ -26,7 +26,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .exact_dedup import id_filter, maybe_in
+from .joins import maybe_among, salted_join
 from .store import settle, shared_folder
 
 MIN_REVISIT_BYTES = 100
@@ -43,12 +43,12 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     text = F.coalesce("html", F.lit(""))
     p = pages.select("page_id", "url", text.alias("payload"), F.octet_length(text).cast("long").alias("payload_bytes"), F.sha2(text, 256).alias("payload_digest"))
     large = p.where(F.col("payload_bytes") >= MIN_REVISIT_BYTES)
-    groups = large.groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    groups = large.groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     groups = settle(groups, "payloads")
-    flagged = maybe_in(p, id_filter(groups.select(F.col("payload_digest").alias("doc_id"))), "payload_digest")
+    flagged = maybe_among(p, F.col("payload_digest"), groups, "payload_digest")
     columns = ["page_id", "url", "payload", "payload_bytes", "payload_digest"]
     alone = flagged.where("not _maybe").select(*columns, F.lit(None).cast(p.schema["page_id"].dataType).alias("refers_to"))
-    met = flagged.where("_maybe").join(groups, "payload_digest", "left")
+    met = salted_join(flagged.where("_maybe").drop("_maybe"), groups, "payload_digest", "_n", F.col("page_id"), "left", p.count())
     return alone.unionAll(met.select(*columns, F.when(F.col("_first") < F.col("page_id"), F.col("_first")).alias("refers_to")))
 
 

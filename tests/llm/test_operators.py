@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from setloom.llm import blocks, exact_dedup, mixing, pieces, quality_classifier, quality_rules, simhash, surrogates, token_counts, url_filter, warc
+from setloom.llm import blocks, exact_dedup, joins, mixing, pieces, quality_classifier, quality_rules, simhash, surrogates, token_counts, url_filter, warc
 from setloom.llm.queries import ORACLES, QUERIES
 from tests.oracle import TABLES, both
 
@@ -119,23 +119,85 @@ def test_exact_dedup(docs, texts):
         ids = groups[lowered(t)]
         keep = max((x for x in ids if x is not None), default=None)
         want.append((i, keep, len(ids), i == keep, hashlib.sha256(lowered(t).encode()).hexdigest()))
-    assert sorted(map(tuple, exact_dedup.dedup(docs, salt_rows=2).collect()), key=str) == sorted(want, key=str)
+    assert sorted(map(tuple, exact_dedup.dedup(docs).collect()), key=str) == sorted(want, key=str)
     kept = exact_dedup.kept_documents(docs)
     assert kept.columns == docs.columns
     found = [lowered(r.text) for r in kept.collect()]
     assert len(found) == len(set(found)) == len(groups)
 
 
-def test_exact_dedup_index_probe_and_levels(spark):
+def test_exact_dedup_index_probe_and_levels(spark, tmp_path):
     rows = [(i, hashlib.sha256(str(i % 30).encode()).digest()) for i in range(90)]
-    index = exact_dedup.DigestIndex(spark, keep="min", fan_in=2)
+    path, found = f"file://{tmp_path}/index", []
     for k in range(5):
-        index.flush(spark.createDataFrame(rows[k * 18 : (k + 1) * 18], "doc_id long, digest binary"), 18)
-    hit = hashlib.sha256(b"7").hexdigest()
-    assert sum(r.n for r in index.probe([hit]).collect()) == 3
+        index = exact_dedup.DigestIndex(spark, path, keep="min", fan_in=2)  # opened again each time
+        found.append({bytes(r.digest) for r in index.flush(spark.createDataFrame(rows[k * 18 : (k + 1) * 18], "doc_id long, digest binary"), 18).collect()})
+    seen: set[bytes] = set()
+    for k in range(5):
+        batch = {bytes(d) for _, d in rows[k * 18 : (k + 1) * 18]}
+        assert found[k] == batch & seen
+        seen |= batch
+    assert sum(len(level) for level in index.levels) < 5
+    wanted = spark.createDataFrame([(rows[7][1],), (b"none",)], "digest binary")
+    assert [(r.keep_id, r.n) for r in index.lookup(wanted).collect()] == [(7, 3)]
     assert {(r.keep_id, r.n) for r in index.compact().collect()} == {(i, 3) for i in range(30)}
 
 
+def test_a_failed_flush_leaves_the_index_as_it_was(spark, tmp_path, monkeypatch):
+    path, batch = f"file://{tmp_path}/index", spark.createDataFrame([(1, b"a"), (2, b"b")], "doc_id long, digest binary")
+    exact_dedup.DigestIndex(spark, path).flush(batch, 2)
+    with monkeypatch.context() as m:
+        m.setattr(exact_dedup, "settle", lambda *_, **__: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            exact_dedup.DigestIndex(spark, path).flush(batch, 2)
+    index = exact_dedup.DigestIndex(spark, path)
+    assert [(r.keep_id, r.n) for r in index.compact().orderBy("keep_id").collect()] == [(1, 1), (2, 1)]
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Joins by shuffle wherever nothing is broadcast on purpose."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield spark
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old[0])
+    spark.conf.set("spark.sql.adaptive.enabled", old[1])
+
+
+def test_salted_join_splits_hot_keys(shuffled):
+    rows = shuffled.createDataFrame([(i, "hot" if i % 2 else f"k{i % 40}", "x") for i in range(4000)], "i long, key string, salt string")
+    table = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("value", F.upper("key"))
+    out = joins.salted_join(rows, table, "key", "n", F.col("i"))
+    got = out.collect()
+    assert len(got) == 4000 and all(r.value == r.key.upper() for r in got)
+    assert max(Counter((r.key, r._salt) for r in got).values()) < 200
+    assert {r.key for r in got if r._salts > 1} >= {"hot"}
+    left = joins.salted_join(rows, table.where("key = 'hot'"), "key", "n", F.col("i"), "left", 4000).collect()
+    assert len(left) == 4000 and all((r.value is None) == (r.key != "hot") for r in left)
+
+
+def test_exact_dedup_with_a_hot_text(shuffled):
+    rows = [(i, "The Same" if i % 2 else f"text {i // 4}") for i in range(3000)]
+    out = exact_dedup.dedup(shuffled.createDataFrame(rows, "doc_id long, text string")).collect()
+    groups: dict[str, list[int]] = {}
+    for i, t in rows:
+        groups.setdefault(t, []).append(i)
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in out) == sorted((i, max(groups[t]), len(groups[t])) for i, t in rows)
+
+
+def test_filter_passes_all_ids_and_few_others(spark):
+    """At 10 million ids a filter lets a sixteenth of other rows pass at most."""
+    assert joins.filter_bits(1) == 32768 and joins.filter_bits(10_000_000) == 1 << 28
+    ids = spark.range(10_000_000)
+    maps = joins.bitmaps(ids, "id", joins.filter_bits(10_000_000))
+    others = joins.marked(spark.range(20_000_000, 20_050_000), F.broadcast(maps), F.col("id"), joins.filter_bits(10_000_000))
+    assert 0 < others.where("_maybe").count() < 50_000 / 16
+    some = joins.maybe_among(spark.range(2000), F.col("id"), spark.range(0, 2000, 2), "id")
+    assert some.where("id % 2 = 0 and not _maybe").count() == 0 and some.where("_maybe").count() < 1100
+    assert joins.maybe_among(spark.range(3), F.col("id"), spark.range(0), "id").where("_maybe").count() == 0
+
+
 def test_exact_dedup_collisions_are_told_apart(spark):
     out = spark.createDataFrame([(1, 9, 3, "d"), (5, 9, 3, "d"), (9, 9, 3, "d")], "doc_id long, keep_id long, group_size long, text_sha256 string")
     out = out.withColumn("text_sha256", F.lower(F.hex("text_sha256")))
