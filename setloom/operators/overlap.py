@@ -8,39 +8,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def shared_only(post: DataFrame) -> DataFrame:
-    """Without words of one sample only: they are in no pair."""
-    several = post.groupBy("kmer").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("kmer")
-    return post.join(several, "kmer", "left_semi")
+#: A word in more samples than this is joined with itself in chunks of as many.
+CHUNK = 10_000
+#: From this least ratio of sizes on, pairs are left out of the join by their samples' sizes.
+WORTHWHILE_RATIO = 0.3
 
 
-def all2all(post: DataFrame, sizes: DataFrame | None = None, min_size_ratio: float | None = None, min_size: int = 0) -> DataFrame:
+def _self_join(post: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
+    """Rows (row_id, col_id, ...) of each pair of postings that agree in ``keys``, with col_id < row_id."""
+    x = post.select(*keys, F.col("sample_id").alias("row_id"), *[F.col(c).alias(f"row_{c}") for c in carried])
+    y = post.select(*keys, F.col("sample_id").alias("col_id"), *[F.col(c).alias(f"col_{c}") for c in carried])
+    return x.join(y, keys).where("col_id < row_id").drop(*keys)
+
+
+def _chunked_join(post: DataFrame, frequent: DataFrame, carried: list[str], chunk: int) -> DataFrame:
+    """The same for frequent words (kmer, _n): a word's samples are dealt to chunks, and each pair of chunks is a key."""
+    many = post.join(frequent, "kmer").withColumn("_chunks", F.ceil(F.col("_n") / chunk).cast("int"))
+    mine = many.withColumn("_own", F.pmod(F.xxhash64("sample_id"), F.col("_chunks")).cast("int"))
+    # every sample goes to the keys of its chunk with each other one; within a chunk to one key
+    keyed = mine.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    keyed = keyed.withColumn("_low", F.least("_own", "_other")).withColumn("_high", F.greatest("_own", "_other"))
+    pairs = _self_join(keyed, ["kmer", "_low", "_high"], ["_own", "_other", *carried])
+    # a pair of one chunk meets at every key of that chunk, and counts at its own
+    own = (F.col("row__own") != F.col("col__own")) | (F.col("row__own") == F.col("row__other"))
+    return pairs.where(own).drop("row__own", "col__own", "row__other", "col__other")
+
+
+def all2all(post: DataFrame, sizes: DataFrame | None = None, min_size_ratio: float | None = None, min_size: int = 0, chunk: int = CHUNK) -> DataFrame:
     """(row_id, col_id, common) for each pair with col_id < row_id that shares a word.
 
-    The two sides of the join are one shuffle on the word. With ``sizes`` (sample_id, n_kmers), pairs whose sizes rule
-    out a wanted similarity are left out of the join: the smaller set must have ``min_size_ratio`` times the words of
-    the larger, and both ``min_size`` words.
+    The two sides of the join are one shuffle on the word. Words in more than ``chunk`` samples are joined apart, by many
+    tasks each. With ``sizes`` (sample_id, n_kmers), pairs whose sizes rule out a wanted similarity are left out of the join:
+    the smaller set must have ``min_size_ratio`` times the words of the larger (where that rules out enough to be worth it),
+    and both ``min_size`` words.
     """
-    if sizes is None or (min_size_ratio is None and min_size <= 1):
-        x = post.select("kmer", F.col("sample_id").alias("row_id"))
-        y = post.select("kmer", F.col("sample_id").alias("col_id"))
-        pairs = x.join(y, "kmer").where("col_id < row_id")
+    bounded = sizes is not None and (min_size > 1 or (min_size_ratio or 0) >= WORTHWHILE_RATIO)
+    source, carried = post.select("kmer", "sample_id"), []
+    if bounded:
+        source, carried = post.join(sizes.where(F.col("n_kmers") >= min_size).select("sample_id", F.col("n_kmers").alias("size")), "sample_id"), ["size"]
+    frequent = source.groupBy("kmer").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > chunk)
+    if frequent.isEmpty():
+        pairs = _self_join(source, ["kmer"], carried)
     else:
-        sized = post.join(sizes.where(F.col("n_kmers") >= min_size).select("sample_id", "n_kmers"), "sample_id")
-        x = sized.select("kmer", F.col("sample_id").alias("row_id"), F.col("n_kmers").alias("_a"))
-        y = sized.select("kmer", F.col("sample_id").alias("col_id"), F.col("n_kmers").alias("_b"))
-        pairs = x.join(y, "kmer").where("col_id < row_id")
-        if min_size_ratio is not None:
-            # a little slack, so that rounding here never drops a pair that the exact filter keeps
-            pairs = pairs.where(F.least("_a", "_b") >= F.greatest("_a", "_b") * (min_size_ratio * (1 - 1e-9)))
+        rare = source.join(frequent.select("kmer"), "kmer", "left_anti")
+        pairs = _self_join(rare, ["kmer"], carried).unionByName(_chunked_join(source, frequent, carried, chunk))
+    if bounded and min_size_ratio is not None:
+        # a little slack, so that rounding here never drops a pair that the exact filter keeps
+        pairs = pairs.where(F.least("row_size", "col_size") >= F.greatest("row_size", "col_size") * (min_size_ratio * (1 - 1e-9)))
     return pairs.groupBy("row_id", "col_id").agg(F.count(F.lit(1)).alias("common"))
 
 
+def cells(rows: DataFrame, columns: DataFrame, triangular: bool) -> DataFrame:
+    """(row_id, col_id) of every cell of a matrix, or of its lower triangle: as many rows as the dense output has values."""
+    a, b = rows.select(F.col("sample_id").alias("row_id")), columns.select(F.col("sample_id").alias("col_id"))
+    return a.join(b, F.col("col_id") < F.col("row_id")) if triangular else a.crossJoin(b)
+
+
 def all2all_dense(post: DataFrame, samples: DataFrame) -> DataFrame:
-    """(row_id, col_id, common) for every pair with col_id < row_id, zeros included: as many rows as the matrix has cells."""
-    ids = samples.select("sample_id")
-    cells = ids.select(F.col("sample_id").alias("row_id")).join(ids.select(F.col("sample_id").alias("col_id")), F.col("col_id") < F.col("row_id"))
-    return cells.join(all2all(post), ["row_id", "col_id"], "left").select("row_id", "col_id", F.coalesce("common", F.lit(0)).alias("common"))
+    """(row_id, col_id, common) for every pair with col_id < row_id, zeros included."""
+    every = cells(samples, samples, True)
+    return every.join(all2all(post), ["row_id", "col_id"], "left").select("row_id", "col_id", F.coalesce("common", F.lit(0)).alias("common"))
 
 
 def patterns(post: DataFrame) -> DataFrame:
@@ -84,8 +111,8 @@ def new2all(queries: DataFrame, index: DataFrame) -> DataFrame:
 
 def new2all_dense(queries: DataFrame, query_samples: DataFrame, index: DataFrame, index_samples: DataFrame) -> DataFrame:
     """All cells of the rectangle, zeros included."""
-    cells = query_samples.select(F.col("sample_id").alias("row_id")).crossJoin(index_samples.select(F.col("sample_id").alias("col_id")))
-    return cells.join(cross(queries, index), ["row_id", "col_id"], "left").select("row_id", "col_id", F.coalesce("common", F.lit(0)).alias("common"))
+    every = cells(query_samples, index_samples, False)
+    return every.join(cross(queries, index), ["row_id", "col_id"], "left").select("row_id", "col_id", F.coalesce("common", F.lit(0)).alias("common"))
 
 
 def one2all(query: DataFrame, index: DataFrame, index_samples: DataFrame) -> DataFrame:

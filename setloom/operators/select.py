@@ -66,5 +66,5 @@ def best_of_rows(pairs: DataFrame, n: int, value: str = "value") -> DataFrame:
 
 def random_of_rows(pairs: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """For each sample, n of its partners, chosen evenly by a seeded hash: reruns agree."""
-    order = Window.partitionBy("row_id").orderBy(F.xxhash64("row_id", "col_id", F.lit(seed)), F.col("col_id"))
+    order = Window.partitionBy("row_id").orderBy(F.md5(F.concat_ws(",", "row_id", "col_id", F.lit(seed))), F.col("col_id"))
     return both_ways(pairs).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n).drop("_rank")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import overlap, select
-from .store import Index, same_settings
+from ..operators import extract, overlap, select
+from ..sources.counts_table import CountsTable, read_counts_table
+from ..sources.sketches import write_sketches
+from . import render
+from .store import Index, Settings, load, same_settings
 
 
 def all2all(
@@ -41,12 +45,58 @@ def _selected(pairs, samples, k, at_least, at_most, sample_rows, by) -> DataFram
     return select.best_of_rows(select.scored(out, by, k, "_by"), sample_rows, "_by").drop("_by")
 
 
+def all2all_listed(spark: SparkSession, path: str, **options) -> tuple[DataFrame, DataFrame]:
+    """``all2all_parts`` over the stored indexes that a list file names, whitespace between them."""
+    return all2all_parts([load(spark, p) for row in spark.read.text(path).collect() for p in row.value.split()], **options)
+
+
 def new2all(queries: Index, index: Index, at_least=None, at_most=None) -> DataFrame:
     """(row_id, col_id, common, n_row, n_col) of new samples (rows) with those of an index; made with one settings."""
     k = same_settings(index, queries).k
     return select.filtered(select.with_sizes(overlap.new2all(queries.postings, index.postings), queries.samples, index.samples), k, at_least, at_most)
 
 
+def one2all(query: Index, index: Index) -> DataFrame:
+    """(row_id, col_id, common, n_row, n_col) of one sample with every sample of an index, zeros included; no bounds apply."""
+    same_settings(index, query)
+    if query.samples.limit(2).count() != 1:
+        raise ValueError("one2all takes one sample")
+    one = query.samples.select(F.col("sample_id").alias("row_id"), F.col("n_kmers").alias("n_row"))
+    found = overlap.one2all(query.postings, index.postings, index.samples).withColumnRenamed("sample_id", "col_id")
+    sizes = index.samples.select(F.col("sample_id").alias("col_id"), F.col("n_kmers").alias("n_col"))
+    return found.join(sizes, "col_id").crossJoin(F.broadcast(one)).select("row_id", "col_id", "common", "n_row", "n_col")
+
+
+def sketch(samples: DataFrame, sequences: DataFrame, folder: str, settings: Settings | None = None) -> None:
+    """Write a sketch file for each sample (sample_id, name). Without settings, words of 18 nucleotides, a hundredth of them.
+    A sketch is of the lowest hashes; the settings' start of the range is not used."""
+    s = settings or Settings(fraction=0.01)
+    s.check()
+    write_sketches(samples, extract.postings(sequences, s.k, s.letters, s.fraction), folder, s.k, s.fraction, s.letters)
+
+
 def distances(sized: DataFrame, measure: str, k: int, at_least=None, at_most=None) -> DataFrame:
     """``value`` of one measure for each pair that passes the bounds."""
     return select.scored(select.filtered(sized, k, at_least, at_most), measure, k)
+
+
+def distance_lines(table: CountsTable, measure: str, sparse: bool = False, phylip: bool = False, at_least=None, at_most=None) -> DataFrame:
+    """(at, line) of a table of values, from a table of counts.
+
+    A sparse table of counts gives a sparse one, as ``sparse`` does; only then are there bounds. Phylip tables are always
+    dense. Of a lower triangle, row i has i values. Bounds are by measure; those given as texts (``"0.1"``, ``"mash:0.1"``)
+    are for this measure if they name none.
+    """
+    at_least, at_most = (select.parse_bounds(b, measure) if isinstance(b, list) else b for b in (at_least, at_most))
+    rows, columns, k = table.rows, table.columns, table.k
+    if (sparse or table.sparse) and not phylip:
+        values = distances(select.with_sizes(table.pairs, rows, columns), measure, k, at_least, at_most)
+        return render.values_lines(rows, columns, values, k, table.fraction, sparse=True)
+    cells = overlap.cells(rows, columns, table.triangular).join(table.pairs, ["row_id", "col_id"], "left").select("row_id", "col_id", F.coalesce("common", F.lit(0)).alias("common"))
+    values = select.scored(select.with_sizes(cells, rows, columns), measure, k)
+    return render.phylip_lines(rows, values) if phylip else render.values_lines(rows, columns, values, k, table.fraction)
+
+
+def distance(spark: SparkSession, source: str, target: str, measure: str, **options) -> None:
+    """Write a table of values to ``target`` from the table of counts at ``source``."""
+    render.write_lines(distance_lines(read_counts_table(spark, source), measure, **options), target)

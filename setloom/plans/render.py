@@ -37,7 +37,7 @@ def counts_lines(rows: DataFrame, columns: DataFrame, pairs: DataFrame, k: int,
     """(at, line): a table of counts. For a dense one, ``pairs`` must hold the zeros too."""
     counts = _joined(columns, "n_kmers").select(F.lit(-1).cast("long").alias("at"), F.concat(F.lit("query-samples,total-kmers,"), "line").alias("line"))
     body = _body(rows, _cells(pairs, F.col("common").cast("string"), sparse, ","), F.concat("name", F.lit(","), F.col("n_kmers").cast("string"), F.lit(",")))
-    return _header(columns, k, fraction, "db-samples,").unionAll(counts).unionAll(body)
+    return _header(columns, k, fraction, "db-samples ,").unionAll(counts).unionAll(body)
 
 
 def values_lines(rows: DataFrame, columns: DataFrame, values: DataFrame, k: int, fraction: float, sparse: bool = False) -> DataFrame:

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import Alphabet, alphabet
 from ..operators.extract import cardinalities, postings, sketched
-from ..operators.overlap import patterns
+from ..sources.paths import children, exists
+
+SAMPLES, POSTINGS = "sample_id long, name string, n_kmers long", "sample_id long, kmer long"
 
 
 @dataclass(frozen=True)
@@ -43,11 +45,16 @@ class Index:
     settings: Settings
 
     def stats(self) -> DataFrame:
-        """One row: samples, distinct words, distinct patterns, k and fraction."""
-        words = self.postings.agg(F.countDistinct("kmer").alias("n_kmers"))
-        kinds = patterns(self.postings).agg(F.count(F.lit(1)).alias("n_patterns"))
+        """One row: samples, distinct words, distinct patterns, k and fraction.
+
+        The samples of a word are told apart by their number and 128 bits of hash, so no list of them is made.
+        """
+        marks = [F.bit_xor(F.xxhash64("sample_id", F.lit(seed))).alias(f"_x{seed}") for seed in (1, 2)]
+        words = self.postings.groupBy("kmer").agg(F.count(F.lit(1)).alias("_n"), *marks)
+        kinds = words.groupBy("_n", "_x1", "_x2").agg(F.count(F.lit(1)).alias("_words"))
+        both = kinds.agg(F.coalesce(F.sum("_words"), F.lit(0)).alias("n_kmers"), F.count(F.lit(1)).alias("n_patterns"))
         count = self.samples.agg(F.count(F.lit(1)).alias("n_samples"))
-        return count.crossJoin(words).crossJoin(kinds).select("*", F.lit(self.settings.k).alias("k"), F.lit(self.settings.fraction).alias("fraction"))
+        return count.crossJoin(both).select("*", F.lit(self.settings.k).alias("k"), F.lit(self.settings.fraction).alias("fraction"))
 
 
 def build(samples: DataFrame, sequences: DataFrame, settings: Settings) -> Index:
@@ -82,26 +89,62 @@ def same_settings(*indexes: Index) -> Settings:
     return indexes[0].settings
 
 
-def save(index: Index, path: str, mode: str = "errorifexists") -> None:
-    """Write an index: Parquet postings sorted by word, Parquet samples, settings as one line of JSON."""
+def _parts(spark: SparkSession, path: str) -> list[str]:
+    """The names of the parts that are complete: samples are written last."""
+    return [p for p in children(spark, f"{path}/parts") if exists(spark, f"{path}/parts/{p}/samples/_SUCCESS")]
+
+
+def create(spark: SparkSession, path: str, settings: Settings) -> Index:
+    """An empty index at ``path``, where there must be none."""
+    settings.check()
+    spark.createDataFrame([(json.dumps(asdict(settings)),)], "value string").coalesce(1).write.text(f"{path}/settings")
+    return load(spark, path)
+
+
+def _add(spark: SparkSession, path: str, part: str, samples: DataFrame, post: DataFrame) -> None:
+    """Write a part: postings sorted by word, then samples (sample_id, name) with sizes of what was written, so that words
+    are made once. What a failure has left of the part is replaced."""
+    at = f"{path}/parts/{part}"
+    post.select("sample_id", "kmer").repartition("kmer").sortWithinPartitions("kmer").write.mode("overwrite").parquet(f"{at}/postings")
+    written = spark.read.schema(POSTINGS).parquet(f"{at}/postings")
+    cardinalities(written, samples.select("sample_id", "name")).write.mode("overwrite").parquet(f"{at}/samples")
+
+
+def save(index: Index, path: str) -> Index:
+    """Write an index: a folder of parts, each with Parquet postings and samples; settings as one line of JSON."""
     spark = index.postings.sparkSession
-    index.postings.repartition("kmer").sortWithinPartitions("kmer").write.mode(mode).parquet(f"{path}/postings")
-    index.samples.write.mode(mode).parquet(f"{path}/samples")
-    spark.createDataFrame([(json.dumps(asdict(index.settings)),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/settings")
+    create(spark, path, index.settings)
+    _add(spark, path, f"{0:08}", index.samples, index.postings)
+    return load(spark, path)
 
 
 def load(spark: SparkSession, path: str) -> Index:
     settings = Settings(**json.loads(spark.read.text(f"{path}/settings").first().value))
-    return Index(spark.read.parquet(f"{path}/samples"), spark.read.parquet(f"{path}/postings"), settings)
-
-
-def extend(spark: SparkSession, path: str, samples: DataFrame, sequences: DataFrame) -> Index:
-    """Append samples to a stored index; what is there isn't rewritten."""
-    old = load(spark, path)
-    offset = (old.samples.agg(F.max("sample_id")).first()[0] + 1) if not old.samples.isEmpty() else 0
-    more = build(samples.withColumn("sample_id", F.col("sample_id") + F.lit(offset)), sequences.withColumn("sample_id", F.col("sample_id") + F.lit(offset)), old.settings)
-    more.postings.repartition("kmer").sortWithinPartitions("kmer").write.mode("append").parquet(f"{path}/postings")
-    # sizes come from what was written, so that sequences are read once
-    post = spark.read.parquet(f"{path}/postings").where(F.col("sample_id") >= offset)
-    cardinalities(post, more.samples.select("sample_id", "name")).write.mode("append").parquet(f"{path}/samples")
+    parts = [f"{path}/parts/{p}" for p in _parts(spark, path)]
+    if not parts:
+        return Index(spark.createDataFrame([], SAMPLES), spark.createDataFrame([], POSTINGS), settings)
+    return Index(spark.read.schema(SAMPLES).parquet(*[f"{p}/samples" for p in parts]), spark.read.schema(POSTINGS).parquet(*[f"{p}/postings" for p in parts]), settings)
+
+
+def extend(spark: SparkSession, path: str, samples: DataFrame, sequences: DataFrame, part: str | None = None) -> Index:
+    """Add samples to a stored index; what is there isn't rewritten.
+
+    All of them appear at once, when the part is complete. A failed call leaves the index as it was, and may be made again.
+    A ``part`` that is there already isn't added again.
+    """
+    old, known = load(spark, path), _parts(spark, path)
+    if part in known:
+        return old
+    if part is None:
+        part = f"{1 + max((int(p) for p in known if p.isdigit()), default=-1):08}"
+    offset = F.lit((old.samples.agg(F.max("sample_id")).first()[0] + 1) if known and not old.samples.isEmpty() else 0)
+    moved = [d.withColumn("sample_id", F.col("sample_id") + offset) for d in (samples, sequences)]
+    s = old.settings
+    _add(spark, path, part, moved[0], postings(moved[1], s.k, s.letters, s.fraction, s.fraction_start))
     return load(spark, path)
+
+
+def build_stored(spark: SparkSession, path: str, samples: DataFrame, sequences: DataFrame, settings: Settings) -> Index:
+    """``build``, written to ``path``: words are made once, however many questions are asked."""
+    create(spark, path, settings)
+    return extend(spark, path, samples, sequences)

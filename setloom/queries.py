@@ -6,6 +6,7 @@ sequence; a supplier's parts are a ready-made set. ``ORACLES`` has independent S
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,9 @@ from .functions.metrics import MEASURES
 from .operators import extract, overlap, select
 from .plans import modes, render, store
 from .plans.store import Index, Settings
+from .sources.counts_table import read_counts_table
+from .sources.dispatch import read_samples
+from .sources.paths import work_folder
 
 K = 8
 AA = Settings(K, "aa")
@@ -47,16 +51,31 @@ def texts(spark: SparkSession, sf_dir: str, name: str, sample: str) -> tuple[Dat
     return ids, t.select(F.col(sample).alias("sample_id"), F.col("text").alias("seq"))
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that executors share."""
+    return f"{work_folder(spark)}/setloom/queries/{name}-{uuid.uuid4().hex}"
+
+
+def built(spark: SparkSession, sf_dir: str, name: str, sample: str, settings: Settings = AA) -> Index:
+    """The index of a table, worked out when it is asked: for queries that read it once."""
+    return store.build(*texts(spark, sf_dir, name, sample), settings)
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, sample: str, settings: Settings = AA) -> Index:
+    """The index of a table, written first: words are extracted once, however often the query reads them."""
+    return store.build_stored(spark, work_path(spark, name), *texts(spark, sf_dir, name, sample), settings)
+
+
 def documents(spark: SparkSession, sf_dir: str, settings: Settings = AA) -> Index:
-    return store.build(*texts(spark, sf_dir, "documents", "doc_id"), settings)
+    return stored(spark, sf_dir, "documents", "doc_id", settings)
 
 
 def conversations(spark: SparkSession, sf_dir: str, settings: Settings = AA) -> Index:
-    return store.build(*texts(spark, sf_dir, "conversations", "conv_id"), settings)
+    return stored(spark, sf_dir, "conversations", "conv_id", settings)
 
 
 def benchmark(spark: SparkSession, sf_dir: str, settings: Settings = AA) -> Index:
-    return store.build(*texts(spark, sf_dir, "benchmark", "item_id"), settings)
+    return stored(spark, sf_dir, "benchmark", "item_id", settings)
 
 
 def event_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,12 +184,12 @@ _extraction("kmer_extract_nt_canonical", Settings(5, "nt"), "events")
 
 @query(f"WITH {sql_set('docs')} SELECT sample_id, n_kmers FROM docs_n")
 def sample_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).samples.select("sample_id", "n_kmers")
+    return built(spark, sf_dir, "documents", "doc_id").samples.select("sample_id", "n_kmers")
 
 
 @query(f"WITH {sql_set('convs')} SELECT sample_id, n_kmers FROM convs_n")
 def multi_contig_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversations(spark, sf_dir).samples.select("sample_id", "n_kmers")
+    return built(spark, sf_dir, "conversations", "conv_id").samples.select("sample_id", "n_kmers")
 
 
 @query(
@@ -186,13 +205,14 @@ def db_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT samples, count(*)::BIGINT AS num_kmers FROM sets GROUP BY samples"""
 )
 def pattern_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.patterns(documents(spark, sf_dir).postings).select(F.array_join("samples", ",").alias("samples"), "num_kmers")
+    return overlap.patterns(built(spark, sf_dir, "documents", "doc_id").postings).select(F.array_join("samples", ",").alias("samples"), "num_kmers")
 
 
-@query(f"WITH {sql_set('docs')} SELECT kmer, count(*)::BIGINT AS n_samples FROM docs WHERE kmer IN (SELECT kmer FROM docs WHERE sample_id < 100) GROUP BY kmer")
+@query(f"WITH {sql_set('docs')} SELECT kmer, count(*)::BIGINT AS n_samples FROM docs WHERE kmer IN (SELECT kmer FROM docs WHERE sample_id % 20 = 0) GROUP BY kmer")
 def kmer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every twentieth document, looked up in all."""
     index = documents(spark, sf_dir)
-    found = overlap.lookup(index.postings, index.postings.where("sample_id < 100"))
+    found = overlap.lookup(index.postings, index.postings.where("sample_id % 20 = 0"))
     return found.select(AA.letters.unpacked(F.col("kmer"), K).alias("kmer"), "n_samples")
 
 
@@ -286,8 +306,29 @@ def new2all_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT n.sample_id, count(o.kmer)::BIGINT AS common FROM docs_n n LEFT JOIN docs d ON d.sample_id = n.sample_id LEFT JOIN one o ON o.kmer = d.kmer GROUP BY 1"""
 )
 def one2all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = documents(spark, sf_dir)
-    return overlap.one2all(benchmark(spark, sf_dir).postings.where("sample_id = 0"), index.postings, index.samples)
+    return modes.one2all(first_item(spark, sf_dir), documents(spark, sf_dir)).select(F.col("col_id").alias("sample_id"), "common")
+
+
+def first_item(spark: SparkSession, sf_dir: str) -> Index:
+    """The index of one sample, the first benchmark item."""
+    samples, sequences = texts(spark, sf_dir, "benchmark", "item_id")
+    return store.build(samples.where("sample_id = 0"), sequences.where("sample_id = 0"), AA)
+
+
+@query(f"{_BOTH}, {sql_pairs('pairs', 'every')} SELECT {_PAIR} FROM pairs")
+def stored_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of an index on storage, after samples were added to it."""
+    path = work_path(spark, "grown")
+    store.build_stored(spark, path, *texts(spark, sf_dir, "conversations", "conv_id"), AA)
+    return overlap.all2all(store.extend(spark, path, *texts(spark, sf_dir, "benchmark", "item_id")).postings)
+
+
+@query(f"{_BOTH} SELECT sample_id, n_kmers FROM every_n")
+def stored_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_path(spark, "grown")
+    store.build_stored(spark, path, *texts(spark, sf_dir, "conversations", "conv_id"), AA)
+    store.extend(spark, path, *texts(spark, sf_dir, "benchmark", "item_id"))
+    return store.load(spark, path).samples.select("sample_id", "n_kmers")
 
 
 @query(
@@ -342,7 +383,10 @@ def sample_rows_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("row_id", "col_id", "common", F.round("value", 6).alias("value"))
 
 
-@query()
+@query(
+    f"""{DOC_PAIRS}, {_TURNED.format(m=_J)}, r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY md5(row_id || ',' || col_id || ',0'), col_id) AS n FROM both_ways)
+SELECT row_id, col_id, common FROM r WHERE n <= 3"""
+)
 def sample_rows_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modes.all2all(documents(spark, sf_dir), sample_rows=3).select("row_id", "col_id", "common")
 
@@ -387,12 +431,12 @@ def _bounds_sql(fraction: float, start: float = 0.0) -> str:
 
 @query(f"WITH {sql_set('docs')}, {sql_hashed('hashed', 'docs', AA)} SELECT sample_id, kmer FROM hashed WHERE {_bounds_sql(0.25)}")
 def minhash_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spelled(documents(spark, sf_dir, Settings(K, "aa", fraction=0.25)).postings, AA)
+    return spelled(built(spark, sf_dir, "documents", "doc_id", Settings(K, "aa", fraction=0.25)).postings, AA)
 
 
 @query(f"WITH {sql_set('docs')}, {sql_hashed('hashed', 'docs', AA)} SELECT sample_id, kmer FROM hashed WHERE {_bounds_sql(0.5, 0.25)}")
 def minhash_fraction_start(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spelled(documents(spark, sf_dir, Settings(K, "aa", fraction=0.5, fraction_start=0.25)).postings, AA)
+    return spelled(built(spark, sf_dir, "documents", "doc_id", Settings(K, "aa", fraction=0.5, fraction_start=0.25)).postings, AA)
 
 
 _NT6 = Settings(6, "nt")
@@ -423,7 +467,7 @@ _NUMBER = "(CASE WHEN {v} = 0 THEN '0' ELSE printf('%.6f', floor({v} * 1000000 +
     f"""{DOC_PAIRS}, cells AS (SELECT row_id, string_agg((col_id + 1)::VARCHAR || ':' || common::VARCHAR || ',', '' ORDER BY col_id) AS c FROM pairs GROUP BY 1)
 SELECT n.sample_id AS at, n.sample_id::VARCHAR || ',' || n.n_kmers::VARCHAR || ',' || coalesce(c, '') AS line FROM docs_n n LEFT JOIN cells ON row_id = n.sample_id
 UNION ALL SELECT -1, 'query-samples,total-kmers,' || string_agg(n_kmers::VARCHAR || ',', '' ORDER BY sample_id) FROM docs_n
-UNION ALL SELECT -2, 'kmer-length: {K} fraction: 1 ,db-samples,' || string_agg(sample_id::VARCHAR || ',', '' ORDER BY sample_id) FROM docs_n"""
+UNION ALL SELECT -2, 'kmer-length: {K} fraction: 1 ,db-samples ,' || string_agg(sample_id::VARCHAR || ',', '' ORDER BY sample_id) FROM docs_n"""
 )
 def sparse_row_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = documents(spark, sf_dir)
@@ -458,3 +502,130 @@ def phylip_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = benchmark(spark, sf_dir)
     sized = select.with_sizes(overlap.all2all_dense(index.postings, index.samples), index.samples)
     return render.phylip_lines(index.samples, select.scored(sized, "jaccard", K))
+
+
+@query(
+    f"""WITH {sql_set("convs")}, {sql_pairs("pairs", "convs")},
+cells AS (SELECT a.sample_id AS row_id, string_agg(coalesce(p.common, 0)::VARCHAR || ',', '' ORDER BY b.sample_id) AS c
+  FROM convs_n a JOIN convs_n b ON b.sample_id < a.sample_id LEFT JOIN pairs p ON p.row_id = a.sample_id AND p.col_id = b.sample_id GROUP BY 1)
+SELECT n.sample_id AS at, n.sample_id::VARCHAR || ',' || n.n_kmers::VARCHAR || ',' || coalesce(c, '') AS line FROM convs_n n LEFT JOIN cells ON row_id = n.sample_id
+UNION ALL SELECT -1, 'query-samples,total-kmers,' || string_agg(n_kmers::VARCHAR || ',', '' ORDER BY sample_id) FROM convs_n
+UNION ALL SELECT -2, 'kmer-length: {K} fraction: 1 ,db-samples ,' || string_agg(sample_id::VARCHAR || ',', '' ORDER BY sample_id) FROM convs_n"""
+)
+def dense_counts_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = conversations(spark, sf_dir)
+    return render.counts_lines(index.samples, index.samples, overlap.all2all_dense(index.postings, index.samples), K, 1.0)
+
+
+_RECTANGLE_HEAD = f"""UNION ALL SELECT -1, 'query-samples,total-kmers,' || string_agg(n_kmers::VARCHAR || ',', '' ORDER BY sample_id) FROM convs_n
+UNION ALL SELECT -2, 'kmer-length: {K} fraction: 1 ,db-samples ,' || string_agg(sample_id::VARCHAR || ',', '' ORDER BY sample_id) FROM convs_n"""
+
+
+def _sql_rectangle(which: str, sparse: bool) -> str:
+    cell = "(b.sample_id + 1)::VARCHAR || ':' || p.common::VARCHAR" if sparse else "coalesce(p.common, 0)::VARCHAR"
+    return f"""WITH {sql_set("items")}, {sql_set("convs")},
+pairs AS (SELECT x.sample_id AS row_id, y.sample_id AS col_id, count(*)::BIGINT AS common FROM items x JOIN convs y ON x.kmer = y.kmer GROUP BY 1, 2),
+cells AS (SELECT a.sample_id AS row_id, string_agg({cell} || ',', '' ORDER BY b.sample_id) AS c
+  FROM items_n a CROSS JOIN convs_n b {"" if sparse else "LEFT "}JOIN pairs p ON p.row_id = a.sample_id AND p.col_id = b.sample_id GROUP BY 1)
+SELECT n.sample_id AS at, n.sample_id::VARCHAR || ',' || n.n_kmers::VARCHAR || ',' || coalesce(c, '') AS line FROM items_n n LEFT JOIN cells ON row_id = n.sample_id WHERE {which}
+{_RECTANGLE_HEAD}"""
+
+
+@query(_sql_rectangle("true", True))
+def new2all_sparse_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new, index = benchmark(spark, sf_dir), conversations(spark, sf_dir)
+    return render.counts_lines(new.samples, index.samples, overlap.new2all(new.postings, index.postings), K, 1.0, sparse=True)
+
+
+@query(_sql_rectangle("true", False))
+def new2all_dense_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new, index = benchmark(spark, sf_dir), conversations(spark, sf_dir)
+    return render.counts_lines(new.samples, index.samples, overlap.new2all_dense(new.postings, new.samples, index.postings, index.samples), K, 1.0)
+
+
+@query(_sql_rectangle("n.sample_id = 0", False))
+def one2all_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, index = first_item(spark, sf_dir), conversations(spark, sf_dir)
+    return render.counts_lines(one.samples, index.samples, modes.one2all(one, index), K, 1.0)
+
+
+# ---- files ----------------------------------------------------------------------------------------------------------
+
+
+def counts_file(spark: SparkSession, sf_dir: str, sparse: bool) -> str:
+    """A table of the counts of all conversations, as a file."""
+    path, index = work_path(spark, "counts"), conversations(spark, sf_dir)
+    pairs = overlap.all2all(index.postings) if sparse else overlap.all2all_dense(index.postings, index.samples)
+    render.write_lines(render.counts_lines(index.samples, index.samples, pairs, K, 1.0, sparse), path)
+    return path
+
+
+@query(f"WITH {sql_set('convs')}, {sql_pairs('pairs', 'convs')} SELECT {_PAIR} FROM pairs")
+def counts_reader_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_counts_table(spark, counts_file(spark, sf_dir, False)).pairs
+
+
+@query(f"WITH {sql_set('convs')}, {sql_pairs('pairs', 'convs')} SELECT {_PAIR} FROM pairs")
+def counts_reader_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_counts_table(spark, counts_file(spark, sf_dir, True)).pairs
+
+
+@query(
+    f"""WITH {sql_set("convs")}, {sql_pairs("pairs", "convs")}, {sql_sized("sized", "pairs", "convs", "convs")},
+cells AS (SELECT row_id, string_agg((col_id + 1)::VARCHAR || ':' || {_NUMBER.format(v=SQL_MEASURES["mash"])} || ',', '' ORDER BY col_id) AS c FROM sized WHERE {_M} >= 0.01 AND {SQL_MEASURES["mash"]} <= 0.9 GROUP BY 1)
+SELECT n.sample_id::VARCHAR || ',' || coalesce(c, '') AS line FROM convs_n n LEFT JOIN cells ON row_id = n.sample_id
+UNION ALL SELECT 'kmer-length: {K} fraction: 1 ,' || string_agg(sample_id::VARCHAR || ',', '' ORDER BY sample_id) FROM convs_n"""
+)
+def distance_sparse_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a sparse table of counts to one of values, file to file; the bound without a name is for the measure."""
+    target = work_path(spark, "values")
+    modes.distance(spark, counts_file(spark, sf_dir, True), target, "mash", at_least=["min:0.01"], at_most=["0.9"])
+    return spark.read.text(target).withColumnRenamed("value", "line")
+
+
+@query(
+    _TRIANGLE.format(sql_set("convs"), sql_pairs("pairs", "convs"), "convs")
+    + f""", cells AS (SELECT row_id, string_agg({_NUMBER.format(v="x")} || ',', '' ORDER BY col_id) AS c FROM v GROUP BY 1)
+SELECT n.sample_id::VARCHAR || ',' || coalesce(c, '') AS line FROM convs_n n LEFT JOIN cells ON row_id = n.sample_id
+UNION ALL SELECT 'kmer-length: {K} fraction: 1 ,' || string_agg(sample_id::VARCHAR || ',', '' ORDER BY sample_id) FROM convs_n"""
+)
+def distance_dense_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the lower triangle of counts to that of values, file to file."""
+    target = work_path(spark, "values")
+    modes.distance(spark, counts_file(spark, sf_dir, False), target, "jaccard")
+    return spark.read.text(target).withColumnRenamed("value", "line")
+
+
+def item_files(spark: SparkSession, sf_dir: str) -> str:
+    """A list file of FASTA files, with a record for each benchmark item; gzip files, of which the list leaves out the ending."""
+    path = work_path(spark, "fasta")
+    text = F.translate("text", "\r\n>", "...")  # no letters, so that no word crosses them
+    record = F.concat(F.lit(">"), F.col("item_id").cast("string"), F.lit(" item\n"), text)
+    table(spark, sf_dir, "benchmark").repartition(2, "item_id").select(record).write.option("compression", "gzip").text(f"{path}/files")
+    names = [n for n in store.children(spark, f"{path}/files") if n.endswith(".txt.gz")]
+    spark.createDataFrame([(f"{path}/files/{n.removesuffix('.gz')}",) for n in names], "value string").coalesce(1).write.text(f"{path}/list")
+    return f"{path}/list"
+
+
+@query(f"WITH {sql_set('items')} SELECT sample_id::VARCHAR AS name, n_kmers FROM items_n")
+def fasta_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sample for each record of some gzip FASTA files."""
+    return read_samples(spark, item_files(spark, sf_dir), AA, "multisample-fasta").samples.select("name", "n_kmers")
+
+
+@query(f"WITH {sql_set('items')} SELECT count(DISTINCT kmer)::BIGINT AS n_kmers FROM items")
+def fasta_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sample for each file: all their words together are those of all records."""
+    index = read_samples(spark, item_files(spark, sf_dir), AA)
+    return index.postings.agg(F.countDistinct("kmer").alias("n_kmers"))
+
+
+@query(f"WITH {sql_set('items', Settings(6, 'aa'))}, {sql_hashed('hashed', 'items', Settings(6, 'aa'))} SELECT sample_id::VARCHAR AS name, kmer FROM hashed WHERE {_bounds_sql(0.25)}")
+def sketch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketch files of words that are stored spread out, written and read back."""
+    settings, folder = Settings(6, "aa", fraction=0.25), work_path(spark, "sketches")
+    modes.sketch(*texts(spark, sf_dir, "benchmark", "item_id"), folder, settings)
+    names = [n for n in store.children(spark, folder) if n.endswith(".minhash")]
+    spark.createDataFrame([(f"{folder}/{n.removesuffix('.minhash')}",) for n in names], "value string").coalesce(1).write.text(f"{folder}-list")
+    index = read_samples(spark, f"{folder}-list", settings, "sketch")
+    return spelled(index.postings, settings).join(index.samples, "sample_id").select("name", "kmer")

@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.order import numbered
+from .paths import exists, qualified, with_file_number
+
 #: Endings that a listed path may leave out, in the order in which they are tried.
 SUFFIXES = ("", ".fa", ".fna", ".fasta", ".gz", ".fa.gz", ".fna.gz", ".fasta.gz")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
-def resolve(spark: SparkSession, paths: list[str]) -> list[str]:
+def resolve(spark: SparkSession, paths: list[str], suffixes: tuple[str, ...] = SUFFIXES) -> list[str]:
     """Each path with the first ending under which there is a file; an error if there is none."""
     out = []
     for path in paths:
-        found = next((path + s for s in SUFFIXES if _exists(spark, path + s)), None)
+        found = next((path + s for s in suffixes if exists(spark, path + s)), None)
         if found is None:
-            raise FileNotFoundError(f"{path}, with any of the endings {SUFFIXES}")
+            raise FileNotFoundError(f"{path}, with any of the endings {suffixes}")
         out.append(found)
     return out
 
@@ -33,27 +31,25 @@ def listed(spark: SparkSession, path: str) -> list[str]:
 
 
 def records(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, file_no, at, record, name, seq) of each record.
+    """(file_no, at, record, name, seq) of each record.
 
     Files are read record by record: ``>`` ends one wherever it stands, and plain files are split among tasks.
     """
     files = resolve(spark, paths)
-    order = spark.createDataFrame([(k, f.rsplit("/", 1)[-1], f) for k, f in enumerate(files)], "file_no int, file string, _path string")
-    text = spark.read.option("lineSep", ">").text(files)
+    text = spark.read.option("lineSep", ">").text(sorted({qualified(spark, f) for f in files}))
     text = text.select("value", F.col("_metadata.file_path").alias("_found"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("record"))
-    text = text.where(F.trim(F.translate("value", "\r\n", "")) != "")
-    # a listed path may lack the scheme that the reader adds
-    joined = text.join(F.broadcast(order), F.expr("endswith(_found, _path)"))
+    text = with_file_number(spark, text.where(F.trim(F.translate("value", "\r\n", "")) != ""), "_found", files)
     header = F.regexp_replace(F.substring_index("value", "\n", 1), "\r", "")
     body = F.when(F.instr("value", "\n") > 0, F.expr("substring(value, instr(value, '\n') + 1)")).otherwise("")
-    return joined.select("file", "file_no", "at", "record", F.substring_index(header, " ", 1).alias("name"), F.translate(body, "\r\n", "").alias("seq"))
+    return text.select("file_no", "at", "record", F.substring_index(header, " ", 1).alias("name"), F.translate(body, "\r\n", "").alias("seq"))
 
 
 def read_fasta(spark: SparkSession, paths: list[str], multisample: bool = False) -> tuple[DataFrame, DataFrame]:
     """(samples, sequences): samples (sample_id, name), sequences (sample_id, seq).
 
-    One file is one sample, named after the file; with ``multisample`` each record is, named by its header up to the
-    first space. Ids follow the order of files and records. Names may repeat: ids tell samples apart.
+    One file is one sample, named after the file as listed; with ``multisample`` each record is, named by its header up to
+    the first space. Ids follow the order of files and records. Names may repeat: ids tell samples apart. A file without a
+    record is a sample without a word, or no sample with ``multisample``.
     """
     found = records(spark, paths)
     if not multisample:
@@ -61,6 +57,6 @@ def read_fasta(spark: SparkSession, paths: list[str], multisample: bool = False)
         samples = spark.createDataFrame(names, "sample_id long, name string")
         return samples, found.select(F.col("file_no").cast("long").alias("sample_id"), "seq")
     keys = ["file_no", "at", "record"]
-    # only names and places are sorted as one, never sequences
-    ids = found.select(*keys, "name").withColumn("sample_id", (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))
+    # names and places are put in order, never sequences
+    ids = numbered(found.select(*keys, "name"), ["file_no", "at"], ["record"], "sample_id")
     return ids.select("sample_id", "name"), found.join(ids.select(*keys, "sample_id"), keys).select("sample_id", "seq")

@@ -2,31 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.order import numbered_names
 from ..plans.store import extend
 
 
-def extend_from_stream(stream: DataFrame, path: str, checkpoint: str, name: str = "name", seq: str = "seq", trigger: dict | None = None) -> StreamingQuery:
-    """Append each micro-batch of (name, seq) to the index at ``path``; all rows of a name in a batch are one sample.
+def add_batch(batch: DataFrame, number: int, path: str, stream: str = "stream", name: str = "name", seq: str = "seq") -> None:
+    """Add the rows (name, seq) of a micro-batch to the index at ``path``; all rows of a name are one sample.
 
-    The index is the state: ids follow those it has. A batch that is run again after a failure is known by its number,
-    kept with its samples' names, and skipped if it was finished.
+    The batch is a part of the index, named by its stream and number. It is complete or isn't there, so a batch that is run
+    again after a failure is added once.
     """
+    rows = batch.select(F.col(name).alias("name"), F.col(seq).alias("seq"))
+    ids = numbered_names(rows.select("name").distinct())
+    extend(batch.sparkSession, path, ids.select("sample_id", "name"), rows.join(ids, "name").select("sample_id", "seq"), f"{stream}-{number:012}")
+
+
+def extend_from_stream(
+    stream: DataFrame, path: str, checkpoint: str, name: str = "name", seq: str = "seq", trigger: dict | None = None, stream_name: str = "stream"
+) -> StreamingQuery:
+    """Add each micro-batch of (name, seq) to the index at ``path``. Streams that feed one index need names of their own, and
+    must not run at once."""
 
     def grow(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        done = f"{path}/batches"
-        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{done}/batch={number}/_SUCCESS")
-        if fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
-            return
-        names = batch.select(F.col(name).alias("name")).distinct()
-        ids = names.withColumn("sample_id", (F.row_number().over(Window.orderBy("name")) - 1).cast("long"))
-        sequences = batch.join(ids, F.col(name) == F.col("name")).select("sample_id", F.col(seq).alias("seq")) if name != "name" else batch.join(ids, "name").select("sample_id", F.col(seq).alias("seq"))
-        extend(spark, path, ids.select("sample_id", "name"), sequences)
-        names.write.mode("overwrite").parquet(f"{done}/batch={number}")
+        add_batch(batch, number, path, stream_name, name, seq)
 
     writer = stream.writeStream.foreachBatch(grow).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import ast
+import gzip
 import math
 import random
 from itertools import combinations
 from pathlib import Path
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from setloom.functions import hashing
@@ -17,7 +19,8 @@ from setloom.functions.metrics import measure
 from setloom.operators import extract, overlap, select
 from setloom.plans import modes, render, store
 from setloom.plans.store import Settings
-from setloom.sources import counts_table, fasta, sketches
+from setloom.sources import counts_table, dispatch, fasta, sketches
+from setloom.streaming.extend import add_batch, extend_from_stream
 
 K = 5
 PACKAGE = Path(__file__).parent.parent / "setloom"
@@ -171,15 +174,138 @@ def test_sketch_files(spark, tmp_path):
 
 
 def test_stream_extends_an_index(spark, index, sequences, tmp_path):
-    from setloom.streaming.extend import extend_from_stream
-
     path, source = f"file://{tmp_path}/index", f"{tmp_path}/in"
     empty = spark.createDataFrame([], "sample_id long, name string"), spark.createDataFrame([], "sample_id long, seq string")
     store.save(store.build(*empty, Settings(K)), path)
     spark.createDataFrame([(f"s{i:02}", s) for i, s in sequences], "name string, seq string").coalesce(1).write.parquet(source)
     stream = spark.readStream.schema("name string, seq string").parquet(source)
     extend_from_stream(stream, path, f"file://{tmp_path}/checkpoint").awaitTermination()
+    grown = store.load(spark, path)
+    number = {r.sample_id: int(r.name[1:]) for r in grown.samples.collect()}
+    assert {tuple(sorted((number[i], number[j]), reverse=True)): c for (i, j), c in as_pairs(modes.all2all(grown)).items()} == expected(sequences)
+
+
+def test_fasta_files_with_clashing_and_odd_paths(spark, tmp_path):
+    """Each file's sequences are its own sample's, whatever the paths; compressed files are read by their ending."""
+    files = {"d/x/a.fa": "ACGTACGTA", "q/d/x/a.fa": "GGGGGGG", "with space/b+c%20.fna": "TTTTTTC", "empty.fasta": ""}
+    for name, seq in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f">r\n{seq}\n" if seq else "")
+    (tmp_path / "z.fa.gz").write_bytes(gzip.compress(b">g one\nACGGG\nTT\n>h\nCC\n"))
+    (tmp_path / "s.fa.zst").write_bytes(zstandard.compress(b">s\nCATCAT\n"))
+    paths = [f"{tmp_path}/{n}" for n in ("d/x/a", "q/d/x/a.fa", "with space/b+c%20", "empty", "z", "s.fa.zst")]
+    samples, seqs = fasta.read_fasta(spark, paths)
+    got = {}
+    for r in seqs.collect():
+        got.setdefault(r.sample_id, []).append(r.seq)
+    assert {k: sorted(v) for k, v in got.items()} == {0: ["ACGTACGTA"], 1: ["GGGGGGG"], 2: ["TTTTTTC"], 4: ["ACGGGTT", "CC"], 5: ["CATCAT"]}
+    assert samples.count() == 6
+    twice, seqs = fasta.read_fasta(spark, [paths[4], paths[0], paths[4]], multisample=True)
+    assert [(r.sample_id, r.name) for r in twice.orderBy("sample_id").collect()] == [(0, "g"), (1, "h"), (2, "r"), (3, "g"), (4, "h")]
+    assert {r.sample_id: r.seq for r in seqs.collect()} == {0: "ACGGGTT", 1: "CC", 2: "ACGTACGTA", 3: "ACGGGTT", 4: "CC"}
+
+
+def test_sources_by_list_file(spark, index, sequences, tmp_path):
+    (tmp_path / "fa").mkdir()
+    for i, seq in sequences:
+        (tmp_path / "fa" / f"s{i}.fna").write_text(f">c\n{seq}\n")
+    (tmp_path / "list").write_text("\n".join(f"{tmp_path}/fa/s{i}" for i, _ in sequences))
+    read = dispatch.read_samples(spark, f"{tmp_path}/list", Settings(K))
+    assert as_pairs(modes.all2all(read)) == expected(sequences)
+    assert dispatch.read_samples(spark, f"{tmp_path}/fa/s0.fna", Settings(K)).samples.count() == 1
+    index.postings.join(index.samples, "sample_id").select("name", "kmer").write.parquet(f"{tmp_path}/words")
+    words = dispatch.read_samples(spark, f"{tmp_path}/words", Settings(K))
+    assert words.samples.agg(F.sum("n_kmers")).first()[0] == index.samples.agg(F.sum("n_kmers")).first()[0]
+    with pytest.raises(ValueError, match="unknown format"):
+        dispatch.read_samples(spark, f"{tmp_path}/list", Settings(K), "bam")
+
+
+def test_sketch_files_meet_an_index_of_sequences(spark, sequences, tmp_path):
+    """Words of 18 letters are stored spread over 40 bits, but are the index's own once read."""
+    settings = Settings(18, fraction=0.5)
+    samples = spark.createDataFrame([(i, f"s{i}") for i, _ in sequences], "sample_id long, name string")
+    seqs = spark.createDataFrame(sequences, "sample_id long, seq string")
+    modes.sketch(samples, seqs, f"{tmp_path}/sk", settings)
+    found, post, config = sketches.read_sketches(spark, [f"{tmp_path}/sk/s{i}" for i, _ in sequences])
+    want = {tuple(r) for r in store.build(samples, seqs, settings).postings.collect()}
+    assert config == {"k": 18, "fraction": 0.5} and {tuple(r) for r in post.collect()} == want and want
+    raw = (tmp_path / "sk" / "s0.minhash").read_bytes()
+    n = int.from_bytes(raw[4:12], "little")
+    stored = [int.from_bytes(raw[12 + 8 * j : 20 + 8 * j], "little") for j in range(n)]
+    assert stored == sorted(stored) and all((w >> 4) & 15 == w & 15 for w in stored)
+    with pytest.raises(ValueError, match="one name"):
+        modes.sketch(samples.withColumn("name", F.lit("x")), seqs, f"{tmp_path}/sk2", settings)
+
+
+class Stop(Exception):
+    pass
+
+
+@pytest.mark.parametrize("after", [0, 1])
+def test_a_failed_extension_leaves_no_trace(spark, sequences, tmp_path, monkeypatch, after):
+    """Stopped before or after the postings are written, an extension can be made again, and a batch is added once."""
+    path, schema = f"file://{tmp_path}/index", ("sample_id long, name string", "sample_id long, seq string")
+
+    def some(rows):
+        return spark.createDataFrame([(k, f"s{i}") for k, (i, _) in enumerate(rows)], schema[0]), spark.createDataFrame([(k, s) for k, (_, s) in enumerate(rows)], schema[1])
+
+    store.build_stored(spark, path, *some(sequences[:10]), Settings(K))
+    fail = lambda *_, **__: (_ for _ in ()).throw(Stop())
+    with monkeypatch.context() as m:
+        m.setattr(store, *(("cardinalities", fail) if after else ("postings", fail)))
+        with pytest.raises(Stop):
+            store.extend(spark, path, *some([(0, "ACGTTGCATGCA")]))
+        with pytest.raises(Stop):
+            add_batch(spark.createDataFrame([("x", "ACGTTGCATGCA")], "name string, seq string"), 0, path)
+    assert store.load(spark, path).samples.count() == 10
+    store.extend(spark, path, *some(sequences[10:]))
     assert as_pairs(modes.all2all(store.load(spark, path))) == expected(sequences)
+    for _ in range(2):
+        add_batch(spark.createDataFrame([("x", "ACGTTGCATGCA"), ("y", "ACG"), ("x", "TTTTTT")], "name string, seq string"), 0, path)
+    grown = store.load(spark, path).samples
+    assert grown.count() == len(sequences) + 2 == grown.select("sample_id").distinct().count()
+    assert {r.name: r.n_kmers for r in grown.where("name in ('x', 'y')").collect()} == {"x": len(words_of("ACGTTGCATGCA", K) | words_of("TTTTTT", K)), "y": 0}
+
+
+def test_frequent_words_are_joined_in_chunks(index, sequences):
+    want = expected(sequences)
+    assert all(as_pairs(overlap.all2all(index.postings, chunk=c)) == want for c in (1, 2, 3, 5))
+    sized = overlap.all2all(index.postings, index.samples, 0.5, 2, chunk=2)
+    sizes = {i: len(words_of(s, K)) for i, s in sequences}
+    assert as_pairs(sized) == {(i, j): c for (i, j), c in want.items() if min(sizes[i], sizes[j]) >= max(2, 0.5 * max(sizes[i], sizes[j]))}
+
+
+def test_one_against_an_index(spark, index, sequences):
+    one = store.build(spark.createDataFrame([(0, "q")], "sample_id long, name string"), spark.createDataFrame([(0, sequences[4][1])], "sample_id long, seq string"), Settings(K))
+    got = {r.col_id: r.common for r in modes.one2all(one, index).collect()}
+    assert got == {i: len(words_of(s, K) & words_of(sequences[4][1], K)) for i, s in sequences}
+    with pytest.raises(ValueError, match="one sample"):
+        modes.one2all(index, index)
+
+
+def test_distances_of_tables(spark, index, sequences, tmp_path):
+    """A sparse table gives a sparse one whatever is asked; dense and Phylip tables are triangles, without bounds."""
+    sizes = {i: len(words_of(s, K)) for i, s in sequences}
+    jaccard = {k: c / (sizes[k[0]] + sizes[k[1]] - c) for k, c in expected(sequences).items()}
+    for sparse in (True, False):
+        pairs = modes.all2all(index) if sparse else overlap.all2all_dense(index.postings, index.samples)
+        render.write_lines(render.counts_lines(index.samples, index.samples, pairs, K, 1.0, sparse), f"{tmp_path}/c{sparse}")
+        table = counts_table.read_counts_table(spark, f"{tmp_path}/c{sparse}")
+        lines = [r.line.split(",")[1:-1] for r in modes.distance_lines(table, "jaccard", at_least=["0.1"]).orderBy("at").collect()][1:]
+        if sparse:
+            assert lines == [[f"{j + 1}:{jaccard[i, j]:.6f}" for j in range(i) if jaccard.get((i, j), 0) >= 0.1] for i in sizes]
+        else:
+            assert [len(x) for x in lines] == list(sizes) and all(float(v) == pytest.approx(jaccard.get((i, j), 0), abs=1e-6) for i, x in enumerate(lines) for j, v in enumerate(x))
+        phylip = [r.line for r in modes.distance_lines(table, "jaccard", phylip=True, at_least=["0.1"]).orderBy("at").collect()]
+        assert phylip[0] == str(len(sizes)) and [len(x.split()) for x in phylip[1:]] == [i + 1 for i in sizes]
+
+
+def test_lists_of_stored_indexes(spark, index, sequences, tmp_path):
+    for part, rows in enumerate((sequences[:8], sequences[8:])):
+        samples = spark.createDataFrame([(k, f"s{i}") for k, (i, _) in enumerate(rows)], "sample_id long, name string")
+        store.build_stored(spark, f"{tmp_path}/i{part}", samples, spark.createDataFrame([(k, s) for k, (_, s) in enumerate(rows)], "sample_id long, seq string"), Settings(K))
+    (tmp_path / "list").write_text(f"{tmp_path}/i0 {tmp_path}/i1\n")
+    assert as_pairs(modes.all2all_listed(spark, f"{tmp_path}/list")[1]) == expected(sequences)
 
 
 def test_nothing_else_imports_the_llm_subpackage():
