@@ -214,7 +214,7 @@ def test_sources_by_list_file(spark, index, sequences, tmp_path):
     assert as_pairs(modes.all2all(read)) == expected(sequences)
     assert dispatch.read_samples(spark, f"{tmp_path}/fa/s0.fna", Settings(K)).samples.count() == 1
     index.postings.join(index.samples, "sample_id").select("name", "kmer").write.parquet(f"{tmp_path}/words")
-    words = dispatch.read_samples(spark, f"{tmp_path}/words", Settings(K))
+    words = dispatch.read_samples(spark, f"{tmp_path}/words", Settings(K), "words")
     assert words.samples.agg(F.sum("n_kmers")).first()[0] == index.samples.agg(F.sum("n_kmers")).first()[0]
     with pytest.raises(ValueError, match="unknown format"):
         dispatch.read_samples(spark, f"{tmp_path}/list", Settings(K), "bam")
