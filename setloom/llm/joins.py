@@ -14,21 +14,27 @@ FILTER_IDS = 1 << 24
 _BITMAP_BITS = 32768
 
 
-def salted_join(rows: DataFrame, table: DataFrame, key: str, weight: str, spread: Column, how: str = "inner", total: int | None = None) -> DataFrame:
-    """``rows`` with the columns of ``table``, which has a row a key and in ``weight`` how many of ``rows`` have that key.
+def salted_join(rows: DataFrame, table: DataFrame, key: str, weight: str, spread: Column, how: str = "inner", total: int | None = None, weights: DataFrame | None = None) -> DataFrame:
+    """``rows`` with the columns of ``table``, in which ``weight`` says how many of ``rows`` have a row's key.
 
-    Rows of a hot key are dealt to as many salts as it takes for each to hold a 256th of all rows at most; the table's row
-    is repeated once a salt. ``spread`` tells a key's rows apart. ``_salt`` and ``_salts`` stay in the result. ``total`` is
-    the number of all rows (left out: the sum of the weights). The table is read twice.
+    Rows of a hot key are dealt to as many salts as it takes for each to hold a 256th of all rows at most; the table's rows
+    are repeated once a salt. ``spread`` tells a key's rows apart. ``_salt`` and ``_salts`` stay in the result. ``total`` is
+    the number of all rows (left out: the sum of the weights). The weights are read twice. If the table has several rows a
+    key, or no weights, they are given apart as ``weights`` (key, weight), one row a key.
     """
+    counted = table if weights is None else weights
     if total is None:
-        total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+        total = counted.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
     salts = F.greatest(F.ceil(F.col(weight) * HOT_SHARE / F.lit(max(1, total))), F.lit(1)).cast("int")
-    salted = table.withColumn("_salts", salts)
-    hot = salted.where("_salts > 1").select(F.col(key).alias("_hot_key"), F.col("_salts").alias("_hot"))  # at most HOT_SHARE rows
-    mine = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    salted = counted.withColumn("_salts", salts)
+    hot = F.broadcast(salted.where("_salts > 1").select(F.col(key).alias("_hot_key"), F.col("_salts").alias("_hot")))  # at most HOT_SHARE rows
+    mine = rows.join(hot, F.col(key) == F.col("_hot_key"), "left")
     mine = mine.withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_hot", F.lit(1))).cast("int")).drop("_hot_key", "_hot")
-    return mine.join(salted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))), [key, "_salt"], how)
+    if weights is None:
+        keyed = salted
+    else:
+        keyed = table.join(hot, F.col(key) == F.col("_hot_key"), "left").withColumn("_salts", F.coalesce("_hot", F.lit(1))).drop("_hot_key", "_hot")
+    return mine.join(keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))), [key, "_salt"], how)
 
 
 def filter_bits(n: int) -> int:

@@ -11,19 +11,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder and has its executors on one machine.
-LOCAL_DEFAULT = "/tmp/checkpoints"
+from ..sources.paths import work_folder
+
 #: A name for the folders of this session.
 _RUN = uuid.uuid4().hex
 
 
 def shared_base(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
-        base = LOCAL_DEFAULT
-    return f"{base.rstrip('/')}/setloom/{_RUN}"
+    return f"{work_folder(spark)}/setloom/{_RUN}"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

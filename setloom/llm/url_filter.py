@@ -4,7 +4,8 @@ Each URL is expanded into the expressions that a rule could be written for: ever
 times every prefix of its path that ends in a slash. Rules are keyed the same way (a rule whose path does not end
 in a slash is keyed by the part up to its last slash). URLs and rules meet in an equi-join on a short prefix of the
 key's SHA-256; the full digest and the rule's whole path are confirmed after it. Of the rules that fit, the longest
-wins.
+wins. Expressions that a filter of the rules' digests rules out aren't joined, and those of a hot key are dealt to many
+tasks.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, and no rule fits it. Repeated URLs
 are judged once. Repeated rules count once; of two rules of one length, the one with the longer host wins, then the
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .joins import maybe_among, salted_join
+from .store import settle
 from .text import ascii_lower, or_empty
 
 #: Hex digits of a digest that the join compares: 32 bits.
@@ -71,26 +74,29 @@ def expand(pairs: DataFrame, labels: int, depth: int) -> DataFrame:
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with host, path, the rule that decides (null: none) and the verdict."""
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    seen = pages.withColumn("_url", F.col(f"`{url}`")).select(
-        *[F.col(f"`{c}`") for c in kept], url_host(F.col("_url")).alias("host"), url_path(F.col("_url")).alias("path")
-    )
+    whole = F.struct(*[F.col(f"`{c}`") for c in kept], F.lit(0).alias("_end")).alias("_page")
+    seen = pages.select(whole, url_host(F.col(f"`{url}`")).alias("host"), url_path(F.col(f"`{url}`")).alias("path"))
     keys = _rule_keys(rules)
+
+    def result(rows: DataFrame, rule: Column, verdict: Column) -> DataFrame:
+        return rows.select(*[F.col(f"_page.`{c}`").alias(c) for c in kept], "host", "path", rule.alias("rule"), verdict.alias("verdict"))
+
     labels, depth = keys.agg(F.coalesce(F.max("_labels"), F.lit(0)), F.coalesce(F.max("_depth"), F.lit(0))).first()
-    wide = expand(seen.select("host", "path").where("path <> ''").distinct(), labels, depth) if labels else None
-    if wide is None:
-        return seen.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
+    if not labels:
+        return result(seen, F.lit(None).cast("string"), F.lit(default))
+    urls = settle(seen.where("path <> ''").groupBy("host", "path").agg(F.count(F.lit(1)).alias("_n")), "urls")
+    # most expressions are no rule's: a filter on the rules' digests keeps them out of the join
+    wide = maybe_among(expand(urls.select("host", "path"), labels, depth), F.col("_digest"), keys, "_digest").where("_maybe").drop("_maybe")
     rank = F.struct(
         (F.char_length("_rule_host") + F.char_length("_rule_path")).alias("length"),
         F.char_length("_rule_host").alias("host_length"),
         F.col("_rule_verdict").alias("verdict"),
         F.concat("_rule_host", "_rule_path").alias("rule"),
     )
-    hits = (
-        wide.join(keys.withColumnRenamed("_digest", "_rule_digest"), "_short")
-        .where((F.col("_digest") == F.col("_rule_digest")) & F.expr("startswith(path, _rule_path)"))
-        .groupBy("host", "path")
-        .agg(F.max(rank).alias("_best"))
-        .select("host", "path", F.col("_best.rule").alias("rule"), F.col("_best.verdict").alias("_verdict"))
-    )
-    out = seen.join(hits, ["host", "path"], "left")
-    return out.select(*[F.col(f"`{c}`") for c in kept], "host", "path", "rule", F.coalesce("_verdict", F.lit(default)).alias("verdict"))
+    met = salted_join(wide, keys.withColumnRenamed("_digest", "_rule_digest"), "_short", "_n", F.concat("host", "path"), weights=wide.groupBy("_short").agg(F.count(F.lit(1)).alias("_n")))
+    hits = met.where((F.col("_digest") == F.col("_rule_digest")) & F.expr("startswith(path, _rule_path)")).groupBy("host", "path").agg(F.max(rank).alias("_best"))
+    hits = settle(hits.join(urls, ["host", "path"]).select(F.struct("host", "path").alias("_url"), "_n", "_best"), "hits")
+    # URLs without a path meet no rule, and stay out of the join
+    bare = result(seen.where("path = ''"), F.lit(None).cast("string"), F.lit(default))
+    found = salted_join(seen.where("path <> ''").withColumn("_url", F.struct("host", "path")), hits, "_url", "_n", F.xxhash64("_page"), "left", urls.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
+    return bare.unionAll(result(found, F.col("_best.rule"), F.coalesce("_best.verdict", F.lit(default))))

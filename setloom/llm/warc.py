@@ -17,21 +17,27 @@ percent-encoded; a null URL leaves its header out. Empty tables give empty resul
 from __future__ import annotations
 
 import hashlib
+import io
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.paths import qualified
 from .joins import maybe_among, salted_join
 from .store import settle, shared_folder
 
 MIN_REVISIT_BYTES = 100
 #: Records of one archive at most.
 ARCHIVE_RECORDS = 50_000
+#: Records whose offsets a task passes on at once.
+INDEX_ROWS = 10_000
 #: Bytes of a stream that are inflated at once.
 CHUNK = 1 << 18
 _END = b"\r\n\r\n"
@@ -82,11 +88,10 @@ def write_archives(pages: DataFrame, path: str) -> None:
     lines.write.option("compression", "gzip").option("lineSep", _END.decode()).option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
 
 
-def inflated(raw: pa.Buffer) -> Iterator[bytes]:
-    """The bytes of a gzip file of one or more members, piece by piece."""
-    view, stream = memoryview(raw), zlib.decompressobj(31)
-    for at in range(0, len(view), CHUNK):
-        rest = bytes(view[at : at + CHUNK])
+def inflated(read: Callable[[int], bytes]) -> Iterator[bytes]:
+    """The bytes of a gzip file of one or more members, piece by piece. ``read`` gives so many more bytes, none at the end."""
+    stream = zlib.decompressobj(31)
+    while rest := read(CHUNK):
         while rest:
             if stream.eof:
                 stream = zlib.decompressobj(31)
@@ -136,19 +141,30 @@ def _page(urn: str | None) -> str | None:
     return urn[len("<urn:page:") : -1] or None if urn else None
 
 
+def _arrow_uri(path: str) -> str:
+    """A path with a scheme as Arrow writes it: Hadoop leaves out the empty authority, and doesn't escape."""
+    return quote(re.sub("^([a-z0-9+.-]+):/(?!/)", r"\1:///", path), safe="/:")
+
+
 def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
-    """Rewrite the archives below ``source`` to ``target``, a record a member; returns the sidecar index, settled."""
-    files = spark.read.format("binaryFile").load(source).select("path", "content")
+    """Rewrite the archives below ``source`` to ``target``, a record a member; returns the sidecar index, settled.
+
+    Tasks get the archives' paths, and read and write them through Arrow's file systems, a piece at a time.
+    """
+    files = spark.read.format("binaryFile").load(source).select("path")
+    into = _arrow_uri(qualified(spark, target))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = pafs.FileSystem.from_uri(target)
+        store, folder = pafs.FileSystem.from_uri(into)
         store.create_dir(folder)
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for path in b.column(0).to_pylist():
                 name = path.rsplit("/", 1)[-1].split(".")[0] + ".warc.gz"
                 part, at, rows = f"{folder}/.{name}.{uuid.uuid4().hex}", 0, []
-                with store.open_output_stream(part) as out:
-                    for fields, whole, _ in records(inflated(content.as_buffer())):
+                origin, place = pafs.FileSystem.from_uri(_arrow_uri(path))
+                # the archive is inflated here, once
+                with origin.open_input_stream(place, compression=None) as archive, store.open_output_stream(part, compression=None) as out:
+                    for fields, whole, _ in records(inflated(archive.read)):
                         pack = zlib.compressobj(6, zlib.DEFLATED, 31)
                         member = pack.compress(whole) + pack.flush()
                         out.write(member)
@@ -156,6 +172,9 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
                         digest = fields["warc-payload-digest"].removeprefix("sha256:")
                         rows.append((name, at, len(member), _page(fields["warc-record-id"]), fields["warc-type"], body, digest, _page(fields.get("warc-refers-to"))))
                         at += len(member)
+                        if len(rows) == INDEX_ROWS:
+                            yield _index_batch(rows)
+                            rows = []
                 store.move(part, f"{folder}/{name}")
                 yield _index_batch(rows)
 
@@ -171,9 +190,10 @@ def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
 def read_records(index: DataFrame, folder_uri: str) -> DataFrame:
     """Read each record of an index by its offset: page_id, record_type, refers_to, payload (null for a revisit), and
     its digest and size: of what was read for a response, as the record says for a revisit."""
+    origin = _arrow_uri(qualified(index.sparkSession, folder_uri))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = pafs.FileSystem.from_uri(folder_uri)
+        store, folder = pafs.FileSystem.from_uri(origin)
         name, file = None, None
         for b in batches:
             for at in range(0, b.num_rows, 1000):
@@ -184,7 +204,7 @@ def read_records(index: DataFrame, folder_uri: str) -> DataFrame:
                             file.close()
                         name, file = r["archive"], store.open_input_file(f"{folder}/{r['archive']}")
                     file.seek(r["offset"])
-                    fields, _, block = next(records(inflated(file.read_buffer(r["length"]))))
+                    fields, _, block = next(records(inflated(io.BytesIO(file.read(r["length"])).read)))
                     payload = block[block.find(_END) + len(_END) :]
                     kind, digest, size = fields["warc-type"], r["payload_digest"], r["payload_bytes"]
                     if kind == "response":
@@ -204,7 +224,6 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Write pages as archives, normalise these and read them back: a row for each page."""
     spark, kind = pages.sparkSession, pages.schema["page_id"].dataType
     raw, neat = shared_folder(spark, "archives"), shared_folder(spark, "members")
-    neat = neat if "://" in neat else "file://" + neat.removeprefix("file:")
     write_archives(pages, raw)
     read = read_records(normalise(spark, raw, neat), neat)
     return read.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

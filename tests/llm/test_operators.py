@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from setloom.llm import blocks, exact_dedup, joins, mixing, pieces, quality_classifier, quality_rules, simhash, surrogates, token_counts, url_filter, warc
+from setloom.llm import blocks, components, exact_dedup, joins, mixing, pieces, quality_classifier, quality_rules, simhash, surrogates, token_counts, url_filter, warc
 from setloom.llm.queries import ORACLES, QUERIES
 from tests.oracle import TABLES, both
 
@@ -88,9 +88,9 @@ def test_warc(spark, tmp_path):
 def test_warc_members_can_be_reached_alone(spark, tmp_path):
     pages = spark.createDataFrame([(i, "u", f"page {i} " * i) for i in range(1, 40)], "page_id long, url string, html string")
     warc.write_archives(pages.coalesce(2), f"file://{tmp_path}/raw")
-    index = warc.normalise(spark, f"file://{tmp_path}/raw", f"file://{tmp_path}/neat").collect()
+    index = warc.normalise(spark, f"{tmp_path}/raw", f"{tmp_path}/neat 1").collect()
     for r in index:
-        raw = (tmp_path / "neat" / r.archive).read_bytes()[r.offset : r.offset + r.length]
+        raw = (tmp_path / "neat 1" / r.archive).read_bytes()[r.offset : r.offset + r.length]
         member = zlib.decompressobj(31)
         assert f"page {r.page_id} ".encode() in member.decompress(raw) and member.eof and not member.unused_data
     assert len(index) == 39
@@ -393,6 +393,29 @@ def test_url_filter(spark):
     assert len(none) == len(URLS) * 2 and {r.verdict for r in none} == {"allow"}
 
 
+def test_url_filter_with_clashing_columns_and_hot_keys(shuffled):
+    """Half the URLs have one host and path, a quarter none; columns have the names of those within."""
+    urls = ["http://a.net/x/y", None, "http://a.net/x/y", "http://h{}.example.com/de/{}"]
+    rows = [(i, urls[i % 4].format(i, i) if urls[i % 4] else None, "v", "w", "u") for i in range(400)]
+    pages = shuffled.createDataFrame(rows, "page_id long, url string, _verdict string, _url string, _page string")
+    rules = url_filter.rule_table(shuffled, [("net", "/", "block"), ("a.net", "/x/", "allow"), ("a.net", "/x/yy", "block"), ("example.com", "/de/", "block"), ("example.com", "/de/", "allow")])
+    out = url_filter.judge_urls(pages, rules)
+    assert out.columns == [*pages.columns, "host", "path", "rule", "verdict"]
+    want = {0: ("a.net/x/", "allow"), 1: (None, "allow"), 2: ("a.net/x/", "allow"), 3: ("example.com/de/", "block")}
+    got = out.collect()
+    assert len(got) == 400 and all((r.rule, r.verdict) == want[r.page_id % 4] and (r._verdict, r._url, r._page) == ("v", "w", "u") for r in got)
+
+
+def test_components_of_a_star_are_dealt_to_many_tasks(shuffled):
+    edges = shuffled.createDataFrame([(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(20)], "a long, b long")
+    got = {r.node: r.component for r in components.components(edges).collect()}
+    assert got == {i: 0 for i in range(3000)} | {5000 + i: 5000 for i in range(21)}
+    pairs = edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
+    least = pairs.groupBy("node").agg(F.min("other").alias("least"), F.count(F.lit(1)).alias("_n"))
+    met = joins.salted_join(pairs, least, "node", "_n", F.col("other"))
+    assert max(r["count"] for r in met.groupBy("node", "_salt").count().collect()) < 40
+
+
 def plain_fingerprint(text):
     w = words(lowered(text))
     shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
