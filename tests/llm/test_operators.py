@@ -253,6 +253,25 @@ def test_surrogates_replace_credentials_whole(spark):
     assert len(short) == 10 and not short & {t for _, t in rows}
 
 
+def test_surrogates_keep_people_and_networks_what_they_are(spark):
+    rows = [
+        (1, "Mr Kofi Annan and Dr Kofi Annan met Kofi. Annan said so, the Annans did not."),
+        (2, "Dr Γιώργος Παπαδόπουλος; Dr Kofi Annan"), (3, "172.16.0.5 172.40.0.5 127.0.0.1 169.254.3.4 10.1.1.1"),
+        (4, "2001:db8:0:1:2:3:4:5 and fe80:0::1:2, std::vector a::b 12:30:45"), (5, "06 12 34 56 78 or 06.12.34.56.78, 1234 56 78"), (6, "Kofi and Annan without a title"),
+    ]
+    got = {r.doc_id: r.text for r in surrogates.replaced(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    m = re.fullmatch(r"Mr (\w+) (\w+) and Dr (\w+) (\w+) met (\w+)\. (\w+) said so, the Annans did not\.", got[1])
+    assert m and m[1] == m[3] == m[5] != "Kofi" and m[2] == m[4] == m[6] != "Annan" and m[1][-1] in "nsrk"
+    assert re.fullmatch(rf"Dr [Α-Ω]\w+ [Α-Ω]\w+; Dr {m[1]} {m[2]}", got[2]) and "Παπαδόπουλος" not in got[2]
+    ips = got[3].split()
+    assert re.fullmatch(r"172\.(1[6-9]|2\d|3[01])\.\d+\.\d+", ips[0]) and not ips[1].startswith("172.40.") and ips[2].startswith("127.") and ips[3].startswith("169.254.") and ips[4].startswith("10.")
+    assert not set(ips) & set(rows[2][1].split())
+    assert re.fullmatch(r"2001(:[0-9a-f]{1,4}){7} and fe80:[0-9a-f]::[0-9a-f]:[0-9a-f], std::vector a::b 12:30:45", got[4]) and "2001:db8" not in got[4]
+    five = re.fullmatch(r"(0\d(?: \d\d){4}) or (0\d(?:\.\d\d){4}), 1234 56 78", got[5])
+    assert five and five[1].replace(" ", "") == five[2].replace(".", "") != "0612345678"
+    assert got[6] == rows[5][1]
+
+
 def test_surrogates_stay_distinct_in_a_narrow_format(spark):
     entities = spark.createDataFrame([("email", f"{a}@x.org") for a in "abcdefghijklmnopqrstuvwxyz"] + [("ip", f"10.0.0.{i}") for i in range(256)], "kind string, canonical string")
     got = surrogates.assign(entities).collect()
