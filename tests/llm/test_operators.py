@@ -12,6 +12,7 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
@@ -515,6 +516,99 @@ def test_quality_classifier(spark, docs):
     assert {r.score for r in quality_classifier.quality_scores(docs, marks.limit(0)).collect()} == {0.5}
 
 
+def plain_distance(p, q):
+    p, q = np.array(p), np.array(q)
+    m = (p + q) / 2
+    half = lambda x: sum(a * np.log2(a / b) for a, b in zip(x, m, strict=True) if a > 0)
+    return max(0.0, (half(p) + half(q)) / 2) ** 0.5
+
+
+def test_quality_rules_distances_and_verdicts_against_plain_ones(spark):
+    draw = random.Random(8)
+    langs = {"en": "the of and to in is that for".split(), "de": "der die das und den ist ein von".split()}
+    rows = []
+    for i in range(240):
+        lang = ("en", "de")[i % 2]
+        text = prose(draw, langs[lang], draw.randint(40, 300))
+        rows.append((i, text.title() if i % 7 == 0 else text + " 12, 5% # (x)! Ünï" * (i % 5), lang))
+    rows += [(500, "x " * 300, "en"), (501, " ".join(f"#{k}%" for k in range(200)), "en"), (502, None, "de"), (503, prose(draw, langs["de"], 200), "en"), (504, prose(draw, langs["de"], 200), None)]
+    classes = [regex.compile(c) for c in quality_rules.CLASSES]
+
+    def histograms(text):
+        w, spaces = words(text), len(re.findall(r"[\x20\x09-\x0D]", text))
+        counts = [spaces, *(len(c.findall(text)) for c in classes)]
+        common = [w.count(c) for c in quality_rules.COMMON_WORDS]
+        n = max(1, len(text)), max(1, len(w))
+        return [x / n[0] for x in [*counts, max(0, len(text) - sum(counts))]], [x / n[1] for x in [*common, len(w) - sum(common)]]
+
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    hists, sound = {i: histograms(t or "") for i, t, _ in rows}, {}
+    for i, t, lang in rows:
+        if not got[i].base_failed and len(t) >= quality_rules.MIN_CHARS_FOR_CLASSES and got[i].n_words >= quality_rules.MIN_WORDS_FOR_COMMON:
+            sound.setdefault(lang, []).append(i)
+    every = [i for ids in sound.values() for i in ids]
+    mean = lambda ids, kind: np.mean([hists[i][kind] for i in ids], axis=0)
+    assert min(len(sound["en"]), len(sound["de"])) >= quality_rules.MIN_DOCUMENTS
+    for i, t, lang in rows:
+        near = plain_distance(hists[i][0], mean(sound[lang] if lang else every, 0))
+        common = plain_distance(hists[i][1], mean(sound[lang], 1)) if lang else None
+        assert got[i].class_distance == pytest.approx(near, abs=1e-9) and got[i].common_distance == (pytest.approx(common, abs=1e-9) if lang else None)
+        odd = len(t or "") >= quality_rules.MIN_CHARS_FOR_CLASSES and near > quality_rules.MAX_CLASS_DISTANCE
+        odd |= lang is not None and len(words(t)) >= quality_rules.MIN_WORDS_FOR_COMMON and common > quality_rules.MAX_COMMON_DISTANCE
+        assert got[i].kept == (not got[i].base_failed and not odd), i
+    assert not got[501].kept and not got[503].kept and got[504].kept
+
+
+def test_isotonic_means_are_the_least_squares_ones():
+    draw = np.random.default_rng(1)
+    for n in (1, 2, 7, 40):
+        counts, sums = draw.integers(1, 9, n).astype(float), draw.normal(size=n) * 3
+        mean = lambda j, k: sums[j : k + 1].sum() / counts[j : k + 1].sum()  # noqa: E731, B023
+        want = [max(min(mean(j, k) for k in range(i, n)) for j in range(i + 1)) for i in range(n)]
+        assert np.allclose(quality_classifier.pooled(sums, counts), want)
+
+
+def test_features_approximate_the_kernel_and_ridge_is_the_plain_one(spark):
+    draw, size = np.random.default_rng(3), len(quality_classifier.STATISTICS)
+    x = draw.normal(size=(300, size))
+    y = (x[:, 0] > 0).astype(float)
+    blank = quality_classifier.Model(np.zeros(size), np.ones(size), np.zeros(0), np.zeros(0), np.zeros(0))
+    f = blank.features(x)
+    kernel = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1) / (2 * quality_classifier.WIDTH**2))
+    assert np.abs(f[:, :-1] @ f[:, :-1].T - kernel).mean() < 0.06
+    gram, right = f.T @ f, f.T @ y
+    penalty = quality_classifier.RIDGE * max(1.0, np.trace(np.block([[gram, right[:, None]], [right, y @ y]])[:-1, :-1]) / len(gram)) * np.eye(len(gram))
+    penalty[-1, -1] = 1e-9
+    rows = spark.createDataFrame([(list(map(float, a)), float(b)) for a, b in zip(x, y, strict=True)], "x array<double>, y double").repartition(5)
+    assert np.allclose(quality_classifier._fit_ridge(rows, np.zeros(size), np.ones(size)), np.linalg.solve(gram + penalty, right), atol=1e-6)
+
+
+def test_pipeline_stages_of_odd_documents(spark, tmp_path):
+    """Nulls in any column, empty, long and repeated texts, and columns named like those within."""
+    import corpus_pipeline
+
+    draw = random.Random(4)
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, _doc string, kept string, ids string, _salt string, `a b` string, m map<string,int>"
+    rows = [(i, prose(draw, "the of and to in is that for".split(), 150), ["en", None][i % 9 == 0], ["b", "a", None][i % 3], None, "d", None, "i", "s", "c", {"k": i}) for i in range(120)]
+    rows += [(200 + i, rows[i][1].upper(), *rows[i][2:]) for i in range(20)] + [rows[3], rows[3], (3, rows[4][1], *rows[3][2:])]
+    rows += [(None, None, None, None, None, None, None, None, None, None, None), (None, rows[5][1], *rows[5][2:]), (300, "", *rows[0][2:]), (301, rows[6][1] + " word other" * 300_000, *rows[6][2:])]
+    for name, content in (("odd", rows), ("none", [])):
+        spark.createDataFrame(content, kinds).repartition(4).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for k, (stage, run) in enumerate(corpus_pipeline.STAGES):
+            after = run(spark, docs, f"{tmp_path}/{name}")
+            if k < 4:
+                assert after.columns == docs.columns, stage
+            else:
+                assert after.columns == [c for c in docs.columns if c not in ("text", "ids")] + ["ids"]
+            after.write.parquet(f"{tmp_path}/{name}/{k}")
+            docs = spark.read.schema(after.schema).parquet(f"{tmp_path}/{name}/{k}")
+            if k == 1:
+                texts_left = [lowered(r.text) for r in docs.collect()]
+                assert len(texts_left) == len(set(texts_left)) and (name == "none" or len(texts_left) > 100)
+        assert docs.count() == 0 if name == "none" else docs.where("size(ids) > 0").count() == docs.count() > 100
+
+
 @pytest.mark.skipif(not TABLES.exists(), reason="needs the driver's tables")
 def test_pipeline(spark):
     import corpus_pipeline
