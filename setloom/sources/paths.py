@@ -35,7 +35,7 @@ def children(spark: SparkSession, path: str) -> list[str]:
 def work_folder(spark: SparkSession) -> str:
     """The folder that all executors share, for what is written on the way."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local["):
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     return (base or LOCAL_DEFAULT).rstrip("/")
 
