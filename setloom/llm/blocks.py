@@ -14,7 +14,7 @@ if the input is read from storage, or in a fixed order.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ ROW_DOCUMENTS = 64
 #: Rows that are packed for their blocks at once.
 PACK_ROWS = 200_000
 
-Splitter = Callable[[str], list[str]]
+Splitter = Callable[[str], Iterable[str]]
 #: From the places of each document's units, in order, to the numbers that are kept of them.
 Streams = Callable[[list[np.ndarray]], list[np.ndarray]]
 #: From some documents' carried columns and streams to columns of the result.
@@ -106,6 +106,7 @@ def dealt(docs: DataFrame, carried: list[str], splitter: Callable[[], Splitter],
             data = pa.array([[packed(s) for s in streams([rank[p] for p in places])]], pa.list_(pa.binary()))
             yield batch([key], block, np.array([at]), pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole), data)
         none, no_data = pa.list_(whole.type), pa.list_(pa.binary())
+        held.index.default_factory = None  # it refers to the dictionary itself, which would outlive the block
         units = sorted(held.index)  # they compress better
         for at in range(0, len(units), 50_000):
             part = units[at : at + 50_000]
@@ -125,6 +126,7 @@ def dealt(docs: DataFrame, carried: list[str], splitter: Callable[[], Splitter],
                 if held.chars >= BLOCK_CHARS:
                     yield from rows_of(block, held)
                     block, held = block + 1, _Block()
+            del b  # not to be held beside the next one
         if held.rows:
             yield from rows_of(block, held)
 

@@ -24,6 +24,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ from . import blocks
 SPACE = "▁"
 #: The most characters of a unit whose boundaries fit a mask.
 UNIT_CHARS = 62
+#: Characters of a text that are split at once, about.
+STRETCH = 1 << 16
 #: Documents that are decoded at once.
 AT_ONCE = 256
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE, _BPE, _UNIGRAM = 1, 2, 3, 6, 2, 1
@@ -102,9 +105,18 @@ def escaped(text: str) -> str:
 
 
 def splitter(pattern: str) -> blocks.Splitter:
-    """A function from a text to its units."""
-    units = re.compile(pattern).findall
-    return lambda text: units(escaped(text))
+    """A function from a text to its units. A long text is split a stretch at a time: a ``▁`` after another sign begins a unit."""
+    units, boundary = re.compile(pattern).findall, re.compile(f"[^{SPACE}]{SPACE}").search
+
+    def stretches(text: str) -> Iterator[list[str]]:
+        at, end = 0, len(text)
+        while at < end:
+            found = boundary(text, at + STRETCH)
+            to = found.start() + 1 if found else end
+            yield units(text, at, to)
+            at = to
+
+    return lambda text: chain.from_iterable(stretches(escaped(text)))
 
 
 def spans(units: DataFrame, model: Model) -> DataFrame:
