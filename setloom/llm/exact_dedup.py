@@ -45,6 +45,11 @@ def normalised(text: Column) -> Column:
     return ascii_lower(or_empty(text))
 
 
+def digest_of(text: Column) -> Column:
+    """The SHA-256 of a text that isn't null. It is never null, and is said so: else joins test it on every row first."""
+    return F.coalesce(F.unhex(F.sha2(text, 256)), F.lit(b""))
+
+
 class DigestIndex:
     """A log-structured merge index from digest to (keep_id, n) below ``path``; what is there already is opened."""
 
@@ -131,7 +136,7 @@ class DigestIndex:
 def dedup(docs: DataFrame, keep: str = "max", batches: int = BATCHES) -> DataFrame:
     """Per document: doc_id, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
-    digest = F.unhex(F.sha2(normalised(F.col("text")), 256))
+    digest = digest_of(normalised(F.col("text")))
     log = settle(docs.select("doc_id", digest.alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("_batch")), "log", by="_batch")
     rows, index = log.count(), DigestIndex(spark, shared_folder(spark, "index"), keep)
     found = [index.flush(log.where(F.col("_batch") == b).select("doc_id", "digest"), rows) for b in range(batches)]
@@ -149,10 +154,12 @@ def dedup(docs: DataFrame, keep: str = "max", batches: int = BATCHES) -> DataFra
 def _differing(docs: DataFrame, ids: DataFrame, hits: DataFrame, rows: int) -> DataFrame | None:
     """Hits whose bytes aren't those of the row that stays: (doc_id, digest, text). None if there are none."""
     texts = maybe_among(docs.select("doc_id", "text"), F.col("doc_id"), ids, "doc_id").where("_maybe").select("doc_id", normalised(F.col("text")).alias("_text"))
-    texts = texts.withColumn("digest", F.unhex(F.sha2("_text", 256)))
+    texts = texts.withColumn("digest", digest_of(F.col("_text")))
     met = salted_join(texts, hits, "digest", "n", F.col("doc_id"), "inner", rows)
     # of rows that repeat the id that stays, one is the text to compare with
-    first = met.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("_text").alias("_kept_text"), F.first("_salts").alias("_salts"))
+    # a filter on the ids would become a key of the join above, and texts would be shuffled again for it
+    stays = F.when(F.col("doc_id").eqNullSafe(F.col("keep_id")), F.col("_text"))
+    first = met.groupBy("digest").agg(F.min(stays).alias("_kept_text"), F.first("_salts").alias("_salts"))
     first = first.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
     bad = met.join(first, ["digest", "_salt"]).where(F.col("_text") != F.col("_kept_text")).select("doc_id", "digest", "_text")
     bad = settle(bad, "collisions")
@@ -179,7 +186,7 @@ def kept_documents(docs: DataFrame, keep: str = "max") -> DataFrame:
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
     flagged = maybe_among(docs.select(whole, F.col("doc_id").alias("_id")), F.col("_id"), groups, "_of")
     alone = flagged.where("not _maybe").select("_doc.*")
-    maybe = flagged.where("_maybe").withColumn("_digest", F.unhex(F.sha2(normalised(F.col("_doc.text")), 256)))
+    maybe = flagged.where("_maybe").withColumn("_digest", digest_of(normalised(F.col("_doc.text"))))
     maybe = maybe.join(groups, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_digest") == F.col("_hash")), "left")
     single = maybe.where("kept is null or kept and _rows = 1").select("_doc.*")
     several = maybe.where("kept and _rows > 1").groupBy("_id", "_digest").agg(F.min_by("_doc", F.to_json("_doc")).alias("_doc")).select("_doc.*")
