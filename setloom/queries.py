@@ -306,7 +306,8 @@ def new2all_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT n.sample_id, count(o.kmer)::BIGINT AS common FROM docs_n n LEFT JOIN docs d ON d.sample_id = n.sample_id LEFT JOIN one o ON o.kmer = d.kmer GROUP BY 1"""
 )
 def one2all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return modes.one2all(first_item(spark, sf_dir), documents(spark, sf_dir)).select(F.col("col_id").alias("sample_id"), "common")
+    index = built(spark, sf_dir, "documents", "doc_id")
+    return overlap.one2all(first_item(spark, sf_dir).postings, index.postings, texts(spark, sf_dir, "documents", "doc_id")[0])
 
 
 def first_item(spark: SparkSession, sf_dir: str) -> Index:
