@@ -98,5 +98,5 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     hits = settle(hits.join(urls, ["host", "path"]).select(F.struct("host", "path").alias("_url"), "_n", "_best"), "hits")
     # URLs without a path meet no rule, and stay out of the join
     bare = result(seen.where("path = ''"), F.lit(None).cast("string"), F.lit(default))
-    found = salted_join(seen.where("path <> ''").withColumn("_url", F.struct("host", "path")), hits, "_url", "_n", F.xxhash64("_page"), "left", urls.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
+    found = salted_join(seen.where("path <> ''").withColumn("_url", F.struct("host", "path")), hits, "_url", "_n", F.monotonically_increasing_id(), "left", urls.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
     return bare.unionAll(result(found, F.col("_best.rule"), F.coalesce("_best.verdict", F.lit(default))))

@@ -416,8 +416,8 @@ def test_url_filter(spark):
 def test_url_filter_with_clashing_columns_and_hot_keys(shuffled):
     """Half the URLs have one host and path, a quarter none; columns have the names of those within."""
     urls = ["http://a.net/x/y", None, "http://a.net/x/y", "http://h{}.example.com/de/{}"]
-    rows = [(i, urls[i % 4].format(i, i) if urls[i % 4] else None, "v", "w", "u") for i in range(400)]
-    pages = shuffled.createDataFrame(rows, "page_id long, url string, _verdict string, _url string, _page string")
+    rows = [(i, urls[i % 4].format(i, i) if urls[i % 4] else None, "v", "w", "u", {"k": i}) for i in range(400)]
+    pages = shuffled.createDataFrame(rows, "page_id long, url string, _verdict string, _url string, _page string, m map<string,int>")
     rules = url_filter.rule_table(shuffled, [("net", "/", "block"), ("a.net", "/x/", "allow"), ("a.net", "/x/yy", "block"), ("example.com", "/de/", "block"), ("example.com", "/de/", "allow")])
     out = url_filter.judge_urls(pages, rules)
     assert out.columns == [*pages.columns, "host", "path", "rule", "verdict"]
