@@ -149,6 +149,11 @@ def _right(n: Column, by: int) -> Column:
     return F.call_function("shiftrightunsigned", n, F.lit(by))
 
 
+def _ones(n: Column) -> Column:
+    """The lowest ``n`` bits, of which there are 1 to 63; no sum or difference can overflow."""
+    return F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), F.lit(64) - n)
+
+
 def _field(edge: Column, low: int, high: int) -> Column:
     return _right(edge, low).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("long")).cast("int")
 
@@ -167,7 +172,7 @@ def merged(units: DataFrame, model: Model) -> DataFrame:
     char = place.bitwiseOR(F.coalesce(F.col("id") + 1, F.lit(0)).cast("long"))  # 0: no piece
     rows = spans(units, model).groupBy(*units.columns, "size").agg(F.sort_array(F.collect_list(F.when(long, merge))).alias("_merges"), F.collect_list(F.when(~long, char)).alias("_chars"))
     # the boundaries that an edge covers, its ends included
-    covered = lambda e: _left(_left(F.lit(2), _field(e, _LENGTH, _START)) - 1, _field(e, _START, _RANK))
+    covered = lambda e: _left(_ones(_field(e, _LENGTH, _START) + 1), _field(e, _START, _RANK))
     rows = rows.withColumn("_merges", F.transform("_merges", lambda e: F.struct(e.alias("edge"), covered(e).alias("all"))))
     rows = rows.withColumn("_late", F.filter("_merges", lambda e: e["edge"].bitwiseAND(F.lit(1 << _LATE).cast("long")) != 0))
 
@@ -193,7 +198,7 @@ def merged(units: DataFrame, model: Model) -> DataFrame:
 
     # columns that lambdas read are named twice below: what is named once the planner would put into the lambda, and work
     # out for every element
-    rows = rows.withColumn("_all", _left(F.lit(1), F.col("size") + 1) - 1)
+    rows = rows.withColumn("_all", _ones(F.col("size") + 1))
     rows = rows.withColumn("_mask", F.when(F.size("_late") >= 0, F.aggregate("_merges", F.col("_all"), in_order)))
     again = F.aggregate(F.sequence(F.lit(1), F.col("size")), F.col("_all"), best_first)
     rows = rows.withColumn("_mask", F.when(F.col("_mask") < 0, again).otherwise(F.col("_mask")))

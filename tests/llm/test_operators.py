@@ -329,6 +329,15 @@ def test_sentencepiece_of_odd_texts(spark):
     assert len(rows) == len(odd) and all(list(r.ids) == library.encode(odd[r.doc_id]) for r in rows)
 
 
+def test_sentencepiece_of_units_as_long_as_a_mask(spark):
+    """Units of 58 to 66 characters with their space: letters, one piece after another, and runs of a sign."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    odd = [f"see {(x * 70)[:n]} here" for x in ("a", "=", "internationalisation", "日", "é") for n in range(57, 66)]
+    rows = pieces.encode(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), path).collect()
+    assert len(rows) == len(odd) and all(list(r.ids) == library.encode(odd[r.doc_id]) for r in rows)
+
+
 def test_sentencepiece_without_other_columns(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
