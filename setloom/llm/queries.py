@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, pieces, quality_classifier, quality_rules, simhash, surrogates, token_counts, url_filter, warc
+from . import direct_codes, exact_dedup, mixing, pieces, quality_classifier, quality_rules, simhash, surrogates, token_counts, url_filter, vector_codes, warc, whitening
 
 #: (host, path, verdict)
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -61,11 +61,24 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return direct_codes.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc, op2_token_counts, op3_exact_dedup, op4_surrogates, op5_mix_sources, op6_sentencepiece,
-        op7_quality_rules, op8_url_filter, op9_simhash, op10_quality_classifier,
+        op7_quality_rules, op8_url_filter, op9_simhash, op10_quality_classifier, op11_whitening, op12_direct_codes,
+        op13_vector_codes,
     )
 }
 
