@@ -9,7 +9,7 @@ chunk, bit, rank. Chunk widths are a file's own: those with the fewest bits for
     magic, number of ids, of levels; of each level: width, number of chunks, where chunks, bitmap and ranks begin;
     where the directory of documents begins; then these, each at a multiple of 8 bytes
 
-Writing: a task encodes texts by pre-token, each distinct one once while its dictionary holds it; ids go to a table, packed.
+Writing: a task encodes texts word by word, each distinct one once while its dictionary holds it; ids go to a table, packed.
 That table is dealt by range of doc_id and sorted there, so files follow one another in that order; a task closes a file
 once it has ``FILE_IDS`` ids, and writes it under a temporary name before it is moved into place, so a task that runs again
 leaves the same files. The manifest has a row a file, with the number of all ids before it.
@@ -23,14 +23,17 @@ Other columns are ignored.
 from __future__ import annotations
 
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,8 +50,9 @@ from .warc import _arrow_uri
 END = 1
 #: Ids from which a file is closed.
 FILE_IDS = 1 << 23
-#: Characters of texts that are encoded at once, about, and pre-tokens of a dictionary.
-BATCH_CHARS, DICTIONARY = 1_000_000, 400_000
+#: Characters of texts that are encoded at once, about, and keys of a dictionary.
+BATCH_CHARS, DICTIONARY = 1_000_000, 600_000
+_MARK = "\x1c"
 #: Ids that are read at once, about.
 READ_IDS = 1 << 20
 #: Most tasks that read files; each reads as many as it takes.
@@ -59,44 +63,90 @@ _LEVEL, _LEVEL_BYTES = "<QQQQQ", 40
 MANIFEST = "part int, place int, name string, documents long, ids long"
 
 
+class _Dictionary:
+    """Strings, each with its ids, which stand one after another."""
+
+    def __init__(self) -> None:
+        self.index: defaultdict[str, int] = defaultdict()
+        self.index.default_factory = self.index.__len__
+        self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
+
+    def places(self, strings: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.index.__getitem__, strings), np.int32, len(strings))
+
+    def new(self) -> list[str]:
+        """The strings that have no ids yet, by place."""
+        return list(islice(self.index, len(self.ends) - 1, None))
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """The ids of the new strings, and how many each has."""
+        self.ids = np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int64)])
+
+    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the strings at ``places``, 0 and where each string's ids end)."""
+        starts = self.ends[places]
+        sizes = self.ends[places + 1] - starts
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return self.ids[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])], ends
+
+
 class Encoder:
-    """Ids of texts, by way of a dictionary of pre-tokens."""
+    """Ids of texts, by way of two dictionaries: of what white space parts, and of the pre-tokens in that.
+
+    No pre-token crosses white space, nor does it compose with a mark, so each such word is normalised and split on its own.
+    A text with special strings, with characters beyond the quick rules of ``PreTokens``, or with those that only Python
+    takes for white space has its pre-tokens as words, marked by one of the latter.
+    """
 
     def __init__(self, path: str):
         self.pre_tokens = PreTokens(path)
-        self.tokenizer = self.pre_tokens.tokenizer
-        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        tokenizer = self.pre_tokens.tokenizer
+        self.model, self.special = tokenizer.model, {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.slow = regex.compile("[^\x00-\x1b\x20-\u04ff]|" + "|".join(map(regex.escape, self.special)))
+        self.split = regex.compile(f"\n|{self.pre_tokens.split.pattern}")
         self._clear()
 
     def _clear(self) -> None:
-        self.index: defaultdict[str, int] = defaultdict()
-        self.index.default_factory = self.index.__len__
-        self.ids, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64)
-
-    def of(self, pre_token: str) -> list[int]:
-        if pre_token in self.special:
-            return [self.special[pre_token]]
-        tokenize = self.tokenizer.model.tokenize
-        return [t.id for x, _ in self.as_bytes.pre_tokenize_str(pre_token) for t in tokenize(x)]
+        self.words, self.parts = _Dictionary(), _Dictionary()
+        self.parts.index["\n"]  # ends a word; it has no ids
+        self.parts.add(self.parts.ids, np.zeros(1, np.int64))
+
+    def _of_part(self, part: str) -> list[int]:
+        if part in self.special:
+            return [self.special[part]]
+        # letters for bytes; printable ASCII stands for itself
+        letters = [part] if part.isascii() and part.isprintable() else [x for x, _ in self.as_bytes.pre_tokenize_str(part)]
+        return [t.id for x in letters for t in self.model.tokenize(x)]
+
+    def _parts(self, words: list[str]) -> list[str]:
+        """The pre-tokens of each word, and a line end after them."""
+        text = "\n".join([*words, ""])
+        if _MARK not in text:
+            return self.split.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        return [p for w in words for p in (*([w[1:]] if w[0] == _MARK else self.pre_tokens.of(w)), "\n")]
+
+    def _learn(self) -> None:
+        """Ids of the words that are new."""
+        words = self.words.new()
+        places = self.parts.places(self._parts(words))
+        new = [self._of_part(p) for p in self.parts.new()]
+        self.parts.add(np.fromiter(chain.from_iterable(new), np.uint32), np.fromiter(map(len, new), np.int64, len(new)))
+        ids, ends = self.parts.of(places)
+        self.words.add(ids, np.diff(ends[1:][places == 0], prepend=0))
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        if len(self.index) > DICTIONARY:
+        if len(self.words.index) > DICTIONARY:
             self._clear()
-        known, at = len(self.index), self.index
-        places = [np.fromiter(map(at.__getitem__, self.pre_tokens.of(t)), np.int32) for t in texts]
-        new = [self.of(p) for p in list(at)[known:]]
-        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, new), np.int64, len(new))])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in new for i in x), np.uint32)])
-        words = np.concatenate(places) if places else np.empty(0, np.int32)
-        ends = np.concatenate([[0], np.cumsum(self.sizes)])
-        sizes = self.sizes[words]
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        # where in the dictionary's ids each id of the texts is
-        out = self.ids[np.repeat(ends[words] - total[:-1], sizes) + np.arange(total[-1])]
-        text_ends = np.concatenate([[0], np.cumsum([len(p) for p in places], dtype=np.int64)])
-        return out, np.diff(total[text_ends])
+        places = []
+        for t in texts:
+            words = [f"{_MARK}{p}" for p in self.pre_tokens.of(t)] if self.slow.search(t) else t.split()
+            places.append(self.words.places(words))
+        self._learn()
+        ids, ends = self.words.of(np.concatenate(places))
+        return ids, np.diff(ends[np.cumsum([0, *map(len, places)])])
 
 
 def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:

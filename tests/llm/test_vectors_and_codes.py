@@ -224,7 +224,7 @@ def test_vector_codes_beyond_64_bits(spark):
 
 def odd_texts():
     draw = random.Random(9)
-    words = ["the", "of", "Über", "naïve", "don't", "x1", "日本語", "🙂", "İx", "<|endoftext|>", "<|startoftext|>the", " ", "é", "ﬁn", "1234", "&amp;", "Σας", "\x00", "…!!"] + [f"w{i}" for i in range(99)]
+    words = ["the", "of", "Über", "naïve", "don't", "x1", "日本語", "🙂", "İx", "<|endoftext|>", "<|startoftext|>the", " ", "é", "ﬁn", "1234", "&amp;", "Σας", "\x00", "…!!", "a\x1cb", "\x1f", "q\x85r", "s\xa0t", "u\u1680v", "e\u0301t", "\u0301", "ÀÉ,Öx", "it'S", "a\u2028b", "x\u0345y"] + [f"w{i}" for i in range(99)]
     rows = [(i, " ".join(draw.choices(words, k=draw.randint(1, 80)))) for i in range(80)]
     return rows + [(200, None), (201, ""), (202, " \n\t"), (203, "word " * 300_000), (5, "again five"), (5, "again five"), (-7, "first"), (None, "no id"), (None, None)]
 
