@@ -1,9 +1,22 @@
-"""The index in storage: postings, samples and settings; building, extending and reading it."""
+"""The index in storage: postings, samples and settings; building, extending, compacting and reading it.
+
+A stored index is a folder of immutable parts and of versions. A part holds some samples, with ids from 0, and their
+postings, bucketed by word into as many buckets as the index has. A version is a line of JSON that names its parts, the id
+at which each begins, and the last batch of each stream. A change writes its parts first and then the next version, which is
+moved to its place only if nobody else was faster; otherwise the change is made again upon the version that won, for which
+no part is rewritten, as a part's ids are relative. So readers see whole versions, and writers may run at once.
+
+Postings of a version are one bucketed table whose partitions are the parts, in the session's catalog: a join or an
+aggregation by word reads it as it lies, without an exchange. A word's bucket is the same in every part.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import json
-from dataclasses import asdict, dataclass
+import uuid
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +24,10 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import Alphabet, alphabet
 from ..operators.extract import cardinalities, postings, sketched
-from ..sources.paths import children, exists
+from ..sources.paths import aged, children, delete, put_new, qualified, text_of
 
+#: Adjacent parts of about one size that are merged into one, and the rows up to which parts count as of the least size.
+FAN, LEAST_ROWS = 8, 1 << 20
 SAMPLES, POSTINGS = "sample_id long, name string, n_kmers long", "sample_id long, kmer long"
 
 
@@ -38,11 +53,15 @@ class Settings:
 
 @dataclass
 class Index:
-    """An index: samples (sample_id, name, n_kmers), postings (sample_id, kmer), settings."""
+    """An index: samples (sample_id, name, n_kmers), postings (sample_id, kmer), settings.
+
+    ``most``, where it is known, is a number of samples that no word exceeds.
+    """
 
     samples: DataFrame
     postings: DataFrame
     settings: Settings
+    most: int | None = None
 
     def stats(self) -> DataFrame:
         """One row: samples, distinct words, distinct patterns, k and fraction.
@@ -89,62 +108,236 @@ def same_settings(*indexes: Index) -> Settings:
     return indexes[0].settings
 
 
-def _parts(spark: SparkSession, path: str) -> list[str]:
-    """The names of the parts that are complete: samples are written last."""
-    return [p for p in children(spark, f"{path}/parts") if exists(spark, f"{path}/parts/{p}/samples/_SUCCESS")]
+@dataclass(frozen=True)
+class Part:
+    """A part of a version: its folder, the id at which it begins, how many ids and rows it has, and its most frequent word."""
+
+    name: str
+    first: int
+    ids: int
+    rows: int
+    most: int
+
+
+@dataclass(frozen=True)
+class Version:
+    """What an index is at a time. ``batches``: the last batch of each stream."""
+
+    number: int
+    settings: Settings
+    buckets: int
+    parts: tuple[Part, ...] = ()
+    batches: tuple[tuple[str, int], ...] = ()
+
+    @property
+    def next_id(self) -> int:
+        return max((p.first + p.ids for p in self.parts), default=0)
+
+    def text(self) -> str:
+        return json.dumps(asdict(self))
+
+    @classmethod
+    def of(cls, text: str) -> Version:
+        x = json.loads(text)
+        return cls(x["number"], Settings(**x["settings"]), x["buckets"], tuple(Part(**p) for p in x["parts"]), tuple((s, n) for s, n in x["batches"]))
+
+
+def _version_path(path: str, number: int) -> str:
+    return f"{path}/versions/{number:012}.json"
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the versions that are there, ascending."""
+    return [int(n.removesuffix(".json")) for n in children(spark, f"{path}/versions") if n.endswith(".json") and not n.startswith(".")]
+
+
+def version(spark: SparkSession, path: str, number: int | None = None) -> Version:
+    """A version of the index at ``path``, the last one if no number is given."""
+    if number is None:
+        found = versions(spark, path)
+        if not found:
+            raise FileNotFoundError(f"there is no index at {path}")
+        number = found[-1]
+    return Version.of(text_of(spark, _version_path(path, number)))
+
 
+def _commit(spark: SparkSession, path: str, change: Callable[[Version], Version | None]) -> Version:
+    """Make a change to the last version. If another writer is faster, it is made again upon theirs; None: there is none to make."""
+    while True:
+        now = version(spark, path)
+        new = change(now)
+        if new is None:
+            return now
+        new = replace(new, number=now.number + 1)
+        if put_new(spark, _version_path(path, new.number), new.text()):
+            return new
 
-def create(spark: SparkSession, path: str, settings: Settings) -> Index:
-    """An empty index at ``path``, where there must be none."""
+
+def _table(spark: SparkSession, path: str, kind: str, parts: tuple[Part, ...], buckets: int) -> DataFrame:
+    """The rows of some parts, with ``first``, the id at which their part begins. The table is named by what it holds."""
+    columns = SAMPLES if kind == "samples" else POSTINGS
+    if not parts:
+        return spark.createDataFrame([], f"{columns}, first long")
+    base = qualified(spark, path).replace("'", "\\'")
+    key = json.dumps([base, kind, buckets, *((p.name, p.first) for p in parts)])
+    name = f"setloom_{kind}_{hashlib.sha1(key.encode()).hexdigest()}"
+    if not spark.catalog.tableExists(name):
+        clustered = f"CLUSTERED BY (kmer) SORTED BY (kmer) INTO {buckets} BUCKETS" if kind == "postings" else ""
+        where = " ".join(f"PARTITION (first={p.first}) LOCATION '{base}/parts/{p.name}/{kind}'" for p in parts)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns.replace(' long', ' BIGINT')}, first BIGINT) USING parquet PARTITIONED BY (first) {clustered} LOCATION '{base}/none'")
+        spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {where}")
+    return spark.table(name)
+
+
+def _global(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select((F.col("sample_id") + F.col("first")).alias("sample_id"), *columns)
+
+
+def create(spark: SparkSession, path: str, settings: Settings, buckets: int | None = None) -> Index:
+    """An empty index at ``path``, where there must be none. Its postings have as many buckets as the session's shuffles have
+    partitions, if no number is given: a bucket of a part should fit a task."""
     settings.check()
-    spark.createDataFrame([(json.dumps(asdict(settings)),)], "value string").coalesce(1).write.text(f"{path}/settings")
+    first = Version(0, settings, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if versions(spark, path) or not put_new(spark, _version_path(path, 0), first.text()):
+        raise FileExistsError(f"there is an index at {path}")
     return load(spark, path)
 
 
-def _add(spark: SparkSession, path: str, part: str, samples: DataFrame, post: DataFrame) -> None:
-    """Write a part: postings sorted by word, then samples (sample_id, name) with sizes of what was written, so that words
-    are made once. What a failure has left of the part is replaced."""
-    at = f"{path}/parts/{part}"
-    post.select("sample_id", "kmer").repartition("kmer").sortWithinPartitions("kmer").write.mode("overwrite").parquet(f"{at}/postings")
-    written = spark.read.schema(POSTINGS).parquet(f"{at}/postings")
-    cardinalities(written, samples.select("sample_id", "name")).write.mode("overwrite").parquet(f"{at}/samples")
+def _written(spark: SparkSession, path: str, samples: DataFrame, post: DataFrame, buckets: int) -> Part:
+    """A new part: postings, then samples (sample_id, name) with sizes of what was written, so that words are made once.
+
+    It belongs to no version yet; its ids are taken to begin at 0.
+    """
+    name = uuid.uuid4().hex
+    at = f"{qualified(spark, path)}/parts/{name}"
+    _write_bucketed(post.select("sample_id", "kmer").repartition(buckets, "kmer"), f"{at}/postings", buckets)
+    written = _table(spark, path, "postings", (Part(name, 0, 0, 0, 0),), buckets)
+    cardinalities(written.select("sample_id", "kmer"), samples.select("sample_id", "name")).write.parquet(f"{at}/samples")
+    return _measured(spark, path, name, written)
+
+
+def _write_bucketed(post: DataFrame, at: str, buckets: int) -> None:
+    """Write postings to a folder, a file a bucket and task. A table is made for it and forgotten; its files stay."""
+    table = f"setloom_new_{uuid.uuid4().hex}"
+    post.write.bucketBy(buckets, "kmer").sortBy("kmer").option("path", at).saveAsTable(table)
+    post.sparkSession.sql(f"DROP TABLE {table}")
+
 
+def _measured(spark: SparkSession, path: str, name: str, written: DataFrame) -> Part:
+    words = written.groupBy("kmer").agg(F.count(F.lit(1)).alias("_n")).agg(F.sum("_n"), F.max("_n")).first()  # no exchange of words
+    last = spark.read.schema(SAMPLES).parquet(f"{path}/parts/{name}/samples").agg(F.max("sample_id")).first()[0]
+    return Part(name, 0, 0 if last is None else last + 1, words[0] or 0, words[1] or 0)
 
-def save(index: Index, path: str) -> Index:
-    """Write an index: a folder of parts, each with Parquet postings and samples; settings as one line of JSON."""
+
+def save(index: Index, path: str, buckets: int | None = None) -> Index:
+    """Write an index."""
     spark = index.postings.sparkSession
-    create(spark, path, index.settings)
-    _add(spark, path, f"{0:08}", index.samples, index.postings)
-    return load(spark, path)
+    create(spark, path, index.settings, buckets)
+    return _append(spark, path, index.samples, index.postings)
 
 
-def load(spark: SparkSession, path: str) -> Index:
-    settings = Settings(**json.loads(spark.read.text(f"{path}/settings").first().value))
-    parts = [f"{path}/parts/{p}" for p in _parts(spark, path)]
-    if not parts:
-        return Index(spark.createDataFrame([], SAMPLES), spark.createDataFrame([], POSTINGS), settings)
-    return Index(spark.read.schema(SAMPLES).parquet(*[f"{p}/samples" for p in parts]), spark.read.schema(POSTINGS).parquet(*[f"{p}/postings" for p in parts]), settings)
+def load(spark: SparkSession, path: str, number: int | None = None) -> Index:
+    """The index at ``path`` as it is now, or as a version of it was. What others add later isn't seen."""
+    v = version(spark, path, number)
+    samples, post = (_table(spark, path, kind, v.parts, v.buckets) for kind in ("samples", "postings"))
+    return Index(_global(samples, "name", "n_kmers"), _global(post, "kmer"), v.settings, sum(p.most for p in v.parts))
+
+
+def _append(spark: SparkSession, path: str, samples: DataFrame, post: DataFrame, batch: tuple[str, int] | None = None) -> Index:
+    part = _written(spark, path, samples, post, version(spark, path).buckets)
 
+    def change(now: Version) -> Version | None:
+        last = dict(now.batches)
+        if batch is not None:
+            if last.get(batch[0], -1) >= batch[1]:
+                return None  # another run of the batch was faster
+            last[batch[0]] = batch[1]
+        more = (replace(part, first=now.next_id),) if part.ids else ()
+        return replace(now, parts=now.parts + more, batches=tuple(sorted(last.items())))
 
-def extend(spark: SparkSession, path: str, samples: DataFrame, sequences: DataFrame, part: str | None = None) -> Index:
-    """Add samples to a stored index; what is there isn't rewritten.
+    return load(spark, path, _commit(spark, path, change).number)
 
-    All of them appear at once, when the part is complete. A failed call leaves the index as it was, and may be made again.
-    A ``part`` that is there already isn't added again.
+
+def extend(spark: SparkSession, path: str, samples: DataFrame, sequences: DataFrame, batch: tuple[str, int] | None = None) -> Index:
+    """Add samples to a stored index; what is there isn't rewritten, and their ids follow the ids there.
+
+    All of them appear at once. A failed call leaves the index as it was, and may be made again. A ``batch`` (stream, number)
+    that is there already isn't added again; a stream's numbers ascend.
     """
-    old, known = load(spark, path), _parts(spark, path)
-    if part in known:
-        return old
-    if part is None:
-        part = f"{1 + max((int(p) for p in known if p.isdigit()), default=-1):08}"
-    offset = F.lit((old.samples.agg(F.max("sample_id")).first()[0] + 1) if known and not old.samples.isEmpty() else 0)
-    moved = [d.withColumn("sample_id", F.col("sample_id") + offset) for d in (samples, sequences)]
-    s = old.settings
-    _add(spark, path, part, moved[0], postings(moved[1], s.k, s.letters, s.fraction, s.fraction_start))
-    return load(spark, path)
+    now = version(spark, path)
+    if batch is not None and dict(now.batches).get(batch[0], -1) >= batch[1]:
+        return load(spark, path)
+    s = now.settings
+    return _append(spark, path, samples, postings(sequences, s.k, s.letters, s.fraction, s.fraction_start), batch)
 
 
-def build_stored(spark: SparkSession, path: str, samples: DataFrame, sequences: DataFrame, settings: Settings) -> Index:
+def build_stored(spark: SparkSession, path: str, samples: DataFrame, sequences: DataFrame, settings: Settings, buckets: int | None = None) -> Index:
     """``build``, written to ``path``: words are made once, however many questions are asked."""
-    create(spark, path, settings)
+    create(spark, path, settings, buckets)
     return extend(spark, path, samples, sequences)
+
+
+def _level(part: Part, fan: int) -> int:
+    level, size = 0, LEAST_ROWS
+    while part.rows > size:
+        level, size = level + 1, size * fan
+    return level
+
+
+def _due(parts: tuple[Part, ...], fan: int) -> tuple[Part, ...]:
+    """The first run of ``fan`` adjacent parts or more that have one level at most, the lowest such level; () if there is none."""
+    levels = [_level(p, fan) for p in parts]
+    for level in sorted(set(levels)):
+        run: list[Part] = []
+        for p, own in [*zip(parts, levels, strict=True), (None, None)]:
+            if p is not None and own <= level:
+                run.append(p)
+            elif len(run) >= fan:
+                return tuple(run)
+            else:
+                run = []
+    return ()
+
+
+def compact(spark: SparkSession, path: str, fan: int = FAN) -> Version:
+    """Merge runs of adjacent parts of about one size until there are none: the number of parts grows with the logarithm of
+    the rows, and a row is written again as often. Sample ids stay. Versions before read the parts before."""
+    if fan < 2:
+        raise ValueError("at least two parts are merged")
+    while True:
+        now = version(spark, path)
+        run = _due(now.parts, fan)
+        if not run:
+            return now
+        part, first = _merged(spark, path, run, now.buckets), run[0].first
+
+        def change(now: Version, run=run, part=part, first=first) -> Version | None:
+            at = now.parts.index(run[0]) if run[0] in now.parts else -1
+            if at < 0 or now.parts[at : at + len(run)] != run:
+                return None  # another compaction was faster
+            return replace(now, parts=(*now.parts[:at], replace(part, first=first), *now.parts[at + len(run) :]))
+
+        _commit(spark, path, change)
+
+
+def _merged(spark: SparkSession, path: str, run: tuple[Part, ...], buckets: int) -> Part:
+    """One part of a run of parts. A bucket of it is made of the same bucket of each, without an exchange."""
+    name, first = uuid.uuid4().hex, F.lit(run[0].first)
+    at = f"{qualified(spark, path)}/parts/{name}"
+    moved = (F.col("sample_id") + F.col("first") - first).alias("sample_id")
+    _write_bucketed(_table(spark, path, "postings", run, buckets).select(moved, "kmer"), f"{at}/postings", buckets)
+    _table(spark, path, "samples", run, buckets).select(moved, "name", "n_kmers").write.parquet(f"{at}/samples")
+    return _measured(spark, path, name, _table(spark, path, "postings", (Part(name, 0, 0, 0, 0),), buckets))
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 1, older_than: float = 24 * 3600.0) -> list[str]:
+    """Delete all versions but the last ``keep``, and the parts that none of these has and that nobody has written to for so many
+    seconds, as an extension may be writing its part. Returns the names of deleted parts."""
+    numbers = versions(spark, path)
+    kept = {p.name for n in numbers[-keep:] for p in version(spark, path, n).parts}
+    for n in numbers[:-keep]:
+        delete(spark, _version_path(path, n))
+    gone = [p for p in children(spark, f"{path}/parts") if p not in kept and aged(spark, f"{path}/parts/{p}") >= older_than]
+    for p in gone:
+        delete(spark, f"{path}/parts/{p}")
+    return gone

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +36,52 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in store.listStatus(target)) if store.exists(target) else []
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file, or a folder with all in it."""
+    store, target = _hadoop(spark, path)
+    store.delete(target, True)
+
+
+def aged(spark: SparkSession, path: str) -> float:
+    """Seconds since anything in a folder, or in its folders, was written."""
+    store, target = _hadoop(spark, path)
+    times = [store.getFileStatus(target).getModificationTime(), *(f.getModificationTime() for f in store.listStatus(target))]
+    return time.time() - max(times) / 1000
+
+
+def text_of(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    store, target = _hadoop(spark, path)
+    size, stream = store.getFileStatus(target).getLen(), store.open(target)
+    try:
+        return bytes(stream.readNBytes(size)).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def put_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file whole, unless there is one: then False. It is moved to its place by a rename that overwrites nothing."""
+    store, target = _hadoop(spark, path)
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    part = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{uuid.uuid4().hex}")
+    stream = store.create(part, False)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    try:
+        whole = [store.makeQualified(p) for p in (part, target)]
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole[1].toUri(), context).rename(*whole, options)
+        return True
+    except Py4JJavaError as error:
+        store.delete(part, False)
+        if "FileAlreadyExistsException" not in error.java_exception.getClass().getName():
+            raise
+        return False
+
+
 def work_folder(spark: SparkSession) -> str:
     """The folder that all executors share, for what is written on the way."""
     base = spark.conf.get("spark.checkpoint.dir", None)

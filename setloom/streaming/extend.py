@@ -7,25 +7,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.order import numbered_names
-from ..plans.store import extend
+from ..plans.store import FAN, compact, extend
 
 
 def add_batch(batch: DataFrame, number: int, path: str, stream: str = "stream", name: str = "name", seq: str = "seq") -> None:
     """Add the rows (name, seq) of a micro-batch to the index at ``path``; all rows of a name are one sample.
 
-    The batch is a part of the index, named by its stream and number. It is complete or isn't there, so a batch that is run
-    again after a failure is added once.
+    The index remembers the last batch of each stream. A batch is complete or isn't there, so one that is run again after a
+    failure is added once. Parts of batches are merged as they become many.
     """
     rows = batch.select(F.col(name).alias("name"), F.col(seq).alias("seq"))
     ids = numbered_names(rows.select("name").distinct())
-    extend(batch.sparkSession, path, ids.select("sample_id", "name"), rows.join(ids, "name").select("sample_id", "seq"), f"{stream}-{number:012}")
+    extend(batch.sparkSession, path, ids.select("sample_id", "name"), rows.join(ids, "name").select("sample_id", "seq"), (stream, number))
+    compact(batch.sparkSession, path, FAN)
 
 
 def extend_from_stream(
     stream: DataFrame, path: str, checkpoint: str, name: str = "name", seq: str = "seq", trigger: dict | None = None, stream_name: str = "stream"
 ) -> StreamingQuery:
-    """Add each micro-batch of (name, seq) to the index at ``path``. Streams that feed one index need names of their own, and
-    must not run at once."""
+    """Add each micro-batch of (name, seq) to the index at ``path``. Streams that feed one index need names of their own;
+    they may run at once."""
 
     def grow(batch: DataFrame, number: int) -> None:
         add_batch(batch, number, path, stream_name, name, seq)
