@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import exp
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,17 +53,23 @@ def measure(name: str, common: Column, row_count: Column, col_count: Column, k:
     return MEASURES[name](common, row_count, col_count, k)
 
 
-def least_size_ratio(name: str, bound: float, k: int) -> float | None:
-    """If a lower bound on a measure bounds min(a, b) / max(a, b) from below: by how much.
+def least_share(name: str, bound: float, k: int, upper: bool = False) -> float:
+    """If pairs within a bound share at least some part of the larger set: which part; else 0.
 
-    What two sets share is no more than the smaller one, so Jaccard and ``max`` are no more than that ratio; mash
-    distances and identities are monotone in Jaccard.
+    The smaller set then has that part of the larger one's words too, as it holds what they share. For the cosine,
+    common >= t sqrt(ab) and common <= b give b >= t² a, and so common >= t² a. Mash distances, bounded from above, and
+    identities are monotone in Jaccard.
     """
+    if upper:
+        return _jaccard_at(bound, k) if name == "mash" else 0.0
     if name in ("jaccard", "max"):
-        return bound
-    if name == "ani" and bound > 0:
-        from math import exp
+        return max(0.0, bound)
+    if name == "cosine":
+        return max(0.0, bound) ** 2
+    return _jaccard_at(1 - bound, k) if name == "ani" and bound > 0 else 0.0
 
-        x = exp(-k * (1 - bound))  # 2j / (1 + j)
-        return x / (2 - x)
-    return None
+
+def _jaccard_at(mash: float, k: int) -> float:
+    """The Jaccard similarity of a mash distance; of 1 and more, which sets without a common word have, 0."""
+    x = exp(-k * mash)  # 2j / (1 + j)
+    return x / (2 - x) if mash < 1 else 0.0

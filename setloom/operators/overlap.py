@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: A word in more samples than this is joined with itself in chunks of as many.
-CHUNK = 10_000
-#: From this least ratio of sizes on, pairs are left out of the join by their samples' sizes.
-WORTHWHILE_RATIO = 0.3
+#: A word in more samples than this is joined with itself in chunks of as many, and one that makes more than its square of
+#: pairs between two indexes is joined in a grid of them.
+CHUNK = 4_000
+#: From this share of the larger set on that pairs must have in common, they are sought by prefixes.
+WORTHWHILE_SHARE = 0.1
+#: Classes of frequency an octave. Words in up to 16 samples have a class a number.
+_CLASSES, _EXACT_CLASSES = 8, 16
 
 
 def _self_join(post: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
@@ -34,28 +37,82 @@ def _chunked_join(post: DataFrame, frequent: DataFrame, carried: list[str], chun
     return pairs.where(own).drop("row__own", "col__own", "row__other", "col__other")
 
 
-def all2all(post: DataFrame, sizes: DataFrame | None = None, min_size_ratio: float | None = None, min_size: int = 0, chunk: int = CHUNK) -> DataFrame:
+def _pairs(post: DataFrame, carried: list[str], chunk: int, most: int | None) -> DataFrame:
+    """A row (row_id, col_id, ...) for each word of each pair. Words in more than ``chunk`` samples are joined apart, by many
+    tasks each; whether there are any is counted, unless ``most`` says that there are none."""
+    if most is not None and most <= chunk:
+        return _self_join(post, ["kmer"], carried)
+    frequent = post.groupBy("kmer").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > chunk)
+    if frequent.isEmpty():
+        return _self_join(post, ["kmer"], carried)
+    rare = post.join(frequent.select("kmer"), "kmer", "left_anti")
+    return _self_join(rare, ["kmer"], carried).unionByName(_chunked_join(post, frequent, carried, chunk))
+
+
+def all2all(post: DataFrame, chunk: int = CHUNK, most: int | None = None) -> DataFrame:
     """(row_id, col_id, common) for each pair with col_id < row_id that shares a word.
 
-    The two sides of the join are one shuffle on the word. Words in more than ``chunk`` samples are joined apart, by many
-    tasks each. With ``sizes`` (sample_id, n_kmers), pairs whose sizes rule out a wanted similarity are left out of the join:
-    the smaller set must have ``min_size_ratio`` times the words of the larger (where that rules out enough to be worth it),
-    and both ``min_size`` words.
+    The two sides of the join are one shuffle on the word, or none where postings lie bucketed by it. No word is in more
+    than ``most`` samples, if that is given.
     """
-    bounded = sizes is not None and (min_size > 1 or (min_size_ratio or 0) >= WORTHWHILE_RATIO)
-    source, carried = post.select("kmer", "sample_id"), []
-    if bounded:
-        source, carried = post.join(sizes.where(F.col("n_kmers") >= min_size).select("sample_id", F.col("n_kmers").alias("size")), "sample_id"), ["size"]
-    frequent = source.groupBy("kmer").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > chunk)
-    if frequent.isEmpty():
-        pairs = _self_join(source, ["kmer"], carried)
-    else:
-        rare = source.join(frequent.select("kmer"), "kmer", "left_anti")
-        pairs = _self_join(rare, ["kmer"], carried).unionByName(_chunked_join(source, frequent, carried, chunk))
-    if bounded and min_size_ratio is not None:
-        # a little slack, so that rounding here never drops a pair that the exact filter keeps
-        pairs = pairs.where(F.least("row_size", "col_size") >= F.greatest("row_size", "col_size") * (min_size_ratio * (1 - 1e-9)))
-    return pairs.groupBy("row_id", "col_id").agg(F.count(F.lit(1)).alias("common"))
+    return _pairs(post.select("kmer", "sample_id"), [], chunk, most).groupBy("row_id", "col_id").agg(F.count(F.lit(1)).alias("common"))
+
+
+def _with_class(post: DataFrame) -> DataFrame:
+    """Postings of words in two samples or more, with the class of their frequency."""
+    counts = post.groupBy("kmer").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    above = _EXACT_CLASSES + F.floor(F.log2(F.col("_n") / _EXACT_CLASSES) * _CLASSES)
+    kind = F.when(F.col("_n") <= _EXACT_CLASSES, F.col("_n")).otherwise(above).cast("int")
+    return post.select("kmer", "sample_id").join(counts.select("kmer", kind.alias("_class")), "kmer")
+
+
+def prefixes(post: DataFrame, sizes: DataFrame, share: float, least: int = 0) -> DataFrame:
+    """(kmer, sample_id, _class, size, cut, rest): words that some other sample has too, with their sample's cut.
+
+    Words are in an order of their frequency, by classes. If a sample must share ``share`` of its words with another, and
+    ``least`` at least, one of these is among its first ``size - needed + 1``: those of class ``cut`` at most, its prefix.
+    ``rest`` words follow. Samples whose prefix no other sample shares are left out. A sample has a row a class where cuts
+    are sought, so no group is large.
+    """
+    words = _with_class(post)
+    counts = words.groupBy("sample_id", "_class").agg(F.count(F.lit(1)).alias("_words"))
+    upto = Window.partitionBy("sample_id").orderBy("_class").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumn("_upto", F.sum("_words").over(upto)).withColumn("_all", F.sum("_words").over(Window.partitionBy("sample_id")))
+    # a little less than asked, so that rounding here never drops a pair that the exact filter keeps
+    needed = F.greatest(F.ceil(F.col("n_kmers") * F.lit(share * (1 - 1e-9))), F.lit(max(1, least)))
+    sized = counts.join(sizes.where(F.col("n_kmers") >= max(1, least)).select("sample_id", "n_kmers"), "sample_id")
+    # words that no other sample has come first in the order; they are in no row here
+    first = F.col("n_kmers") - needed + 1 - (F.col("n_kmers") - F.col("_all"))
+    reached = sized.withColumn("_first", first).where("_first > 0 and _upto >= _first")
+    cuts = reached.groupBy("sample_id").agg(F.first("n_kmers").alias("size"), F.min("_class").alias("cut"), F.min(F.struct("_class", (F.col("_all") - F.col("_upto")).alias("rest")))["rest"].alias("rest"))
+    return words.join(cuts, "sample_id")
+
+
+def all2all_sharing(post: DataFrame, sizes: DataFrame, share: float, least: int = 0, chunk: int = CHUNK, most: int | None = None) -> DataFrame:
+    """(row_id, col_id, common, n_row, n_col) of every pair that has ``share`` of the larger set, and ``least`` words, in common.
+    Some more pairs may be among them, with right counts too.
+
+    Only prefixes are joined with each other: frequent words, which make most pairs, are in few of them. What a pair shares
+    there, and the words after the prefix that ends first, bound what it can share at all. Of pairs for which that is
+    enough, these words are looked up in the other sample.
+    """
+    marked = prefixes(post, sizes, share, least)
+    found = _pairs(marked.where("_class <= cut"), ["size", "cut", "rest"], chunk, most)
+    slack = F.lit(share * (1 - 1e-9))
+    found = found.where(F.least("row_size", "col_size") >= F.greatest("row_size", "col_size") * slack)
+    keys = ["row_id", "col_id", "row_size", "col_size", "row_cut", "col_cut", "row_rest", "col_rest"]
+    seen = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("_seen"))
+    row_first = F.col("row_cut") <= F.col("col_cut")
+    seen = seen.withColumn("_rest", F.when(F.col("row_cut") == F.col("col_cut"), F.least("row_rest", "col_rest")).when(row_first, F.col("row_rest")).otherwise(F.col("col_rest")))
+    needed = F.greatest(F.greatest("row_size", "col_size") * slack, F.lit(float(least)))
+    seen = seen.where(F.col("_seen") + F.col("_rest") >= needed)
+    seen = seen.select("row_id", "col_id", "_seen", "row_size", "col_size", F.when(row_first, F.col("row_id")).otherwise(F.col("col_id")).alias("_one"), F.when(row_first, F.col("col_id")).otherwise(F.col("row_id")).alias("_other"))
+    after = marked.where("_class > cut").select(F.col("sample_id").alias("_one"), "kmer")
+    other = marked.select(F.col("sample_id").alias("_other"), "kmer")
+    looked = seen.select("row_id", "col_id", "_one", "_other").join(after, "_one").join(other, ["_other", "kmer"], "left_semi")
+    more = looked.groupBy("row_id", "col_id").agg(F.count(F.lit(1)).alias("_more"))
+    out = seen.join(more, ["row_id", "col_id"], "left")
+    return out.select("row_id", "col_id", (F.col("_seen") + F.coalesce("_more", F.lit(0))).alias("common"), F.col("row_size").alias("n_row"), F.col("col_size").alias("n_col"))
 
 
 def cells(rows: DataFrame, columns: DataFrame, triangular: bool) -> DataFrame:
@@ -84,7 +141,7 @@ def all2all_by_patterns(post: DataFrame) -> DataFrame:
     return y.groupBy("row_id", "col_id").agg(F.sum("num_kmers").alias("common"))
 
 
-def all2all_parts(parts: Sequence[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+def all2all_parts(parts: Sequence[tuple[DataFrame, DataFrame]], most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(samples, pairs) over partial indexes (samples, postings): ids are the parts' ids, each part after the other."""
     every_sample, every_posting, offset = None, None, 0
     for samples, post in parts:
@@ -95,18 +152,42 @@ def all2all_parts(parts: Sequence[tuple[DataFrame, DataFrame]]) -> tuple[DataFra
         offset += (samples.agg(F.max("sample_id")).first()[0] or 0) + 1
     if every_sample is None:
         raise ValueError("there are no parts")
-    return every_sample, all2all(every_posting)
+    return every_sample, all2all(every_posting, most=most)
+
+
+def _grid_join(x: DataFrame, y: DataFrame, frequent: DataFrame, chunk: int) -> DataFrame:
+    """(row_id, col_id) for frequent words (kmer, _rows, _cols): both sides are dealt to chunks, and each cell of the grid of
+    chunks is a key. A row goes to the cells of its chunk, one for each chunk of the other side."""
+
+    def dealt(side: DataFrame, sample: str, own: str, other: str) -> DataFrame:
+        many = side.join(frequent, "kmer").withColumn("_row_chunks", F.ceil(F.col("_rows") / chunk)).withColumn("_col_chunks", F.ceil(F.col("_cols") / chunk))
+        mine = many.withColumn(f"_{own}", F.pmod(F.xxhash64(sample), F.col(f"_{own}_chunks")))
+        return mine.withColumn(f"_{other}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"_{other}_chunks") - 1))).select("kmer", "_row", "_col", sample)
 
+    return dealt(x, "row_id", "row", "col").join(dealt(y, "col_id", "col", "row"), ["kmer", "_row", "_col"]).select("row_id", "col_id")
 
-def cross(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """(row_id, col_id, common) between two sets of postings: the whole rectangle's cells that aren't zero."""
+
+def cross(queries: DataFrame, index: DataFrame, chunk: int = CHUNK, most: int | None = None) -> DataFrame:
+    """(row_id, col_id, common) between two sets of postings: the whole rectangle's cells that aren't zero.
+
+    A word that makes more pairs than ``chunk`` squared is joined apart, in a grid of chunks set by its frequency on both
+    sides. Whether there are any is counted, unless ``most`` says that no word makes as many pairs.
+    """
     x = queries.select("kmer", F.col("sample_id").alias("row_id"))
     y = index.select("kmer", F.col("sample_id").alias("col_id"))
-    return x.join(y, "kmer").groupBy("row_id", "col_id").agg(F.count(F.lit(1)).alias("common"))
+    pairs = None
+    if most is None or most > chunk * chunk:
+        rows, cols = (side.groupBy("kmer").agg(F.count(F.lit(1)).alias(n)) for side, n in ((x, "_rows"), (y, "_cols")))
+        frequent = rows.join(cols, "kmer").where(F.col("_rows") * F.col("_cols") > chunk * chunk)
+        if not frequent.isEmpty():
+            rare = x.join(frequent.select("kmer"), "kmer", "left_anti")
+            pairs = rare.join(y, "kmer").select("row_id", "col_id").unionByName(_grid_join(x, y, frequent, chunk))
+    pairs = x.join(y, "kmer") if pairs is None else pairs
+    return pairs.groupBy("row_id", "col_id").agg(F.count(F.lit(1)).alias("common"))
 
 
-def new2all(queries: DataFrame, index: DataFrame) -> DataFrame:
-    return cross(queries, index)
+def new2all(queries: DataFrame, index: DataFrame, chunk: int = CHUNK, most: int | None = None) -> DataFrame:
+    return cross(queries, index, chunk, most)
 
 
 def new2all_dense(queries: DataFrame, query_samples: DataFrame, index: DataFrame, index_samples: DataFrame) -> DataFrame:
@@ -117,11 +198,11 @@ def new2all_dense(queries: DataFrame, query_samples: DataFrame, index: DataFrame
 
 def one2all(query: DataFrame, index: DataFrame, index_samples: DataFrame) -> DataFrame:
     """(sample_id, common) of one sample's words (kmer) with every sample of the index, zeros included."""
-    counts = index.join(query.select("kmer").distinct(), "kmer", "left_semi").groupBy("sample_id").agg(F.count(F.lit(1)).alias("common"))
+    counts = index.join(query.select("kmer"), "kmer", "left_semi").groupBy("sample_id").agg(F.count(F.lit(1)).alias("common"))
     return index_samples.select("sample_id").join(counts, "sample_id", "left").select("sample_id", F.coalesce("common", F.lit(0)).alias("common"))
 
 
 def lookup(index: DataFrame, kmers: DataFrame) -> DataFrame:
     """(kmer, n_samples) for each of some words, 0 for those that aren't in the index."""
-    found = index.join(kmers.select("kmer").distinct(), "kmer", "left_semi").groupBy("kmer").agg(F.count(F.lit(1)).alias("n_samples"))
+    found = index.join(kmers.select("kmer"), "kmer", "left_semi").groupBy("kmer").agg(F.count(F.lit(1)).alias("n_samples"))
     return kmers.select("kmer").distinct().join(found, "kmer", "left").select("kmer", F.coalesce("n_samples", F.lit(0)).alias("n_samples"))

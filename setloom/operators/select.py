@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import MEASURES, least_size_ratio, measure
+from ..functions.metrics import MEASURES, least_share, measure
 
 Bounds = Mapping[str, float]
 
@@ -46,10 +46,11 @@ def filtered(sized: DataFrame, k: int, at_least: Bounds | None = None, at_most:
     return out
 
 
-def size_limits(k: int, at_least: Bounds | None) -> tuple[float | None, int]:
-    """What lower bounds mean for the sizes of a pair's samples: (least ratio, least size)."""
-    ratios = [r for name, bound in (at_least or {}).items() if (r := least_size_ratio(name, bound, k)) is not None]
-    return max(ratios, default=None), int(round((at_least or {}).get("num-kmers", 0)))
+def overlap_limits(k: int, at_least: Bounds | None, at_most: Bounds | None = None) -> tuple[float, int]:
+    """What bounds ask of the words that a pair shares: at least this part of the larger set, and this many."""
+    shares = [least_share(name, bound, k) for name, bound in (at_least or {}).items()]
+    shares += [least_share(name, bound, k, True) for name, bound in (at_most or {}).items()]
+    return max(shares, default=0.0), int(round((at_least or {}).get("num-kmers", 0)))
 
 
 def both_ways(sized: DataFrame) -> DataFrame:

@@ -24,20 +24,25 @@ def all2all(
     ``sample_rows`` keeps that many partners of each sample: those with the highest ``by``, or random ones without it;
     pairs then appear from both sides.
     """
-    ratio, least = select.size_limits(index.settings.k, at_least)
-    pairs = overlap.all2all(index.postings, index.samples, ratio, least)
-    return _selected(pairs, index.samples, index.settings.k, at_least, at_most, sample_rows, by)
+    k = index.settings.k
+    share, least = select.overlap_limits(k, at_least, at_most)
+    if share >= overlap.WORTHWHILE_SHARE or least > 1:
+        sized = overlap.all2all_sharing(index.postings, index.samples, share, least, most=index.most)
+    else:
+        sized = select.with_sizes(overlap.all2all(index.postings, most=index.most), index.samples)
+    return _selected(sized, k, at_least, at_most, sample_rows, by)
 
 
 def all2all_parts(indexes: list[Index], at_least=None, at_most=None, sample_rows: int | None = None, by: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(samples, pairs) over partial indexes as if they were one."""
     settings = same_settings(*indexes)
-    samples, pairs = overlap.all2all_parts([(i.samples, i.postings) for i in indexes])
-    return samples, _selected(pairs, samples, settings.k, at_least, at_most, sample_rows, by)
+    most = None if any(i.most is None for i in indexes) else sum(i.most for i in indexes)
+    samples, pairs = overlap.all2all_parts([(i.samples, i.postings) for i in indexes], most)
+    return samples, _selected(select.with_sizes(pairs, samples), settings.k, at_least, at_most, sample_rows, by)
 
 
-def _selected(pairs, samples, k, at_least, at_most, sample_rows, by) -> DataFrame:
-    out = select.filtered(select.with_sizes(pairs, samples), k, at_least, at_most)
+def _selected(sized, k, at_least, at_most, sample_rows, by) -> DataFrame:
+    out = select.filtered(sized, k, at_least, at_most)
     if sample_rows is None:
         return out
     if by is None:
@@ -53,7 +58,9 @@ def all2all_listed(spark: SparkSession, path: str, **options) -> tuple[DataFrame
 def new2all(queries: Index, index: Index, at_least=None, at_most=None) -> DataFrame:
     """(row_id, col_id, common, n_row, n_col) of new samples (rows) with those of an index; made with one settings."""
     k = same_settings(index, queries).k
-    return select.filtered(select.with_sizes(overlap.new2all(queries.postings, index.postings), queries.samples, index.samples), k, at_least, at_most)
+    most = None if queries.most is None or index.most is None else queries.most * index.most
+    pairs = overlap.new2all(queries.postings, index.postings, most=most)
+    return select.filtered(select.with_sizes(pairs, queries.samples, index.samples), k, at_least, at_most)
 
 
 def one2all(query: Index, index: Index) -> DataFrame:
