@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,15 +34,27 @@ def listed(spark: SparkSession, path: str) -> list[str]:
     return [p for row in spark.read.text(path).collect() for p in row.value.split()]
 
 
+def _in_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their place in their split of a file. A task reads a split from its beginning to its end."""
+    split, n = None, 0
+    for b in batches:
+        places = np.empty(b.num_rows, np.int64)
+        for k, here in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+            split, n = here, n + 1 if here == split else 0
+            places[k] = n
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(places)], ["value", "_found", "at", "record"])
+
+
 def records(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file_no, at, record, name, seq) of each record.
+    """(file_no, at, record, name, seq) of each record; ``at`` and ``record`` are its split of the file and its place in that.
 
-    Files are read record by record: ``>`` ends one wherever it stands, and plain files are split among tasks.
+    Files are read record by record: ``>`` ends one wherever it stands, and plain files are split among tasks. What stands
+    before a file's first ``>`` is no record.
     """
     files = resolve(spark, paths)
     text = spark.read.option("lineSep", ">").text(sorted({qualified(spark, f) for f in files}))
-    text = text.select("value", F.col("_metadata.file_path").alias("_found"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("record"))
-    text = with_file_number(spark, text.where(F.trim(F.translate("value", "\r\n", "")) != ""), "_found", files)
+    text = text.select("value", F.col("_metadata.file_path").alias("_found"), F.col("_metadata.file_block_start").alias("at")).mapInArrow(_in_splits, "value string, _found string, at long, record long")
+    text = with_file_number(spark, text.where((F.col("at") > 0) | (F.col("record") > 0)).where(F.trim(F.translate("value", "\r\n", "")) != ""), "_found", files)
     header = F.regexp_replace(F.substring_index("value", "\n", 1), "\r", "")
     body = F.when(F.instr("value", "\n") > 0, F.expr("substring(value, instr(value, '\n') + 1)")).otherwise("")
     return text.select("file_no", "at", "record", F.substring_index(header, " ", 1).alias("name"), F.translate(body, "\r\n", "").alias("seq"))
