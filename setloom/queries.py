@@ -19,7 +19,7 @@ from .plans import modes, render, store
 from .plans.store import Index, Settings
 from .sources.counts_table import read_counts_table
 from .sources.dispatch import read_samples
-from .sources.paths import work_folder
+from .sources.paths import children, work_folder
 
 K = 8
 AA = Settings(K, "aa")
@@ -239,7 +239,8 @@ def counted_kmer_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{DOC_PAIRS} SELECT {_PAIR} FROM pairs")
 def all2all_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.all2all(documents(spark, sf_dir).postings)
+    index = documents(spark, sf_dir)
+    return overlap.all2all(index.postings, most=index.most)
 
 
 @query(f"{DOC_PAIRS} SELECT {_PAIR} FROM pairs")
@@ -268,6 +269,27 @@ def all2all_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("row_id", "col_id", "common")
 
 
+@query(f"{_BOTH}, {sql_pairs('pairs', 'every')} SELECT {_PAIR} FROM pairs")
+def all2all_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored indexes that a list file names, as one."""
+    paths = [work_path(spark, name) for name in ("first", "second", "list")]
+    for path, source in zip(paths, (("conversations", "conv_id"), ("benchmark", "item_id")), strict=False):
+        store.build_stored(spark, path, *texts(spark, sf_dir, *source), AA)
+    spark.createDataFrame([(" ".join(paths[:2]),)], "value string").coalesce(1).write.text(paths[2])
+    return modes.all2all_listed(spark, paths[2])[1].select("row_id", "col_id", "common")
+
+
+@query(f"{_BOTH}, {sql_pairs('pairs', 'every')} SELECT {_PAIR} FROM pairs")
+def compacted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a stored index that grew in batches, after its parts were merged."""
+    path = work_path(spark, "batches")
+    store.build_stored(spark, path, *texts(spark, sf_dir, "conversations", "conv_id"), AA)
+    store.extend(spark, path, *texts(spark, sf_dir, "benchmark", "item_id"))
+    store.compact(spark, path, fan=2)
+    index = store.load(spark, path)
+    return overlap.all2all(index.postings, most=index.most)
+
+
 @query(f"{_BOTH} SELECT sample_id, n_kmers FROM every_n")
 def extend_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     grown = store.extended(conversations(spark, sf_dir), *texts(spark, sf_dir, "benchmark", "item_id"))
@@ -281,7 +303,8 @@ pairs AS (SELECT x.sample_id AS row_id, y.sample_id AS col_id, count(*)::BIGINT
 
 @query(f"{_CROSS} SELECT {_PAIR} FROM pairs")
 def cross_db(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.cross(benchmark(spark, sf_dir).postings, documents(spark, sf_dir).postings)
+    new, index = benchmark(spark, sf_dir), documents(spark, sf_dir)
+    return overlap.cross(new.postings, index.postings, most=new.most * index.most)
 
 
 @query(f"{_CROSS} SELECT {_PAIR}, n_row, n_col FROM sized WHERE {_M} >= 0.05 AND common >= 2")
@@ -321,7 +344,8 @@ def stored_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of an index on storage, after samples were added to it."""
     path = work_path(spark, "grown")
     store.build_stored(spark, path, *texts(spark, sf_dir, "conversations", "conv_id"), AA)
-    return overlap.all2all(store.extend(spark, path, *texts(spark, sf_dir, "benchmark", "item_id")).postings)
+    grown = store.extend(spark, path, *texts(spark, sf_dir, "benchmark", "item_id"))
+    return overlap.all2all(grown.postings, most=grown.most)
 
 
 @query(f"{_BOTH} SELECT sample_id, n_kmers FROM every_n")
@@ -366,6 +390,18 @@ def filter_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.scored(pairs, "jaccard", K).select("row_id", "col_id", "common", F.round("value", 6).alias("value"))
 
 
+@query(f"{DOC_PAIRS} SELECT {_PAIR}, n_row, n_col FROM sized WHERE {_J} >= 0.5")
+def filter_jaccard_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A high bound: of the words of two samples or more, the join reads a third."""
+    return modes.all2all(documents(spark, sf_dir), {"jaccard": 0.5})
+
+
+@query(f"{DOC_PAIRS} SELECT {_PAIR} FROM sized WHERE {SQL_MEASURES['cosine']} >= 0.6 AND {SQL_MEASURES['mash']} <= 0.05")
+def filter_mash_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds from above and below, each of which asks for a share of the larger set."""
+    return modes.all2all(documents(spark, sf_dir), {"cosine": 0.6}, {"mash": 0.05}).select("row_id", "col_id", "common")
+
+
 @query(f"{DOC_PAIRS} SELECT {_PAIR} FROM sized WHERE common >= 3 AND common <= 200 AND {_M} >= 0.05 AND {SQL_MEASURES['mash']} <= 0.3")
 def filter_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = modes.all2all(documents(spark, sf_dir), {"num-kmers": 3, "min": 0.05}, {"num-kmers": 200, "mash": 0.3})
@@ -472,7 +508,7 @@ UNION ALL SELECT -2, 'kmer-length: {K} fraction: 1 ,db-samples ,' || string_agg(
 )
 def sparse_row_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = documents(spark, sf_dir)
-    return render.counts_lines(index.samples, index.samples, overlap.all2all(index.postings), K, 1.0, sparse=True)
+    return render.counts_lines(index.samples, index.samples, overlap.all2all(index.postings, most=index.most), K, 1.0, sparse=True)
 
 
 _TRIANGLE = f"""WITH {{0}}, {{1}},
@@ -535,7 +571,7 @@ SELECT n.sample_id AS at, n.sample_id::VARCHAR || ',' || n.n_kmers::VARCHAR || '
 @query(_sql_rectangle("true", True))
 def new2all_sparse_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     new, index = benchmark(spark, sf_dir), conversations(spark, sf_dir)
-    return render.counts_lines(new.samples, index.samples, overlap.new2all(new.postings, index.postings), K, 1.0, sparse=True)
+    return render.counts_lines(new.samples, index.samples, overlap.new2all(new.postings, index.postings, most=new.most * index.most), K, 1.0, sparse=True)
 
 
 @query(_sql_rectangle("true", False))
@@ -556,7 +592,7 @@ def one2all_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def counts_file(spark: SparkSession, sf_dir: str, sparse: bool) -> str:
     """A table of the counts of all conversations, as a file."""
     path, index = work_path(spark, "counts"), conversations(spark, sf_dir)
-    pairs = overlap.all2all(index.postings) if sparse else overlap.all2all_dense(index.postings, index.samples)
+    pairs = overlap.all2all(index.postings, most=index.most) if sparse else overlap.all2all_dense(index.postings, index.samples)
     render.write_lines(render.counts_lines(index.samples, index.samples, pairs, K, 1.0, sparse), path)
     return path
 
@@ -597,13 +633,21 @@ def distance_dense_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.text(target).withColumnRenamed("value", "line")
 
 
+@query(ORACLES["distance_dense_file"])
+def distance_dense_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds are for sparse tables: a dense one has every cell, whatever they are."""
+    target = work_path(spark, "values")
+    modes.distance(spark, counts_file(spark, sf_dir, False), target, "jaccard", at_least=["0.9"], at_most=["num-kmers:1"])
+    return spark.read.text(target).withColumnRenamed("value", "line")
+
+
 def item_files(spark: SparkSession, sf_dir: str) -> str:
     """A list file of FASTA files, with a record for each benchmark item; gzip files, of which the list leaves out the ending."""
     path = work_path(spark, "fasta")
     text = F.translate("text", "\r\n>", "...")  # no letters, so that no word crosses them
     record = F.concat(F.lit(">"), F.col("item_id").cast("string"), F.lit(" item\n"), text)
     table(spark, sf_dir, "benchmark").repartition(2, "item_id").select(record).write.option("compression", "gzip").text(f"{path}/files")
-    names = [n for n in store.children(spark, f"{path}/files") if n.endswith(".txt.gz")]
+    names = [n for n in children(spark, f"{path}/files") if n.endswith(".txt.gz")]
     spark.createDataFrame([(f"{path}/files/{n.removesuffix('.gz')}",) for n in names], "value string").coalesce(1).write.text(f"{path}/list")
     return f"{path}/list"
 
@@ -614,11 +658,21 @@ def fasta_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_samples(spark, item_files(spark, sf_dir), AA, "multisample-fasta").samples.select("name", "n_kmers")
 
 
-@query(f"WITH {sql_set('items')} SELECT count(DISTINCT kmer)::BIGINT AS n_kmers FROM items")
+@query(f"WITH {sql_set('items')} SELECT sample_id::VARCHAR AS name, kmer FROM items")
 def fasta_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One sample for each file: all their words together are those of all records."""
-    index = read_samples(spark, item_files(spark, sf_dir), AA)
-    return index.postings.agg(F.countDistinct("kmer").alias("n_kmers"))
+    """One sample for each file: the words of each, by the item that its file is named after. Text before a record is no part of it."""
+    path = work_path(spark, "fasta")
+    text = F.translate("text", "\r\n>", "...")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("ACDEFGHIKLMNPQRSTVWY no record\n>first\n"), text).alias("value"))
+    items.write.partitionBy("item_id").text(f"{path}/files")
+    folders = [n for n in children(spark, f"{path}/files") if n.startswith("item_id=")]
+    files = [f"{path}/files/{d}/{n}" for d in folders for n in children(spark, f"{path}/files/{d}") if n.endswith(".txt")]
+    spark.createDataFrame([(f,) for f in files], "value string").coalesce(1).write.text(f"{path}/list")
+    index = read_samples(spark, f"{path}/list", AA)
+    # a file is named by Spark's writer, its folder by the item; samples have the list's order
+    listed = [r.value for r in spark.read.text(f"{path}/list").collect()]
+    names = spark.createDataFrame([(k, f.rsplit("/", 2)[-2].removeprefix("item_id=")) for k, f in enumerate(listed)], "sample_id long, name string")
+    return spelled(index.postings, AA).join(names, "sample_id").select("name", "kmer")
 
 
 @query(f"WITH {sql_set('items', Settings(6, 'aa'))}, {sql_hashed('hashed', 'items', Settings(6, 'aa'))} SELECT sample_id::VARCHAR AS name, kmer FROM hashed WHERE {_bounds_sql(0.25)}")
@@ -626,7 +680,7 @@ def sketch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketch files of words that are stored spread out, written and read back."""
     settings, folder = Settings(6, "aa", fraction=0.25), work_path(spark, "sketches")
     modes.sketch(*texts(spark, sf_dir, "benchmark", "item_id"), folder, settings)
-    names = [n for n in store.children(spark, folder) if n.endswith(".minhash")]
+    names = [n for n in children(spark, folder) if n.endswith(".minhash")]
     spark.createDataFrame([(f"{folder}/{n.removesuffix('.minhash')}",) for n in names], "value string").coalesce(1).write.text(f"{folder}-list")
     index = read_samples(spark, f"{folder}-list", settings, "sketch")
     return spelled(index.postings, settings).join(index.samples, "sample_id").select("name", "kmer")

@@ -6,6 +6,7 @@ import ast
 import gzip
 import math
 import random
+from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
 from pathlib import Path
 
@@ -101,6 +102,69 @@ def test_store_round_trip_and_stored_extension(spark, index, sequences, tmp_path
     assert again.stats().first().n_samples == len(sequences)
 
 
+def exchanges(df) -> list[str]:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning(kmer" in line]
+
+
+def test_questions_read_a_stored_index_as_it_lies(spark, sequences, tmp_path):
+    """No exchange by word of the index's side, in one part or several: only that of the query's words."""
+    path = f"file://{tmp_path}/index"
+    some = [(spark.createDataFrame([(k, f"s{i}") for k, (i, _) in enumerate(x)], "sample_id long, name string"), spark.createDataFrame([(k, s) for k, (_, s) in enumerate(x)], "sample_id long, seq string")) for x in (sequences[:8], sequences[8:])]
+    store.build_stored(spark, path, *some[0], Settings(K), buckets=6)
+    index = store.extend(spark, path, *some[1])
+    query = store.build(*some[0], Settings(K))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert len(exchanges(overlap.all2all(index.postings, most=index.most))) == 0
+        asked = overlap.new2all(query.postings, index.postings, most=1)
+        assert len(exchanges(asked)) == 1
+        one = store.build(some[0][0].where("sample_id = 4"), some[0][1].where("sample_id = 4"), Settings(K))
+        assert len(exchanges(modes.one2all(one, index))) <= 1
+        assert as_pairs(asked) == {(i, j): n for i, a in sequences[:8] for j, b in sequences if (n := len(words_of(a, K) & words_of(b, K)))}
+        assert as_pairs(modes.all2all(index)) == expected(sequences)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_batches_are_compacted_and_versions_stay(spark, sequences, tmp_path):
+    path, schema = f"file://{tmp_path}/index", ("sample_id long, name string", "sample_id long, seq string")
+    store.create(spark, path, Settings(K), buckets=3)
+    counts = []
+    for n, (i, s) in enumerate(sequences):
+        store.extend(spark, path, spark.createDataFrame([(0, f"s{i}")], schema[0]), spark.createDataFrame([(0, s)], schema[1]), ("in", n))
+        counts.append(len(store.compact(spark, path, fan=3).parts))
+    assert max(counts) <= 3 and counts[-1] < len(sequences)
+    now = store.load(spark, path)
+    assert as_pairs(modes.all2all(now)) == expected(sequences)
+    assert {(r.sample_id, r.name) for r in now.samples.collect()} == {(i, f"s{i}") for i, _ in sequences}
+    before = next(n for n in store.versions(spark, path) if len(store.version(spark, path, n).parts) == 2)
+    assert store.load(spark, path, before).samples.count() == sum(p.ids for p in store.version(spark, path, before).parts)
+    gone = store.vacuum(spark, path, older_than=0)
+    assert gone and len(store.versions(spark, path)) == 1 and as_pairs(modes.all2all(store.load(spark, path))) == expected(sequences)
+    assert store.vacuum(spark, path, older_than=0) == []
+
+
+def test_writers_at_once_lose_nothing(spark, sequences, tmp_path):
+    """Eight writers, two of which bring one batch: each sample is there once, with ids that don't meet."""
+    path, schema = f"file://{tmp_path}/index", ("sample_id long, name string", "sample_id long, seq string")
+    store.create(spark, path, Settings(K), buckets=2)
+
+    def add(k: int):
+        i, s = sequences[k]
+        store.extend(spark, path, spark.createDataFrame([(0, f"s{i}"), (1, f"t{i}")], schema[0]), spark.createDataFrame([(0, s)], schema[1]), (f"w{k}", 0))
+        return store.compact(spark, path, fan=3)
+
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(add, [0, 1, 2, 3, 4, 5, 6, 6]))
+    now = store.load(spark, path)
+    rows = now.samples.collect()
+    assert sorted(r.name for r in rows) == sorted(f"{x}{sequences[k][0]}" for k in range(7) for x in "st") and len({r.sample_id for r in rows}) == 14
+    assert {r.name: r.n_kmers for r in rows if r.name[0] == "s"} == {f"s{i}": len(words_of(s, K)) for i, s in sequences[:7]}
+    with pytest.raises(FileExistsError):
+        store.create(spark, path, Settings(K))
+
+
 @pytest.mark.parametrize(
     ("c", "a", "b", "values"),
     [
@@ -153,7 +217,7 @@ def test_table_of_counts_round_trip(spark, index, sequences, tmp_path, sparse):
 
 
 def test_fasta(spark, tmp_path):
-    (tmp_path / "a.fa").write_text(">one first\nACGT\nACG\r\n>two\nTTTTT\n>one again\n\n")
+    (tmp_path / "a.fa").write_text("no record\nACGTACGT\n>one first\nACGT\nACG\r\n>two\nTTTTT\n>one again\n\n")
     (tmp_path / "b.fa").write_text(">three\nGGG\n")
     paths = [f"{tmp_path}/a", f"{tmp_path}/b.fa"]
     samples, seqs = fasta.read_fasta(spark, paths, multisample=True)
@@ -270,9 +334,61 @@ def test_a_failed_extension_leaves_no_trace(spark, sequences, tmp_path, monkeypa
 def test_frequent_words_are_joined_in_chunks(index, sequences):
     want = expected(sequences)
     assert all(as_pairs(overlap.all2all(index.postings, chunk=c)) == want for c in (1, 2, 3, 5))
-    sized = overlap.all2all(index.postings, index.samples, 0.5, 2, chunk=2)
+    assert as_pairs(overlap.all2all(index.postings, most=len(sequences))) == want
+
+
+@pytest.mark.parametrize("chunk", [2, 1000])
+@pytest.mark.parametrize(("share", "least"), [(0.05, 0), (0.3, 0), (0.5, 3), (0.9, 0), (1.0, 0), (0.0, 4), (0.0, 500)])
+def test_prefixes_lose_no_pair(index, sequences, share, least, chunk):
     sizes = {i: len(words_of(s, K)) for i, s in sequences}
-    assert as_pairs(sized) == {(i, j): c for (i, j), c in want.items() if min(sizes[i], sizes[j]) >= max(2, 0.5 * max(sizes[i], sizes[j]))}
+    every = expected(sequences)
+    got = overlap.all2all_sharing(index.postings, index.samples, share, least, chunk).collect()
+    assert all(every[r.row_id, r.col_id] == r.common and (r.n_row, r.n_col) == (sizes[r.row_id], sizes[r.col_id]) for r in got)
+    want = {p for p, c in every.items() if c >= max(share * max(sizes[p[0]], sizes[p[1]]), least)}
+    assert want <= {(r.row_id, r.col_id) for r in got} and len(got) == len({(r.row_id, r.col_id) for r in got})
+
+
+@pytest.mark.parametrize("bounds", [({"jaccard": 0.3}, None), ({"cosine": 0.7}, None), ({"ani": 0.8}, None), (None, {"mash": 0.2}), ({"max": 0.4, "num-kmers": 5}, {"jaccard": 0.9}), ({"jaccard": 0.5}, {"mash": 2.0})])
+def test_bounds_before_the_join_are_those_after_it(index, bounds):
+    plain = select.with_sizes(overlap.all2all(index.postings), index.samples)
+    assert as_pairs(modes.all2all(index, *bounds)) == as_pairs(select.filtered(plain, K, *bounds))
+
+
+def test_prefixes_read_few_postings(spark):
+    """Every sample has twenty words of its own pair and ten that all have: those make all but a few pairs, and are in no prefix."""
+    rows = [(i, w) for i in range(400) for w in [*range(10), *(1000 + (i // 2) * 20 + k for k in range(20))]]
+    post = spark.createDataFrame(rows, "sample_id long, kmer long").repartition(4)
+    sizes = post.groupBy("sample_id").count().withColumnRenamed("count", "n_kmers")
+    joined = overlap.prefixes(post, sizes, 0.5).where("_class <= cut")
+    assert joined.where("kmer < 10").count() == 0 and joined.count() == 400 * 20
+    assert as_pairs(overlap.all2all_sharing(post, sizes, 0.5)) == {(i + 1, i): 30 for i in range(0, 400, 2)}
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7, 1000])
+def test_a_rectangle_is_joined_in_a_grid(spark, sequences, index, chunk):
+    other = [(100 + i, s + "ACGTT") for i, s in sequences[::2]]
+    queries = store.build(spark.createDataFrame([(i, str(i)) for i, _ in other], "sample_id long, name string"), spark.createDataFrame(other, "sample_id long, seq string"), Settings(K))
+    want = {(i, j): n for i, a in other for j, b in sequences if (n := len(words_of(a, K) & words_of(b, K)))}
+    assert as_pairs(overlap.cross(queries.postings, index.postings, chunk)) == want
+
+
+def test_a_word_of_a_whole_rectangle_makes_no_large_task(spark):
+    """Two indexes of 1500 samples that all have one word: by chunks of 100, no key has more than some 100 rows of a side."""
+    rows = spark.range(1500).select(F.col("id").alias("sample_id"), F.lit(7).cast("long").alias("kmer"))
+    frequent = spark.createDataFrame([(7, 1500, 1500)], "kmer long, _rows long, _cols long")
+    x, y = rows.select("kmer", F.col("sample_id").alias("row_id")), rows.select("kmer", F.col("sample_id").alias("col_id"))
+    pairs = overlap._grid_join(x, y, frequent, 100)
+    assert pairs.count() == 1500 * 1500 == pairs.distinct().count()
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    for key, value in zip(old, ("-1", "false", "32"), strict=True):
+        spark.conf.set(key, value)
+    try:
+        spread = overlap._grid_join(x, y, frequent, 100).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+    # 225 cells of some 10,000 pairs, dealt to 32 tasks by their hash
+    assert len(spread) > 25 and max(r["count"] for r in spread) < 1500 * 1500 / 8
 
 
 def test_one_against_an_index(spark, index, sequences):
