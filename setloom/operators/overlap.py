@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 #: A word in more samples than this is joined with itself in chunks of as many, and one that makes more than its square of
 #: pairs between two indexes is joined in a grid of them.
 CHUNK = 4_000
-#: From this share of the larger set on that pairs must have in common, they are sought by prefixes.
-WORTHWHILE_SHARE = 0.1
+#: From this share of the larger set, or this many words, that pairs must have in common, they are sought by prefixes: below
+#: them, prefixes hold most postings, and the plain join costs less than what is looked up after it.
+WORTHWHILE_SHARE, WORTHWHILE_WORDS = 0.3, 16
 #: Classes of frequency an octave. Words in up to 16 samples have a class a number.
 _CLASSES, _EXACT_CLASSES = 8, 16
 

@@ -26,7 +26,7 @@ def all2all(
     """
     k = index.settings.k
     share, least = select.overlap_limits(k, at_least, at_most)
-    if share >= overlap.WORTHWHILE_SHARE or least > 1:
+    if share >= overlap.WORTHWHILE_SHARE or least >= overlap.WORTHWHILE_WORDS:
         sized = overlap.all2all_sharing(index.postings, index.samples, share, least, most=index.most)
     else:
         sized = select.with_sizes(overlap.all2all(index.postings, most=index.most), index.samples)
