@@ -128,18 +128,55 @@ def all2all_dense(post: DataFrame, samples: DataFrame) -> DataFrame:
     return every.join(all2all(post), ["row_id", "col_id"], "left").select("row_id", "col_id", F.coalesce("common", F.lit(0)).alias("common"))
 
 
+def _names(post: DataFrame, bits: int) -> DataFrame:
+    """(kmer, _n, _x1, _x2): a name of the set of samples of each word, from their number and ``bits`` bits of order-free hash a
+    half. It is made before the shuffle as far as it goes, so a frequent word makes no long row."""
+    mask = F.lit(-1 if bits == 64 else (1 << bits) - 1).cast("long")
+    marks = [F.bit_xor(F.xxhash64("sample_id", F.lit(seed)).bitwiseAND(mask)).alias(f"_x{seed}") for seed in (1, 2)]
+    return post.groupBy("kmer").agg(F.count(F.lit(1)).alias("_n"), *marks)
+
+
+def pattern_words(post: DataFrame, bits: int = 64) -> DataFrame:
+    """(kmer, pattern, n_samples, num_kmers): for each word, the least word that occurs in just the same samples, how many samples
+    these are, and how many words occur in them.
+
+    Sets of samples are told apart by name. Whether words of one name have one set is then counted: every sample of a name's
+    words must have all of them. Words of names for which that fails, which two sets share, are grouped by whole lists of
+    their samples; with 128 bits there are none to be expected.
+    """
+    names = ["_n", "_x1", "_x2"]
+    named = _names(post, bits)
+    same = named.groupBy(*names).agg(F.count(F.lit(1)).alias("num_kmers"), F.min("kmer").alias("pattern"))
+    words = named.join(same, names).select("kmer", "pattern", F.col("_n").alias("n_samples"), "num_kmers")
+    # of one set: each of its samples has every word of the name
+    several = words.where("num_kmers > 1").select("kmer", "pattern", "num_kmers")
+    held = post.select("kmer", "sample_id").join(several, "kmer").groupBy("pattern", "sample_id").agg(F.count(F.lit(1)).alias("_held"), F.first("num_kmers").alias("_all"))
+    met = held.where("_held <> _all").select("pattern").distinct()
+    clear = words.join(met, "pattern", "left_anti")
+    lists = post.select("kmer", "sample_id").join(words.join(met, "pattern", "left_semi").select("kmer"), "kmer").groupBy("kmer").agg(F.array_sort(F.collect_list("sample_id")).alias("_samples"))
+    told = lists.groupBy("_samples").agg(F.collect_list("kmer").alias("_words"))
+    apart = told.select(F.explode("_words").alias("kmer"), F.array_min("_words").alias("pattern"), F.size("_samples").cast("long").alias("n_samples"), F.size("_words").cast("long").alias("num_kmers"))
+    return clear.select(*apart.columns).unionByName(apart)
+
+
+def pattern_members(post: DataFrame, bits: int = 64) -> DataFrame:
+    """(pattern, sample_id, n_samples, num_kmers): the samples of each pattern, once, a row a sample."""
+    leads = pattern_words(post, bits).where("kmer = pattern")
+    return post.select("kmer", "sample_id").join(leads, "kmer").select("pattern", "sample_id", "n_samples", "num_kmers")
+
+
 def patterns(post: DataFrame) -> DataFrame:
-    """(samples, num_kmers): for each set of samples, how many words occur in just those."""
-    sets = post.groupBy("kmer").agg(F.array_sort(F.collect_list("sample_id")).alias("samples"))
-    return sets.groupBy("samples").agg(F.count(F.lit(1)).alias("num_kmers"))
+    """(samples, num_kmers): for each set of samples, how many words occur in just those. A set is one value here; for large
+    ones take ``pattern_members``."""
+    sets = pattern_members(post).groupBy("pattern").agg(F.array_sort(F.collect_list("sample_id")).alias("samples"), F.first("num_kmers").alias("num_kmers"))
+    return sets.select("samples", "num_kmers")
 
 
-def all2all_by_patterns(post: DataFrame) -> DataFrame:
-    """The same as ``all2all``, by way of patterns: worthwhile where many words occur in the same samples."""
-    several = patterns(post).where(F.size("samples") > 1)
-    x = several.select("num_kmers", "samples", F.posexplode("samples").alias("_at", "row_id"))
-    y = x.where("_at > 0").select("num_kmers", "row_id", F.explode(F.slice("samples", F.lit(1), F.col("_at"))).alias("col_id"))
-    return y.groupBy("row_id", "col_id").agg(F.sum("num_kmers").alias("common"))
+def all2all_by_patterns(post: DataFrame, chunk: int = CHUNK, most: int | None = None) -> DataFrame:
+    """The same as ``all2all``, by way of patterns: worthwhile where many words occur in the same samples. Each pair of a
+    pattern's samples counts for all its words; large patterns are joined in chunks, as frequent words are."""
+    members = pattern_members(post).where("n_samples > 1").select(F.col("pattern").alias("kmer"), "sample_id", "num_kmers")
+    return _pairs(members, ["num_kmers"], chunk, most).groupBy("row_id", "col_id").agg(F.sum("row_num_kmers").alias("common"))
 
 
 def all2all_parts(parts: Sequence[tuple[DataFrame, DataFrame]], most: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -205,7 +205,21 @@ def db_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT samples, count(*)::BIGINT AS num_kmers FROM sets GROUP BY samples"""
 )
 def pattern_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.patterns(built(spark, sf_dir, "documents", "doc_id").postings).select(F.array_join("samples", ",").alias("samples"), "num_kmers")
+    return overlap.patterns(documents(spark, sf_dir).postings).select(F.array_join("samples", ",").alias("samples"), "num_kmers")
+
+
+_CODES = f"'{AA.letters.symbols}', 'ABCDEFGHIJKLMNOPQRST'"
+
+
+@query(
+    f"""WITH {sql_set("docs")}, sets AS (SELECT kmer, list_sort(list(sample_id)) AS s FROM docs GROUP BY kmer),
+classes AS (SELECT s, min(translate(kmer, {_CODES})) AS lead, count(*)::BIGINT AS num_kmers FROM sets GROUP BY s)
+SELECT translate(lead, 'ABCDEFGHIJKLMNOPQRST', '{AA.letters.symbols}') AS pattern, unnest(s) AS sample_id, len(s)::BIGINT AS n_samples, num_kmers FROM classes"""
+)
+def pattern_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members of every pattern, a row each; a pattern is named by its first word in the order of codes."""
+    out = overlap.pattern_members(documents(spark, sf_dir).postings)
+    return out.select(AA.letters.unpacked(F.col("pattern"), K).alias("pattern"), "sample_id", "n_samples", "num_kmers")
 
 
 @query(f"WITH {sql_set('docs')} SELECT kmer, count(*)::BIGINT AS n_samples FROM docs WHERE kmer IN (SELECT kmer FROM docs WHERE sample_id % 20 = 0) GROUP BY kmer")
@@ -245,7 +259,8 @@ def all2all_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{DOC_PAIRS} SELECT {_PAIR} FROM pairs")
 def all2all_pattern_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.all2all_by_patterns(documents(spark, sf_dir).postings)
+    index = documents(spark, sf_dir)
+    return overlap.all2all_by_patterns(index.postings, most=index.most)
 
 
 @query(

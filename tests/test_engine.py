@@ -364,6 +364,33 @@ def test_prefixes_read_few_postings(spark):
     assert as_pairs(overlap.all2all_sharing(post, sizes, 0.5)) == {(i + 1, i): 30 for i in range(0, 400, 2)}
 
 
+@pytest.mark.parametrize("bits", [64, 3, 1, 0])
+def test_patterns_are_told_apart_whatever_their_names(spark, index, sequences, bits):
+    """With few bits many sets share a name; they are split by their lists."""
+    sets: dict[int, set[int]] = {}
+    for r in index.postings.collect():
+        sets.setdefault(r.kmer, set()).add(r.sample_id)
+    classes: dict[frozenset, list[int]] = {}
+    for word, of in sets.items():
+        classes.setdefault(frozenset(of), []).append(word)
+    got = overlap.pattern_words(index.postings, bits).collect()
+    assert {(r.kmer, r.pattern, r.n_samples, r.num_kmers) for r in got} == {(w, min(ws), len(of), len(ws)) for of, ws in classes.items() for w in ws}
+    assert len(got) == len(sets)
+    members = overlap.pattern_members(index.postings, bits).collect()
+    assert sorted((r.pattern, r.sample_id) for r in members) == sorted((min(ws), s) for of, ws in classes.items() for s in of)
+
+
+def test_a_pattern_of_many_samples_makes_no_long_row(spark):
+    """Words that 3000 samples have, in 1000 of which there is another one: pairs are joined in chunks."""
+    post = spark.range(3000).select(F.col("id").alias("sample_id"), F.explode(F.when(F.col("id") % 3 == 0, F.expr("array(1L, 2L, 9L)")).otherwise(F.expr("array(1L, 2L)"))).alias("kmer"))
+    got = overlap.pattern_members(post).groupBy("pattern", "num_kmers", "n_samples").count().collect()
+    assert sorted(map(tuple, got)) == [(1, 2, 3000, 3000), (9, 1, 1000, 1000)]
+    sums = overlap.all2all_by_patterns(post, chunk=200).groupBy("common").count().collect()
+    assert {r.common: r["count"] for r in sums} == {3: 1000 * 999 // 2, 2: 3000 * 2999 // 2 - 1000 * 999 // 2}
+    plan = overlap.pattern_members(post)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_samples" in plan and plan.count("collect_list(sample_id") == 1  # only for names that two sets share
+
+
 @pytest.mark.parametrize("chunk", [1, 2, 3, 7, 1000])
 def test_a_rectangle_is_joined_in_a_grid(spark, sequences, index, chunk):
     other = [(100 + i, s + "ACGTT") for i, s in sequences[::2]]
