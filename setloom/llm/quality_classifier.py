@@ -2,8 +2,8 @@
 
 A document becomes a dozen statistics of its text. A fixed random projection and a cosine turn these into features
 whose inner products approximate a Gaussian kernel. The ridge regression of labels on features needs the sums of their
-products only: each partition adds up its own, and the sums (of fixed size, whatever the input) are added on the
-driver. Scores are calibrated by isotonic regression: labelled scores are counted in bins of fixed number, and pooled
+products only: each partition adds up its own, and the sums (of fixed size, whatever the input) are added by a grouped
+aggregation, whose result goes to the driver. Scores are calibrated by isotonic regression: labelled scores are counted in bins of fixed number, and pooled
 where they aren't ascending.
 
 The label, language, source and id of a document are never among its statistics. Labels are learned only from rows with
