@@ -180,14 +180,16 @@ def near_duplicates(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     return grouped(docs, pair_limit).select("doc_id", "fingerprint", "component_id")
 
 
-def kept_documents(docs: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+def kept_documents(docs: DataFrame, pair_limit: int = PAIR_LIMIT, groups: DataFrame | None = None) -> DataFrame:
     """One document of each component, with its columns: that with the smallest doc_id. Rows that repeat this id in the
     component count as one. Of documents whose component has no doc_id but null, one of each fingerprint stays.
+    ``groups`` are other groups than fingerprints give, with the columns of ``grouped`` (``similar.grouped``).
 
     Texts that stay and whose doc_id isn't repeated aren't shuffled.
     """
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp "), "fingerprint"))
-    found = settle(grouped(docs, pair_limit).withColumn("_group", group), "components")
+    groups = grouped(docs, pair_limit) if groups is None else groups
+    found = settle(groups.withColumn("_group", group), "components")
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
     mine = [F.col("doc_id").alias("_of"), F.col("mark").alias("_was"), "_group"]
     gone = found.where(~kept).select(*mine, F.lit(False).alias("_kept"))
