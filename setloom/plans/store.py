@@ -5,6 +5,7 @@ postings, bucketed by word into as many buckets as the index has. A version is a
 at which each begins, and the last batch of each stream. A change writes its parts first and then the next version, which is
 moved to its place only if nobody else was faster; otherwise the change is made again upon the version that won, for which
 no part is rewritten, as a part's ids are relative. So readers see whole versions, and writers may run at once.
+``merge`` adds words to samples that are there, by name: its part begins at id 0 and holds only words that its samples lack.
 
 Postings of a version are one bucketed table whose partitions are the parts, in the session's catalog: a join or an
 aggregation by word reads it as it lies, without an exchange. A word's bucket is the same in every part.
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.alphabet import Alphabet, alphabet
 from ..operators.extract import cardinalities, postings, sketched
+from ..operators.order import numbered_names
 from ..sources.paths import aged, children, delete, put_new, qualified, text_of
 
 #: Adjacent parts of about one size that are merged into one, and the rows up to which parts count as of the least size.
@@ -177,14 +179,14 @@ def _table(spark: SparkSession, path: str, kind: str, parts: tuple[Part, ...], b
     """The rows of some parts, with ``first``, the id at which their part begins. The table is named by what it holds."""
     columns = SAMPLES if kind == "samples" else POSTINGS
     if not parts:
-        return spark.createDataFrame([], f"{columns}, first long")
+        return spark.createDataFrame([], f"{columns}, first long, part string")
     base = qualified(spark, path).replace("'", "\\'")
     key = json.dumps([base, kind, buckets, *((p.name, p.first) for p in parts)])
     name = f"setloom_{kind}_{hashlib.sha1(key.encode()).hexdigest()}"
     if not spark.catalog.tableExists(name):
         clustered = f"CLUSTERED BY (kmer) SORTED BY (kmer) INTO {buckets} BUCKETS" if kind == "postings" else ""
-        where = " ".join(f"PARTITION (first={p.first}) LOCATION '{base}/parts/{p.name}/{kind}'" for p in parts)
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns.replace(' long', ' BIGINT')}, first BIGINT) USING parquet PARTITIONED BY (first) {clustered} LOCATION '{base}/none'")
+        where = " ".join(f"PARTITION (first={p.first}, part='{p.name}') LOCATION '{base}/parts/{p.name}/{kind}'" for p in parts)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns.replace(' long', ' BIGINT')}, first BIGINT, part STRING) USING parquet PARTITIONED BY (first, part) {clustered} LOCATION '{base}/none'")
         spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {where}")
     return spark.table(name)
 
@@ -193,6 +195,15 @@ def _global(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select((F.col("sample_id") + F.col("first")).alias("sample_id"), *columns)
 
 
+def _joined(samples: DataFrame, parts: tuple[Part, ...]) -> DataFrame:
+    """``samples`` (sample_id, name, n_kmers) of some parts with one row a sample: parts whose ids overlap may share samples,
+    but never a word of one."""
+    ends = sorted((p.first, p.first + p.ids) for p in parts)
+    if all(a[1] <= b[0] for a, b in zip(ends, ends[1:], strict=False)):
+        return samples
+    return samples.groupBy("sample_id").agg(F.min("name").alias("name"), F.sum("n_kmers").alias("n_kmers"))
+
+
 def create(spark: SparkSession, path: str, settings: Settings, buckets: int | None = None) -> Index:
     """An empty index at ``path``, where there must be none. Its postings have as many buckets as the session's shuffles have
     partitions, if no number is given: a bucket of a part should fit a task."""
@@ -240,7 +251,7 @@ def load(spark: SparkSession, path: str, number: int | None = None) -> Index:
     """The index at ``path`` as it is now, or as a version of it was. What others add later isn't seen."""
     v = version(spark, path, number)
     samples, post = (_table(spark, path, kind, v.parts, v.buckets) for kind in ("samples", "postings"))
-    return Index(_global(samples, "name", "n_kmers"), _global(post, "kmer"), v.settings, sum(p.most for p in v.parts))
+    return Index(_joined(_global(samples, "name", "n_kmers"), v.parts), _global(post, "kmer"), v.settings, sum(p.most for p in v.parts))
 
 
 def _append(spark: SparkSession, path: str, samples: DataFrame, post: DataFrame, batch: tuple[str, int] | None = None) -> Index:
@@ -271,6 +282,45 @@ def extend(spark: SparkSession, path: str, samples: DataFrame, sequences: DataFr
     return _append(spark, path, samples, postings(sequences, s.k, s.letters, s.fraction, s.fraction_start), batch)
 
 
+def merge(spark: SparkSession, path: str, rows: DataFrame, batch: tuple[str, int] | None = None) -> Index:
+    """Add sequences (name, seq) to a stored index by their samples' names.
+
+    A name that is there gets the words that it lacks; of samples that share a name, the one with the smallest id. Other names
+    are new samples, whose ids follow the ids there in the order of the names' hashes. A null name is a name. The rest is as with ``extend``: all
+    at once or not at all, and a ``batch`` once. Of the stored postings only those of the named samples are read beyond their
+    ids. If another writer adds samples or words meanwhile, the part is made again, as its ids are not relative.
+    """
+    rows, part, upon = rows.select("name", "seq"), None, None
+    while True:
+        now = version(spark, path)
+        last = dict(now.batches)
+        if batch is not None:
+            if last.get(batch[0], -1) >= batch[1]:
+                return load(spark, path)
+            last[batch[0]] = batch[1]
+        state = (now.next_id, now.batches, sum(p.rows for p in now.parts))
+        if upon != state:  # compaction leaves the state as it is
+            part, upon = _merge_part(spark, path, rows, now), state
+        new = replace(now, number=now.number + 1, parts=(*now.parts, *((part,) if part.ids else ())), batches=tuple(sorted(last.items())))
+        if put_new(spark, _version_path(path, new.number), new.text()):
+            return load(spark, path, new.number)
+
+
+def _merge_part(spark: SparkSession, path: str, rows: DataFrame, now: Version) -> Part:
+    """A part from id 0 on with the words of ``rows`` (name, seq) that a version's samples of these names lack."""
+    s, index = now.settings, load(spark, path, now.number)
+    names = rows.select("name").distinct()
+    there = index.samples.groupBy(F.col("name").alias("_name")).agg(F.min("sample_id").alias("sample_id"))
+    same = F.col("name").eqNullSafe(F.col("_name"))
+    known = names.join(there, same).select("name", "sample_id")
+    fresh = numbered_names(names.join(there, same, "left_anti"))
+    ids = known.unionAll(fresh.select("name", F.col("sample_id") + now.next_id))
+    of = ids.select(F.col("name").alias("_name"), "sample_id")
+    post = postings(rows.join(of, same).select("sample_id", "seq"), s.k, s.letters, s.fraction, s.fraction_start)
+    stored = index.postings.join(known.select("sample_id"), "sample_id", "left_semi")
+    return _written(spark, path, ids, post.join(stored, ["sample_id", "kmer"], "left_anti"), now.buckets)
+
+
 def build_stored(spark: SparkSession, path: str, samples: DataFrame, sequences: DataFrame, settings: Settings, buckets: int | None = None) -> Index:
     """``build``, written to ``path``: words are made once, however many questions are asked."""
     create(spark, path, settings, buckets)
@@ -309,7 +359,7 @@ def compact(spark: SparkSession, path: str, fan: int = FAN) -> Version:
         run = _due(now.parts, fan)
         if not run:
             return now
-        part, first = _merged(spark, path, run, now.buckets), run[0].first
+        part, first = _merged(spark, path, run, now.buckets), min(p.first for p in run)
 
         def change(now: Version, run=run, part=part, first=first) -> Version | None:
             at = now.parts.index(run[0]) if run[0] in now.parts else -1
@@ -322,11 +372,11 @@ def compact(spark: SparkSession, path: str, fan: int = FAN) -> Version:
 
 def _merged(spark: SparkSession, path: str, run: tuple[Part, ...], buckets: int) -> Part:
     """One part of a run of parts. A bucket of it is made of the same bucket of each, without an exchange."""
-    name, first = uuid.uuid4().hex, F.lit(run[0].first)
+    name, first = uuid.uuid4().hex, F.lit(min(p.first for p in run))
     at = f"{qualified(spark, path)}/parts/{name}"
     moved = (F.col("sample_id") + F.col("first") - first).alias("sample_id")
     _write_bucketed(_table(spark, path, "postings", run, buckets).select(moved, "kmer"), f"{at}/postings", buckets)
-    _table(spark, path, "samples", run, buckets).select(moved, "name", "n_kmers").write.parquet(f"{at}/samples")
+    _joined(_table(spark, path, "samples", run, buckets).select(moved, "name", "n_kmers"), run).write.parquet(f"{at}/samples")
     return _measured(spark, path, name, _table(spark, path, "postings", (Part(name, 0, 0, 0, 0),), buckets))
 
 

@@ -20,6 +20,7 @@ from .plans.store import Index, Settings
 from .sources.counts_table import read_counts_table
 from .sources.dispatch import read_samples
 from .sources.paths import children, work_folder
+from .streaming.extend import extend_from_stream
 
 K = 8
 AA = Settings(K, "aa")
@@ -305,6 +306,20 @@ def compacted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.all2all(index.postings, most=index.most)
 
 
+@query(f"WITH {sql_set('convs')} SELECT sample_id::VARCHAR AS name, kmer, n_kmers FROM convs JOIN convs_n USING (sample_id)")
+def stream_merged_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations that reach a stored index by a stream, their turns in two batches: each is one sample all the same."""
+    path, source = work_path(spark, "merged"), work_path(spark, "turns")
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("name"), F.col("text").alias("seq"), (F.col("turn") % 2).alias("half"))
+    for half in (0, 1):
+        turns.where(F.col("half").eqNullSafe(half) if half else F.coalesce(F.col("half"), F.lit(0)) == 0).drop("half").coalesce(1).write.mode("append").parquet(source)
+    store.create(spark, path, AA)
+    stream = spark.readStream.schema("name string, seq string").option("maxFilesPerTrigger", 1).parquet(source)
+    extend_from_stream(stream, path, work_path(spark, "stream")).awaitTermination()
+    index = store.load(spark, path)
+    return spelled(index.postings, AA).join(index.samples, "sample_id").select("name", "kmer", "n_kmers")
+
+
 @query(f"{_BOTH} SELECT sample_id, n_kmers FROM every_n")
 def extend_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     grown = store.extended(conversations(spark, sf_dir), *texts(spark, sf_dir, "benchmark", "item_id"))

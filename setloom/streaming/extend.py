@@ -6,19 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.order import numbered_names
-from ..plans.store import FAN, compact, extend
+from ..plans.store import FAN, compact, merge
 
 
 def add_batch(batch: DataFrame, number: int, path: str, stream: str = "stream", name: str = "name", seq: str = "seq") -> None:
-    """Add the rows (name, seq) of a micro-batch to the index at ``path``; all rows of a name are one sample.
+    """Add the rows (name, seq) of a micro-batch to the index at ``path``; all rows of a name are one sample, whatever batches
+    they come in.
 
     The index remembers the last batch of each stream. A batch is complete or isn't there, so one that is run again after a
     failure is added once. Parts of batches are merged as they become many.
     """
-    rows = batch.select(F.col(name).alias("name"), F.col(seq).alias("seq"))
-    ids = numbered_names(rows.select("name").distinct())
-    extend(batch.sparkSession, path, ids.select("sample_id", "name"), rows.join(ids, "name").select("sample_id", "seq"), (stream, number))
+    merge(batch.sparkSession, path, batch.select(F.col(name).alias("name"), F.col(seq).alias("seq")), (stream, number))
     compact(batch.sparkSession, path, FAN)
 
 

@@ -249,6 +249,61 @@ def test_stream_extends_an_index(spark, index, sequences, tmp_path):
     assert {tuple(sorted((number[i], number[j]), reverse=True)): c for (i, j), c in as_pairs(modes.all2all(grown)).items()} == expected(sequences)
 
 
+def merged_words(spark, path, number=None):
+    """The words of each name in a stored index, and its sizes by name."""
+    index = store.load(spark, path, number)
+    named = index.postings.join(index.samples, "sample_id").select("name", "kmer").collect()
+    assert len(named) == len(set(named))
+    words = {}
+    for r in named:
+        words.setdefault(r.name, set()).add(r.kmer)
+    sizes = [(r.name, r.n_kmers) for r in index.samples.collect()]
+    assert len(sizes) == len(dict(sizes)) and all(n == len(words.get(name, ())) for name, n in sizes)
+    return words, dict(sizes)
+
+
+def test_merge_adds_words_to_samples_of_the_same_name(spark, sequences, tmp_path):
+    """Samples that come in pieces equal samples that come at once: repeats, empty ones, new names, a null name, after compaction."""
+    path, whole = f"file://{tmp_path}/pieces", f"file://{tmp_path}/whole"
+    rows = [(None if i % 5 == 4 else f"s{i % 5}", seq) for i, seq in sequences]
+    frame = [spark.createDataFrame(part, "name string, seq string") for part in (rows[:6], rows[6:], rows[3:9], [("late", "ACGTTACA"), ("s0", None)])]
+    store.create(spark, path, Settings(K))
+    for n, part in enumerate(frame):
+        store.merge(spark, path, part, ("a", n))
+        store.merge(spark, path, part, ("a", n))  # a batch that is run again
+    store.create(spark, whole, Settings(K))
+    store.merge(spark, whole, frame[0].unionAll(frame[1]).unionAll(frame[3]))
+    words, sizes = merged_words(spark, path)
+    assert (words, sizes) == merged_words(spark, whole) and set(sizes) == {"s0", "s1", "s2", "s3", None, "late"}
+    assert store.version(spark, path).next_id == 6
+    before = as_pairs(modes.all2all(store.load(spark, path)))
+    store.compact(spark, path, 2)
+    assert len(store.version(spark, path).parts) == 1 and merged_words(spark, path) == (words, sizes)
+    assert as_pairs(modes.all2all(store.load(spark, path))) == before
+    store.merge(spark, path, spark.createDataFrame([], "name string, seq string"), ("a", 9))
+    assert merged_words(spark, path) == (words, sizes) and dict(store.version(spark, path).batches) == {"a": 9}
+
+
+def test_merge_is_made_again_if_another_writer_was_faster(spark, tmp_path, monkeypatch):
+    """Two writers add the same new name: the slower one finds it and adds only the words that it lacks."""
+    path = f"file://{tmp_path}/index"
+    store.create(spark, path, Settings(K))
+    mine, theirs = (spark.createDataFrame([("s", seq)], "name string, seq string") for seq in ("ACGTAACC", "ACGTAACTTT"))
+    made, whole = store._merge_part, []
+
+    def slow(*given):
+        part = made(*given)
+        if not whole:
+            whole.append(part)
+            store.merge(spark, path, theirs)
+        return part
+
+    monkeypatch.setattr(store, "_merge_part", slow)
+    store.merge(spark, path, mine)
+    words, sizes = merged_words(spark, path)
+    assert list(sizes) == ["s"] and sizes["s"] == len(words_of("ACGTAACC", K) | words_of("ACGTAACTTT", K))
+
+
 def test_fasta_files_with_clashing_and_odd_paths(spark, tmp_path):
     """Each file's sequences are its own sample's, whatever the paths; compressed files are read by their ending."""
     files = {"d/x/a.fa": "ACGTACGTA", "q/d/x/a.fa": "GGGGGGG", "with space/b+c%20.fna": "TTTTTTC", "empty.fasta": ""}
