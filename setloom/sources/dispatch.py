@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 from ..operators.extract import cardinalities
 from ..operators.order import numbered_names
 from ..plans.store import Index, Settings, build, from_words
-from .fasta import listed, read_fasta
+from .fasta import listed, stretches
 from .sketches import read_sketches
 
 FORMATS = ("fasta", "multisample-fasta", "sketch", "words")
@@ -21,7 +21,7 @@ def read_samples(spark: SparkSession, path: str, settings: Settings, format: str
     index is to be compared with others. ``words``: ``path`` is a Parquet table (name, kmer) of packed words.
     """
     if format in ("fasta", "multisample-fasta"):
-        return build(*read_fasta(spark, listed(spark, path), format == "multisample-fasta"), settings)
+        return build(*stretches(spark, listed(spark, path), settings.k, format == "multisample-fasta"), settings)
     if format == "sketch":
         samples, post, found = read_sketches(spark, listed(spark, path), settings.letters)
         own = Settings(found["k"], settings.alphabet, settings.preserve_strand, found["fraction"], settings.fraction_start)

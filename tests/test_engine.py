@@ -6,6 +6,7 @@ import ast
 import gzip
 import math
 import random
+from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations
 from pathlib import Path
@@ -324,6 +325,56 @@ def test_fasta_files_with_clashing_and_odd_paths(spark, tmp_path):
     assert {r.sample_id: r.seq for r in seqs.collect()} == {0: "ACGGGTT", 1: "CC", 2: "ACGTACGTA", 3: "ACGGGTT", 4: "CC"}
 
 
+@pytest.mark.parametrize("k", [1, 5, 12])
+def test_records_over_many_splits_have_all_their_words(spark, tmp_path, k):
+    """Records of many splits and stretches, short lines, text before the first record, blank and repeated headers: the
+    words of each sample are those of its whole record, each as often."""
+    draw = random.Random(k)
+
+    def record(name: str, size: int, width: int) -> str:
+        seq = "".join(draw.choice("ACGT") for _ in range(size))
+        return f">{name}\n" + "".join(seq[i : i + width] + draw.choice(("\n", "\r\n")) for i in range(0, size, width))
+
+    texts = {
+        "a.fa": "ACGTACGTACGTACGT\n" * 9 + record("long one", 700, 3) + record("", 40, 7) + ">\n\n" + record("short", 2, 1) + record("long", 300, 60) + ">none",
+        "b.fa": record("x", 900, 1) + "ACGT>mid y\nTTTTTTTTTTTTTT",
+        "c.fa": "\n" * 200 + ">\n" + "\n" * 200 + "ACGTACGTACGTAC\n",
+        "d.fa": "no record",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    (tmp_path / "e.fa.gz").write_bytes(gzip.compress(texts["a.fa"].encode()))
+    paths = [f"{tmp_path}/{n}" for n in (*texts, "e", "a.fa")]
+    whole = []
+    for text in [*texts.values(), texts["a.fa"], texts["a.fa"]]:
+        found = [r.partition("\n") for r in text.replace("\r", "").split(">")[1:]]
+        whole.append([(h.split(" ")[0], b.replace("\n", "")) for h, _, b in found if h.strip() or b.strip()])
+
+    def words(seqs) -> Counter:
+        return Counter(s[i : i + k] for s in seqs for i in range(len(s) - k + 1))
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        samples, seqs = fasta.stretches(spark, paths, k, size=50)
+        assert [r.name for r in samples.orderBy("sample_id").collect()] == [*texts, "e", "a.fa"]
+        got = {}
+        for r in seqs.collect():
+            assert len(r.seq) <= 50
+            got.setdefault(r.sample_id, []).append(r.seq)
+        assert {i: w for i, s in got.items() if (w := words(s))} == {i: w for i, f in enumerate(whole) if (w := words(b for _, b in f))}
+        samples, seqs = fasta.stretches(spark, paths, k, multisample=True, size=50)
+        every = [r for f in whole for r in f]
+        assert [(r.sample_id, r.name) for r in samples.orderBy("sample_id").collect()] == list(enumerate(n for n, _ in every))
+        got = {}
+        for r in seqs.collect():
+            got.setdefault(r.sample_id, []).append(r.seq)
+        assert {i: w for i, s in got.items() if (w := words(s))} == {i: w for i, (_, b) in enumerate(every) if (w := words([b]))}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_sources_by_list_file(spark, index, sequences, tmp_path):
     (tmp_path / "fa").mkdir()
     for i, seq in sequences:
