@@ -5,27 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot from this share of all rows; so at most as many are.
-HOT_SHARE = 256
+#: A key is hot with over this share of all rows, so at most as many are, and with over ``LEAST_ROWS`` rows.
+HOT_SHARE = 1 << 16
+LEAST_ROWS = 128
 #: Bits of a filter for each id: at one bit an id, a sixteenth of other rows pass at most.
 BITS_PER_ID = 16
-#: From this many ids on there is no filter, as it would have over 32 MB: all rows pass.
-FILTER_IDS = 1 << 24
+#: A broadcast filter has 64 MB at most: from 33 million ids on it lets more other rows pass, two thirds at 600 million.
+MAX_BITS = 1 << 29
 _BITMAP_BITS = 32768
 
 
 def salted_join(rows: DataFrame, table: DataFrame, key: str, weight: str, spread: Column, how: str = "inner", total: int | None = None, weights: DataFrame | None = None) -> DataFrame:
     """``rows`` with the columns of ``table``, in which ``weight`` says how many of ``rows`` have a row's key.
 
-    Rows of a hot key are dealt to as many salts as it takes for each to hold a 256th of all rows at most; the table's rows
-    are repeated once a salt. ``spread`` tells a key's rows apart. ``_salt`` and ``_salts`` stay in the result. ``total`` is
+    Rows of a hot key are dealt to as many salts as it takes for each to hold about a 65536th of all rows, or 128; the table's
+    rows are repeated once a salt. ``spread`` tells a key's rows apart. ``_salt`` and ``_salts`` stay in the result. ``total`` is
     the number of all rows (left out: the sum of the weights). The weights are read twice. If the table has several rows a
     key, or no weights, they are given apart as ``weights`` (key, weight), one row a key.
     """
     counted = table if weights is None else weights
     if total is None:
         total = counted.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
-    salts = F.greatest(F.ceil(F.col(weight) * HOT_SHARE / F.lit(max(1, total))), F.lit(1)).cast("int")
+    salts = F.greatest(F.ceil(F.col(weight) / F.lit(max(LEAST_ROWS, -(-total // HOT_SHARE)))), F.lit(1)).cast("int")
     salted = counted.withColumn("_salts", salts)
     hot = F.broadcast(salted.where("_salts > 1").select(F.col(key).alias("_hot_key"), F.col("_salts").alias("_hot")))  # at most HOT_SHARE rows
     mine = rows.join(hot, F.col(key) == F.col("_hot_key"), "left")
@@ -64,10 +65,8 @@ def marked(rows: DataFrame, maps: DataFrame, value: Column, bits: int) -> DataFr
 def maybe_among(rows: DataFrame, value: Column, ids: DataFrame, column: str) -> DataFrame:
     """``rows`` with ``_maybe``: false only where ``value`` is surely none of ``ids``.
 
-    The filter is broadcast; its size follows the number of ids, up to ``FILTER_IDS``. With more, every row may be one.
+    The filter is broadcast; its size follows the number of ids, up to ``MAX_BITS``. Beyond, the same plan holds and the
+    filter rules out fewer rows.
     """
-    n = ids.count()
-    if n == 0 or n > FILTER_IDS:
-        return rows.withColumn("_maybe", F.lit(n > 0))
-    bits = filter_bits(n)
+    bits = min(filter_bits(ids.count()), MAX_BITS)
     return marked(rows, F.broadcast(bitmaps(ids, column, bits)), value, bits)

@@ -38,6 +38,8 @@ MIN_REVISIT_BYTES = 100
 ARCHIVE_RECORDS = 50_000
 #: Records whose offsets a task passes on at once.
 INDEX_ROWS = 10_000
+#: Bytes of payloads, and records, that a task passes on at once.
+BATCH_BYTES, BATCH_ROWS = 1 << 22, 1000
 #: Bytes of a stream that are inflated at once.
 CHUNK = 1 << 18
 _END = b"\r\n\r\n"
@@ -168,7 +170,8 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
                         pack = zlib.compressobj(6, zlib.DEFLATED, 31)
                         member = pack.compress(whole) + pack.flush()
                         out.write(member)
-                        body = int(whole[whole.find(b"Content-Length: ", whole.find(_END)) + 16 :].split(b"\r\n", 1)[0])
+                        size = whole.find(b"Content-Length: ", whole.find(_END)) + 16
+                        body = int(whole[size : whole.find(b"\r\n", size)])
                         digest = fields["warc-payload-digest"].removeprefix("sha256:")
                         rows.append((name, at, len(member), _page(fields["warc-record-id"]), fields["warc-type"], body, digest, _page(fields.get("warc-refers-to"))))
                         at += len(member)
@@ -187,37 +190,50 @@ def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
 
-def read_records(index: DataFrame, folder_uri: str) -> DataFrame:
-    """Read each record of an index by its offset: page_id, record_type, refers_to, payload (null for a revisit), and
-    its digest and size: of what was read for a response, as the record says for a revisit."""
+def read_records(index: DataFrame, folder_uri: str, payloads: bool = True, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """Read each record of an index by its offset: page_id, record_type, refers_to, payload (null for a revisit; left out
+    without ``payloads``), and its digest and size: of what was read for a response, as the record says for a revisit.
+
+    A task holds a record, and payloads of ``batch_bytes`` before it.
+    """
     origin = _arrow_uri(qualified(index.sparkSession, folder_uri))
+    kinds = {"page_id": pa.string(), "record_type": pa.string(), "refers_to": pa.string(), "payload_digest": pa.string(), "payload_bytes": pa.int64()}
+    schema = "page_id string, record_type string, refers_to string, payload_digest string, payload_bytes long"
+    if payloads:
+        kinds["payload"], schema = pa.binary(), f"{schema}, payload binary"
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = pafs.FileSystem.from_uri(origin)
         name, file = None, None
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                rows = []
-                for r in b.slice(at, 1000).to_pylist():
-                    if r["archive"] != name:
-                        if file is not None:
-                            file.close()
-                        name, file = r["archive"], store.open_input_file(f"{folder}/{r['archive']}")
-                    file.seek(r["offset"])
-                    fields, _, block = next(records(inflated(io.BytesIO(file.read(r["length"])).read)))
-                    payload = block[block.find(_END) + len(_END) :]
-                    kind, digest, size = fields["warc-type"], r["payload_digest"], r["payload_bytes"]
-                    if kind == "response":
-                        digest, size = hashlib.sha256(payload).hexdigest(), len(payload)
-                        if digest != r["payload_digest"]:
-                            raise ValueError(f"the payload of page {r['page_id']} has changed")
-                    rows.append((_page(fields["warc-record-id"]), kind, _page(fields.get("warc-refers-to")), payload if kind == "response" else None, digest, size))
-                columns = list(zip(*rows, strict=True))
-                types = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.int64()]
-                names = ["page_id", "record_type", "refers_to", "payload", "payload_digest", "payload_bytes"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-    return index.mapInArrow(each, "page_id string, record_type string, refers_to string, payload binary, payload_digest string, payload_bytes long")
+            rows, held = [], 0
+            for r in b.to_pylist():
+                if r["archive"] != name:
+                    if file is not None:
+                        file.close()
+                    name, file = r["archive"], store.open_input_file(f"{folder}/{r['archive']}")
+                file.seek(r["offset"])
+                fields, _, block = next(records(inflated(io.BytesIO(file.read(r["length"])).read)))
+                kind, digest, size, payload = fields["warc-type"], r["payload_digest"], r["payload_bytes"], None
+                if kind == "response":
+                    payload = memoryview(block)[block.find(_END) + len(_END) :]
+                    digest, size = hashlib.sha256(payload).hexdigest(), len(payload)
+                    if digest != r["payload_digest"]:
+                        raise ValueError(f"the payload of page {r['page_id']} has changed")
+                row = (_page(fields["warc-record-id"]), kind, _page(fields.get("warc-refers-to")), digest, size)
+                if payloads:
+                    row, held = (*row, None if payload is None else bytes(payload)), held + size * (payload is not None)
+                rows.append(row)
+                if held >= batch_bytes or len(rows) == BATCH_ROWS:
+                    yield batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield batch(rows)
+
+    return index.mapInArrow(each, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -225,5 +241,5 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark, kind = pages.sparkSession, pages.schema["page_id"].dataType
     raw, neat = shared_folder(spark, "archives"), shared_folder(spark, "members")
     write_archives(pages, raw)
-    read = read_records(normalise(spark, raw, neat), neat)
+    read = read_records(normalise(spark, raw, neat), neat, payloads=False)
     return read.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

@@ -102,6 +102,19 @@ def test_warc_members_can_be_reached_alone(spark, tmp_path):
         warc.normalise(spark, f"file://{tmp_path}/short", f"file://{tmp_path}/cut")
 
 
+def test_warc_payloads_are_read_in_batches_of_bytes(spark, tmp_path):
+    """Every response has its payload, whatever a batch holds; a revisit has none."""
+    html = ["é" * 70_000, "", None, "x" * 200, "x" * 200, "<p>short</p>", "y" * 300_000]
+    pages = spark.createDataFrame([(i, f"http://a/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, f"file://{tmp_path}/raw")
+    index = warc.normalise(spark, f"file://{tmp_path}/raw", f"file://{tmp_path}/neat")
+    want = {str(i): None if i == 4 else (h or "").encode() for i, h in enumerate(html)}
+    for size in (1, 100_000, warc.BATCH_BYTES):
+        rows = warc.read_records(index, f"file://{tmp_path}/neat", batch_bytes=size).collect()
+        assert {r.page_id: None if r.payload is None else bytes(r.payload) for r in rows} == want and len(rows) == len(html)
+    assert "payload" not in warc.read_records(index, f"file://{tmp_path}/neat", payloads=False).columns
+
+
 def test_token_counts(docs, texts):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
@@ -178,6 +191,30 @@ def test_salted_join_splits_hot_keys(shuffled):
     assert len(left) == 4000 and all((r.value is None) == (r.key != "hot") for r in left)
 
 
+def test_salted_join_splits_a_key_of_a_300th(shuffled):
+    """A key with less than a 256th of all rows is in more than one task too, and a table of few rows isn't repeated."""
+    rows = shuffled.range(90_000).select(F.col("id").alias("i"), F.when(F.col("id") % 300 == 0, "warm").otherwise(F.concat(F.lit("k"), F.col("id") % 1000)).alias("key"))
+    out = joins.salted_join(rows, rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key", "n", F.col("i"))
+    got = out.groupBy("key", "_salt").count().collect()
+    assert sum(r["count"] for r in got) == 90_000 and max(r["count"] for r in got) < 200
+    assert {r.key for r in got if r._salt > 0} == {"warm"}
+
+
+def test_filter_of_the_largest_size_has_the_same_plan(spark, monkeypatch):
+    """Beyond its size a filter lets more rows pass; what it does is the same, and no id is ruled out."""
+
+    def shape(n: int) -> list[str]:
+        rows = joins.maybe_among(spark.range(5000), F.col("id"), spark.range(n), "id")
+        assert rows.where(f"id < {n} and not _maybe").count() == 0
+        return re.findall("[A-Z][A-Za-z]+Join|Exchange|BroadcastExchange|HashAggregate", rows._jdf.queryExecution().sparkPlan().toString())
+
+    small = shape(100)
+    monkeypatch.setattr(joins, "MAX_BITS", 1 << 15)
+    assert shape(100) == shape(4000) == small
+    others = joins.maybe_among(spark.range(100_000, 120_000), F.col("id"), spark.range(20_000), "id")
+    assert 0 < others.where("not _maybe").count() < 20_000
+
+
 def test_exact_dedup_with_a_hot_text(shuffled):
     rows = [(i, "The Same" if i % 2 else f"text {i // 4}") for i in range(3000)]
     out = exact_dedup.dedup(shuffled.createDataFrame(rows, "doc_id long, text string")).collect()
