@@ -12,10 +12,15 @@ from . import render
 from .store import Index, Settings, load, same_settings
 
 
+def _bounds(*bounds: select.Bounds | list[str] | None) -> tuple[select.Bounds | None, ...]:
+    """Bounds by measure; texts without a name are for the number of shared words."""
+    return tuple(select.parse_bounds(b) if isinstance(b, list) else b for b in bounds)
+
+
 def all2all(
     index: Index,
-    at_least: select.Bounds | None = None,
-    at_most: select.Bounds | None = None,
+    at_least: select.Bounds | list[str] | None = None,
+    at_most: select.Bounds | list[str] | None = None,
     sample_rows: int | None = None,
     by: str | None = None,
 ) -> DataFrame:
@@ -25,6 +30,7 @@ def all2all(
     pairs then appear from both sides.
     """
     k = index.settings.k
+    at_least, at_most = _bounds(at_least, at_most)
     share, least = select.overlap_limits(k, at_least, at_most)
     if share >= overlap.WORTHWHILE_SHARE or least >= overlap.WORTHWHILE_WORDS:
         sized = overlap.all2all_sharing(index.postings, index.samples, share, least, most=index.most)
@@ -42,7 +48,7 @@ def all2all_parts(indexes: list[Index], at_least=None, at_most=None, sample_rows
 
 
 def _selected(sized, k, at_least, at_most, sample_rows, by) -> DataFrame:
-    out = select.filtered(sized, k, at_least, at_most)
+    out = select.filtered(sized, k, *_bounds(at_least, at_most))
     if sample_rows is None:
         return out
     if by is None:
@@ -50,9 +56,14 @@ def _selected(sized, k, at_least, at_most, sample_rows, by) -> DataFrame:
     return select.best_of_rows(select.scored(out, by, k, "_by"), sample_rows, "_by").drop("_by")
 
 
+def load_listed(spark: SparkSession, path: str) -> list[Index]:
+    """The stored indexes that a list file names, whitespace between them."""
+    return [load(spark, p) for row in spark.read.text(path).collect() for p in row.value.split()]
+
+
 def all2all_listed(spark: SparkSession, path: str, **options) -> tuple[DataFrame, DataFrame]:
-    """``all2all_parts`` over the stored indexes that a list file names, whitespace between them."""
-    return all2all_parts([load(spark, p) for row in spark.read.text(path).collect() for p in row.value.split()], **options)
+    """``all2all_parts`` over the stored indexes that a list file names."""
+    return all2all_parts(load_listed(spark, path), **options)
 
 
 def new2all(queries: Index, index: Index, at_least=None, at_most=None) -> DataFrame:
@@ -60,7 +71,7 @@ def new2all(queries: Index, index: Index, at_least=None, at_most=None) -> DataFr
     k = same_settings(index, queries).k
     most = None if queries.most is None or index.most is None else queries.most * index.most
     pairs = overlap.new2all(queries.postings, index.postings, most=most)
-    return select.filtered(select.with_sizes(pairs, queries.samples, index.samples), k, at_least, at_most)
+    return select.filtered(select.with_sizes(pairs, queries.samples, index.samples), k, *_bounds(at_least, at_most))
 
 
 def one2all(query: Index, index: Index) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions.alphabet import alphabet
 from .functions.metrics import MEASURES
 from .operators import extract, overlap, select
-from .plans import modes, render, store
+from .plans import files, modes, render, store
 from .plans.store import Index, Settings
 from .sources.counts_table import read_counts_table
 from .sources.dispatch import read_samples
@@ -627,6 +627,76 @@ def counts_file(spark: SparkSession, sf_dir: str, sparse: bool) -> str:
     return path
 
 
+def stored_at(spark: SparkSession, sf_dir: str, name: str, sample: str) -> str:
+    """The folder of a table's stored index."""
+    path = work_path(spark, name)
+    store.build_stored(spark, path, *texts(spark, sf_dir, name, sample), AA)
+    return path
+
+
+def lines_of(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+def _lines_sql(name: str) -> str:
+    return f"SELECT line FROM ({ORACLES[name]})"
+
+
+@query(_lines_sql("dense_counts_table"))
+def all2all_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a stored index to a written dense table, in one call."""
+    target = work_path(spark, "all2all")
+    files.all2all(spark, stored_at(spark, sf_dir, "conversations", "conv_id"), target)
+    return lines_of(spark, target)
+
+
+def _sql_sparse_lines(source: str, names: str, where: str) -> str:
+    """Lines of a sparse table of the pairs of ``source``, of which ``names`` has (sample_id, name, n_kmers)."""
+    return f"""{sql_pairs("pairs", source)}, {sql_sized("sized", "pairs", source, source)},
+cells AS (SELECT row_id, string_agg((col_id + 1)::VARCHAR || ':' || common::VARCHAR || ',', '' ORDER BY col_id) AS c FROM sized WHERE {where} GROUP BY 1)
+SELECT n.name || ',' || n.n_kmers::VARCHAR || ',' || coalesce(c, '') AS line FROM {names} n LEFT JOIN cells ON row_id = n.sample_id
+UNION ALL SELECT 'query-samples,total-kmers,' || string_agg(n_kmers::VARCHAR || ',', '' ORDER BY sample_id) FROM {names}
+UNION ALL SELECT 'kmer-length: {K} fraction: 1 ,db-samples ,' || string_agg(name || ',', '' ORDER BY sample_id) FROM {names}"""
+
+
+@query(f"WITH {sql_set('convs')}, named AS (SELECT *, sample_id::VARCHAR AS name FROM convs_n), {_sql_sparse_lines('convs', 'named', f'{_M} >= 0.05 AND common >= 3')}")
+def all2all_sparse_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a stored index to a written sparse table, with bounds given as texts."""
+    target = work_path(spark, "all2all")
+    files.all2all(spark, stored_at(spark, sf_dir, "conversations", "conv_id"), target, sparse=True, at_least=["min:0.05", "3"])
+    return lines_of(spark, target)
+
+
+@query(
+    f"""{_BOTH}, named AS (SELECT *, sample_id::VARCHAR AS name FROM convs_n UNION ALL SELECT sample_id + d, n_kmers, sample_id::VARCHAR FROM items_n, shift),
+{_sql_sparse_lines("every", "named", f"{_M} <= 0.9")}"""
+)
+def all2all_parts_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From stored indexes that a list file names to one written table."""
+    target, listed = work_path(spark, "parts"), work_path(spark, "list")
+    paths = [stored_at(spark, sf_dir, *source) for source in (("conversations", "conv_id"), ("benchmark", "item_id"))]
+    spark.createDataFrame([(" ".join(paths),)], "value string").coalesce(1).write.text(listed)
+    files.all2all_parts(spark, listed, target, at_most=["min:0.9"])
+    return lines_of(spark, target)
+
+
+@query(_lines_sql("new2all_sparse_table"))
+def new2all_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a stored index and gzip FASTA files, each record a sample, to a written sparse table."""
+    target = work_path(spark, "new2all")
+    files.new2all(spark, stored_at(spark, sf_dir, "conversations", "conv_id"), item_files(spark, sf_dir), target, "multisample-fasta", sparse=True)
+    return lines_of(spark, target)
+
+
+@query(_lines_sql("one2all_table"))
+def one2all_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a stored index and a table of the words of one sample to a written table."""
+    target, words = work_path(spark, "one2all"), work_path(spark, "words")
+    first_item(spark, sf_dir).postings.select(F.lit("0").alias("name"), "kmer").write.parquet(words)
+    files.one2all(spark, stored_at(spark, sf_dir, "conversations", "conv_id"), words, target, "words")
+    return lines_of(spark, target)
+
+
 @query(f"WITH {sql_set('convs')}, {sql_pairs('pairs', 'convs')} SELECT {_PAIR} FROM pairs")
 def counts_reader_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_counts_table(spark, counts_file(spark, sf_dir, False)).pairs

@@ -19,7 +19,7 @@ from setloom.functions import hashing
 from setloom.functions.alphabet import alphabet
 from setloom.functions.metrics import measure
 from setloom.operators import extract, overlap, select
-from setloom.plans import modes, render, store
+from setloom.plans import files, modes, render, store
 from setloom.plans.store import Settings
 from setloom.sources import counts_table, dispatch, fasta, sketches
 from setloom.streaming.extend import add_batch, extend_from_stream
@@ -325,6 +325,17 @@ def test_fasta_files_with_clashing_and_odd_paths(spark, tmp_path):
     assert {r.sample_id: r.seq for r in seqs.collect()} == {0: "ACGGGTT", 1: "CC", 2: "ACGTACGTA", 3: "ACGGGTT", 4: "CC"}
 
 
+def test_bounds_given_as_texts(spark, index, tmp_path):
+    """Texts are bounds as numbers by measure are; one without a name is for shared words. Dense tables take none."""
+    for texts, bounds in ((["3"], {"num-kmers": 3}), (["2", "jaccard:0.1"], {"num-kmers": 2, "jaccard": 0.1}), (["jaccard:0.5"], {"jaccard": 0.5})):
+        assert as_pairs(modes.all2all(index, at_least=texts)) == as_pairs(modes.all2all(index, at_least=bounds))
+        assert as_pairs(modes.new2all(index, index, at_most=texts)) == as_pairs(modes.new2all(index, index, at_most=bounds))
+    with pytest.raises(ValueError, match="unknown measure"):
+        modes.all2all(index, at_least=["nearness:1"])
+    with pytest.raises(ValueError, match="sparse"):
+        files.all2all(spark, f"{tmp_path}", f"{tmp_path}/out", at_least=["1"])
+
+
 @pytest.mark.parametrize("k", [1, 5, 12])
 def test_records_over_many_splits_have_all_their_words(spark, tmp_path, k):
     """Records of many splits and stretches, short lines, text before the first record, blank and repeated headers: the
