@@ -692,7 +692,8 @@ def new2all_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one2all_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From a stored index and a table of the words of one sample to a written table."""
     target, words = work_path(spark, "one2all"), work_path(spark, "words")
-    first_item(spark, sf_dir).postings.select(F.lit("0").alias("name"), "kmer").write.parquet(words)
+    one = first_item(spark, sf_dir)
+    one.samples.join(one.postings, "sample_id", "left").select("name", "kmer").write.parquet(words)  # an item may have no word
     files.one2all(spark, stored_at(spark, sf_dir, "conversations", "conv_id"), words, target, "words")
     return lines_of(spark, target)
 

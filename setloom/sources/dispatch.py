@@ -18,7 +18,8 @@ def read_samples(spark: SparkSession, path: str, settings: Settings, format: str
     file is the one sample itself.
 
     ``sketch``: files of words that were thinned already; k and the fraction come from them, and must be the settings' if the
-    index is to be compared with others. ``words``: ``path`` is a Parquet table (name, kmer) of packed words.
+    index is to be compared with others. ``words``: ``path`` is a Parquet table (name, kmer) of packed words; a row without a
+    word names a sample that may have none.
     """
     if format in ("fasta", "multisample-fasta"):
         return build(*stretches(spark, listed(spark, path), settings.k, format == "multisample-fasta"), settings)
@@ -29,5 +30,5 @@ def read_samples(spark: SparkSession, path: str, settings: Settings, format: str
     if format == "words":
         table = spark.read.parquet(path)
         ids = numbered_names(table.select("name").distinct())
-        return from_words(ids, table.join(ids, "name").select("sample_id", "kmer"), settings)
+        return from_words(ids, table.where("kmer is not null").join(ids, "name").select("sample_id", "kmer"), settings)
     raise ValueError(f"unknown format {format!r}; there are {', '.join(FORMATS)}")
