@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from setloom.plans import modes, store
+import random
+from itertools import combinations
+
+import pytest
+from pyspark.sql import functions as F
+
+from setloom.operators import grid, overlap, select
+from setloom.plans import modes, render, store
 from setloom.plans.store import Settings
 from setloom.sources import dispatch
 
@@ -17,3 +24,75 @@ def test_a_table_of_words_may_name_a_sample_without_any(spark, tmp_path):
     one = dispatch.read_samples(spark, f"{tmp_path}/none", Settings(K), "words")
     index = store.save(read, f"{tmp_path}/index")
     assert [(r.common, r.n_row) for r in modes.one2all(one, index).collect()] == [(0, 0)] * 3
+
+
+def random_postings(spark, draw, samples: int, words: int):
+    sets = {i: {draw.randrange(words) for _ in range(draw.randint(0, 12))} for i in range(0, 3 * samples, 3)}
+    post = spark.createDataFrame([(i, w) for i, s in sets.items() for w in s], "sample_id long, kmer long")
+    return sets, post, spark.createDataFrame([(i, str(i), len(s)) for i, s in sets.items()], "sample_id long, name string, n_kmers long")
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 5])
+def test_a_grid_of_blocks_counts_all_pairs(spark, blocks):
+    sets, post, samples = random_postings(spark, random.Random(blocks), 70, 60)
+    every = {(i, j): (len(sets[i] & sets[j]), len(sets[i]), len(sets[j])) for j, i in combinations(sets, 2)}
+
+    def got(**options):
+        rows = grid.counted(post, blocks, **options).collect()
+        assert len({(r.row_id, r.col_id) for r in rows}) == len(rows)
+        return {(r.row_id, r.col_id): (r.common, r.n_row, r.n_col) for r in rows}
+
+    for strip in (1, 50, 1 << 20):
+        assert got(strip=strip) == {p: x for p, x in every.items() if x[0]}
+        assert got(strip=strip, samples=samples) == every
+    assert got(share=0.2, least=2) == {p: x for p, x in every.items() if x[0] >= 2 and x[0] >= 0.2 * max(x[1:])}
+    turned = sorted((-x[0] / (x[1] + x[2] - x[0]), a, b) for (i, j), x in every.items() if x[0] for a, b in ((i, j), (j, i)))
+    best = {(i, b) for i in sets for _, a, b in [t for t in turned if t[1] == i][:2]}
+    assert {(max(p), min(p)) for p in best} <= got(best=2, strip=50).keys() <= {p for p, x in every.items() if x[0]}
+    weighted = {(r.row_id, r.col_id): r.common for r in grid.counted(post.withColumn("w", F.col("kmer") + 1), blocks, weight="w").collect()}
+    assert weighted == {(i, j): n for j, i in combinations(sets, 2) if (n := sum(w + 1 for w in sets[i] & sets[j]))}
+
+
+def test_many_pairs_are_counted_in_a_grid_and_few_are_joined(spark, monkeypatch):
+    """The plans agree; of the grid's, no exchange is of pairs."""
+    sets, post, samples = random_postings(spark, random.Random(9), 90, 25)
+    index = store.Index(samples, post, Settings(K))
+    asked = [
+        lambda: overlap.all2all(post),
+        lambda: overlap.all2all_by_patterns(post),
+        lambda: overlap.all2all_dense(post, samples),
+        lambda: modes.all2all(index),
+        lambda: modes.all2all(index, {"jaccard": 0.4}),
+        lambda: modes.all2all(index, {"num-kmers": 2, "min": 0.3}, {"mash": 0.5}),
+        lambda: modes.all2all(index, sample_rows=3, by="jaccard"),
+        lambda: modes.all2all(index, {"num-kmers": 2}, {"jaccard": 0.5}, sample_rows=2, by="jaccard"),
+        lambda: modes.all2all_parts([index, index], {"min": 0.2})[1],
+    ]
+
+    def rows(df):
+        return sorted(map(tuple, df.select(*[c for c in ("row_id", "col_id", "common", "n_row", "n_col") if c in df.columns]).collect()))
+
+    joined = [rows(f()) for f in asked]
+    monkeypatch.setattr(overlap, "GRID_PAIRS", 1)
+    monkeypatch.setattr(overlap, "GRID_PREFIX_PAIRS", 1)
+    monkeypatch.setattr(overlap, "GRID_SAMPLES", 40)
+    assert [rows(f()) for f in asked] == joined and all(joined)
+    for f in asked[:6]:
+        plan = f()._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Exchange hashpartitioning(row_id" not in plan and "Exchange hashpartitioning(col_id" not in plan
+
+
+@pytest.mark.parametrize("where", ["triangle", "rectangle"])
+def test_zeros_of_dense_tables_are_written_between_the_pairs(spark, where):
+    """The same lines as from all cells, which are not made."""
+    _, post, samples = random_postings(spark, random.Random(4), 30, 60)
+    every = overlap.all2all_dense(post, samples) if where == "triangle" else overlap.new2all_dense(post, samples, post, samples)
+    some = every.where("common > 0")
+    want, got = ([tuple(r) for r in render.counts_lines(samples, samples, *x).orderBy("at").collect()] for x in ((every, K, 1.0), (some, K, 1.0, False, where)))
+    assert got == want and len(want) == 32
+    for name in ("jaccard", "ani", "cosine", "num-kmers"):
+        a, b = (select.scored(select.with_sizes(x, samples), name, K) for x in (every, some))
+        want, got = ([tuple(r) for r in x.orderBy("at").collect()] for x in (render.values_lines(samples, samples, a, K, 1.0), render.values_lines(samples, samples, b, K, 1.0, zeros=where)))
+        assert got == want
+    plan = render.counts_lines(samples, samples, some.select("row_id", "col_id", "common"), K, 1.0, zeros=where)._jdf.queryExecution().optimizedPlan().toString()
+    assert "repeat(0," in plan
