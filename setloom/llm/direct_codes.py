@@ -38,7 +38,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
-from tokenizers import pre_tokenizers
 
 from ..sources.paths import qualified
 from .blocks import packed, unpacked
@@ -63,6 +62,25 @@ _LEVEL, _LEVEL_BYTES = "<QQQQQ", 40
 MANIFEST = "part int, place int, name string, documents long, ids long"
 
 
+def _byte_letters() -> np.ndarray:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it is visible, else one from 256 on. 255, which
+    is in no text, becomes a line end, which is no letter."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    out = np.arange(256, dtype="<u2")
+    out[[b for b in range(256) if b not in visible]] = np.arange(256, 512 - len(visible))
+    out[255] = 10
+    return out
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+def byte_letters(strings: list[str]) -> list[str]:
+    """Strings with a letter for each byte, all at once."""
+    data = b"\xff".join([s.encode() for s in strings])
+    return BYTE_LETTERS[np.frombuffer(data, np.uint8)].tobytes().decode("utf-16-le").split("\n")
+
+
 class _Dictionary:
     """Strings, each with its ids, which stand one after another."""
 
@@ -76,7 +94,8 @@ class _Dictionary:
 
     def new(self) -> list[str]:
         """The strings that have no ids yet, by place."""
-        return list(islice(self.index, len(self.ends) - 1, None))
+        fresh = len(self.index) - (len(self.ends) - 1)
+        return list(islice(reversed(self.index), fresh))[::-1]
 
     def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
         """The ids of the new strings, and how many each has."""
@@ -103,8 +122,8 @@ class Encoder:
         self.pre_tokens = PreTokens(path)
         tokenizer = self.pre_tokens.tokenizer
         self.model, self.special = tokenizer.model, {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-        self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.slow = regex.compile("[^\x00-\x1b\x20-\u04ff]|" + "|".join(map(regex.escape, self.special)))
+        self.rare = ["\x1c", "\x1d", "\x1e", "\x1f", *self.special]
         self.split = regex.compile(f"\n|{self.pre_tokens.split.pattern}")
         self._clear()
 
@@ -113,12 +132,13 @@ class Encoder:
         self.parts.index["\n"]  # ends a word; it has no ids
         self.parts.add(self.parts.ids, np.zeros(1, np.int64))
 
-    def _of_part(self, part: str) -> list[int]:
-        if part in self.special:
-            return [self.special[part]]
-        # letters for bytes; printable ASCII stands for itself
-        letters = [part] if part.isascii() and part.isprintable() else [x for x, _ in self.as_bytes.pre_tokenize_str(part)]
-        return [t.id for x in letters for t in self.model.tokenize(x)]
+    def _of_parts(self, parts: list[str]) -> list[list[int]]:
+        special, tokenize = self.special, self.model.tokenize
+        return [[special[p]] if p in special else [t.id for t in tokenize(x)] for p, x in zip(parts, byte_letters(parts), strict=True)] if parts else []
+
+    def _slow(self, text: str) -> bool:
+        """Whether a text is to be split by ``PreTokens``. Plain finds tell it of ASCII, which is most text."""
+        return any(x in text for x in self.rare) if text.isascii() else self.slow.search(text) is not None
 
     def _parts(self, words: list[str]) -> list[str]:
         """The pre-tokens of each word, and a line end after them."""
@@ -131,7 +151,7 @@ class Encoder:
         """Ids of the words that are new."""
         words = self.words.new()
         places = self.parts.places(self._parts(words))
-        new = [self._of_part(p) for p in self.parts.new()]
+        new = self._of_parts(self.parts.new())
         self.parts.add(np.fromiter(chain.from_iterable(new), np.uint32), np.fromiter(map(len, new), np.int64, len(new)))
         ids, ends = self.parts.of(places)
         self.words.add(ids, np.diff(ends[1:][places == 0], prepend=0))
@@ -142,7 +162,7 @@ class Encoder:
             self._clear()
         places = []
         for t in texts:
-            words = [f"{_MARK}{p}" for p in self.pre_tokens.of(t)] if self.slow.search(t) else t.split()
+            words = [f"{_MARK}{p}" for p in self.pre_tokens.of(t)] if self._slow(t) else t.split()
             places.append(self.words.places(words))
         self._learn()
         ids, ends = self.words.of(np.concatenate(places))

@@ -13,7 +13,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from setloom.llm import direct_codes, vector_codes, vectors, whitening
 from setloom.llm.queries import QUERIES
@@ -323,3 +323,14 @@ def test_direct_codes_query_over_its_table(spark):
         ids = np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
         assert got[r.doc_id] == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
+
+
+def test_letters_for_bytes_are_those_of_the_library_and_new_strings_are_told_by_place():
+    strings = ["a", "", " b\n", "é\x00ÿ", *(f"x{chr(c)}" for c in [*range(1, 0x800), *range(0x800, 0xD800, 97), *range(0xE000, 0x110000, 997)])]
+    library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    assert direct_codes.byte_letters(strings) == ["".join(x for x, _ in library.pre_tokenize_str(s)) for s in strings]
+    words = direct_codes._Dictionary()
+    for strings, new in ((["b", "a", "b"], ["b", "a"]), (["a"], []), (["c", "a", "d"], ["c", "d"])):
+        words.places(strings)
+        assert words.new() == new
+        words.add(np.arange(len(new), dtype=np.uint32), np.ones(len(new), np.int64))
