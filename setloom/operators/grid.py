@@ -95,7 +95,7 @@ def _best(row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int) -> np.nda
     return order[place < n]
 
 
-def _may_be_best(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+def may_be_best(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     """Of pairs by row: which have one of the ``n`` highest values of their row."""
     starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     times, left = np.diff(np.append(starts, len(row))), value
@@ -112,7 +112,7 @@ def _best_of(columns: list[np.ndarray], n: int) -> list[np.ndarray]:
     some = []
     for one, other in ((a, b), (b, a)):
         order = np.argsort(one, kind="stable")
-        kept = order[_may_be_best(one[order], value[order], n)]
+        kept = order[may_be_best(one[order], value[order], n)]
         some.append(kept[_best(one[kept], other[kept], value[kept], n)])
     keep = np.union1d(*some)
     return [c[keep] for c in columns]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from itertools import combinations
 
@@ -96,3 +97,21 @@ def test_zeros_of_dense_tables_are_written_between_the_pairs(spark, where):
         assert got == want
     plan = render.counts_lines(samples, samples, some.select("row_id", "col_id", "common"), K, 1.0, zeros=where)._jdf.queryExecution().optimizedPlan().toString()
     assert "repeat(0," in plan
+
+
+@pytest.mark.parametrize("pool", [1, 60, 1 << 20])
+def test_random_partners_are_sought_before_pairs_are_shuffled(spark, monkeypatch, pool):
+    monkeypatch.setattr(select, "POOL", pool)
+    pairs = [(i, j, i + j) for j, i in combinations(range(-3, 60), 2) if (i * j) % 3]
+    rows = spark.createDataFrame(pairs, "row_id long, col_id long, common long").repartition(3)
+    want = set()
+    for s in range(-3, 60):
+        near = [(hashlib.md5(f"{s},{o},5".encode()).hexdigest(), o) for i, j, _ in pairs for a, o in ((i, j), (j, i)) if a == s]
+        want |= {(s, o, s + o) for _, o in sorted(near)[:2]}
+    out = select.random_of_rows(rows, 2, 5)
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("MapInArrow") < plan.index("Generate explode")
+    turned = select.both_ways(rows).withColumn("_early", F.conv(F.substring(F.md5(F.concat_ws(",", "row_id", "col_id")), 1, 13), 16, 10).cast("long"))
+    left = select._may_be_chosen(turned, 2, "_early", 1 << 20).count()
+    assert left <= 2 * 63 * turned.rdd.getNumPartitions() < turned.count()
