@@ -16,9 +16,11 @@ CHUNK = 4_000
 #: From this share of the larger set, or this many words, that pairs must have in common, they are sought by prefixes: below
 #: them, prefixes hold most postings, and the plain join costs less than what is looked up after it.
 WORTHWHILE_SHARE, WORTHWHILE_WORDS = 0.3, 16
-#: Pairs of postings from which they are counted in a grid of blocks, if that moves fewer rows; beside prefixes, which make few
+#: Pairs of postings from which they are counted in a grid of blocks, if that costs less; beside prefixes, which make few
 #: of these pairs; and samples of a block where every pair is asked for.
 GRID_PAIRS, GRID_PREFIX_PAIRS, GRID_SAMPLES = 1 << 24, 1 << 26, 1 << 13
+#: Searches for a posting's word in a block that cost as much as joining, shuffling and grouping one pair of postings.
+SEARCHES = 8
 #: Classes of frequency an octave. Words in up to 16 samples have a class a number.
 _CLASSES, _EXACT_CLASSES = 8, 16
 
@@ -56,8 +58,8 @@ def _pairs(post: DataFrame, carried: list[str], chunk: int, most: int | None) ->
 
 
 def grid_blocks(post: DataFrame, most: int | None = None, pairs: int | None = None, words: DataFrame | None = None) -> tuple[int, int | None]:
-    """(blocks, most): the blocks of a grid for the pairs of postings, 0 where joining by word moves fewer rows or makes fewer
-    than ``pairs``, and the most samples of a word. ``words`` (_n) are the numbers of samples, if they are known."""
+    """(blocks, most): the blocks of a grid for the pairs of postings, 0 where joining by word costs less or makes fewer than
+    ``pairs``, and the most samples of a word. ``words`` (_n) are the numbers of samples, if they are known."""
     asked = GRID_PAIRS if pairs is None else pairs
     if most is not None and (most < 2 or post.count() * most < 2 * asked):
         return 0, most
@@ -65,15 +67,15 @@ def grid_blocks(post: DataFrame, most: int | None = None, pairs: int | None = No
     made = F.sum(F.col("_n") * (F.col("_n") - 1) / 2)  # a double: there may be more than a long holds
     rows, found, top = words.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(made, F.lit(0.0)), F.coalesce(F.max("_n"), F.lit(0))).first()
     blocks = grid.number_of_blocks(rows)
-    return (blocks if found >= asked and found > rows * blocks else 0), top
+    return (blocks if found >= asked and SEARCHES * found > rows * blocks else 0), top
 
 
 def all2all(post: DataFrame, chunk: int = CHUNK, most: int | None = None) -> DataFrame:
     """(row_id, col_id, common) for each pair with col_id < row_id that shares a word.
 
     The two sides of the join are one shuffle on the word, or none where postings lie bucketed by it. No word is in more
-    than ``most`` samples, if that is given. Where the join would make more rows than a grid of blocks moves, pairs are
-    counted in that.
+    than ``most`` samples, if that is given. Where the join would cost more than a grid of blocks, pairs are counted
+    in that.
     """
     blocks, most = grid_blocks(post, most)
     if blocks:

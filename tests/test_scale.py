@@ -115,3 +115,23 @@ def test_random_partners_are_sought_before_pairs_are_shuffled(spark, monkeypatch
     turned = select.both_ways(rows).withColumn("_early", F.conv(F.substring(F.md5(F.concat_ws(",", "row_id", "col_id")), 1, 13), 16, 10).cast("long"))
     left = select._may_be_chosen(turned, 2, "_early", 1 << 20).count()
     assert left <= 2 * 63 * turned.rdd.getNumPartitions() < turned.count()
+
+
+def test_a_grid_shuffles_postings_once_however_many_blocks_there_are(spark):
+    """Blocks are packed and read by the cells; no posting is repeated for them before a shuffle."""
+    sets, post, _ = random_postings(spark, random.Random(3), 90, 25)
+    want = {(i, j, n) for j, i in combinations(sets, 2) if (n := len(sets[i] & sets[j]))}
+    for blocks in (3, 40):
+        out = grid.counted(post, blocks)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Generate explode" not in plan
+        assert {(r.row_id, r.col_id, r.common) for r in out.collect()} == want
+
+
+def test_a_grid_is_taken_where_words_are_in_few_samples(spark, monkeypatch):
+    """Nine samples a word: four pairs of postings a posting cost more than twelve searches."""
+    monkeypatch.setattr(overlap, "GRID_PAIRS", 1)
+    post = spark.range(900).select((F.col("id") % 9).alias("sample_id"), (F.col("id") % 100).alias("kmer")).distinct()
+    assert overlap.grid_blocks(post) == (grid.LEAST_BLOCKS, 9)
+    alone = spark.range(100).select("id", F.col("id").alias("kmer")).toDF("sample_id", "kmer")
+    assert overlap.grid_blocks(alone)[0] == 0
