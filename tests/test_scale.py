@@ -121,7 +121,7 @@ def test_a_grid_shuffles_postings_once_however_many_blocks_there_are(spark):
     """Blocks are packed and read by the cells; no posting is repeated for them before a shuffle."""
     sets, post, _ = random_postings(spark, random.Random(3), 90, 25)
     want = {(i, j, n) for j, i in combinations(sets, 2) if (n := len(sets[i] & sets[j]))}
-    for blocks in (3, 40):
+    for blocks in (3, 12):
         out = grid.counted(post, blocks)
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" in plan and "Generate explode" not in plan
@@ -135,3 +135,27 @@ def test_a_grid_is_taken_where_words_are_in_few_samples(spark, monkeypatch):
     assert overlap.grid_blocks(post) == (grid.LEAST_BLOCKS, 9)
     alone = spark.range(100).select("id", F.col("id").alias("kmer")).toDF("sample_id", "kmer")
     assert overlap.grid_blocks(alone)[0] == 0
+
+
+def test_lines_are_put_together_of_pieces_of_text(spark):
+    """Pairs in order make a piece a row; pairs in any order make the same lines. No exchange is of pairs."""
+    draw = random.Random(8)
+    met = [(i, j, draw.randint(1, 9)) for i in range(40) for j in range(i) if draw.random() < 0.4]
+    samples = spark.createDataFrame([(i, f"s{i}", i) for i in range(40)], "sample_id long, name string, n_kmers long")
+
+    def lines(pairs, **options):
+        rows = spark.createDataFrame(pairs, "row_id long, col_id long, common long").coalesce(1) if options.pop("one") else spark.createDataFrame(draw.sample(pairs, len(pairs)), "row_id long, col_id long, common long").repartition(7)
+        out = render.counts_lines(samples, samples, rows, K, 1.0, **options)
+        assert "Exchange hashpartitioning(row_id" not in out._jdf.queryExecution().executedPlan().toString()
+        return {r.at: r.line for r in out.where("at >= 0").collect()}
+
+    by = {(i, j): n for i, j, n in met}
+    sparse = {i: f"s{i},{i}," + "".join(f"{j + 1}:{by[i, j]}," for j in range(i) if (i, j) in by) for i in range(40)}
+    dense = {i: f"s{i},{i}," + "".join(f"{by.get((i, j), 0)}," for j in range(i)) for i in range(40)}
+    square = {i: dense[i] + "0," * (40 - i) for i in range(40)}
+    for one in (True, False):
+        assert lines(met, one=one, sparse=True) == sparse
+        assert lines(met, one=one, zeros="triangle") == dense
+        assert lines(met, one=one, zeros="rectangle") == square
+    cells = spark.createDataFrame([(i, j, str(n)) for i, j, n in met], "at long, first long, text string").coalesce(1)
+    assert render._pieces(cells).count() == len({i for i, _, _ in met})
