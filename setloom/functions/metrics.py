@@ -58,6 +58,14 @@ def measure(name: str, common: Column, row_count: Column, col_count: Column, k:
     return MEASURES[name](common, row_count, col_count, k)
 
 
+def rounded(value: Column, digits: int = 6) -> Column:
+    """``F.round`` of a double, which makes a decimal number of every value; here only of those near the middle between two results,
+    where the decimal digits decide, and of those too large for the plain way. All others are exact quotients either way."""
+    scaled = value * F.lit(10.0**digits)
+    clear = (F.abs(scaled) < 1e9) & (F.abs(scaled - F.floor(scaled) - 0.5) > 1e-4)
+    return F.when(clear, F.floor(scaled + 0.5) / F.lit(10.0**digits)).otherwise(F.round(value, digits))
+
+
 def least_share(name: str, bound: float, k: int, upper: bool = False) -> float:
     """If pairs within a bound share at least some part of the larger set: which part; else 0.
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.alphabet import alphabet
-from .functions.metrics import MEASURES
+from .functions.metrics import MEASURES, rounded
 from .operators import extract, overlap, select
 from .plans import files, modes, render, store
 from .plans.store import Index, Settings
@@ -394,7 +394,7 @@ SELECT row_id, col_id, common, n_row, n_col, round({_J}, 6) AS value FROM sized"
 def itemset_all2all(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = suppliers(spark, sf_dir)
     sized = overlap.all2all_sized(index.postings, index.samples)
-    return select.scored(sized, "jaccard", index.settings.k).withColumn("value", F.round("value", 6))
+    return select.scored(sized, "jaccard", index.settings.k).withColumn("value", rounded(F.col("value")))
 
 
 # ---- measures and selection -----------------------------------------------------------------------------------------
@@ -403,7 +403,7 @@ def itemset_all2all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _measured(name: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = modes.distances(modes.all2all(documents(spark, sf_dir)), name, K)
-        return out.select("row_id", "col_id", F.round("value", 6).alias("value"))
+        return out.select("row_id", "col_id", rounded(F.col("value")).alias("value"))
 
     run.__name__ = "metric_" + name.replace("-", "_")
     query(f"{DOC_PAIRS} SELECT row_id, col_id, round({SQL_MEASURES[name]}, 6) AS value FROM sized")(run)
@@ -417,7 +417,7 @@ for _name in MEASURES:
 @query(f"{DOC_PAIRS} SELECT {_PAIR}, round({_J}, 6) AS value FROM sized WHERE {_J} >= 0.1 AND {_J} <= 0.9")
 def filter_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = modes.all2all(documents(spark, sf_dir), {"jaccard": 0.1}, {"jaccard": 0.9})
-    return select.scored(pairs, "jaccard", K).select("row_id", "col_id", "common", F.round("value", 6).alias("value"))
+    return select.scored(pairs, "jaccard", K).select("row_id", "col_id", "common", rounded(F.col("value")).alias("value"))
 
 
 @query(f"{DOC_PAIRS} SELECT {_PAIR}, n_row, n_col FROM sized WHERE {_J} >= 0.5")
@@ -447,7 +447,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY v DESC, col_id)
 )
 def sample_rows_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = modes.all2all(documents(spark, sf_dir), sample_rows=3, by="jaccard")
-    return select.scored(best, "jaccard", K).select("row_id", "col_id", "common", F.round("value", 6).alias("value"))
+    return select.scored(best, "jaccard", K).select("row_id", "col_id", "common", rounded(F.col("value")).alias("value"))
 
 
 @query(

@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+import re
 from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
+from setloom.functions.metrics import rounded
 from setloom.operators import grid, overlap, select
 from setloom.plans import modes, render, store
 from setloom.plans.store import Settings
+from setloom.queries import QUERIES
 from setloom.sources import dispatch
 
+from .oracle import TABLES
+
 K = 5
 
 
@@ -159,3 +165,19 @@ def test_lines_are_put_together_of_pieces_of_text(spark):
         assert lines(met, one=one, zeros="rectangle") == square
     cells = spark.createDataFrame([(i, j, str(n)) for i, j, n in met], "at long, first long, text string").coalesce(1)
     assert render._pieces(cells).count() == len({i for i, _, _ in met})
+
+
+def test_values_are_rounded_as_decimals_are_and_few_by_decimals(spark):
+    """Every value that a quotient of small numbers has, middles, neighbours of middles, and what is no number."""
+    draw = random.Random(3)
+    middles = [(n + 0.5) / 1e6 for n in draw.sample(range(1_000_000), 3000)]
+    near = [math.nextafter(x, to) for x in middles for to in (0, 1)] + [x + d for x in middles[:500] for d in (1e-10, -1e-10, 1e-9, -1e-9)]
+    odd = [0.0, -0.0, 1.0, 5e-7, 4.9e-7, 1e-300, 999.9999995, 123456.7890125, 1e9 + 0.0000005, 1e300, math.nan, math.inf, -math.inf, None]
+    values = [a / b for b in range(1, 120) for a in range(b + 1)] + middles + near + odd
+    rows = spark.createDataFrame([(x,) for x in values + [None if x is None else -x for x in values]], "x double")
+    both = rows.select("x", rounded(F.col("x")).alias("ours"), F.round("x", 6).alias("plain"))
+    assert both.where("not (ours <=> plain)").collect() == []
+    by_decimals = rows.where((F.abs(F.col("x") * 1e6 - F.floor(F.col("x") * 1e6) - 0.5) <= 1e-4)).count()
+    assert 0 < by_decimals < 20_000  # the middles and their neighbours; none of the other quotients' many
+    plan = QUERIES["metric_cosine"](spark, str(TABLES))._jdf.queryExecution().optimizedPlan().toString()
+    assert "ELSE round(" in plan and len(re.findall(r"\bround\(", plan)) == plan.count("ELSE round(")
