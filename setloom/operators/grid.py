@@ -4,7 +4,8 @@ Samples are dealt to blocks, ranges of their ids with about as many postings eac
 Each two blocks, and each block with itself, are a cell of the grid: a Cartesian product of the packed rows, which is shuffled
 once and read by every cell that needs it, so what is shuffled grows with the postings, however many blocks there are. A cell
 has all words of its samples, so one task counts their pairs to the end. It does so in strips of rows, whose counts stand in
-one array of bounded size, and hands over finished pairs: each row's in the order of columns, a stretch of columns a cell.
+one array of bounded size, and hands over finished pairs: each row's in the order of columns, a stretch of columns a cell
+(or, if asked, in runs of equal numbers).
 
 A cell's postings are in memory at once, about twice ``BLOCK`` of them, and up to as much more as the largest sample has.
 """
@@ -125,6 +126,18 @@ def _best_of(columns: list[np.ndarray], n: int) -> list[np.ndarray]:
     return [c[keep] for c in columns]
 
 
+def in_runs(i: np.ndarray, j: np.ndarray, common: np.ndarray, by_size: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a strip, by row, with each row's by words in common and the column's size, so that those of one value are next to
+    each other. ``by_size`` are the columns by size, ``rank`` their places there."""
+    low, top, width = int(i[0]), int(common.max()) + 1, len(rank)
+    if (int(i[-1]) - low + 1) * top * width >= 1 << 62:  # the order is of use, but nothing depends on it
+        return i, j, common
+    rest = np.sort(((i - low) * top + common) * width + rank[j])
+    cell = rest // width
+    row = cell // top
+    return row + low, by_size[rest - cell * width], cell - row * top
+
+
 #: What a packed block has, beside its number: see ``_Side``.
 _PACKED = ["ids", "of", "kmer", "weight"]
 
@@ -152,13 +165,15 @@ def counted(
     weight: str | None = None,
     best: int | None = None,
     strip: int = STRIP,
+    runs: bool = False,
 ) -> DataFrame:
     """(row_id, col_id, common, n_row, n_col) of each pair with col_id < row_id that shares ``least`` words and ``share`` of the
     larger set; sizes are numbers of postings (sample_id, kmer).
 
     ``samples`` (sample_id) asks for every pair of them, zeros included. With ``weight`` a posting counts for as many words.
     ``best``: of the pairs of a cell, those that are among this many best by Jaccard for one of their samples; what is best of
-    all is among them.
+    all is among them. ``runs``: a row's pairs don't come in the order of columns but in that of ``in_runs``, so that values
+    that depend on numbers of words alone are written in less room.
     """
     kept = post.where("sample_id is not null and kmer is not null")
     rows = kept.select(F.col("sample_id").cast("long").alias("sample_id"), "kmer", *([F.col(weight).alias("weight")] if weight else []))
@@ -196,6 +211,9 @@ def counted(
 
     def pairs(x: _Side, y: _Side, same: bool) -> Iterator[pa.RecordBatch]:
         pool: list[list[np.ndarray]] = []
+        by_size = np.argsort(y.sizes, kind="stable")
+        rank = np.empty_like(by_size)
+        rank[by_size] = np.arange(len(by_size))
         for i, j, common in _counts(x, y, strip, every_pair):
             keep = np.ones(len(i), bool) if every_pair else common >= max(1, least)
             if same:
@@ -205,6 +223,8 @@ def counted(
             i, j, common = i[keep], j[keep], common[keep]
             if not len(i):
                 continue
+            if runs and best is None:
+                i, j, common = in_runs(i, j, common, by_size, rank)
             columns = [x.ids[i], y.ids[j], common, x.sizes[i], y.sizes[j]]
             if best is None:
                 yield from batched(columns)

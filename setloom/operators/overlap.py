@@ -83,11 +83,12 @@ def all2all(post: DataFrame, chunk: int = CHUNK, most: int | None = None) -> Dat
     return _joined_pairs(post, chunk, most)
 
 
-def all2all_sized(post: DataFrame, samples: DataFrame, most: int | None = None, share: float = 0.0, least: int = 0, best: int | None = None) -> DataFrame:
+def all2all_sized(post: DataFrame, samples: DataFrame, most: int | None = None, share: float = 0.0, least: int = 0, best: int | None = None, runs: bool = False) -> DataFrame:
     """The same with n_row and n_col, the sizes of both, which the grid has at hand. It leaves out pairs that don't share ``share``
-    and ``least``, or that aren't among the ``best`` of any sample, as ``grid.counted`` has it; the join leaves out none."""
+    and ``least``, or that aren't among the ``best`` of any sample, and hands them over in ``runs``, as ``grid.counted`` has it;
+    the join leaves out none, in no order."""
     blocks, most = grid_blocks(post, most)
-    return grid.counted(post, blocks, None, share, least, best=best) if blocks else with_sizes(_joined_pairs(post, CHUNK, most), samples)
+    return grid.counted(post, blocks, None, share, least, best=best, runs=runs) if blocks else with_sizes(_joined_pairs(post, CHUNK, most), samples)
 
 
 def _joined_pairs(post: DataFrame, chunk: int, most: int | None) -> DataFrame:

@@ -24,11 +24,13 @@ def all2all(
     at_most: select.Bounds | list[str] | None = None,
     sample_rows: int | None = None,
     by: str | None = None,
+    runs: bool = False,
 ) -> DataFrame:
     """(row_id, col_id, common, n_row, n_col) of pairs that share words and pass the bounds.
 
     ``sample_rows`` keeps that many partners of each sample: those with the highest ``by``, or random ones without it;
-    pairs then appear from both sides.
+    pairs then appear from both sides. ``runs`` asks for an order in which tables of values take less room, where the plan
+    has one at no cost of a shuffle.
     """
     k = index.settings.k
     at_least, at_most = _bounds(at_least, at_most)
@@ -36,12 +38,12 @@ def all2all(
     if share >= overlap.WORTHWHILE_SHARE or least >= overlap.WORTHWHILE_WORDS:
         blocks, _ = overlap.grid_blocks(index.postings, index.most, overlap.GRID_PREFIX_PAIRS)
         if blocks:
-            sized = grid.counted(index.postings, blocks, None, share, least)
+            sized = grid.counted(index.postings, blocks, None, share, least, runs=runs)
         else:
             sized = overlap.all2all_sharing(index.postings, index.samples, share, least, most=index.most)
     else:
         best = sample_rows if by == "jaccard" and not at_least and not at_most else None
-        sized = overlap.all2all_sized(index.postings, index.samples, index.most, share, least, best)
+        sized = overlap.all2all_sized(index.postings, index.samples, index.most, share, least, best, runs)
     return _selected(sized, k, at_least, at_most, sample_rows, by)
 
 

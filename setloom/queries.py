@@ -402,7 +402,7 @@ def itemset_all2all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _measured(name: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = modes.distances(modes.all2all(documents(spark, sf_dir)), name, K)
+        out = modes.distances(modes.all2all(documents(spark, sf_dir), runs=True), name, K)
         return out.select("row_id", "col_id", rounded(F.col("value")).alias("value"))
 
     run.__name__ = "metric_" + name.replace("-", "_")

@@ -8,6 +8,7 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +182,28 @@ def test_values_are_rounded_as_decimals_are_and_few_by_decimals(spark):
     assert 0 < by_decimals < 20_000  # the middles and their neighbours; none of the other quotients' many
     plan = QUERIES["metric_cosine"](spark, str(TABLES))._jdf.queryExecution().optimizedPlan().toString()
     assert "ELSE round(" in plan and len(re.findall(r"\bround\(", plan)) == plan.count("ELSE round(")
+
+
+def test_pairs_in_runs_are_the_same_and_their_values_take_less_room(spark, tmp_path, monkeypatch):
+    sets, post, samples = random_postings(spark, random.Random(12), 900, 60)
+    monkeypatch.setattr(overlap, "GRID_PAIRS", 1)
+    monkeypatch.setattr(overlap, "SEARCHES", 1 << 20)
+    monkeypatch.setattr(grid, "LEAST_BLOCKS", 1)  # rows of a cell are long, as those of large tables
+    index, seen, room = store.Index(samples, post, Settings(K)), [], []
+    for runs in (False, True):
+        out = modes.distances(modes.all2all(index, runs=runs), "jaccard", K)
+        assert "CartesianProduct" in out._jdf.queryExecution().sparkPlan().toString()
+        out.select("row_id", "col_id", rounded(F.col("value")).alias("value")).write.parquet(f"{tmp_path}/{runs}")
+        seen.append(sorted(map(tuple, spark.read.parquet(f"{tmp_path}/{runs}").collect())))
+        room.append(sum(f.stat().st_size for f in (tmp_path / str(runs)).glob("*.parquet")))
+    assert seen[0] == seen[1] and len(seen[0]) == sum(1 for j, i in combinations(sets, 2) if sets[i] & sets[j])
+    assert room[1] < 0.9 * room[0]
+
+
+def test_numbers_too_large_for_one_key_keep_the_order_of_columns():
+    i, j, common = np.array([4, 4, 5]), np.array([0, 2, 1]), np.array([7, 1 << 61, 3])
+    by_size = np.array([2, 0, 1])
+    rank = np.array([1, 2, 0])
+    assert [x.tolist() for x in grid.in_runs(i, j, common, by_size, rank)] == [i.tolist(), j.tolist(), common.tolist()]
+    got = grid.in_runs(i, j, np.array([3, 3, 3]), by_size, rank)
+    assert [x.tolist() for x in got] == [[4, 4, 5], [2, 0, 1], [3, 3, 3]]
