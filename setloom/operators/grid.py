@@ -19,16 +19,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.digests import PairMarks
+
 #: Postings of a block, about.
 BLOCK = 1 << 21
 #: Blocks at least, so that there are 78 cells for tasks.
 LEAST_BLOCKS = 12
 #: Cells of a strip's counts, and pairs of postings that are added to them at once.
-STRIP = 1 << 18
+STRIP = 1 << 17
 #: A strip with fewer pairs of postings than this part of its cells has them sorted; its cells are not counted one by one.
 FEW = 8
-#: Pairs of a cell from which those that are not among the best are sorted out again.
-POOL = 1 << 21
+#: Pairs of a cell from which those that are not among the chosen are sorted out again, at least.
+POOL = 1 << 17
 #: Rows that a task hands over at once.
 ROWS = 1 << 17
 #: A share that is asked for is taken a little lower, so that rounding never drops a pair that the exact filter keeps.
@@ -47,52 +49,83 @@ class _Side:
         self.sizes = np.bincount(of, minlength=len(ids))
 
 
-def _strips(cost: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that cost ``limit`` at most, or are of one row."""
-    ends, at = np.cumsum(cost), 0
-    while at < len(cost):
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
-        yield at, stop
-        at = stop
+def _strips(rows: int, width: int, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that have ``limit`` cells at most, or are of one row."""
+    step = max(1, limit // width)
+    for at in range(0, rows, step):
+        yield at, min(rows, at + step)
+
 
+def _parts(ends: np.ndarray, a: int, b: int, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of what lies from ``a`` to ``b`` that cost ``limit`` at most, or are of one; ``ends`` are the costs, summed up."""
+    while a < b:
+        e = min(b, max(a + 1, int(np.searchsorted(ends, ends[a] + limit, "right")) - 1))
+        yield a, e
+        a = e
 
-def _counts(x: _Side, y: _Side, strip: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, column, words in common) of samples of ``x`` with those of ``y``, by row and column; with zeros if ``every`` pair is
-    asked for."""
+
+def _counts(x: _Side, y: _Side, strip: int, every: bool, need: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, column, words in common) of samples of ``x`` with those of ``y``, by row and column, of pairs that share as many words as
+    their row ``need``s, one at least; with zeros if ``every`` pair is asked for."""
     begins = np.flatnonzero(np.concatenate([[True], y.kmer[1:] != y.kmer[:-1]])) if len(y.kmer) else np.zeros(0, np.int64)
     words, times = y.kmer[begins], np.diff(np.append(begins, len(y.kmer)))
     place = np.searchsorted(words, x.kmer)
     met = np.flatnonzero(words[np.minimum(place, len(words) - 1)] == x.kmer) if len(words) else np.zeros(0, np.int64)
     met = met[np.argsort(x.of[met], kind="stable")]
-    of, place = x.of[met], place[met]
+    of, place = x.of[met].astype(np.int64), place[met]
     first, times, weight = begins[place], times[place], None if x.weight is None else x.weight[met]
     rows = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(x.ids)))])
+    ends, ramp = np.concatenate([[0], np.cumsum(times)]), np.arange(0)
     width = max(1, len(y.ids))
-    for low, high in _strips(np.full(len(x.ids), width), strip):
-        a, b, cells = rows[low], rows[high], (high - low) * width
+    for low, high in _strips(len(x.ids), width, strip):
+        a, b, cells = int(rows[low]), int(rows[high]), (high - low) * width
         if a == b and not every:
             continue
+        few = not every and int(ends[b] - ends[a]) * FEW < cells
         counts = None
-        few = not every and int(times[a:b].sum()) * FEW < cells
-        for s, e in [(0, b - a)] if few else _strips(times[a:b], strip):
-            n = times[a + s : a + e]
-            at = np.repeat(first[a + s : a + e] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-            cell = np.repeat((of[a + s : a + e].astype(np.int64) - low) * width, n) + y.of[at]
-            # doubles hold numbers of words exactly
-            add = None if weight is None else np.repeat(weight[a + s : a + e], n)
+        for s, e in [(a, b)] if few else _parts(ends, a, b, strip):
+            n, size = times[s:e], int(ends[e] - ends[s])
+            if size > len(ramp):
+                ramp = np.arange(size)
+            at = np.repeat(first[s:e] - (ends[s:e] - ends[s]), n)
+            at += ramp[:size]
+            cell = np.repeat((of[s:e] - low) * width, n)
+            cell += y.of.take(at)
+            add = None if weight is None else np.repeat(weight[s:e], n)
             if few:
-                found, back, common = np.unique(cell, return_inverse=True, return_counts=True)
-                if add is not None:
-                    common = np.bincount(back, add).astype(np.int64)
-                break
-            more = np.bincount(cell, add, cells).astype(np.int64, copy=False)
-            counts = more if counts is None else counts + more
-        if not few:
-            counts = np.zeros(cells, np.int64) if counts is None else counts
-            found = np.arange(cells if len(y.ids) else 0) if every else np.flatnonzero(counts)
-            common = counts[found]
-        i, j = np.divmod(found, width)
-        yield i + low, j, common
+                if add is None:
+                    cell.sort()
+                else:
+                    order = np.argsort(cell)
+                    cell, add = cell[order], add[order]
+                starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+                found = cell[starts]
+                common = np.diff(np.append(starts, size)) if add is None else np.add.reduceat(add, starts)
+            else:
+                more = np.bincount(cell, add, cells)  # doubles hold numbers of words exactly
+                counts = more if counts is None else np.add(counts, more, out=counts)
+        if few:
+            i, j = np.divmod(found, width)
+            i += low
+            keep = common >= need[i]
+            yield i[keep], j[keep], common[keep]
+            continue
+        counts = np.zeros(cells, np.int64) if counts is None else counts
+        wanted = np.zeros(-(-cells // 8) * 8, bool)
+        if len(y.ids):
+            np.greater_equal(counts.reshape(-1, width), 0 if every else need[low:high, None], out=wanted[:cells].reshape(-1, width))
+        found = _places(wanted)
+        i = np.repeat(np.arange(low, high), np.diff(np.searchsorted(found, np.arange(high - low + 1) * width)))
+        yield i, found - (i - low) * width, counts[found].astype(np.int64, copy=False)
+
+
+def _places(wanted: np.ndarray) -> np.ndarray:
+    """Where ``wanted``, of eight times as many bytes as some number, is true. Where few are, eight are looked at at once."""
+    if np.count_nonzero(wanted) * 24 > len(wanted):
+        return np.flatnonzero(wanted)
+    eights = np.flatnonzero(wanted.view(np.int64))
+    at = np.flatnonzero(wanted.reshape(-1, 8)[eights].ravel())
+    return eights[at >> 3] * 8 + (at & 7)
 
 
 def _best(row: np.ndarray, col: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
@@ -113,29 +146,63 @@ def may_be_best(row: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return value >= np.repeat(np.maximum.reduceat(left, starts), times)
 
 
-def _best_of(columns: list[np.ndarray], n: int) -> list[np.ndarray]:
-    """Of pairs (row, column, common, sizes): those that are among the ``n`` best by Jaccard for one of their samples."""
-    a, b, common, n_a, n_b = columns
-    value = common / (n_a + n_b - common)
-    some = []
-    for one, other in ((a, b), (b, a)):
-        order = np.argsort(one, kind="stable")
-        kept = order[may_be_best(one[order], value[order], n)]
-        some.append(kept[_best(one[kept], other[kept], value[kept], n)])
-    keep = np.union1d(*some)
-    return [c[keep] for c in columns]
+class _Chosen:
+    """Of pairs (row, column, common) that come by ascending rows: those that may be among the ``n`` of highest value for their row,
+    or for their column. ``ties``: of equal values, all are kept; else those of the first partners."""
+
+    def __init__(self, n: int, columns: int, ties: bool):
+        self.n, self.ties, self.reached = n, ties, np.full(columns, -1.0)
+        self.found: list[list[np.ndarray]] = []
+        self.pool: list[list[np.ndarray]] = []
+
+    def _first(self, one: np.ndarray, other: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Places of those that are chosen of pairs by ``one``."""
+        kept = np.flatnonzero(may_be_best(one, value, self.n))
+        return kept if self.ties else kept[_best(one[kept], other[kept], value[kept], self.n)]
+
+    def add(self, pairs: list[np.ndarray], by_row: np.ndarray, by_column: np.ndarray) -> None:
+        """``pairs`` of whole rows. Columns that have enough pairs already ask for a higher value than these."""
+        i, j, _ = pairs
+        mine = self._first(i, j, by_row)
+        self.found.append([c[mine] for c in pairs])
+        at = np.flatnonzero(by_column >= self.reached[j] if self.ties else by_column > self.reached[j])
+        self.pool.append([*(c[at] for c in pairs), by_column[at]])
+        if sum(len(p[0]) for p in self.pool) >= max(POOL, 4 * self.n * len(self.reached)):
+            self._sort_out()
+
+    def _sort_out(self) -> None:
+        i, j, common, value = (np.concatenate(c) for c in zip(*self.pool, strict=True))
+        if not len(i):
+            return
+        order = np.argsort(j, kind="stable")
+        kept = order[self._first(j[order], i[order], value[order])]
+        kept = kept[np.lexsort((-value[kept], j[kept]))]
+        self.pool = [[c[kept] for c in (i, j, common, value)]]
+        starts = np.flatnonzero(np.concatenate([[True], j[kept][1:] != j[kept][:-1]]))
+        enough = np.diff(np.append(starts, len(kept))) >= self.n
+        last = kept[starts[enough] + self.n - 1]
+        self.reached[j[last]] = value[last]
+
+    def pairs(self) -> list[np.ndarray]:
+        """The chosen, each once."""
+        if not self.found:
+            return [np.zeros(0, np.int64)] * 3
+        self._sort_out()
+        i, j, common = (np.concatenate(c) for c in zip(*self.found, *(p[:3] for p in self.pool), strict=True))
+        _, once = np.unique(i * len(self.reached) + j, return_index=True)
+        return [i[once], j[once], common[once]]
 
 
 def in_runs(i: np.ndarray, j: np.ndarray, common: np.ndarray, by_size: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of a strip, by row, with each row's by words in common and the column's size, so that those of one value are next to
     each other. ``by_size`` are the columns by size, ``rank`` their places there."""
-    low, top, width = int(i[0]), int(common.max()) + 1, len(rank)
-    if (int(i[-1]) - low + 1) * top * width >= 1 << 62:  # the order is of use, but nothing depends on it
+    low, of_rank, of_common = int(i[0]), max(1, len(rank) - 1).bit_length(), int(common.max()).bit_length()
+    if int(i[-1] - low).bit_length() + of_common + of_rank > 62:  # the order is of use, but nothing depends on it
         return i, j, common
-    rest = np.sort(((i - low) * top + common) * width + rank[j])
-    cell = rest // width
-    row = cell // top
-    return row + low, by_size[rest - cell * width], cell - row * top
+    rest = (((i - low) << of_common | common) << of_rank) | rank[j]
+    rest.sort()
+    cell = rest >> of_rank
+    return (cell >> of_common) + low, by_size[rest & ((1 << of_rank) - 1)], cell & ((1 << of_common) - 1)
 
 
 #: What a packed block has, beside its number: see ``_Side``.
@@ -166,14 +233,17 @@ def counted(
     best: int | None = None,
     strip: int = STRIP,
     runs: bool = False,
+    seed: int | None = None,
+    sizes: bool = True,
 ) -> DataFrame:
     """(row_id, col_id, common, n_row, n_col) of each pair with col_id < row_id that shares ``least`` words and ``share`` of the
     larger set; sizes are numbers of postings (sample_id, kmer).
 
     ``samples`` (sample_id) asks for every pair of them, zeros included. With ``weight`` a posting counts for as many words.
-    ``best``: of the pairs of a cell, those that are among this many best by Jaccard for one of their samples; what is best of
-    all is among them. ``runs``: a row's pairs don't come in the order of columns but in that of ``in_runs``, so that values
-    that depend on numbers of words alone are written in less room.
+    ``best``: of the pairs of a cell, those that are among this many best by Jaccard for one of their samples, or with a ``seed``
+    by the least hash (``functions.digests``); what is best of all is among them. ``runs``: a row's pairs don't come in the
+    order of columns but in that of ``in_runs``, so that numbers of words, and values that depend on these alone, are written
+    in less room. Without ``sizes`` there are no n_row and n_col.
     """
     kept = post.where("sample_id is not null and kmer is not null")
     rows = kept.select(F.col("sample_id").cast("long").alias("sample_id"), "kmer", *([F.col(weight).alias("weight")] if weight else []))
@@ -181,6 +251,7 @@ def counted(
         every = samples.where("sample_id is not null").select(F.col("sample_id").cast("long").alias("sample_id"), F.lit(None).cast("long").alias("kmer"))
         rows = rows.unionByName(every, allowMissingColumns=True)
     every_pair, weighted = samples is not None, weight is not None  # functions are sent to tasks without tables
+    names = ["row_id", "col_id", "common", *(["n_row", "n_col"] if sizes else [])]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -210,33 +281,33 @@ def counted(
         return _Side(ids, of, kmer, weights if weighted else None)
 
     def pairs(x: _Side, y: _Side, same: bool) -> Iterator[pa.RecordBatch]:
-        pool: list[list[np.ndarray]] = []
         by_size = np.argsort(y.sizes, kind="stable")
         rank = np.empty_like(by_size)
         rank[by_size] = np.arange(len(by_size))
-        for i, j, common in _counts(x, y, strip, every_pair):
-            keep = np.ones(len(i), bool) if every_pair else common >= max(1, least)
-            if same:
-                keep &= j < i
-            if share > 0:
-                keep &= common >= share * _SLACK * np.maximum(x.sizes[i], y.sizes[j])
-            i, j, common = i[keep], j[keep], common[keep]
+        need = np.maximum(max(1, least), np.ceil(share * _SLACK * x.sizes)).astype(np.int64)
+        chosen = None if best is None else _Chosen(best, len(y.ids), seed is not None)
+        marks = None if seed is None else PairMarks(x.ids, y.ids, seed)
+        for i, j, common in _counts(x, y, strip if marks is None else 4 * strip, every_pair, need):
+            if same or share > 0:
+                keep = np.ones(len(i), bool) if not same else j < i
+                if share > 0:
+                    keep &= common >= share * _SLACK * np.maximum(x.sizes[i], y.sizes[j])
+                i, j, common = i[keep], j[keep], common[keep]
             if not len(i):
                 continue
-            if runs and best is None:
-                i, j, common = in_runs(i, j, common, by_size, rank)
-            columns = [x.ids[i], y.ids[j], common, x.sizes[i], y.sizes[j]]
-            if best is None:
-                yield from batched(columns)
-                continue
-            pool.append(columns)
-            if sum(len(c[0]) for c in pool) >= POOL:
-                pool = [_best_of([np.concatenate(c) for c in zip(*pool, strict=True)], best)]
-        if pool:
-            yield from batched(_best_of([np.concatenate(c) for c in zip(*pool, strict=True)], best))
-
-    def batched(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        whole = pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64, copy=False)) for c in columns], ["row_id", "col_id", "common", "n_row", "n_col"])
+            if marks is not None:
+                chosen.add([i, j, common], *marks.of(i, j))
+            elif chosen is not None:
+                value = common / (x.sizes[i] + y.sizes[j] - common)
+                chosen.add([i, j, common], value, value)
+            else:
+                yield from batched(x, y, *(in_runs(i, j, common, by_size, rank) if runs else (i, j, common)))
+        if chosen is not None:
+            yield from batched(x, y, *chosen.pairs())
+
+    def batched(x: _Side, y: _Side, i: np.ndarray, j: np.ndarray, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+        columns = [x.ids[i], y.ids[j], common, *([x.sizes[i], y.sizes[j]] if sizes else [])]
+        whole = pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64, copy=False)) for c in columns], names)
         for at in range(0, whole.num_rows, ROWS):
             yield whole.slice(at, ROWS)
 
@@ -246,4 +317,4 @@ def counted(
                 same = batch.column("x_block")[row].as_py() == batch.column("y_block")[row].as_py()
                 yield from pairs(side(batch, row, "x"), side(batch, row, "y"), same)
 
-    return cells.mapInArrow(each, "row_id long, col_id long, common long, n_row long, n_col long")
+    return cells.mapInArrow(each, ", ".join(f"{c} long" for c in names))

@@ -70,25 +70,27 @@ def grid_blocks(post: DataFrame, most: int | None = None, pairs: int | None = No
     return (blocks if found >= asked and SEARCHES * found > rows * blocks else 0), top
 
 
-def all2all(post: DataFrame, chunk: int = CHUNK, most: int | None = None) -> DataFrame:
+def all2all(post: DataFrame, chunk: int = CHUNK, most: int | None = None, runs: bool = False) -> DataFrame:
     """(row_id, col_id, common) for each pair with col_id < row_id that shares a word.
 
     The two sides of the join are one shuffle on the word, or none where postings lie bucketed by it. No word is in more
     than ``most`` samples, if that is given. Where the join would cost more than a grid of blocks, pairs are counted
-    in that.
+    in that, and come in ``runs`` if these are asked for.
     """
     blocks, most = grid_blocks(post, most)
     if blocks:
-        return grid.counted(post, blocks).select("row_id", "col_id", "common")
+        return grid.counted(post, blocks, runs=runs, sizes=False)
     return _joined_pairs(post, chunk, most)
 
 
-def all2all_sized(post: DataFrame, samples: DataFrame, most: int | None = None, share: float = 0.0, least: int = 0, best: int | None = None, runs: bool = False) -> DataFrame:
+def all2all_sized(
+    post: DataFrame, samples: DataFrame, most: int | None = None, share: float = 0.0, least: int = 0, best: int | None = None, runs: bool = False, seed: int | None = None
+) -> DataFrame:
     """The same with n_row and n_col, the sizes of both, which the grid has at hand. It leaves out pairs that don't share ``share``
-    and ``least``, or that aren't among the ``best`` of any sample, and hands them over in ``runs``, as ``grid.counted`` has it;
-    the join leaves out none, in no order."""
+    and ``least``, or that aren't among the ``best`` of any sample (with a ``seed``: the ``random_of_rows``), and hands them
+    over in ``runs``, as ``grid.counted`` has it; the join leaves out none, in no order."""
     blocks, most = grid_blocks(post, most)
-    return grid.counted(post, blocks, None, share, least, best=best, runs=runs) if blocks else with_sizes(_joined_pairs(post, CHUNK, most), samples)
+    return grid.counted(post, blocks, None, share, least, best=best, runs=runs, seed=seed) if blocks else with_sizes(_joined_pairs(post, CHUNK, most), samples)
 
 
 def _joined_pairs(post: DataFrame, chunk: int, most: int | None) -> DataFrame:
@@ -163,7 +165,7 @@ def all2all_dense(post: DataFrame, samples: DataFrame) -> DataFrame:
     blocks = -(-samples.count() // GRID_SAMPLES)
     if blocks > 1:
         blocks = max(blocks, grid.number_of_blocks(post.count()))
-        return grid.counted(post, blocks, samples).select("row_id", "col_id", "common")
+        return grid.counted(post, blocks, samples, sizes=False)
     every = cells(samples, samples, True)
     return every.join(all2all(post), ["row_id", "col_id"], "left").select("row_id", "col_id", F.coalesce("common", F.lit(0)).alias("common"))
 
@@ -212,7 +214,7 @@ def patterns(post: DataFrame) -> DataFrame:
     return sets.select("samples", "num_kmers")
 
 
-def all2all_by_patterns(post: DataFrame, chunk: int = CHUNK, most: int | None = None) -> DataFrame:
+def all2all_by_patterns(post: DataFrame, chunk: int = CHUNK, most: int | None = None, runs: bool = False) -> DataFrame:
     """The same as ``all2all``, by way of patterns: worthwhile where many words occur in the same samples. Each pair of a
     pattern's samples counts for all its words; large patterns are joined in chunks, as frequent words are."""
     members = pattern_members(post).where("n_samples > 1").select(F.col("pattern").alias("kmer"), "sample_id", "num_kmers")
@@ -220,7 +222,7 @@ def all2all_by_patterns(post: DataFrame, chunk: int = CHUNK, most: int | None =
         leads = pattern_words(post).where("kmer = pattern and n_samples > 1")
         blocks, most = grid_blocks(members, None, words=leads.select(F.col("n_samples").alias("_n")))
         if blocks:
-            return grid.counted(members, blocks, weight="num_kmers").select("row_id", "col_id", "common")
+            return grid.counted(members, blocks, weight="num_kmers", runs=runs, sizes=False)
     return _pairs(members, ["num_kmers"], chunk, most).groupBy("row_id", "col_id").agg(F.sum("row_num_kmers").alias("common"))
 
 

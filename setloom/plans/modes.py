@@ -42,8 +42,8 @@ def all2all(
         else:
             sized = overlap.all2all_sharing(index.postings, index.samples, share, least, most=index.most)
     else:
-        best = sample_rows if by == "jaccard" and not at_least and not at_most else None
-        sized = overlap.all2all_sized(index.postings, index.samples, index.most, share, least, best, runs)
+        best = sample_rows if by in (None, "jaccard") and not at_least and not at_most else None
+        sized = overlap.all2all_sized(index.postings, index.samples, index.most, share, least, best, runs, None if by or best is None else 0)
     return _selected(sized, k, at_least, at_most, sample_rows, by)
 
 

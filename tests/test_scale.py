@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from setloom.functions.digests import PairMarks
 from setloom.functions.metrics import rounded
 from setloom.operators import grid, overlap, select
 from setloom.plans import modes, render, store
@@ -207,3 +208,52 @@ def test_numbers_too_large_for_one_key_keep_the_order_of_columns():
     assert [x.tolist() for x in grid.in_runs(i, j, common, by_size, rank)] == [i.tolist(), j.tolist(), common.tolist()]
     got = grid.in_runs(i, j, np.array([3, 3, 3]), by_size, rank)
     assert [x.tolist() for x in got] == [[4, 4, 5], [2, 0, 1], [3, 3, 3]]
+
+
+@pytest.mark.parametrize("seed", [0, 123456])
+def test_marks_of_pairs_are_md5_digests(seed):
+    """Texts of all lengths, so that rows and columns end in every word of a block."""
+    rows, columns = (np.array(sorted({s * 10**k + d for k in range(19) for s in (1, -1) for d in (-1, 0, 3)} | {x})) for x in (-(1 << 63), (1 << 63) - 1))
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(rows)), np.arange(len(columns)), indexing="ij"))
+    got = PairMarks(rows, columns, seed).of(i, j)
+    for a, b, x, y in zip(rows[i].tolist(), columns[j].tolist(), *got, strict=True):
+        for mark, text in ((x, f"{a},{b},{seed}"), (y, f"{b},{a},{seed}")):
+            assert mark == (1 << 52) - int(hashlib.md5(text.encode()).hexdigest()[:13], 16)
+
+
+def test_random_partners_leave_the_grid_alone(spark, monkeypatch):
+    """Of the pairs that share words, a few for each sample and cell leave the grid; what is chosen of them is what is chosen of all."""
+    monkeypatch.setattr(overlap, "GRID_PAIRS", 1)
+    monkeypatch.setattr(overlap, "SEARCHES", 1 << 20)
+    monkeypatch.setattr(grid, "LEAST_BLOCKS", 2)
+    monkeypatch.setattr(grid, "POOL", 1)
+    sets, post, samples = random_postings(spark, random.Random(5), 300, 25)
+    index = store.Index(samples, post, Settings(K))
+    met = {(i, j): n for j, i in combinations(sets, 2) if (n := len(sets[i] & sets[j]))}
+    want = set()
+    for s in sets:
+        near = sorted((hashlib.md5(f"{s},{o},0".encode()).hexdigest(), o) for p in met if s in p for o in p if o != s)
+        want |= {(s, o, met[max(s, o), min(s, o)]) for _, o in near[:2]}
+    assert {(r.row_id, r.col_id, r.common) for r in modes.all2all(index, sample_rows=2).collect()} == want
+    left = overlap.all2all_sized(post, samples, best=2, seed=0).count()
+    assert len(want) / 2 <= left <= 2 * 2 * 2 * len(sets) < len(met) / 8
+
+
+def test_the_best_of_a_cell_are_found_as_pairs_come():
+    """Strips of rows, values with many ties: kept are the best for a row or a column, in order of partners, and few more."""
+    draw = np.random.default_rng(2)
+    values = draw.integers(0, 6, (400, 90)).astype(float)
+    pool, grid.POOL = grid.POOL, 1
+    try:
+        chosen = grid._Chosen(3, 90, False)
+        for low in range(0, 400, 20):
+            i, j = (x.ravel() for x in np.meshgrid(np.arange(low, low + 20), np.arange(90), indexing="ij"))
+            chosen.add([i, j, i * 100 + j], values[i, j], values[i, j])
+            assert sum(len(p[0]) for p in chosen.pool) < 4 * 3 * 90 + 20 * 90
+    finally:
+        grid.POOL = pool
+    i, j, common = chosen.pairs()
+    assert (common == i * 100 + j).all()
+    by_row = {(r, c) for r in range(400) for c in sorted(range(90), key=lambda c: (-values[r, c], c))[:3]}
+    by_column = {(r, c) for c in range(90) for r in sorted(range(400), key=lambda r: (-values[r, c], r))[:3]}
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == by_row | by_column
