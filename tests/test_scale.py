@@ -257,3 +257,49 @@ def test_the_best_of_a_cell_are_found_as_pairs_come():
     by_row = {(r, c) for r in range(400) for c in sorted(range(90), key=lambda c: (-values[r, c], c))[:3]}
     by_column = {(r, c) for c in range(90) for r in sorted(range(400), key=lambda r: (-values[r, c], r))[:3]}
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == by_row | by_column
+
+
+@pytest.mark.parametrize("shape", [(4, 3, 20), (1 << 5, 7, 1 << 20), (1 << 11, 1 << 10, 1 << 20)])
+def test_pairs_by_words_are_all_pairs_once(monkeypatch, shape):
+    for name, n in zip(("TILE_COLUMNS", "TILE_ROWS", "TILE"), shape, strict=True):
+        monkeypatch.setattr(grid, name, n)
+    draw = random.Random(6)
+
+    def side(n, words, weighted):
+        sets = {i: draw.sample(range(words), draw.randint(0, 9)) for i in range(n)}
+        rows = sorted((w, i) for i, s in sets.items() for w in s)
+        weight = np.array([w % 5 + 1 for w, _ in rows]) if weighted else None
+        return sets, grid._Side(np.arange(n), np.array([i for _, i in rows], np.int32), np.array([w for w, _ in rows]), weight)
+
+    for weighted in (False, True):
+        (xs, x), (ys, y) = side(70, 40, weighted), side(50, 60, weighted)
+        for a, b, u, v, same in ((xs, ys, x, y, False), (ys, xs, y, x, False), (xs, xs, x, x, True)):
+            want = {(i, j): n for i in a for j in b if (not same or j < i) and (n := sum(w % 5 + 1 if weighted else 1 for w in set(a[i]) & set(b[j])))}
+            got = [p for c in grid._by_words(u, v, same) for p in zip(*(z.tolist() for z in c), strict=True)]
+            assert len(got) == len(want) and {(i, j): n for i, j, n in got} == want
+    none = grid._Side(np.arange(2), np.zeros(0, np.int32), np.zeros(0, np.int64), None)
+    assert not list(grid._by_words(none, y, False)) and not list(grid._by_words(y, none, False))
+
+
+def test_pairs_of_all_against_all_are_written_in_little_room(spark, tmp_path, monkeypatch):
+    """Samples of a few common passages and some words of their own: most pairs share a passage."""
+    monkeypatch.setattr(overlap, "GRID_PAIRS", 1)
+    monkeypatch.setattr(overlap, "SEARCHES", 1 << 20)
+    monkeypatch.setattr(grid, "LEAST_BLOCKS", 2)
+    draw = random.Random(1)
+    rows = [(i, 10 * p + w) for i in range(1500) for p in draw.sample(range(40), 3) for w in range(8)] + [(i, 1000 + draw.randrange(3000)) for i in range(1500) for _ in range(4)]
+    post = spark.createDataFrame(sorted(set(rows)), "sample_id long, kmer long").cache()
+    room, seen = {}, {}
+    for name, plan in (("columns", lambda: overlap.all2all(post)), ("all2all", lambda: overlap.all2all(post, runs=True)), ("patterns", lambda: overlap.all2all_by_patterns(post, runs=True))):
+        plan().write.parquet(f"{tmp_path}/{name}")
+        back = spark.read.parquet(f"{tmp_path}/{name}")
+        seen[name] = back.select(F.count(F.lit(1)), F.sum(F.xxhash64("row_id", "col_id", "common").cast("decimal(38,0)"))).first()
+        room[name] = sum(f.stat().st_size for f in (tmp_path / name).glob("*.parquet"))
+    assert seen["columns"] == seen["all2all"] == seen["patterns"] and seen["columns"][0] > 200_000
+    assert max(room["all2all"], room["patterns"]) < 0.6 * room["columns"], room
+    for name in ("all2all_sparse", "all2all_pattern_plan"):
+        monkeypatch.setattr(overlap, "GRID_PAIRS", 1)
+        asked = []
+        monkeypatch.setattr(grid, "counted", lambda *a, f=grid.counted, **k: asked.append(k) or f(*a, **k))
+        QUERIES[name](spark, str(TABLES))
+        assert asked and asked[-1]["runs"]
