@@ -303,3 +303,9 @@ def test_pairs_of_all_against_all_are_written_in_little_room(spark, tmp_path, mo
         monkeypatch.setattr(grid, "counted", lambda *a, f=grid.counted, **k: asked.append(k) or f(*a, **k))
         QUERIES[name](spark, str(TABLES))
         assert asked and asked[-1]["runs"]
+
+
+@pytest.mark.parametrize("name", ["all2all_file", "all2all_parts_file", "all2all_sparse_file"])
+def test_tables_that_are_written_and_read_back_are_compressed(spark, name):
+    out = QUERIES[name](spark, str(TABLES))
+    assert all(f.endswith(".gz") for f in out.inputFiles()) and out.count() > 2
